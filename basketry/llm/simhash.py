@@ -32,8 +32,8 @@ from basketry.llm.workspace import written
 
 #: Rows of unique fingerprints that fit the trees' vantage points.
 SAMPLE = 4096
-#: Fingerprints aimed at in a leaf and the rows of a tile's side.
-LEAF, TILE = 1024, 2048
+#: Fingerprints aimed at in a leaf; rows above which a leaf is hot and is cut into tiles.
+LEAF, TILE = 1024, 8192
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
