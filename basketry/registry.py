@@ -1,4 +1,9 @@
-"""All queries over the driver tables, and their SQL."""
+"""All queries over the driver tables, and their SQL.
+
+The driver's tables stand in for the domain's: part is a product, supplier a shop, lineitem a price or purchase row
+(extended price over quantity is a unit price, the ship date its time), orders are receipts, customers shoppers, and
+events are observations or runs of a crawl.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from basketry.plans import baskets, catalog, market, prices, shoppers, texts  # noqa: F401
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
