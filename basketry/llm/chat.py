@@ -49,15 +49,16 @@ def paths(messages: DataFrame) -> DataFrame:
     known = known.select("tree", "node", F.col("p").alias("up"), "score")  # a missing parent: a root
     parents = known.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = known.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    jump, found, step = written(known.select("tree", "node", "up"), "chat-jump"), written(leaves, "chat-paths"), 1
-    while not jump.filter("up is not null").isEmpty():
-        j = jump.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    jump, found, step = written(known.filter("up is not null").select("tree", "node", "up"), "chat-jump"), written(leaves, "chat-paths"), 1
+    while not jump.isEmpty():
+        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
         same = F.col("tree").eqNullSafe(F.col("t"))
         # what lies up to `step` above the leaf is known: each of those gives the one `step` further up
-        longer = found.join(j, same & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + step).alias("depth"))
+        longer = found.join(j, same & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("further").alias("node"), (F.col("depth") + step).alias("depth"))
         found = written(found.unionByName(longer), "chat-paths")
-        up = jump.join(j.select("t", "n", F.col("up").alias("further")), same & (F.col("up") == F.col("n")), "left")
-        jump, step = written(up.select("tree", "node", F.col("further").alias("up")), "chat-jump"), step * 2
+        # only nodes with an ancestor twice as far go on
+        jump = written(jump.join(j, same & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up")), "chat-jump")
+        step *= 2
     scores = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
     return found.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "node", "depth", "score")
 
@@ -65,6 +66,10 @@ def paths(messages: DataFrame) -> DataFrame:
 def choose(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """tree, root, leaf, rank of the ``best`` branches of each root (None: all): highest score first, then the smallest leaf."""
     branch = paths(messages).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), F.max_by("node", "depth").alias("root"))
+    return _best(branch, best)
+
+
+def _best(branch: DataFrame, best: int | None) -> DataFrame:
     ranked = branch.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("branch_score"), "leaf")))
     return ranked.filter(F.col("rank") <= best) if best else ranked
 
@@ -74,9 +79,7 @@ def format_paths(messages: DataFrame, best: int | None = 1, learn: str = "assist
     messages = written(messages, "chat-messages")
     steps = written(paths(messages), "chat-steps")
     branch = steps.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), F.max_by("node", "depth").alias("root"))
-    ranked = branch.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("branch_score"), "leaf")))
-    if best:
-        ranked = ranked.filter(F.col("rank") <= best)
+    ranked = _best(branch, best)
     chosen = steps.select("tree", "leaf", "node", "depth").alias("s").join(ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
     own = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("learn"))
     turns = chosen.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
