@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +31,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basketry.llm.splitting import splitter
 from basketry.llm.workspace import new_path, written
 
 #: Pre-tokens remembered by a Python worker before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
-    """Ids of whole texts from the tokenizers library, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts from the tokenizers library, as unsigned 32-bit bytes.
 
-    A byte-level BPE vocabulary encodes each match of its splitting pattern by itself, so each distinct match is
-    encoded by the library once and its ids are repeated wherever it occurs.
+    A byte-level BPE vocabulary encodes each match of its splitting pattern by itself. So a text is split by the pattern,
+    the library's model encodes each distinct match, and its ids are repeated wherever it occurs.
     """
 
     def __init__(self, tokenizer_file: str, pattern: str):
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
-        self.split = regex.compile(pattern).findall
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.size, self.model = tokenizer.get_vocab_size(), tokenizer.model
+        self.letters = byte_letters()
+        self.space = self.letters[0x20]
+        self.split = splitter(pattern)
         self.memo: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[p] for p in ps]) for ps in pieces]
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():
+            spelt = piece
+        elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
+            spelt = self.space + piece[1:]
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        memo, out = self.memo, []
+        for p in self.split(text):
+            ids = memo.get(p)
+            if ids is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                ids = memo[p] = self._piece(p)
+            out.append(ids)
+        return b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def piece_encoder(tokenizer_file: str, pattern: str) -> PieceEncoder:
+    """One for a Python worker, however many tasks it runs."""
+    return PieceEncoder(tokenizer_file, pattern)
 
 
 def id_type(vocabulary: int) -> pa.DataType:
@@ -151,7 +177,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out, first = PieceEncoder(tokenizer_file, pattern), None, 0
+        encoder, out, first = piece_encoder(tokenizer_file, pattern), None, 0
         shard, index = TaskContext.get().partitionId(), []
         name = f"{base}/{shard:06d}-{uuid.uuid4().hex}"
         dtype = id_type(max(encoder.size, end_id + 1))
@@ -165,8 +191,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int
                     out, docs_file = ShardWriter(f"{name}.tokens.arrow", length, dtype), _create(f"{name}.docs.arrow")
                     docs_out = pa.ipc.new_file(docs_file, schema)
                 index = []
-                for raw in encoder.encode(part.column(1).to_pylist()):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                for text in part.column(1):
+                    ids = np.append(np.frombuffer(encoder.encode(text.as_py()), np.uint32), np.uint32(end_id))
                     out.add(ids)
                     index.append((first, len(ids)))
                     first += len(ids)
