@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from basketry.llm.splitting import splitter
+from basketry.llm.workspace import map_rows
 
 #: Pieces and pairs that a Python worker remembers before it starts afresh.
 MEMO = 300_000
@@ -95,10 +97,8 @@ class TextEncoder:
     """Whole texts: pieces by the pattern, remembered."""
 
     def __init__(self, rank_file: str, pattern: str):
-        import regex
-
         self.encoder = Encoder(load_ranks(rank_file))
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.memo: dict[str, tuple[str, int, tuple[int, ...]]] = {}
 
     def pieces(self, text: str) -> list[tuple[str, int, tuple[int, ...]]]:
@@ -121,36 +121,35 @@ class TextEncoder:
         return b"".join(map(self.encoder.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def text_encoder(rank_file: str, pattern: str) -> TextEncoder:
+    """One for a Python worker, however many tasks it runs."""
+    return TextEncoder(rank_file, pattern)
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TextEncoder(rank_file, pattern)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [encoder.encode(t) for t in b["text"]]})
+    def start():
+        encode = text_encoder(rank_file, pattern).encode
+        return lambda b: pd.DataFrame({"ids": [encode(t or "") for t in b["text"]]})
 
-    return _slim(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_rows(docs, "doc_id", ["text"], start, "ids array<int>")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (the ids decoded again)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TextEncoder(rank_file, pattern)
+    def start():
+        encoder = text_encoder(rank_file, pattern)
         token = encoder.encoder.bytes_of.__getitem__
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                pieces = encoder.pieces(t)
-                decoded = hashlib.sha256()
-                for lo in range(0, len(pieces), 4096):
-                    decoded.update(b"".join([token(i) for p in pieces[lo : lo + 4096] for i in p[2]]))
-                rows.append((sum([p[1] for p in pieces]), hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest(), decoded.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=b["doc_id"].astype("Int64").to_numpy())
-
-    return _slim(docs).mapInPandas(run, "n_tokens long, ids_sha256 string, decoded_sha256 string, doc_id long").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+        def one(text: str | None) -> tuple[int, str, str]:
+            pieces, decoded = encoder.pieces(text or ""), hashlib.sha256()
+            for lo in range(0, len(pieces), 4096):
+                decoded.update(b"".join([token(i) for p in pieces[lo : lo + 4096] for i in p[2]]))
+            return sum([p[1] for p in pieces]), hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest(), decoded.hexdigest()
+
+        return lambda b: pd.DataFrame([one(t) for t in b["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_rows(docs, "doc_id", ["text"], start, "n_tokens long, ids_sha256 string, decoded_sha256 string")
