@@ -21,9 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from basketry.llm.workspace import ascii_lower, written
+from basketry.llm.workspace import ascii_lower, free_name, written
 
 #: What separates words, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,5 +85,6 @@ def contaminated(share: int = 20) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The clean documents, with all their columns; ids have to be unique."""
-    gone = written(find(docs, benchmark, width).filter(contaminated()).select(F.col("doc_id").alias("_gone")), "decontam-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = written(find(docs, benchmark, width).filter(contaminated()).select(F.col("doc_id").alias(name)), "decontam-gone")
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import ascii_lower, new_path, written
+from basketry.llm.workspace import ascii_lower, free_name, new_path, written
 
 
 def sha256(text: Column) -> Column:
@@ -105,9 +105,9 @@ def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, with all their columns; one row of those that repeat an id and a text."""
     found = written(find_copies(docs, keep), "dedup-found")
     gone = found.filter("not kept").select("doc_id", "digest")
-    texts = docs.withColumn("_digest", sha256(normalised())).alias("d")
-    g = gone.alias("g")
-    left = texts.join(g, (F.col("d._digest") == F.col("g.digest")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    own = free_name(docs, "_digest")
+    texts, g = docs.withColumn(own, sha256(normalised())).alias("d"), gone.alias("g")
+    left = texts.join(g, (F.col(f"d.{own}") == F.col("g.digest")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
     if not found.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_digest"])
+        left = left.dropDuplicates(["doc_id", own])
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from basketry.llm.workspace import map_rows
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -196,9 +196,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page (page_id, url, html)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [main_text(p) for p in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        text = [main_text(p) for p in b["html"]]
+        return pd.DataFrame({"url": b["url"].to_numpy(), "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_rows(pages, "page_id", ["url", "html"], lambda: run, "url string, text string, n_chars long")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import written
+from basketry.llm.workspace import map_rows, written
 
 ORDER = 4
 #: Rows that a language's model is learnt from (expected: rows are taken by hash).
@@ -179,12 +179,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> KneserNey:
 def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
     """doc_id, lang_pred, score, entropy (nats a character) and rejected of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame([model.classify(t) for t in b["text"]], columns=["lang_pred", "score", "entropy"])
-            yield out.assign(doc_id=b["doc_id"].astype("Int64").to_numpy(), rejected=(out["entropy"] > model.limit) | (out["lang_pred"] == "und"))
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame([model.classify(t) for t in b["text"]], columns=["lang_pred", "score", "entropy"])
+        return out.assign(rejected=(out["entropy"] > model.limit) | (out["lang_pred"] == "und"))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "lang_pred string, score double, entropy double, doc_id long, rejected boolean").select("doc_id", "lang_pred", "score", "entropy", "rejected")
+    return map_rows(docs, "doc_id", ["text"], lambda: run, "lang_pred string, score double, entropy double, rejected boolean")
 
 
 def held_out(parts: int = 4, part: int = 2) -> Column:

@@ -77,7 +77,7 @@ def grid_axes(bits: int = BITS) -> list[Column]:
 def assign(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard and slot of every row; shard row counts are at most one apart."""
     axes = ["_lang", "_source", "_length"]
-    rows = docs.withColumns(dict(zip(axes, grid_axes(bits), strict=True)))
+    rows = docs.select("doc_id", "text", *[a.alias(n) for n, a in zip(axes, grid_axes(bits), strict=True)])
     cells = rows.groupBy(*axes).count().withColumn("hilbert", hilbert_index([F.col(a) for a in axes], bits))
     total = F.sum("count").over(Window.partitionBy())
     size = F.greatest(F.lit(SUBCELL_ROWS), F.ceil(total / SUBCELLS))
@@ -105,5 +105,5 @@ def write_shards(docs: DataFrame, shards: int = 40, path: str | None = None) ->
     """Write the documents (whose ids are unique) by shard, sorted along the curve, with all their columns; the path."""
     path = path or new_path(docs.sparkSession, "hilbert-shards")
     placed = assign(docs, shards).select("doc_id", "hilbert", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    docs.drop("hilbert", "shard", "slot").join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path

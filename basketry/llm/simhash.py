@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import written
+from basketry.llm.workspace import free_name, map_rows, written
 
 #: Rows of unique fingerprints that fit the trees' vantage points.
 SAMPLE = 4096
@@ -57,12 +57,10 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+    def prints(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.fromiter((fingerprint(t, width) for t in b["text"]), np.uint64, len(b)).view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return map_rows(docs, "doc_id", ["text"], lambda: prints, "fp long")
 
 
 class VantageTree:
@@ -220,5 +218,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """The documents whose id names their component, with all their columns; ids have to be unique."""
     found = near_duplicates(docs, width, bits)
-    gone = written(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")), "simhash-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = written(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)), "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import written
+from basketry.llm.workspace import map_rows, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -169,11 +169,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> D
     """doc_id and score of every document."""
     model.memo = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(b["text"].tolist())})
-
-    return docs.select(F.col("doc_id").cast("long"), text).mapInPandas(run, "doc_id long, score double")
+    return map_rows(docs, "doc_id", [text], lambda: lambda b: pd.DataFrame({"score": model.score(b[text].tolist())}), "score double")
 
 
 def held_out(parts: int = 3, part: int = 1) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,29 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def map_rows(df: DataFrame, key: str, columns: list[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """``key`` and, for each row, what a function of batches of ``columns`` gives; ``start`` makes it once a task.
+
+    A null key travels as a flag, because pandas would turn a column of longs with nulls into doubles.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = start()
+        for b in batches:
+            out = f(b)
+            out["_key"], out["_null"] = b["_key"].to_numpy(), b["_null"].to_numpy()
+            yield out
+
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.col(key).isNull().alias("_null"), *columns)
+    out = rows.mapInPandas(run, f"{schema}, _key long, _null boolean")
+    return out.select(F.when(~F.col("_null"), F.col("_key")).alias(key), *[c for c in out.columns if c not in ("_key", "_null")])
