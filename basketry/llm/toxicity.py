@@ -135,26 +135,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [terms(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "terms": [[(k, x) for k, x in f.items()] for f in found]})
+        for whole in batches:
+            for lo in range(0, len(whole), 128):
+                b = whole.iloc[lo : lo + 128]
+                found = [terms(t) for t in b["text"]]
+                keys, marks = [np.fromiter(f, np.int32, len(f)) for f in found], [np.fromiter(f.values(), np.float32, len(f)) for f in found]
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "y": b["y"].to_numpy(), "terms": keys, "presence": marks})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` pairs of numbers
-    rows = written(texts.mapInPandas(run, "doc_id long, y int, terms array<struct<bucket:int,x:double>>"), "toxicity-terms")
+    rows = written(texts.mapInPandas(run, "doc_id long, y int, terms array<int>, presence array<float>"), "toxicity-terms")
     n, toxic = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
     model = FactorizationMachine(np.zeros(0, np.int64))
     if not 0 < toxic < n:
         model.bias = 30.0 if n and toxic == n else -30.0
         return model
     share = toxic / n
-    found = rows.select("y", F.explode("terms.bucket").alias("bucket")).groupBy("bucket").agg(F.count("y").alias("df"), F.sum("y").alias("tox"))
+    found = rows.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("y").alias("df"), F.sum("y").alias("tox"))
     # distance of the toxic count from its expectation, in standard deviations
     apart = (F.col("tox") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share))
     telling = found.filter((F.col("df") >= LEAST) & (2 * F.col("tox") > F.col("df"))).withColumn("apart", apart).filter(F.col("apart") >= APART)
     best = telling.orderBy(F.desc("apart"), "bucket").limit(ACTIVE)
     active = written(best.select("bucket"), "toxicity-active")
     buckets = np.sort(active.toPandas()["bucket"].to_numpy(np.int64))
-    few = rows.select("doc_id", "y", F.explode_outer("terms").alias("t")).select("doc_id", "y", "t.*").join(F.broadcast(active.withColumn("on", F.lit(True))), "bucket", "left")
+    few = rows.select("doc_id", "y", F.explode_outer(F.arrays_zip(F.col("terms").alias("bucket"), F.col("presence").alias("x"))).alias("t")).select("doc_id", "y", "t.bucket", "t.x").join(F.broadcast(active.withColumn("on", F.lit(True))), "bucket", "left")
     mark = F.when(F.col("on"), F.struct("bucket", "x"))
     few = few.groupBy("doc_id").agg(F.first("y").alias("y"), F.array_sort(F.collect_set(mark)).alias("b")).orderBy("doc_id").toPandas()
     model = FactorizationMachine(buckets)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows that a function of ``map_rows`` gets at once.
+SLICE = 512
+
 _local_dir: dict[str, str] = {}
 
 
@@ -67,10 +70,12 @@ def map_rows(df: DataFrame, key: str, columns: list[str], start: Callable[[], Ca
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = start()
-        for b in batches:
-            out = f(b)
-            out["_key"], out["_null"] = b["_key"].to_numpy(), b["_null"].to_numpy()
-            yield out
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):  # what a function makes of long texts is held for few rows at once
+                b = whole.iloc[lo : lo + SLICE]
+                out = f(b)
+                out["_key"], out["_null"] = b["_key"].to_numpy(), b["_null"].to_numpy()
+                yield out
 
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.col(key).isNull().alias("_null"), *columns)
     out = rows.mapInPandas(run, f"{schema}, _key long, _null boolean")
