@@ -130,27 +130,27 @@ class KneserNey:
         return self.languages[best], float(1 / np.exp(-(e - e[best]) * min(25, len(cps))).sum()), float(e[best])
 
 
+def _grams(cps: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n-grams, of their heads and of their tails."""
+    g = hashes(cps, n)
+    shorter = hashes(cps, n - 1) if n > 1 else np.zeros(len(g) + 1, np.uint64)
+    return np.stack((g, shorter[:-1], shorter[1:]))
+
+
 def count_grams(sample: DataFrame) -> DataFrame:
     """lang, n, gram, head, tail, hits over the sample (lang, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lang, own in b.groupby("lang"):
-                parts: dict[int, list[np.ndarray]] = {n: [] for n in range(1, ORDER + 1)}
-                for text in own["text"]:
-                    cps = characters(text)
-                    for n in parts:
-                        g = hashes(cps, n)
-                        if len(g):
-                            first = np.zeros(len(g), np.uint64) if n == 1 else hashes(cps, n - 1)[:-1]
-                            last = np.zeros(len(g), np.uint64) if n == 1 else hashes(cps, n - 1)[1:]
-                            parts[n].append(np.stack((g, first, last)))
-                for n, found in parts.items():
-                    if found:
-                        all_of = np.concatenate(found, 1)
-                        _, one, hits = np.unique(all_of[0], return_index=True, return_counts=True)
-                        g = all_of[:, one].view(np.int64)
-                        yield pd.DataFrame({"lang": lang, "n": np.int32(n), "gram": g[0], "head": g[1], "tail": g[2], "hits": hits})
+        for whole in batches:
+            for lo in range(0, len(whole), 100):
+                for lang, own in whole.iloc[lo : lo + 100].groupby("lang"):
+                    for n in range(1, ORDER + 1):
+                        found = [_grams(cps, n) for cps in map(characters, own["text"]) if len(cps) >= n]
+                        if found:
+                            every = np.concatenate(found, 1)
+                            _, one, hits = np.unique(every[0], return_index=True, return_counts=True)
+                            g = every[:, one].view(np.int64)
+                            yield pd.DataFrame({"lang": lang, "n": np.int32(n), "gram": g[0], "head": g[1], "tail": g[2], "hits": hits})
 
     found = sample.select("lang", "text").mapInPandas(run, "lang string, n int, gram long, head long, tail long, hits long")
     return found.groupBy("lang", "n", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("hits").alias("hits"))
