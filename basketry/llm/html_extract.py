@@ -157,20 +157,20 @@ def first_pass(b: Block, article: bool) -> bool | None:
 
 
 def second_pass(found: list[Block]) -> None:
-    """Ambiguous blocks inherit from the nearest decided ones."""
+    """Ambiguous blocks inherit from the nearest decided ones; what an article only embeds (an advert) lends nothing."""
     first = [b.label for b in found]
     decided = [i for i, label in enumerate(first) if label is not None]
     before: list[dict[bool, int]] = []
     last: dict[bool, int] = {}
     for i, b in enumerate(found):
         before.append(dict(last))
-        if first[i] is not None:
+        if first[i] is not None and not (b.good and b.poor):
             last[b.good] = i
     after: list[dict[bool, int]] = [{} for _ in found]
     last = {}
     for i in range(len(found) - 1, -1, -1):
         after[i] = dict(last)
-        if first[i] is not None:
+        if first[i] is not None and not (found[i].good and found[i].poor):
             last[found[i].good] = i
     for i, b in enumerate(found):
         if first[i] is not None:
