@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from basketry.functions.text import normalize_name, translit
 
@@ -24,7 +25,7 @@ def _blend(a: str, b: str) -> float:
     return max(ratio, (ratio + len(x & y) / len(x | y)) / 2 if x | y else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similar(a: pd.Series, b: pd.Series, la: pd.Series, lb: pd.Series) -> pd.Series:
     def one(p: str, q: str, lp: str, lq: str) -> float:
         if not p or not q:
@@ -34,7 +35,7 @@ def _similar(a: pd.Series, b: pd.Series, la: pd.Series, lb: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(a, b, la, lb, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(a, b, strict=True)], dtype="float64")
 
