@@ -26,7 +26,9 @@ from basketry.llm.splitting import splitter
 from basketry.llm.workspace import map_rows
 
 #: Pieces and pairs that a Python worker remembers before it starts afresh.
-MEMO = 300_000
+MEMO = 500_000
+#: Above every rank.
+NEVER = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,23 +46,56 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.grown: dict[int, tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Greedy merging, lowest rank first: what defines the encoding; used on two tokens' bytes only."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while True:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1)), default=(1 << 40, 0))
-            if best[0] == 1 << 40:
-                return [self.ranks[p] for p in parts]
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def edges(self, token: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+        """How a token's first and its last part grow while its bytes are merged, lowest rank first: (rank, part) by step.
+
+        Both are empty for a token that merging its own bytes does not give.
+        """
+        known = self.grown.get(token)
+        if known is None:
+            whole = self.bytes_of[token]
+            parts = [whole[i : i + 1] for i in range(len(whole))]
+            first, last = [(-1, parts[0])], [(-1, parts[-1])]
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if rank == NEVER:
+                    first, last = [], []
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if i == 0:
+                    first.append((rank, parts[0]))
+                if i == len(parts) - 1:
+                    last.append((rank, parts[-1]))
+            known = self.grown[token] = (first, last)
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
+        """Merging the bytes of both tokens gives both: at no step does the pair across the border come first.
+
+        Merges come by rank, of equal ranks the leftmost; so the border waits for the left token's step of its own rank
+        and goes before the right token's.
+        """
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > MEMO:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            left, right, i, j = self.edges(a)[1], self.edges(b)[0], 0, 0
+            known = bool(left and right)
+            while known:
+                across = self.ranks.get(left[i][1] + right[j][1], NEVER)
+                next_left = left[i + 1][0] if i + 1 < len(left) else NEVER
+                next_right = right[j + 1][0] if j + 1 < len(right) else NEVER
+                if across < next_left and across <= next_right:
+                    known = False
+                elif next_left == next_right == NEVER:
+                    break
+                elif next_left <= next_right:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = known
         return known
 
     def piece(self, piece: bytes) -> list[int]:
