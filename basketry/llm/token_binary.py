@@ -35,7 +35,7 @@ from basketry.llm.splitting import splitter
 from basketry.llm.workspace import new_path, written
 
 #: Pre-tokens remembered by a Python worker before it starts afresh.
-MEMO = 200_000
+MEMO = 500_000
 
 
 def byte_letters() -> dict[int, str]:
