@@ -26,7 +26,7 @@ from basketry.llm.splitting import splitter
 from basketry.llm.workspace import map_rows
 
 #: Pieces and pairs that a Python worker remembers before it starts afresh.
-MEMO = 500_000
+MEMO = 300_000
 #: Above every rank.
 NEVER = 1 << 40
 
@@ -45,7 +45,7 @@ class Encoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.grown: dict[int, tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]] = {}
 
     def edges(self, token: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
@@ -77,9 +77,9 @@ class Encoder:
         Merges come by rank, of equal ranks the leftmost; so the border waits for the left token's step of its own rank
         and goes before the right token's.
         """
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(key := a << 32 | b)
         if known is None:
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) >= MEMO:
                 self.pairs.clear()
             left, right, i, j = self.edges(a)[1], self.edges(b)[0], 0, 0
             known = bool(left and right)
@@ -95,7 +95,7 @@ class Encoder:
                     i += 1
                 else:
                     j += 1
-            self.pairs[a, b] = known
+            self.pairs[key] = known
         return known
 
     def piece(self, piece: bytes) -> list[int]:
@@ -129,28 +129,31 @@ class Encoder:
 
 
 class TextEncoder:
-    """Whole texts: pieces by the pattern, remembered."""
+    """Whole texts: pieces by the pattern; each one's ids are remembered as text, which is compact and joins fast."""
 
     def __init__(self, rank_file: str, pattern: str):
         self.encoder = Encoder(load_ranks(rank_file))
         self.split = splitter(pattern)
-        self.memo: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        self.memo: dict[str, str] = {}
+        self.bytes_of_text = {str(r): b for r, b in self.encoder.bytes_of.items()}
 
-    def pieces(self, text: str) -> list[tuple[str, int, tuple[int, ...]]]:
-        """For every piece its ids as text, their number, and the ids."""
+    def joined(self, text: str) -> str:
+        """Decimal ids, one space between."""
         memo, out = self.memo, []
         for p in self.split(text):
-            known = memo.get(p)
-            if known is None:
-                ids = tuple(self.encoder.piece(p.encode()))
-                if len(memo) > MEMO:
+            ids = memo.get(p)
+            if ids is None:
+                if len(memo) >= MEMO:
                     memo.clear()
-                known = memo[p] = (" ".join(map(str, ids)), len(ids), ids)
-            out.append(known)
-        return out
+                ids = memo[p] = " ".join(map(str, self.encoder.piece(p.encode())))
+            out.append(ids)
+        return " ".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, _, ids in self.pieces(text) for i in ids]
+        return [int(i) for i in self.joined(text).split()]
+
+    def decode_joined(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes_of_text.__getitem__, ids.split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.encoder.bytes_of.__getitem__, ids))
@@ -177,13 +180,11 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def start():
         encoder = text_encoder(rank_file, pattern)
-        token = encoder.encoder.bytes_of.__getitem__
 
         def one(text: str | None) -> tuple[int, str, str]:
-            pieces, decoded = encoder.pieces(text or ""), hashlib.sha256()
-            for lo in range(0, len(pieces), 4096):
-                decoded.update(b"".join([token(i) for p in pieces[lo : lo + 4096] for i in p[2]]))
-            return sum([p[1] for p in pieces]), hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest(), decoded.hexdigest()
+            ids = encoder.joined(text or "")
+            n = ids.count(" ") + 1 if ids else 0
+            return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(encoder.decode_joined(ids)).hexdigest()
 
         return lambda b: pd.DataFrame([one(t) for t in b["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
