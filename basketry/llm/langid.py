@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import map_rows, written
+from basketry.llm.workspace import map_rows, small_batches, written
 
 ORDER = 4
 #: Rows that a language's model is learnt from (expected: rows are taken by hash).
@@ -152,6 +152,7 @@ def count_grams(sample: DataFrame) -> DataFrame:
                             g = every[:, one].view(np.int64)
                             yield pd.DataFrame({"lang": lang, "n": np.int32(n), "gram": g[0], "head": g[1], "tail": g[2], "hits": hits})
 
+    small_batches(sample.sparkSession)
     found = sample.select("lang", "text").mapInPandas(run, "lang string, n int, gram long, head long, tail long, hits long")
     return found.groupBy("lang", "n", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("hits").alias("hits"))
 

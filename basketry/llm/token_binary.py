@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.llm.splitting import splitter
-from basketry.llm.workspace import new_path, written
+from basketry.llm.workspace import new_path, small_batches, written
 
 #: Pre-tokens remembered by a Python worker before it starts afresh.
-MEMO = 500_000
+MEMO = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -170,6 +170,7 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, length: int = 1024, shards: int | None = None) -> DataFrame:
     """Write the shards; the manifest: shard (ascending with doc_id), tokens_path, docs_path, n_docs, n_tokens, start (ids before the shard)."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = new_path(spark, "token-shards")
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import map_rows, written
+from basketry.llm.workspace import map_rows, small_batches, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ class FactorizationMachine:
         for w, k in words.items():
             at = memo.get(w)
             if at is None:
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
                 at = memo[w] = tuple(place[b] for b in buckets_of(w) if b in place)
             for i in at:
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
                 keys, marks = [np.fromiter(f, np.int32, len(f)) for f in found], [np.fromiter(f.values(), np.float32, len(f)) for f in found]
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "y": b["y"].to_numpy(), "terms": keys, "presence": marks})
 
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` pairs of numbers
     rows = written(texts.mapInPandas(run, "doc_id long, y int, terms array<int>, presence array<float>"), "toxicity-terms")
     n, toxic = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -182,6 +183,7 @@ def held_out(parts: int = 3, part: int = 1) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
     model = fit(docs, labels, ~held_out())
+    small_batches(docs.sparkSession)
     scored = F.pandas_udf(lambda texts: pd.Series(model.score(texts.tolist())), "double")
     model.memo = {}
     return docs.filter(scored(F.col("text")) < threshold)

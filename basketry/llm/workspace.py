@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows that a function of ``map_rows`` gets at once.
-SLICE = 512
+#: Rows of texts that a Python worker gets at once, and that a function of ``map_rows`` does.
+BATCH, SLICE = 1024, 256
 
 _local_dir: dict[str, str] = {}
 
@@ -62,6 +62,13 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send Python workers at most ``BATCH`` rows at once: the default of 10,000 is gigabytes where texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def map_rows(df: DataFrame, key: str, columns: list[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """``key`` and, for each row, what a function of batches of ``columns`` gives; ``start`` makes it once a task.
 
@@ -77,6 +84,7 @@ def map_rows(df: DataFrame, key: str, columns: list[str], start: Callable[[], Ca
                 out["_key"], out["_null"] = b["_key"].to_numpy(), b["_null"].to_numpy()
                 yield out
 
+    small_batches(df.sparkSession)
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.col(key).isNull().alias("_null"), *columns)
     out = rows.mapInPandas(run, f"{schema}, _key long, _null boolean")
     return out.select(F.when(~F.col("_null"), F.col("_key")).alias(key), *[c for c in out.columns if c not in ("_key", "_null")])
