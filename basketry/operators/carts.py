@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.market import in_each
+
 
 def item_status(items: DataFrame, mappings: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
     """basket_id, product_id, store, status: NOT_KNOWN (no mapping), NO_DATA (no fresh price), GONE (out of stock), HAVE."""
-    wanted = items.select("basket_id", "product_id").crossJoin(F.broadcast(stores.select("store")))
+    wanted = in_each(items.select("basket_id", "product_id"), stores, "store")
     m = mappings.select("product_id", "store", F.lit(True).alias("known")).distinct()
     p = prices.select("product_id", "store", "price", "in_stock")
     out = wanted.join(m, ["product_id", "store"], "left").join(p, ["product_id", "store"], "left")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from basketry.functions import text as t
 from basketry.functions.prices import line_price, per_unit_price
 from basketry.functions.similarity import similarity
-from basketry.operators.market import with_sanity
+from basketry.operators.market import in_each, with_sanity
 from basketry.operators.search import relevant
 
 
 def compare_products(products: DataFrame, stores: DataFrame, mappings: DataFrame, prices: DataFrame) -> DataFrame:
     """Every product in every store: price, unit price and note (not mapped, no fresh price, out of stock, odd price)."""
-    every = products.select("product_id").crossJoin(F.broadcast(stores.select("store")))
+    every = in_each(products.select("product_id"), stores, "store")
     out = every.join(mappings.select("product_id", "store", "sku", "unit", "weight_g"), ["product_id", "store"], "left").join(prices.select("store", "sku", "price", "in_stock"), ["store", "sku"], "left")
     unit = per_unit_price(F.col("price"), F.col("unit"), F.col("weight_g"))
     out = with_sanity(out.withColumn("u", unit).withColumn("per_unit", F.col("u.value")).withColumn("label", F.col("u.label")).drop("u"), ["product_id"], "per_unit")

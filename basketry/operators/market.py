@@ -36,9 +36,23 @@ def real_skus(products: DataFrame) -> DataFrame:
     return products.filter(~placeholder_sku(F.col("sku"), F.col("chain")))
 
 
+#: Shops that a product may be set against one by one.
+MOST_SHOPS = 1000
+
+
+def in_each(rows: DataFrame, shops: DataFrame, shop: str) -> DataFrame:
+    """Every row once for each shop. A handful of shops is part of the question; more than ``MOST_SHOPS`` is an error."""
+    codes = [r[0] for r in shops.select(shop).distinct().limit(MOST_SHOPS + 1).collect()]
+    if len(codes) > MOST_SHOPS:
+        raise ValueError(f"more than {MOST_SHOPS} shops")
+    kind = shops.schema[shop].dataType
+    every = F.array(*[F.lit(c).cast(kind) for c in sorted(codes)]) if codes else F.array().cast(f"array<{kind.simpleString()}>")
+    return rows.withColumn(shop, F.explode(every))
+
+
 def missing_pairs(items: DataFrame, shops: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of item and shop that no mapping knows. Items are a basket's, shops a handful."""
-    wanted = items.select("item").distinct().crossJoin(F.broadcast(shops.select("shop").distinct()))
+    """Pairs of item and shop that no mapping knows."""
+    wanted = in_each(items.select("item").distinct(), shops, "shop")
     return wanted.join(known.select("item", "shop"), ["item", "shop"], "left_anti")
 
 

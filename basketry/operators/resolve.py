@@ -1,7 +1,7 @@
 """Which listings of different chains are one item.
 
-Rows are prepared once, blocked by a trusted barcode and by the first two folded words, compared under guards, joined
-into components and repaired. Rows with the same comparison facts are compared once, through a representative.
+Rows are prepared once, brought together by a trusted barcode or by a shared rare word (their first two folded words
+have to overlap), compared under guards, joined into components and repaired. Rows with the same comparison facts are compared once, through a representative.
 """
 
 from __future__ import annotations
@@ -95,11 +95,15 @@ def match_edges(rows: DataFrame) -> DataFrame:
     keyed = written(keyed.join(first, "facts"), "resolve-rows")
     copies = keyed.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same").alias("method"), F.lit(1.0).alias("score"))
     reps = keyed.filter("id = rep").drop("facts", "rep")
-    heads = reps.withColumn("head", F.explode(F.slice("forder", 1, 2)))
-    a, b = heads.alias("a"), heads.alias("b")
+    # Whatever method links two rows by words, the folded words of one hold all those of the other: so the one's rarest
+    # word is in the other, and rows meet by that word instead of in blocks of a frequent head.
+    word = reps.select("id", F.explode("fwords").alias("word"))
+    rare = word.join(word.groupBy("word").count(), "word").groupBy("id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
+    a, b = reps.join(rare, "id").alias("a"), reps.withColumn("word", F.explode("fwords")).alias("b")
     apart = (F.col("a.chain") != F.col("b.chain")) | (F.col("a.bkey").isNotNull() & F.col("b.bkey").isNotNull())
-    pairs = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.id") < F.col("b.id")) & apart).withColumn("s", same_product())
-    worded = pairs.filter("s.ok").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "s.method", "s.score").distinct()
+    heads = F.arrays_overlap(F.slice("a.forder", 1, 2), F.slice("b.forder", 1, 2))
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & apart & heads).withColumn("s", same_product())
+    worded = pairs.filter("s.ok").select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), "s.method", "s.score").distinct()
     return coded.unionByName(copies).unionByName(worded)
 
 
@@ -188,10 +192,9 @@ def keep_ids(items: DataFrame, before: DataFrame) -> DataFrame:
 
     kept = votes.join(group.select((F.col("node") / 2).cast("long").alias("item"), "component", "node").filter("node % 2 = 0").drop("node"), "item")
     kept = written(kept.groupBy("component").applyInPandas(greedy, "item long, item_id long"), "kept-ids")
-    top = before.agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("top"))
-    fresh = size.join(kept, "item", "left_anti").select("item")
-    # new ids only have to be unique and stable for a run: the item's own smallest row id is both
-    fresh = fresh.join(F.broadcast(top)).select("item", (F.col("top") + 1 + F.col("item")).alias("item_id"))
+    top = before.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
+    # new ids only have to be unique and stable for a run: the item's own row id is both
+    fresh = size.join(kept, "item", "left_anti").select("item", (F.col("item") + top + 1).alias("item_id"))
     return kept.unionByName(fresh)
 
 
