@@ -89,3 +89,21 @@ def weighed_products(products: DataFrame, history: DataFrame, chain_rows: DataFr
     c = chain_rows.groupBy("product_id").agg((F.sum((F.col("unit") == "kg").cast("int")) * 2 > F.count("unit")).alias("chains"))
     out = products.join(h, "product_id", "left").join(c, "product_id", "left")
     return out.select("product_id", weighed_by_evidence(unit_from_name(F.col("name")), F.coalesce("fractional", F.lit(False)), F.coalesce("whole", F.lit(False)), F.col("chains")).alias("weighed"))
+
+
+def phone_plan(lines: DataFrame, mappings: DataFrame) -> DataFrame:
+    """What a phone puts into a cart: the SKU where one is known, search terms in any case; no services."""
+    from basketry.functions.prices import pieces
+    from basketry.operators.matching import search_terms
+    from basketry.operators.receipts import is_service
+
+    goods = lines.filter(~is_service(F.col("name"))).join(mappings.select("product_id", "store", "sku", "pack_g"), ["product_id", "store"], "left")
+    times = pieces(F.col("qty"), F.coalesce("pack_g", F.lit(0.0)), F.col("unit"), 30)
+    return goods.select("basket_id", "product_id", "store", "sku", times.alias("times"), search_terms(F.col("name"), F.col("pack_g")).alias("terms"))
+
+
+def quotes(reports: DataFrame) -> DataFrame:
+    """Chain quotes as structs: status (whole, partial, none), fees, discount and the names a chain did not have."""
+    status = F.when(F.col("total").isNull(), "none").when(F.size("missing") > 0, "partial").otherwise("whole")
+    body = F.struct("total", F.coalesce("delivery", F.lit(0.0)).alias("delivery"), F.coalesce("service_fee", F.lit(0.0)).alias("service_fee"), F.coalesce("discount", F.lit(0.0)).alias("discount"), F.array_sort("missing").alias("missing"))
+    return reports.select("basket_id", "store", status.alias("status"), F.to_json(body).alias("quote"))

@@ -79,3 +79,32 @@ def workspace_document(workspaces: DataFrame, baskets: DataFrame, items: DataFra
     lines = items.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("product_id", "qty"))).alias("lines"))
     own = baskets.join(lines, "basket_id", "left").groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("basket_id", "lines"))).alias("baskets"))
     return workspaces.join(own, "workspace", "left").select("workspace", F.to_json(F.struct("workspace", "baskets")).alias("document"))
+
+
+def item_rows(catalog: DataFrame, items: DataFrame, live: bool = True) -> DataFrame:
+    """Catalogue rows of items, the living ones or all."""
+    rows = catalog.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    return rows.filter("active") if live else rows
+
+
+def rows_by_gtin(catalog: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose trusted barcode is among the given ones, however either writes it."""
+    key = t.gtin(F.col("barcode"))
+    rows = catalog.withColumn("key", F.when(t.gtin_trusted(key), key))
+    return rows.join(codes.select(t.gtin(F.col("barcode")).alias("key")).distinct(), "key", "left_semi").drop("key")
+
+
+def unmatched(catalog: DataFrame) -> DataFrame:
+    return catalog.groupBy("chain").agg(F.count_if(F.col("active") & F.col("item_id").isNull()).alias("unmatched"))
+
+
+def price_history(prices: DataFrame, mapping: DataFrame, days: int, now) -> DataFrame:
+    """A product's prices through its chosen mappings, oldest first."""
+    own = prices.join(mapping.select("product_id", "chain", "sku"), ["chain", "sku"])
+    return own.filter(F.col("seen_at") >= now - F.expr(f"INTERVAL {days} DAYS")).select("product_id", "chain", "seen_at", "price").orderBy("product_id", "chain", "seen_at")
+
+
+def without_base(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mappings without what the base only proposed, and those proposals."""
+    proposed = (F.col("method") == "master") & ~F.col("confirmed")
+    return mappings.filter(~proposed), mappings.filter(proposed)

@@ -69,3 +69,9 @@ def device_rows(catalog: DataFrame, start: Column, end: Column) -> DataFrame:
 def latest_marks(marks: DataFrame) -> DataFrame:
     """The latest JSON of every key, parsed into a variant."""
     return latest_by(marks, ["key"], [F.desc("at"), F.desc("value")]).withColumn("value", F.try_parse_json("value"))
+
+
+def sweep_state(marks: DataFrame, now: Column, hours: int = 12) -> DataFrame:
+    """running, stopped (no sign of life for so long) or done, by sweep (name, started_at, beat_at, finished_at)."""
+    late = F.coalesce("beat_at", "started_at") < now - F.expr(f"INTERVAL {hours} HOURS")
+    return marks.withColumn("state", F.when(F.col("finished_at").isNotNull(), "done").when(late, "stopped").otherwise("running"))

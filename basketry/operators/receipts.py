@@ -69,3 +69,27 @@ def name_variants(rows: DataFrame, previous: DataFrame | None = None) -> DataFra
 
 def forget(history: DataFrame, receipts: DataFrame) -> DataFrame:
     return history.join(receipts.select("key"), "key", "left_anti")
+
+
+def with_state(state_rows: DataFrame, state: str, limit: int | None = None) -> DataFrame:
+    """Receipts (key, date, state) of one state, the newest first: pending ones are ``seen``."""
+    out = state_rows.filter(F.col("state") == state).orderBy(F.desc("date"), "key")
+    return out.limit(limit) if limit else out
+
+
+def stale_days(state_rows: DataFrame, today: Column) -> DataFrame:
+    """Days since the newest imported receipt."""
+    return state_rows.filter("state = 'imported'").agg(F.datediff(today, F.max("date")).alias("days"))
+
+
+def next_steps(state_rows: DataFrame, today: Column, old: int = 14) -> DataFrame:
+    """What a person could do, as codes: load (nothing imported), refresh (too old), fetch (receipts wait), retry (some failed)."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    age = F.datediff(today, F.max(F.when(F.col("state") == "imported", F.col("date"))))
+    steps = F.array(F.when(n("imported") == 0, "load"), F.when(age > old, "refresh"), F.when(n("seen") > 0, "fetch"), F.when(n("unavailable") > 0, "retry"))
+    return state_rows.agg(F.array_compact(steps).alias("steps"))
+
+
+def receipt_priced(products: DataFrame, history: DataFrame) -> DataFrame:
+    """Products whose usual price a receipt tells."""
+    return products.join(history.filter("unit_price > 0").select("product_id"), "product_id", "left_semi")

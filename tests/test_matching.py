@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import conflicts as c
 from basketry.functions.titles import readable
-from basketry.operators import carts, compare, device, dictionary, matching, resolve, search
+from basketry.operators import carts, compare, device, dictionary, matching, receipts, resolve, search
 from basketry.sources import files
 
 DAY = dt.datetime(2024, 5, 1)
@@ -132,3 +132,29 @@ def test_price_list_is_read_again(spark, tmp_path):
     device.save_price_list(df.coalesce(1), str(tmp_path / "out"))
     part = next((tmp_path / "out").glob("part-*.csv"))
     assert sorted(map(tuple, files.price_list(spark, str(part)).collect())) == [("Сыр", 1234.5), ("Чай", 9.9)]
+
+
+def test_receipt_states_and_steps(spark):
+    rows = [("a", dt.date(2024, 5, 1), "imported"), ("b", dt.date(2024, 5, 9), "seen"), ("c", dt.date(2024, 5, 3), "unavailable")]
+    df = spark.createDataFrame(rows, "key string, date date, state string")
+    today = F.lit("2024-05-31").cast("date")
+    assert receipts.stale_days(df, today).first().days == 30
+    assert receipts.next_steps(df, today).first().steps == ["refresh", "fetch", "retry"]
+    assert receipts.next_steps(df.limit(0), today).first().steps == ["load"]
+    assert [r.key for r in receipts.with_state(df, "seen").collect()] == ["b"]
+
+
+def test_phone_plan(spark):
+    lines = spark.createDataFrame([(1, 10, "a", "Сыр Ламбер 400г", 0.7, "kg"), (1, 11, "a", "Доставка заказа", 1.0, "pcs"), (1, 12, "a", "Чай", 1.4, "pcs")], "basket_id long, product_id long, store string, name string, qty double, unit string")
+    maps = spark.createDataFrame([(10, "a", "s", 400.0)], "product_id long, store string, sku string, pack_g double")
+    got = {r.product_id: (r.sku, r.times) for r in carts.phone_plan(lines, maps).collect()}
+    assert got == {10: ("s", 2), 12: (None, 2)}
+    q = spark.createDataFrame([(1, "a", 10.0, None, None, None, ["b", "a"]), (1, "b", None, None, None, None, [])], "basket_id long, store string, total double, delivery double, service_fee double, discount double, missing array<string>")
+    assert [(r.status, json.loads(r.quote)["missing"]) for r in carts.quotes(q).orderBy("store").collect()] == [("partial", ["a", "b"]), ("none", [])]
+
+
+def test_rows_by_gtin(spark):
+    cat = spark.createDataFrame([("m", "1", "4607084350029", True, None), ("l", "2", "0460 7084 350029", True, 5), ("l", "3", None, True, None)], "chain string, sku string, barcode string, active boolean, item_id long")
+    codes = spark.createDataFrame([("04607084350029",)], "barcode string")
+    assert sorted(r.sku for r in dictionary.rows_by_gtin(cat, codes).collect()) == ["1", "2"]
+    assert {r.chain: r.unmatched for r in dictionary.unmatched(cat).collect()} == {"m": 1, "l": 1}
