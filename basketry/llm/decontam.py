@@ -8,8 +8,8 @@ bounds), and what remains is verified word by word, in order. The words around a
 travel with it, so no text is joined or shuffled; results are gathered by document row.
 
 Benchmark tables are small beside the corpus, but nothing relies on it: up to ``MOST_WORDS``
-rare words go into the scan as a set, more than that are joined, and all other joins are left
-to the optimiser's own size checks.
+words are broadcast for counting and go into the scan as a set, more than that are joined
+after counting, and all other joins are left to the optimiser's own size checks.
 
 Defined cases: null or wordless texts have no words and are never contaminated; an item
 shorter than a window is one window; equal windows of several items count for each of them;
@@ -41,10 +41,14 @@ def windows(benchmark: DataFrame, width: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, width))).alias("window")).withColumn("n", F.size("window")).distinct()
 
 
-def prefixes(cut: DataFrame, docs: DataFrame) -> DataFrame:
+def prefixes(cut: DataFrame, docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """item_id, window, n, word (its rarest in the documents), offset (of that word's first place, from 0)."""
-    vocabulary = cut.select(F.explode("window").alias("word")).distinct()
-    counts = docs.select(F.explode(words()).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = written(cut.select(F.explode("window").alias("word")).distinct(), "decontam-vocabulary")
+    every, n = docs.select(F.explode(words()).alias("word")), F.count(F.lit(1)).alias("df")
+    if vocabulary.limit(most_words + 1).count() <= most_words:
+        counts = every.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(n)
+    else:  # a row for each word and task is all that moves
+        counts = every.groupBy("word").agg(n).join(vocabulary, "word", "left_semi")
     ranked = cut.withColumn("key", F.xxhash64("window")).select("*", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
     rarest = F.min_by(F.struct("word", "offset"), F.struct(F.coalesce("df", F.lit(0)), "word", "offset")).alias("rare")
     # a word that no document has cannot match
@@ -53,7 +57,7 @@ def prefixes(cut: DataFrame, docs: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings) for every document."""
-    wanted = written(prefixes(windows(benchmark, width), docs), "decontam-windows")
+    wanted = written(prefixes(windows(benchmark, width), docs, most_words), "decontam-windows")
     rare = written(wanted.select("word").distinct(), "decontam-rare")
     text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words().alias("w"))
     text = text.withColumn("n_words", F.size("w"))
