@@ -97,7 +97,7 @@ def pasted_lines(raw: DataFrame, column: str = "text") -> DataFrame:
     """Pasted "name; qty; price", "name; price" or "name price" lines: position, name, qty, price, and ok for what was understood."""
     others = [c for c in raw.columns if c != column]
     lines = raw.select(*others, F.posexplode(F.split(column, r"\r?\n")).alias("position", "line")).filter(F.trim("line") != "")
-    parts = F.transform(F.split("line", r"[;\t]"), F.trim)
+    parts = F.transform(F.split("line", r"[;\t]"), lambda x: F.trim(x))  # noqa: PLW0108  (bare, trim would get the index too)
     tail = r"^(.*?)\s+(\d+(?:[.,]\d{1,2})?)\s*(?:руб\.?|р\.?|₽)?$"
     three, two = F.size(parts) >= 3, F.size(parts) == 2
     at = lambda i: F.try_element_at(parts, F.lit(i))
