@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from basketry.plans import baskets, catalog, extras, market, prices, shoppers, sources, texts  # noqa: F401
+    from basketry.plans import baskets, catalog, domain, extras, market, prices, shoppers, sources, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
