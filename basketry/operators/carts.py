@@ -42,7 +42,7 @@ def verify(old: DataFrame, new: DataFrame, step: float = 0.004) -> DataFrame:
 
 def stamp(lines: DataFrame) -> DataFrame:
     """A basket's stamp: first 12 hex digits of SHA-1 over its sorted product and quantity pairs."""
-    pair = F.concat_ws(":", F.col("product_id").cast("string"), F.format_number("qty", "0.###"))
+    pair = F.concat_ws(":", F.col("product_id").cast("string"), F.format_string("%.3f", F.col("qty").cast("double")))
     return lines.groupBy("basket_id").agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list(pair)), ",")), 1, 12).alias("stamp"))
 
 

@@ -136,4 +136,4 @@ def price_bundle(raw: DataFrame, column: str = "value", most: int = 50_000) -> D
 
 def fingerprint(date: Column, store: Column, total: Column, names: Column) -> Column:
     """First 16 hex digits of SHA-1 over a receipt's date, store, total and its rows in order."""
-    return F.substring(F.sha1(F.concat_ws("|", date.cast("string"), F.coalesce(store, F.lit("")), F.format_number(total, "0.00"), F.array_join(names, "|"))), 1, 16)
+    return F.substring(F.sha1(F.concat_ws("|", date.cast("string"), F.coalesce(store, F.lit("")), F.format_string("%.2f", total.cast("double")), F.array_join(names, "|"))), 1, 16)
