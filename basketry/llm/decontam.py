@@ -46,7 +46,7 @@ def prefixes(cut: DataFrame, docs: DataFrame, most_words: int = MOST_WORDS) -> D
     vocabulary = written(cut.select(F.explode("window").alias("word")).distinct(), "decontam-vocabulary")
     every, n = docs.select(F.explode(words()).alias("word")), F.count(F.lit(1)).alias("df")
     if vocabulary.limit(most_words + 1).count() <= most_words:
-        counts = every.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(n)
+        counts = F.broadcast(every.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(n))
     else:  # a row for each word and task is all that moves
         counts = every.groupBy("word").agg(n).join(vocabulary, "word", "left_semi")
     ranked = cut.withColumn("key", F.xxhash64("window")).select("*", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
