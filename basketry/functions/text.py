@@ -29,6 +29,7 @@ TRANSLIT = {
 FOLD_FROM, FOLD_TO = "абвгдеёжзийклмнопрстуфхцчшщыэюяъь", "abvgdeezziiklmnoprstufhccssieua"
 FOLD_DIGRAPHS = (("shch", "s"), ("sch", "s"), ("ch", "c"), ("sh", "s"), ("zh", "z"), ("kh", "h"), ("ts", "c"), ("yu", "u"), ("ya", "a"), ("ye", "e"), ("yo", "e"), ("x", "ks"))
 
+# Patterns of sizes, percents, weighed goods and digits that say nothing.
 WEIGHT = r"(\d+(?:[.,]\d+)?)\s*(кг|kg|гр|мл|ml|г|g|л|l)(?![а-яa-z])"
 PERCENT = r"(\d{1,2}(?:[.,]\d)?)\s*%"
 PERCENT_RANGE = r"(?<!\d)(?<!\d[.,])(\d{1,2}(?:[.,]\d)?)\s*(?:%\s*)?[-–—]\s*(\d{1,2}(?:[.,]\d)?)\s*%"
@@ -181,7 +182,10 @@ def variant_marks(name: Column) -> Column:
 
 
 def glue(name: Column) -> Column:
-    """Package words go; negations and "with gas" become one word, so that they survive tokenising."""
+    """Package words go; negations and "with gas" become one word, so that they survive tokenising.
+
+    The patterns are fixed values: which spellings of receipts count as package, negation or gas.
+    """
     letter = "А-Яа-яЁёA-Za-z"
     s = F.coalesce(name, F.lit(""))
     s = F.regexp_replace(s, rf"(?iu)(?<![{letter}])(?:[сc]\s*/\s*газ(?![{letter}])|(?:[сc]\s+)?газом(?![{letter}])|газированн[а-яё]*|gazirovann[a-z]*)", "газированный")

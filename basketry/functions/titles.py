@@ -25,6 +25,12 @@ ENDINGS = {"m": ("ый", "ий"), "f": ("ая", "ая"), "n": ("ое", "ое"),
 PREPOSITIONS = "с со из без для на в по".split()
 UNITS = "г гр кг мл л шт уп см мм".split()
 WIDTH = 40
+# Patterns of what is no product, of a name in capitals at the start, of a unit that sticks to its number,
+# and of characters that receipts do not print.
+NO_PRODUCT = re.compile(r"(?i)\.(?:ru|ру|com|net|org)\b|www\.|https?:|№\s*\d{5,}")
+SHOUTED = re.compile(r"[A-ZА-ЯЁ]{2,}[. \-]|[A-ZА-ЯЁ]\.[A-ZА-ЯЁ]")
+STUCK = re.compile(r"(?<=\d)(кг|гр|мл|шт|уп|см|мм|г|л)(?![а-яa-z])")
+FOREIGN = re.compile(r"[^А-Яа-яЁёA-Za-z0-9 .,%/\-№]")
 
 _short = re.compile(r"[А-Яа-яЁёA-Za-z]\.[А-Яа-яЁёA-Za-z/]")
 _piece = re.compile(r"№?\d+(?:[.,]\d+)?|[А-Яа-яЁёA-Za-z]+(?:[/\-][А-Яа-яЁёA-Za-z]+)*\.?|%")
@@ -37,14 +43,14 @@ def _gender(word: str) -> str:
 
 def readable(raw: str | None) -> str:
     """A shortened line spelt out; a line that reads as it is, or that is no product, stays."""
-    s = re.sub(r"(?<=\d)(кг|гр|мл|шт|уп|см|мм|г|л)(?![а-яa-z])", r" \1", " ".join((raw or "").split()))
-    if not s or re.search(r"(?i)\.(?:ru|ру|com|net|org)\b|www\.|https?:|№\s*\d{5,}", s):
+    s = STUCK.sub(r" \1", " ".join((raw or "").split()))
+    if not s or NO_PRODUCT.search(s):
         return " ".join((raw or "").split())
     if s.isupper():
         return s.capitalize()
-    shouted = re.match(r"[A-ZА-ЯЁ]{2,}[. \-]|[A-ZА-ЯЁ]\.[A-ZА-ЯЁ]", s)
+    shouted = SHOUTED.match(s)
     dots = len(_short.findall(s))
-    if len(s) > WIDTH or re.search(r"[^А-Яа-яЁёA-Za-z0-9 .,%/\-№]", s) or not (dots > 1 or shouted and (dots or re.search(r"\d", s))):
+    if len(s) > WIDTH or FOREIGN.search(s) or not (dots > 1 or shouted and (dots or re.search(r"\d", s))):
         return s
     out: list[str] = []
     gender, brand, head_at, after = None, bool(shouted), None, ""
