@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from basketry.functions import conflicts as c
-from basketry.functions.titles import readable
+from basketry.functions.titles import human_name, shown_name
 from basketry.operators import carts, compare, device, dictionary, matching, receipts, resolve, search
 from basketry.sources import files
 
@@ -64,10 +64,15 @@ def test_relevance(spark):
     assert not about("огурцы", "Пюре яблочное", 0.3)
 
 
-def test_readable_titles():
-    assert readable("САРАФ.Мор.ЗЕФ.эск.ван.гл.8% 75г") == "Сараф. Мороженое зефир эскимо ванильное глазированное 8% 75 г"
-    assert readable("Молоко Домик в деревне 2,5% 930 мл") == "Молоко Домик в деревне 2,5% 930 мл"
-    assert readable("ХЛЕБ БЕЛЫЙ") == "Хлеб белый" and readable(None) == "" and readable("shop.ru заказ") == "shop.ru заказ"
+def test_readable_titles(spark):
+    lines = ["САРАФ.Мор.ЗЕФ.эск.ван.гл.8% 75г", "Молоко Домик в деревне 2,5% 930 мл", "ХЛЕБ БЕЛЫЙ", None, "shop.ru заказ", "ТЁМА Биойог.дет.бан/зем. 2.8% 210г", "Колб.вар.дет. с сыр. 300г"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "raw string").select(human_name(F.col("raw"))).collect()]
+    assert got == [
+        "Сараф. Мороженое зефир эскимо ванильное глазированное 8% 75 г", "Молоко Домик в деревне 2,5% 930 мл", "Хлеб белый", "", "shop.ru заказ",
+        "Тёма Биойогурт детский банан/земляника 2,8% 210 г", "Колбаса варёная детская с сыр. 300 г",
+    ]
+    pair = spark.createDataFrame([("сыр косичка 150 г", "Сыр КОСИЧКА 150г"), ("Мой сыр", "Сыр КОСИЧКА 150г"), ("", "ЧАЙ")], "name string, raw string")
+    assert [r[0] for r in pair.select(shown_name(F.col("name"), F.col("raw"))).collect()] == ["Сыр КОСИЧКА 150 г", "Мой сыр", "Чай"]
 
 
 def test_comparison_table(spark):
