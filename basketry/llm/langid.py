@@ -28,6 +28,8 @@ from basketry.llm.workspace import map_rows, small_batches, written
 ORDER = 4
 #: Rows that a language's model is learnt from (expected: rows are taken by hash).
 SAMPLE = 600
+#: Languages whose row counts are broadcast.
+MOST_LANGUAGES = 10_000
 DISCOUNT = 0.75
 #: Characters that the lowest order spreads its rest over.
 ALPHABET = 2000
@@ -160,7 +162,9 @@ def count_grams(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> KneserNey:
     """The model of documents (doc_id, text, lang) where ``learn`` holds."""
     known = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count()
+    counts = written(known.groupBy("lang").count(), "langid-counts")
+    if counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        counts = F.broadcast(counts)  # texts stay where they are; a language may hold most of them
     place = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
     rows = known.join(counts, "lang").filter(place * F.col("count") < sample).select("doc_id", "text", "lang")
     rows = written(rows, "langid-sample")
