@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from basketry.functions.prices import delivery, offer_discount
 from basketry.operators.market import with_sanity
+from basketry.session import in_buckets
 
 #: Lines of one basket that every split is tried for; larger baskets are searched from several starts.
 EXACT_LINES = 18
@@ -110,14 +111,17 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
     """
     schema = "basket_id long, rank int, stores array<string>, missing int, cost long, assigned array<struct<product_id:long,store:string>>"
 
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        products, shops = sorted(b["product_id"].unique()), sorted(b["store"].unique())
-        info = {s: g.iloc[0].to_dict() for s, g in b.groupby("store")}
-        ok = b[b["value"].notna() & b["in_stock"].fillna(True).astype(bool)]
+    def solve(b: pd.DataFrame) -> list[tuple]:
+        lines = b.to_dict("records")
+        info = {r["store"]: r for r in lines}
+        products, shops = sorted({r["product_id"] for r in lines}), sorted(info)
         pay, choice = np.full((len(products), len(shops)), np.inf), np.full((len(products), len(shops)), np.inf)
-        rows, cols = np.searchsorted(products, ok["product_id"]), np.searchsorted(shops, ok["store"])
-        pay[rows, cols] = np.round(100 * ok["value"])
-        choice[rows, cols] = np.round(100 * (ok["value"] + ok["adjust"].fillna(0)))
+        at_product, at_shop = {p: i for i, p in enumerate(products)}, {s: j for j, s in enumerate(shops)}
+        for r in lines:
+            if pd.notna(r["value"]) and (pd.isna(r["in_stock"]) or r["in_stock"]):
+                cell = at_product[r["product_id"]], at_shop[r["store"]]
+                pay[cell] = round(100 * r["value"])
+                choice[cell] = round(100 * (r["value"] + (r["adjust"] if pd.notna(r["adjust"]) else 0)))
         found: dict[tuple, tuple] = {}
         for m in range(1, most_stores + 1):
             for c in combinations(range(len(shops)), m):
@@ -130,11 +134,11 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
                 if used not in found or row[:2] < found[used][:2]:
                     found[used] = row
         best = sorted(found.items(), key=lambda x: (x[1][0], x[1][1], x[0]))[:keep]
-        return pd.DataFrame([(b["basket_id"].iloc[0], k + 1, list(u), r[0], int(round(r[1])), r[2]) for k, (u, r) in enumerate(best)], columns=["basket_id", "rank", "stores", "missing", "cost", "assigned"])
+        return [(lines[0]["basket_id"], k + 1, list(u), r[0], int(round(r[1])), r[2]) for k, (u, r) in enumerate(best)]
 
     code = F.col("store").cast("string").alias("store")
     joined = lines.select("basket_id", "product_id", code, "value", "adjust", "in_stock").join(stores.select(code, *SHOP_FIELDS), "store")
-    return joined.groupBy("basket_id").applyInPandas(solve, schema)
+    return in_buckets(joined, "basket_id", solve, schema)
 
 
 def share_discount(lines: DataFrame, discount: str = "discount") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from basketry.functions import text as t
 from basketry.functions.prices import weights_agree
 from basketry.operators.graph import components
-from basketry.session import written
+from basketry.session import in_buckets, written
 
 # Words that name the usual kind of a product or are obligatory on a label; see ``same_product``.
 DESCRIPTORS = (
@@ -120,7 +120,7 @@ def split_chained(rows: DataFrame, members: DataFrame, barcode_rules: bool = Tru
     the seed nor what the group has gathered, the rest seeds anew. A barcode shared with a member always joins.
     """
 
-    def clash(group: dict, r: pd.Series) -> bool:
+    def clash(group: dict, r: dict) -> bool:
         for c in ("unit", "pct", "packs"):
             if pd.notna(r[c]) and any(abs(v - r[c]) >= 0.05 if c == "pct" else v != r[c] for v in group[c]):
                 return True
@@ -130,9 +130,9 @@ def split_chained(rows: DataFrame, members: DataFrame, barcode_rules: bool = Tru
             return True
         return len(r["brand_words"]) > 0 and any(not set(r["brand_words"]) & set(m) for m in group["brand"])
 
-    def cut(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(n=b["words"].map(len), size=b["name"].fillna("").map(len)).sort_values(["n", "size", "id"], ascending=[False, False, True])
-        left, out = [r for _, r in b.iterrows()], []
+    def cut(b: pd.DataFrame) -> list[tuple]:
+        left, out = b.to_dict("records"), []
+        left.sort(key=lambda r: (-len(r["words"]), -len(r["name"] or ""), r["id"]))
         while left:
             group = {c: [] for c in ("unit", "pct", "packs", "weight_g", "marks", "brand", "codes")}
             rest = []
@@ -151,13 +151,13 @@ def split_chained(rows: DataFrame, members: DataFrame, barcode_rules: bool = Tru
                 if pd.notna(r["bkey"]):
                     group["codes"].append(r["bkey"])
             left = rest
-        return pd.DataFrame(out, columns=["id", "item"])
+        return out
 
     placed = rows.join(members, "id")
     big = placed.groupBy("component").count().filter("count > 1").select("component")
     some = placed.join(big, "component", "left_semi").select("component", "id", "name", "unit", "weight_g", "packs", "pct", "marks", "brand_words", "words", "bkey")
     alone = placed.join(big, "component", "left_anti").select("id", F.col("id").alias("item"))
-    return alone.unionByName(some.groupBy("component").applyInPandas(cut, "id long, item long"))
+    return alone.unionByName(in_buckets(written(some, "chained"), "component", cut, "id long, item long"))
 
 
 def canonical(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -180,18 +180,18 @@ def keep_ids(items: DataFrame, before: DataFrame) -> DataFrame:
     edges = votes.select((F.col("item") * 2).alias("a"), (F.col("item_id") * 2 + 1).alias("b"))
     group = components(edges)
 
-    def greedy(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(purity=b["votes"] / b["rows"]).sort_values(["votes", "purity", "rows", "item_id", "item"], ascending=[False, False, False, True, True])
+    def greedy(b: pd.DataFrame) -> list[tuple]:
+        rows = sorted(zip(b["votes"], b["rows"], b["item_id"], b["item"], strict=True), key=lambda r: (-r[0], -r[0] / r[1], -r[1], r[2], r[3]))
         items_done, ids_done, out = set(), set(), []
-        for r in b.itertuples():
-            if r.item not in items_done and r.item_id not in ids_done:
-                items_done.add(r.item)
-                ids_done.add(r.item_id)
-                out.append((r.item, r.item_id))
-        return pd.DataFrame(out, columns=["item", "item_id"])
+        for _, _, item_id, item in rows:
+            if item not in items_done and item_id not in ids_done:
+                items_done.add(item)
+                ids_done.add(item_id)
+                out.append((item, item_id))
+        return out
 
     kept = votes.join(group.select((F.col("node") / 2).cast("long").alias("item"), "component", "node").filter("node % 2 = 0").drop("node"), "item")
-    kept = written(kept.groupBy("component").applyInPandas(greedy, "item long, item_id long"), "kept-ids")
+    kept = written(in_buckets(written(kept, "vote-groups"), "component", greedy, "item long, item_id long"), "kept-ids")
     top = before.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
     # new ids only have to be unique and stable for a run: the item's own row id is both
     fresh = size.join(kept, "item", "left_anti").select("item", (F.col("item") + top + 1).alias("item_id"))

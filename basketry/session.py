@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: dict[str, str] = {}
 
@@ -29,3 +32,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_buckets(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], list[tuple]], schema: str, rows: int = 20_000) -> DataFrame:
+    """``solve`` for every group of ``key``, many small groups a call: a call of their own would cost more than their work.
+
+    A bucket holds whole groups, by hash, of about ``rows`` rows; ``solve`` gets one group and gives rows of the schema.
+    """
+    names = [c.strip().split(" ")[0] for c in _columns(schema)]
+    n = max(df.count() // rows, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(key, kind="stable", ignore_index=True)
+        at = b[key].to_numpy()
+        cuts = [0, *((at[1:] != at[:-1]).nonzero()[0] + 1).tolist(), len(b)]
+        return pd.DataFrame([r for lo, hi in zip(cuts, cuts[1:], strict=False) for r in solve(b.iloc[lo:hi])], columns=names)
+
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(run, schema)
+
+
+def _columns(schema: str) -> list[str]:
+    """The columns of a DDL schema, split at commas outside of types."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(schema):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append(schema[start:i])
+            start = i + 1
+    return [*out, schema[start:]]
