@@ -19,13 +19,15 @@ def offer_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("basket_id"), d.alias("discount"))
 
 
+#: The part of the lines that queries read unless they are asked for the whole (``plans.whole``).
+FIFTH = "l_orderkey % 5 = 0"
 LINES_SQL = """
     ln AS (SELECT l_orderkey AS basket_id, l_partkey AS product_id, l_suppkey % 4 AS store, floor(min(l_extendedprice) + 0.5) / 100 AS value FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL),
     st AS (SELECT s_suppkey AS store, 90.0 + 10 * s_suppkey AS fee, 600.0 + 100 * s_suppkey AS free_from, 100.0 * s_suppkey AS min_order FROM supplier WHERE s_suppkey < 4)"""
 
 
-def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0")
+def basket_lines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter(only)
     g = li.groupBy(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 4).alias("store"))
     return g.agg((F.floor(F.min("l_extendedprice") + 0.5) / 100).alias("value")).withColumns({"in_stock": F.lit(True), "adjust": F.lit(0.0)})
 
@@ -42,8 +44,8 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT basket_id, store, subtotal, CASE WHEN subtotal >= free_from THEN 0 ELSE fee END AS delivery, round(subtotal + CASE WHEN subtotal >= free_from THEN 0 ELSE fee END, 2) AS total,
            n - have AS missing, subtotal < min_order AS below_minimum FROM t JOIN n USING (basket_id) JOIN st USING (store)"""
 )
-def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimise.store_totals(basket_lines(spark, sf_dir), shops(spark, sf_dir))
+def store_totals(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
+    return optimise.store_totals(basket_lines(spark, sf_dir, only), shops(spark, sf_dir))
 
 
 @query(
@@ -76,9 +78,9 @@ SPLIT_SQL = f"""WITH {LINES_SQL},
 
 
 @query(SPLIT_SQL)
-def split_two_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_two_stores(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
     """Least cost of buying all that shops 1 and 2 have, in one of them or both; the SQL tries every mask."""
-    lines, stores = basket_lines(spark, sf_dir).filter("store in (1, 2)"), shops(spark, sf_dir).filter("store in (1, 2)")
+    lines, stores = basket_lines(spark, sf_dir, only).filter("store in (1, 2)"), shops(spark, sf_dir).filter("store in (1, 2)")
     best = optimise.split_baskets(lines, stores, most_stores=2, keep=1)
     return best.select("basket_id", "cost")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import prices as p
 from basketry.operators import carts, compare, device, health, history, link, market, optimise, search
-from basketry.plans.baskets import LINES_SQL, basket_lines
+from basketry.plans.baskets import FIFTH, LINES_SQL, basket_lines
 from basketry.registry import query, table
 
 LP_SQL = """q AS (SELECT p_partkey AS k, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN 'kg' WHEN p_partkey % 3 = 1 THEN 'pcs' END AS unit, CASE WHEN p_partkey % 4 > 0 THEN p_size * 50.0 END AS pack,
@@ -62,9 +62,9 @@ def weighed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(min(value) FILTER (value BETWEEN 0.2 * m AND 5 * m), min(value)) END) AS baseline
     FROM (SELECT *, list_sort(list(value) OVER w)[len(list(value) OVER w) // 2 + 1] AS m FROM ln WINDOW w AS (PARTITION BY basket_id, product_id)) GROUP BY ALL"""
 )
-def line_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_baselines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
     """The last receipt's price (of every fifth product), else the base store's (1), else the sane minimum."""
-    lines = basket_lines(spark, sf_dir).withColumns({"receipt_price": F.when(F.col("product_id") % 5 == 0, F.col("value")), "is_base": F.col("store") == 1})
+    lines = basket_lines(spark, sf_dir, only).withColumns({"receipt_price": F.when(F.col("product_id") % 5 == 0, F.col("value")), "is_base": F.col("store") == 1})
     return optimise.baseline(lines)
 
 
@@ -72,11 +72,11 @@ def line_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LINES_SQL}, d AS (SELECT *, 10.0 AS discount, row_number() OVER (PARTITION BY basket_id, store ORDER BY product_id) AS pos, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY basket_id, store) AS whole FROM ln)
     SELECT basket_id, store, count(*) AS lines, 10.0 AS shared FROM d GROUP BY ALL"""
 )
-def shared_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_discounts(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
     """A discount of ten shared over a store's lines comes to ten."""
     from pyspark.sql.window import Window
 
-    lines = basket_lines(spark, sf_dir).withColumns({"discount": F.lit(10.0), "position": F.row_number().over(Window.partitionBy("basket_id", "store").orderBy("product_id"))})
+    lines = basket_lines(spark, sf_dir, only).withColumns({"discount": F.lit(10.0), "position": F.row_number().over(Window.partitionBy("basket_id", "store").orderBy("product_id"))})
     return optimise.share_discount(lines).groupBy("basket_id", "store").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("share"), 6).alias("shared"))
 
 
@@ -137,8 +137,8 @@ def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT DISTINCT event_type AS chain FROM events WHERE event_id % 50 = 0 AND ts >= TIMESTAMP '2024-01-29 12:00:00'")
-def fresh_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0").select(F.col("event_type").alias("chain"), F.lit("ok").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"))
+def fresh_chains(spark: SparkSession, sf_dir: str, only: str = "event_id % 50 = 0") -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(only).select(F.col("event_type").alias("chain"), F.lit("ok").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"))
     return health.fresh_chains(e, F.lit("2024-01-30").cast("timestamp"))
 
 

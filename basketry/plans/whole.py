@@ -1,0 +1,45 @@
+"""Queries of the other modules that read a part of their tables by id, over the whole tables.
+
+The parts stay registered as they are, since their SQL names the same parts. Each query here is the same function with the
+filter open, and its SQL is that of the part with the same filter open.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry.operators import graph
+from basketry.plans import baskets, domain, extras, sources
+from basketry.registry import Query, query, sql_of, table
+
+
+def _open(part: Query, only: str) -> None:
+    sql = sql_of(part.__name__)
+    if sql.count(only) != 1:
+        raise ValueError(f"{part.__name__}: its SQL does not hold {only} once")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return part(spark, sf_dir, only="true")
+
+    run.__name__ = f"whole_{part.__name__}"
+    query(sql.replace(only, "true"))(run)
+
+
+for _part in (baskets.store_totals, baskets.split_two_stores, domain.line_baselines, domain.shared_discounts, extras.covered_baseline):
+    _open(_part, baskets.FIFTH)
+for _part in (sources.receipt_bundles, sources.receipt_texts, sources.pasted_receipts):
+    _open(_part, "l_orderkey % 7 = 0")
+_open(sources.device_reports, "l_orderkey % 9 = 0")
+_open(domain.fresh_chains, "event_id % 50 = 0")
+_open(extras.plan_check, "l_orderkey % 3 = 0")
+
+
+@query()
+def whole_match_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of parts and suppliers over all line items; a part k is node 2k and a supplier k is node 2k + 1.
+
+    No SQL: the reach of every node from every other is too much for a recursive query. A test holds it against brute force.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    return graph.components(li.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())

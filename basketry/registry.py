@@ -28,12 +28,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    return _sql[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _load() -> None:
-    from basketry.plans import baskets, catalog, domain, extras, market, prices, shoppers, sources, texts  # noqa: F401
+    from basketry.plans import baskets, catalog, domain, extras, market, prices, shoppers, sources, texts, whole  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
