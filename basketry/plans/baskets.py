@@ -32,8 +32,10 @@ def basket_lines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFra
     return g.agg((F.floor(F.min("l_extendedprice") + 0.5) / 100).alias("value")).withColumns({"in_stock": F.lit(True), "adjust": F.lit(0.0)})
 
 
-def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(F.col("s_suppkey").alias("store"))
+def shops(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The suppliers 0 to 3, or the four stores that all suppliers are dealt to."""
+    s = table(spark, sf_dir, "supplier")
+    s = s.select((F.col("s_suppkey") % 4).alias("store")).distinct() if dealt else s.filter("s_suppkey < 4").select(F.col("s_suppkey").alias("store"))
     k = F.col("store")
     return s.withColumns({"fee": 90.0 + 10 * k, "free_from": 600.0 + 100 * k, "min_order": 100.0 * k, "penalty": 5.0 * k, "percent": F.when(k == 2, 5.0), "cap": F.lit(100.0), "min_check": F.lit(500.0), "cap_used": F.lit(0.0)})
 
@@ -44,8 +46,8 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT basket_id, store, subtotal, CASE WHEN subtotal >= free_from THEN 0 ELSE fee END AS delivery, round(subtotal + CASE WHEN subtotal >= free_from THEN 0 ELSE fee END, 2) AS total,
            n - have AS missing, subtotal < min_order AS below_minimum FROM t JOIN n USING (basket_id) JOIN st USING (store)"""
 )
-def store_totals(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
-    return optimise.store_totals(basket_lines(spark, sf_dir, only), shops(spark, sf_dir))
+def store_totals(spark: SparkSession, sf_dir: str, only: str = FIFTH, dealt: bool = False) -> DataFrame:
+    return optimise.store_totals(basket_lines(spark, sf_dir, only), shops(spark, sf_dir, dealt))
 
 
 @query(
@@ -55,10 +57,10 @@ def store_totals(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFra
     SELECT basket_id, store, total, coalesce(discount, 0) AS discount, CASE WHEN discount > 0 THEN offer_id END AS offer_id FROM d
     QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY discount DESC NULLS LAST, percent DESC, offer_id) = 1"""
 )
-def best_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_offer(spark: SparkSession, sf_dir: str, only: str = "s_suppkey <= 40") -> DataFrame:
     totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket_id"), (F.col("o_custkey") % 4).alias("store"), F.round("o_totalprice", 2).alias("total"))
     k = F.col("s_suppkey")
-    offers = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select(k.alias("offer_id"), (k % 4).alias("store"), (1.0 + k % 7).alias("percent"), (50.0 * (k % 6 + 1)).alias("cap"), (1000.0 * (k % 3)).alias("min_check"), F.lit(0.0).alias("cap_used"))
+    offers = table(spark, sf_dir, "supplier").filter(only).select(k.alias("offer_id"), (k % 4).alias("store"), (1.0 + k % 7).alias("percent"), (50.0 * (k % 6 + 1)).alias("cap"), (1000.0 * (k % 3)).alias("min_check"), F.lit(0.0).alias("cap_used"))
     return optimise.best_offer(totals, offers)
 
 

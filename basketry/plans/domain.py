@@ -161,11 +161,12 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_partkey AS product_id, s AS store, CASE WHEN m IS NULL THEN 'not mapped' WHEN price IS NULL THEN 'no fresh price' WHEN NOT stock THEN 'out of stock' END AS note FROM
     (SELECT p_partkey, s, CASE WHEN (p_partkey + s) % 3 > 0 THEN 1 END AS m, CASE WHEN (p_partkey + s) % 3 > 0 AND (p_partkey + s) % 4 > 0 THEN 100.0 END AS price, p_partkey % 5 > 0 AS stock FROM part, (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey < 4))"""
 )
-def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comparison_table(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Every product in four stores: mapped or not, priced or not, in stock or not."""
     k = F.col("product_id")
     products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
-    stores = table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(F.col("s_suppkey").alias("store"))
+    stores, s = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    stores = stores.select((s % 4).alias("store")).distinct() if dealt else stores.filter("s_suppkey < 4").select(s.alias("store"))
     every = market.in_each(products, stores, "store").withColumn("n", k + F.col("store"))
     maps = every.filter("n % 3 > 0").select("product_id", "store", k.alias("sku"), F.lit("pcs").alias("unit"), F.lit(500.0).alias("weight_g"))
     prices = every.filter("n % 3 > 0 and n % 4 > 0").select("store", k.alias("sku"), F.lit(100.0).alias("price"), (k % 5 > 0).alias("in_stock"))

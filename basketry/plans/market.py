@@ -214,10 +214,11 @@ def health_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey % 10 AS s FROM lineitem) k ON k.p = product_id AND k.s = store
     LEFT JOIN (SELECT l_partkey AS p, l_suppkey % 10 AS s, min(l_extendedprice) AS price, bool_or(l_returnflag <> 'R') AS in_stock FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2) pr ON pr.p = product_id AND pr.s = store"""
 )
-def item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_status(spark: SparkSession, sf_dir: str, only: str = "l_orderkey <= 50", dealt: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    items = li.filter("l_orderkey <= 50").select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id")).distinct()
+    items = li.filter(only).select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id")).distinct()
     s = li.withColumns({"product_id": F.col("l_partkey"), "store": F.col("l_suppkey") % 10})
     prices = s.filter("l_linestatus = 'O'").groupBy("product_id", "store").agg(F.min("l_extendedprice").alias("price"), F.bool_or(F.col("l_returnflag") != "R").alias("in_stock"))
-    stores = table(spark, sf_dir, "supplier").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("store"))
+    stores, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    stores = stores.select((k % 10).alias("store")).distinct() if dealt else stores.filter("s_suppkey <= 5").select(k.alias("store"))
     return carts.item_status(items, s, prices, stores)

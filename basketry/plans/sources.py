@@ -84,9 +84,9 @@ def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     w AS (SELECT id, name AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path || '>' || e.name FROM w JOIN e ON e.parent = w.id)
     SELECT id, path FROM w WHERE id NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL)"""
 )
-def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def category_paths(spark: SparkSession, sf_dir: str, only: str = "p_partkey < 150") -> DataFrame:
     k = F.col("p_partkey") + 1
-    e = table(spark, sf_dir, "part").filter("p_partkey < 150").select(k.alias("id"), F.when(k > 3, F.floor(k / 3)).alias("parent"), F.concat(F.lit("c"), k).alias("name"))
+    e = table(spark, sf_dir, "part").filter(only).select(k.alias("id"), F.when(k > 3, F.floor(k / 3)).alias("parent"), F.concat(F.lit("c"), k).alias("name"))
     return pages.category_leaves(e).select("id", F.array_join("path", ">").alias("path"))
 
 

@@ -9,30 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators import graph
-from basketry.plans import baskets, domain, extras, sources
+from basketry.operators import graph, optimise
+from basketry.plans import baskets, domain, extras, market, sources
 from basketry.registry import Query, query, sql_of, table
 
 
-def _open(part: Query, only: str) -> None:
+def _open(part: Query, only: str | None = None, dealt: tuple[str, str] | None = None) -> None:
+    """``dealt``: how the SQL reads a few suppliers as stores, and how it reads the stores that all suppliers are dealt to."""
     sql = sql_of(part.__name__)
-    if sql.count(only) != 1:
-        raise ValueError(f"{part.__name__}: its SQL does not hold {only} once")
+    for a, b in ((only, "true"), dealt or (None, "")):
+        if a and sql.count(a) != 1:
+            raise ValueError(f"{part.__name__}: its SQL does not hold {a} once")
+        sql = sql.replace(a, b) if a else sql
+    open_ = ({"only": "true"} if only else {}) | ({"dealt": True} if dealt else {})
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return part(spark, sf_dir, only="true")
+        return part(spark, sf_dir, **open_)
 
     run.__name__ = f"whole_{part.__name__}"
-    query(sql.replace(only, "true"))(run)
+    query(sql)(run)
 
 
-for _part in (baskets.store_totals, baskets.split_two_stores, domain.line_baselines, domain.shared_discounts, extras.covered_baseline):
+_open(baskets.store_totals, baskets.FIFTH, ("FROM supplier WHERE s_suppkey < 4", "FROM (SELECT DISTINCT s_suppkey % 4 AS s_suppkey FROM supplier)"))
+for _part in (baskets.split_two_stores, domain.line_baselines, domain.shared_discounts, extras.covered_baseline):
     _open(_part, baskets.FIFTH)
 for _part in (sources.receipt_bundles, sources.receipt_texts, sources.pasted_receipts):
     _open(_part, "l_orderkey % 7 = 0")
 _open(sources.device_reports, "l_orderkey % 9 = 0")
 _open(domain.fresh_chains, "event_id % 50 = 0")
 _open(extras.plan_check, "l_orderkey % 3 = 0")
+_open(baskets.best_offer, "s_suppkey <= 40")
+_open(sources.category_paths, "p_partkey < 150")
+_open(market.item_status, "l_orderkey <= 50", ("SELECT s_suppkey AS store FROM supplier WHERE s_suppkey <= 5", "SELECT DISTINCT s_suppkey % 10 AS store FROM supplier"))
+_open(domain.comparison_table, None, ("SELECT s_suppkey AS s FROM supplier WHERE s_suppkey < 4", "SELECT DISTINCT s_suppkey % 4 AS s FROM supplier"))
 
 
 @query()
@@ -43,3 +52,26 @@ def whole_match_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     return graph.components(li.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
+
+
+@query()
+def whole_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every shop does not know of all baskets' items; items and shops meet in slices, so no count of shops is too many.
+
+    No SQL: the pairs of all items and shops are too many for NOT IN. A test holds it against brute force.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    items = li.select(F.col("l_partkey").alias("item")).distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    shops = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shop"), (F.col("s_suppkey") % 16).cast("int").alias("slice"))
+    known = li.select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("shop")).distinct()
+    return items.join(shops, "slice").select("item", "shop").join(known, ["item", "shop"], "left_anti")
+
+
+@query()
+def whole_split_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing lines and least cost of every basket over each of the four stores and each pair of them.
+
+    No SQL: every mask of every pair of every basket is too much for it. A test holds it against brute force.
+    """
+    best = optimise.split_baskets(baskets.basket_lines(spark, sf_dir, "true"), baskets.shops(spark, sf_dir, dealt=True), most_stores=2, keep=1)
+    return best.select("basket_id", "missing", "cost")

@@ -50,3 +50,49 @@ def test_components_of_real_keys(spark, tmp_path):
         up[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in QUERIES["whole_match_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in up}
+
+
+def test_every_item_meets_every_shop(spark, tmp_path):
+    known = [(p, s) for p in range(7) for s in range(40) if (p * s) % 3 == 1]
+    spark.createDataFrame([(p, s, 100 + p) for p, s in known], "l_partkey long, l_suppkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s,) for s in range(45)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [(r.item, r.shop) for r in QUERIES["whole_coverage"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({(p, s) for p, _ in known for s in range(45)} - set(known))
+
+
+def test_status_of_all_lines_in_all_stores(spark):
+    li = registry.table(spark, oracle.SF, "lineitem").select("l_orderkey", "l_partkey").distinct().count()
+    assert QUERIES["whole_item_status"](spark, oracle.SF).count() == 10 * li
+
+
+def test_leaves_of_the_whole_tree(spark):
+    n = registry.table(spark, oracle.SF, "part").count()
+    ids = set(range(1, n + 1))
+    assert {r.id for r in QUERIES["whole_category_paths"](spark, oracle.SF).collect()} == ids - {k // 3 for k in ids}
+
+
+def test_all_pairs_of_stores(spark, tmp_path):
+    from itertools import product
+
+    rows = [(o, 10 * o + i, 4 * (i % 2) + s, float(7000 + (o * 7919 + i * 104729 + s * 31337) % 60000)) for o in range(12) for i in range(5) for s in range(4) if (o + i * s) % 4]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s,) for s in range(8)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+
+    def cost(store, subtotal):
+        off = round(min(subtotal * 0.05, 10000)) if store == 2 and subtotal >= 50000 else 0
+        return subtotal + (0 if subtotal >= 60000 + 10000 * store else 9000 + 1000 * store) + (1e9 if subtotal < 10000 * store else 0) - off + 500 * store
+
+    want = {}
+    for o in {r[0] for r in rows}:
+        price: dict = {}
+        for _, p, s, v in (r for r in rows if r[0] == o):
+            price.setdefault(p, {})[s % 4] = v
+        for pair in [(a, b) for a in range(4) for b in range(a, 4)]:
+            lines = [{s: v for s, v in at.items() if s in pair} for at in price.values()]
+            have = [x for x in lines if x]
+            for pick in product(*have) if have else []:
+                sub = {s: sum(x[k] for x, k in zip(have, pick, strict=True) if k == s) for s in set(pick)}
+                row = (len(lines) - len(have), round(sum(cost(s, v) for s, v in sub.items())))
+                want[o] = min(want.get(o, row), row)
+    got = {r.basket_id: (r.missing, r.cost) for r in QUERIES["whole_split_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[o] == pytest.approx(want[o], abs=2) for o in want)
