@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -14,8 +15,11 @@ from basketry.functions.prices import delivery, offer_discount
 from basketry.operators.market import with_sanity
 from basketry.session import in_buckets
 
-#: Lines of one basket that every split is tried for; larger baskets are searched from several starts.
-EXACT_LINES = 18
+#: Lines of one basket with a choice of store that every split is tried for, and splits of three or more stores, at most;
+#: beyond that a basket is searched from several starts.
+EXACT_LINES, EXACT_SPLITS = 22, 4_000_000
+#: Splits that are held in memory at once.
+BLOCK = 1 << 16
 BELOW_MINIMUM = 1e9
 SHOP_FIELDS = ["fee", "free_from", "min_order", "penalty", "percent", "cap", "min_check", "cap_used"]
 
@@ -66,20 +70,26 @@ def _assign(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[flo
         if len(options[i]) == 1:
             base[at[i]] += pay[i, at[i]]
     fixed = sum(choice[i, at[i]] - pay[i, at[i]] for i in range(n) if len(options[i]) == 1)
-    if m == 2 and len(free) <= EXACT_LINES:
-        masks = np.arange(1 << len(free))
-        sums = [np.full(len(masks), b) for b in base]
-        extra = np.zeros(len(masks))
-        for k, i in enumerate(free):
-            one = (masks >> k & 1).astype(bool)
-            for j in (0, 1):
-                sums[j] += np.where(one == bool(j), pay[i, j], 0)
-                extra += np.where(one == bool(j), choice[i, j] - pay[i, j], 0)
-        cost = _cost(sums[0], shops[0]) + _cost(sums[1], shops[1]) + extra
-        best = int(np.argmin(cost))
-        for k, i in enumerate(free):
-            at[i] = best >> k & 1
-        return float(cost[best] + fixed), at
+    if len(free) <= EXACT_LINES and (m == 2 or m ** len(free) <= EXACT_SPLITS):
+        best, code, n_splits = np.inf, 0, math.prod(len(options[i]) for i in free)
+        for lo in range(0, n_splits, BLOCK):
+            codes = np.arange(lo, min(lo + BLOCK, n_splits))
+            sums, extra = np.repeat(base[:, None], len(codes), 1), np.zeros(len(codes))
+            rest = codes
+            for i in free:
+                rest, digit = np.divmod(rest, len(options[i]))
+                for d, j in enumerate(options[i]):
+                    here = digit == d
+                    sums[j] += np.where(here, pay[i, j], 0)
+                    extra += np.where(here, choice[i, j] - pay[i, j], 0)
+            cost = sum(_cost(sums[j], shops[j]) for j in range(m)) + extra
+            k = int(np.argmin(cost))
+            if cost[k] < best:
+                best, code = cost[k], lo + k
+        for i in free:
+            code, d = divmod(code, len(options[i]))
+            at[i] = options[i][d]
+        return float(best + fixed), at
 
     def total(a: np.ndarray) -> float:
         sub = np.bincount(a, pay[np.arange(n), a], m)
@@ -106,8 +116,8 @@ def _assign(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[flo
 def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, keep: int = 3) -> DataFrame:
     """The best variants of every basket: rank, stores, missing lines, cost (kopecks, with penalties), lines by store.
 
-    ``lines``: basket_id, product_id, store, value, adjust, in_stock; ``stores``: store and SHOP_FIELDS. Two stores are
-    searched in full up to EXACT_LINES lines that both have. Variants that use the same stores count once.
+    ``lines``: basket_id, product_id, store, value, adjust, in_stock; ``stores``: store and SHOP_FIELDS. Stores are
+    searched in full up to EXACT_LINES lines with a choice, three or more also up to EXACT_SPLITS splits. Variants that use the same stores count once.
     """
     schema = "basket_id long, rank int, stores array<string>, missing int, cost long, assigned array<struct<product_id:long,store:string>>"
 
