@@ -4,9 +4,12 @@ Terms are the lower-cased words of a text and their beginnings, hashed into buck
 score is the logistic of a bias, a weight for each term present and the inner products of
 the factors of every two terms present, so that two terms can mean more together than each
 alone. Labels are learnt from a bounded sample of labelled rows (``SAMPLE``, by hash of the
-identifier); buckets that speak for the label are chosen by counts over that sample, made
-on the cluster, and only those (``ACTIVE`` at most) get weights. The fit itself runs over the
-sample's few active buckets; scoring runs over all texts, whole.
+identifier); buckets get weights by counts over that sample, made on the cluster. Telling
+buckets (``ACTIVE`` at most) speak for the label by themselves. Partners (``PARTNERS`` at most)
+need not: their toxic count only lies apart among the rows with a telling bucket, or among
+those without any, where a toxic row is one that no telling bucket explains. Both get factors,
+so two terms that are clean apart are learnt where they are toxic together. The fit itself runs
+over the sample's active buckets; scoring runs over all texts, whole.
 
 Defined cases: a null or empty text scores as a text without terms; labels that are null are
 left out and of contradicting labels of a document the larger counts; without labels of both
@@ -31,11 +34,13 @@ from basketry.llm.workspace import map_rows, small_batches, written
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Buckets of hashed terms, and those of them with weights, at most.
-BUCKETS, ACTIVE = 2**20, 8192
+BUCKETS, ACTIVE, PARTNERS = 2**20, 8192, 2048
 #: Rows of the sample that a bucket occurs in, at least.
 LEAST = 3
 #: Standard deviations that a bucket's toxic count lies above its expectation, at least.
 APART = 3.5
+#: The same for a partner, either way, and its rows on that side, at least: a partner may be mostly clean, so chance has to be ruled out.
+PARTNER_APART, PARTNER_LEAST = 5.0, 8
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5, 6, 7)
 #: A term counts in full from one occurrence in so many words; in a long text a stray word counts little.
@@ -78,13 +83,15 @@ class FactorizationMachine:
         q = np.bincount(rows, (self.v[cols] ** 2).sum(1) * x**2, n)
         return self.bias + linear + ((s**2).sum(1) - q) / 2, s
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.03, decay: float = 2e-6, seed: int = 7) -> None:
-        """Starts from each term's smoothed log odds alone; what descent adds is how terms weigh together."""
+    def fit(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.03, decay: float = 2e-6, seed: int = 7, telling: np.ndarray | None = None) -> None:
+        """Starts from the smoothed log odds of each ``telling`` term (all by default) and nothing else; what descent adds is how terms weigh together."""
         n, m = len(y), len(self.w)
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
         self.bias = float(np.log(share / (1 - share)))
         with_term, toxic = np.bincount(cols, minlength=m), np.bincount(cols, y[rows], m)
         self.w = np.log((toxic + share) / (with_term - toxic + 1 - share)) - self.bias
+        if telling is not None:
+            self.w[~telling] = 0
         self.v = np.random.default_rng(seed).normal(0, 0.02, self.v.shape)
         if not 0 < y.sum() < n or not m:
             self.v[:] = 0
@@ -156,19 +163,36 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     apart = (F.col("tox") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share))
     telling = found.filter((F.col("df") >= LEAST) & (2 * F.col("tox") > F.col("df"))).withColumn("apart", apart).filter(F.col("apart") >= APART)
     best = telling.orderBy(F.desc("apart"), "bucket").limit(ACTIVE)
-    active = written(best.select("bucket"), "toxicity-active")
-    buckets = np.sort(active.toPandas()["bucket"].to_numpy(np.int64))
-    few = rows.select("doc_id", "y", F.explode_outer(F.arrays_zip(F.col("terms").alias("bucket"), F.col("presence").alias("x"))).alias("t")).select("doc_id", "y", "t.bucket", "t.x").join(F.broadcast(active.withColumn("on", F.lit(True))), "bucket", "left")
+    first = written(best.select("bucket", F.lit(True).alias("telling")), "toxicity-telling")
+    active = written(first.unionByName(_partners(rows, first)), "toxicity-active")
+    chosen_buckets = active.toPandas().sort_values("bucket")
+    buckets = chosen_buckets["bucket"].to_numpy(np.int64)
+    few = rows.select("doc_id", "y", F.explode_outer(F.arrays_zip(F.col("terms").alias("bucket"), F.col("presence").alias("x"))).alias("t")).select("doc_id", "y", "t.bucket", "t.x").join(F.broadcast(active.select("bucket", F.lit(True).alias("on"))), "bucket", "left")
     mark = F.when(F.col("on"), F.struct("bucket", "x"))
-    few = few.groupBy("doc_id").agg(F.first("y").alias("y"), F.array_sort(F.collect_set(mark)).alias("b")).orderBy("doc_id").toPandas()
+    few = few.groupBy("doc_id").agg(F.first("y").alias("y"), F.array_sort(F.collect_set(mark)).alias("b")).orderBy("doc_id").select("y", F.col("b.bucket").alias("bucket"), F.col("b.x").alias("x")).toArrow()
     model = FactorizationMachine(buckets)
-    at = np.repeat(np.arange(len(few)), few["b"].map(len))
-    marks = [m for b in few["b"] for m in b]
-    cols = np.searchsorted(buckets, np.array([m["bucket"] for m in marks], np.int64))
-    model.fit(at, cols, np.array([m["x"] for m in marks], float), few["y"].to_numpy(float))
+    flat = {c: few[c].combine_chunks() for c in ("bucket", "x")}  # columns of numbers: a mark as an object of its own would take far more memory
+    at = np.repeat(np.arange(few.num_rows), flat["bucket"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    cols = np.searchsorted(buckets, flat["bucket"].flatten().to_numpy(zero_copy_only=False))
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in (flat["x"].flatten(), few["y"]))
+    del few, flat
+    model.fit(at, cols, x, y, telling=chosen_buckets["telling"].to_numpy(bool))
     return model
 
 
+def _partners(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Buckets whose toxic count lies apart, either way, among the rows that hold a bucket of ``first`` or among the others."""
+    marked = rows.select("doc_id", F.explode("terms").alias("bucket")).join(F.broadcast(first), "bucket", "left_semi").select("doc_id", F.lit(True).alias("marked")).distinct()
+    rows = rows.select("doc_id", "y", "terms").join(F.broadcast(marked), "doc_id", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    shares = rows.groupBy("marked").agg(F.avg("y").alias("share"))
+    found = rows.select("marked", "y", F.explode("terms").alias("bucket")).groupBy("marked", "bucket").agg(F.count("y").alias("df"), F.sum("y").alias("tox"))
+    found = found.filter(F.greatest("tox", F.col("df") - F.col("tox")) >= PARTNER_LEAST).join(F.broadcast(shares), "marked").filter("share > 0 and share < 1")
+    found = found.withColumn("apart", (F.col("tox") - F.col("df") * F.col("share")) / F.sqrt(F.col("df") * F.col("share") * (1 - F.col("share"))))
+    side = F.when(F.col("apart") > 0, F.col("tox")).otherwise(F.col("df") - F.col("tox"))
+    far = found.filter((F.abs("apart") >= PARTNER_APART) & (side >= PARTNER_LEAST)).join(F.broadcast(first), "bucket", "left_anti")
+    return far.groupBy("bucket").agg(F.max(F.abs("apart")).alias("apart")).orderBy(F.desc("apart"), "bucket").limit(PARTNERS).select("bucket", F.lit(False).alias("telling"))
+
+
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
     """doc_id and score of every document."""
     model.memo = {}
