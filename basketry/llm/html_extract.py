@@ -7,6 +7,8 @@ tag, role, class or id). Short blocks that these rules cannot tell are ambiguous
 second pass they inherit the label of the nearest decided block, one in the same surroundings
 first, and a heading looks ahead before it looks back. The whole page is read, once, in the
 order of its tags; broken or unclosed markup ends at the next tag or at the end of the page.
+A head may stay open: what it holds beside scripts, styles and the title is no text or, as in
+browsers, the body's. On a page of a language without known stop words length and links decide.
 
 Defined cases: a null or empty page has an empty text; a page without a decided block keeps
 its ambiguous ones; repeated rows give equal rows; other columns are kept by the caller.
@@ -40,7 +42,9 @@ BLOCK_TAGS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th
     thead tr ul""".split()
 )
-RAW_TAGS = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|head|title|button"
+RAW_TAGS = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
+#: The same, but their end tag is not waited for beyond the next one of their kind: without one they end at the next block tag.
+OPEN_TAGS = "title|button"
 POOR_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
 POOR_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 POOR_NAMES = frozenset(
@@ -57,6 +61,7 @@ MANY_LINKS = 0.5
 
 _token = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<open>{OPEN_TAGS})\b[^>]*>(?:(?:(?!<(?P=open)\b).)*?</(?P=open)\s*>|.*?(?:(?=</?(?:body|{'|'.join(sorted(BLOCK_TAGS))})\b)|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -134,8 +139,8 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block, article: bool) -> bool | None:
-    """Main text, not, or None where the block's own make-up does not tell."""
+def first_pass(b: Block, article: bool, known: bool = True) -> bool | None:
+    """Main text, not, or None where the block's own make-up does not tell; stop words tell nothing if the page's language is not ``known``."""
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
     share = b.link_chars / max(1, len(b.text))
@@ -152,8 +157,14 @@ def first_pass(b: Block, article: bool) -> bool | None:
     if stops >= MANY_STOP_WORDS:
         return True
     if len(b.text) >= LONG and share < 0.2:
-        return True if stops >= FEW_STOP_WORDS else None
-    return None if stops >= FEW_STOP_WORDS else False
+        return True if not known or stops >= FEW_STOP_WORDS else None
+    return None if not known or stops >= FEW_STOP_WORDS else False
+
+
+def knows(found: list[Block]) -> bool:
+    """Whether the page's running text holds more than next to no known stop words."""
+    words = [w.strip(".,;:!?\"'()") for b in found if not b.poor and len(b.text) >= SHORT and b.link_chars <= MANY_LINKS * len(b.text) for w in b.text.lower().split()]
+    return not words or sum(w in STOP_WORDS for w in words) >= FEW_STOP_WORDS * len(words)
 
 
 def second_pass(found: list[Block]) -> None:
@@ -187,8 +198,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     kept = sum(len(b.text) for b in found if b.good and not b.poor)
     article = kept > 0 and 4 * kept >= sum(len(b.text) for b in found if not b.poor)
+    known = knows(found)
     for b in found:
-        b.label = first_pass(b, article)
+        b.label = first_pass(b, article, known)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label)
 
