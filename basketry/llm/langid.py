@@ -1,16 +1,18 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For each language a model of character n-grams (``ORDER``) is learnt from a bounded sample of
-its documents (``SAMPLE`` expected rows, by hash of the identifier); n-grams are counted on
-the cluster. All languages share sorted arrays of 64-bit n-gram hashes, one for every order,
+its documents (``SAMPLE`` expected rows, by all 64 bits of a hash; fewer a language where
+there are so many that they would come to more than ``SAMPLE_ALL``); n-grams are counted on the cluster. All languages share sorted arrays of 64-bit n-gram hashes, one for every order,
 with a column of log probabilities and one of back-off weights for each language: whatever
 interpolation gives an n-gram that any language has seen is stored, the rest backs off to the
 next order. A text goes to the language of the lowest cross-entropy a character. A text whose
-cross-entropy is above what 99.5 % of the sample's own texts reach is marked ``rejected``.
+cross-entropy is above what 99.5 % of that language's held-out texts reach is marked
+``rejected``: one sampled row in ``CALIBRATION`` teaches no n-grams and sets that limit.
 
 Defined cases: a text that is null or without letters is ``und`` with score 0; rows without
 language or text are not learnt from; ties go to the first language by name; without any
-sample every text is ``und``; repeated rows give equal rows; other columns never enter.
+sample every text is ``und``; of equal sampled rows one is learnt from; repeated rows give
+equal rows; a very long text is read whole; other columns never enter.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from basketry.llm.workspace import map_rows, small_batches, written
 
 ORDER = 4
-#: Rows that a language's model is learnt from (expected: rows are taken by hash).
-SAMPLE = 600
+#: Rows that a language's model is learnt from (expected: rows are taken by hash), and those of all languages together.
+SAMPLE, SAMPLE_ALL = 600, 60_000
+#: One sampled row in so many sets the limits of rejection.
+CALIBRATION = 5
 #: Languages whose row counts are broadcast.
 MOST_LANGUAGES = 10_000
 DISCOUNT = 0.75
@@ -86,7 +90,7 @@ class KneserNey:
             p = np.maximum(count - DISCOUNT, 0) / np.maximum(total[at_h], 1e-9) + back[at_h] * lower
             self.grams[order], self.log_p[order] = g, np.log(np.maximum(p, 1e-12))
             self.heads[order], self.back[order] = h, np.log(back)
-        self.limit = np.inf
+        self.limits = np.full(k, np.inf)
 
     def lookup(self, order: int, grams: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams that the arrays of this order hold (all tails do)."""
@@ -159,25 +163,32 @@ def count_grams(sample: DataFrame) -> DataFrame:
     return found.groupBy("lang", "n", "gram").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.sum("hits").alias("hits"))
 
 
+def sampled(known: DataFrame, counts: DataFrame, sample: int) -> DataFrame:
+    """Of the rows (doc_id, text, lang) about ``sample`` a language, by their place among all 64-bit hashes; equal rows once."""
+    place = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
+    return known.join(counts, "lang").filter(place * F.col("count") < sample).select("doc_id", "text", "lang").distinct()
+
+
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> KneserNey:
     """The model of documents (doc_id, text, lang) where ``learn`` holds."""
     known = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = written(known.groupBy("lang").count(), "langid-counts")
-    if counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+    n = counts.count()
+    if n <= MOST_LANGUAGES:
         counts = F.broadcast(counts)  # texts stay where they are; a language may hold most of them
-    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    rows = known.join(counts, "lang").filter(place * F.col("count") < sample).select("doc_id", "text", "lang")
-    rows = written(rows, "langid-sample")
-    grams = count_grams(rows).toPandas()  # of the bounded sample
+    rows = written(sampled(known, counts, max(1, min(sample, SAMPLE_ALL // max(1, n)))), "langid-sample")
+    tests = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(CALIBRATION)) == 0
+    grams = count_grams(rows.filter(~tests)).toPandas()  # of the bounded sample
     for c in ("gram", "head", "tail"):
         grams[c] = grams[c].to_numpy(np.int64).view(np.uint64)
     grams = grams.sort_values(["lang", "n", "gram"], ignore_index=True)
     model = KneserNey(grams, sorted(grams["lang"].unique())) if len(grams) else KneserNey.__new__(KneserNey)
     if not len(grams):
-        model.languages, model.limit = [], np.inf
+        model.languages, model.limits = [], np.zeros(0)
         return model
-    own = identify(rows, model).filter("lang_pred <> 'und'").agg(F.percentile("entropy", 0.995)).first()[0]
-    model.limit = np.inf if own is None else 1.1 * own
+    reach = identify(rows.filter(tests), model).filter("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile("entropy", 0.995).alias("limit"))
+    for r in reach.collect():  # a row a language
+        model.limits[model.languages.index(r["lang_pred"])] = r["limit"]
     return model
 
 
@@ -186,7 +197,8 @@ def identify(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame([model.classify(t) for t in b["text"]], columns=["lang_pred", "score", "entropy"])
-        return out.assign(rejected=(out["entropy"] > model.limit) | (out["lang_pred"] == "und"))
+        limit = out["lang_pred"].map(dict(zip(model.languages, model.limits, strict=True))).fillna(-1.0)  # ``und`` is always rejected
+        return out.assign(rejected=out["entropy"] > limit)
 
     return map_rows(docs, "doc_id", ["text"], lambda: run, "lang_pred string, score double, entropy double, rejected boolean")
 

@@ -23,11 +23,13 @@ _local_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary folder is made.
+    Only where the session names none and runs in local mode (tests) a temporary folder is made.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dir:
         _local_dir[app] = tempfile.mkdtemp(prefix="spark-scratch-")
@@ -50,6 +52,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_keys(text: str = "text") -> list[Column]:
+    """Two hashes of a text that stand for it beside its ``doc_id``, which may be null or repeated."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
