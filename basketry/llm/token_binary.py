@@ -3,10 +3,14 @@
 Documents are range-partitioned by ``doc_id``; each task tokenises its own run, packs the
 ids of consecutive documents into sequences of one length and streams them, batch by batch,
 into a shard: an Arrow IPC file with two fixed-size-list columns, ``tokens`` (the smallest
-unsigned type that holds the vocabulary) and ``mask`` (false in the padding of the last
-sequence), beside a small file that tells where each document starts. A fixed length makes
+unsigned type that holds the vocabulary) and ``mask`` (a byte a place, 0 in the padding of the
+last sequence), beside a small file that tells where each document starts. A fixed length makes
 a position's batch, row and offset plain arithmetic, so :class:`Shard` reads any range
-without decoding what lies before it, and without copying where the file is mapped.
+without decoding what lies before it, and ids and mask without copying where the file is mapped.
+
+A vocabulary's added tokens (``<|endoftext|>``) become their ids where a text spells them out,
+as the tokenizers library does by itself; ``specials_as_text`` leaves them ordinary text, as its
+``encode_special_tokens`` does.
 
 A task writes under a name of its own and only the manifest of finished tasks names files,
 so a retried or speculative task never mixes into the result.
@@ -49,13 +53,16 @@ class PieceEncoder:
     """Ids of whole texts from the tokenizers library, as unsigned 32-bit bytes.
 
     A byte-level BPE vocabulary encodes each match of its splitting pattern by itself. So a text is split by the pattern,
-    the library's model encodes each distinct match, and its ids are repeated wherever it occurs.
+    the library's model encodes each distinct match, and its ids are repeated wherever it occurs. A text that spells
+    out an added token is encoded whole by the library.
     """
 
-    def __init__(self, tokenizer_file: str, pattern: str):
+    def __init__(self, tokenizer_file: str, pattern: str, specials_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.whole = tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer.encode_special_tokens = specials_as_text
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (specials_as_text and t.special)]
         self.size, self.model = tokenizer.get_vocab_size(), tokenizer.model
         self.letters = byte_letters()
         self.space = self.letters[0x20]
@@ -72,6 +79,8 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         memo, out = self.memo, []
         for p in self.split(text):
             ids = memo.get(p)
@@ -84,9 +93,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def piece_encoder(tokenizer_file: str, pattern: str) -> PieceEncoder:
+def piece_encoder(tokenizer_file: str, pattern: str, specials_as_text: bool = False) -> PieceEncoder:
     """One for a Python worker, however many tasks it runs."""
-    return PieceEncoder(tokenizer_file, pattern)
+    return PieceEncoder(tokenizer_file, pattern, specials_as_text)
 
 
 def id_type(vocabulary: int) -> pa.DataType:
@@ -109,7 +118,7 @@ class ShardWriter:
 
     def __init__(self, path: str, length: int, dtype: pa.DataType, rows: int = 64):
         self.length, self.rows, self.dtype = length, rows, dtype
-        self.schema = pa.schema([("tokens", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(dtype, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.file = _create(path)
         self.out = pa.ipc.new_file(self.file, self.schema)
         self.held: list[np.ndarray] = []
@@ -127,7 +136,7 @@ class ShardWriter:
             self.held, self.n_held = [flat], len(flat)
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = pa.array(np.arange(len(flat)) < n)
+        mask = pa.array((np.arange(len(flat)) < n).astype(np.uint8))
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], schema=self.schema))
 
     def close(self) -> None:
@@ -152,9 +161,9 @@ class Shard:
         return self.batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``."""
+        """Ids and mask of sequence ``i``, views of the file."""
         b, lo = self._load(i // self.rows), (i % self.rows) * self.length
-        return tuple(b.column(c).flatten().slice(lo, self.length).to_numpy(zero_copy_only=c == 0) for c in (0, 1))
+        return tuple(b.column(c).flatten().slice(lo, self.length).to_numpy() for c in (0, 1))
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         """``n`` ids from position ``first``."""
@@ -167,7 +176,7 @@ class Shard:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, length: int = 1024, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, length: int = 1024, shards: int | None = None, specials_as_text: bool = False) -> DataFrame:
     """Write the shards; the manifest: shard (ascending with doc_id), tokens_path, docs_path, n_docs, n_tokens, start (ids before the shard)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -178,7 +187,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out, first = piece_encoder(tokenizer_file, pattern), None, 0
+        encoder, out, first = piece_encoder(tokenizer_file, pattern, specials_as_text), None, 0
         shard, index = TaskContext.get().partitionId(), []
         name = f"{base}/{shard:06d}-{uuid.uuid4().hex}"
         dtype = id_type(max(encoder.size, end_id + 1))

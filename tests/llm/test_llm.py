@@ -83,12 +83,14 @@ def test_drop_copies_keeps_columns_and_one_row(docs):
 # 2 ------------------------------------------------------------------------------------------------
 
 
-def test_token_files(docs):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_token_files(docs, empty, as_text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    manifest = token_binary.write_shards(docs, TOKENIZER, PATTERN, end_id=2, length=16, shards=4).cache()
+    if as_text:
+        tokenizer.encode_special_tokens = True
+    manifest = token_binary.write_shards(docs, TOKENIZER, PATTERN, end_id=2, length=16, shards=4, specials_as_text=as_text).cache()
     got = sorted(tuple(r) for r in token_binary.read_documents(manifest).filter("doc_id is not null").collect())
     want, at = [], len(tokenizer.encode(corpus()[5][1], add_special_tokens=False).ids) + 1  # the null id stands first
     for i, t in sorted(((i, t or "") for i, t, *_ in corpus() if i is not None)):
@@ -100,8 +102,19 @@ def test_token_files(docs):
         shard = token_binary.Shard(m.tokens_path)
         whole = shard.tokens(0, m.n_tokens)
         ids, mask = shard.sequence((m.n_tokens - 1) // 16)
-        assert mask.sum() == (m.n_tokens - 1) % 16 + 1 and list(ids[mask]) == list(whole[-int(mask.sum()) :])
+        assert mask.sum() == (m.n_tokens - 1) % 16 + 1 and list(ids[mask == 1]) == list(whole[-int(mask.sum()) :])
+        assert ids.base is not None and mask.base is not None  # views
         assert list(shard.tokens(5, 7)) == list(whole[5:12])
+    assert token_binary.read_documents(token_binary.write_shards(empty, TOKENIZER, PATTERN, end_id=2)).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> 's", "<|endoftext|", "  <|endoftext|>  y"):
+        ids = np.frombuffer(token_binary.piece_encoder(TOKENIZER, PATTERN).encode(text), np.uint32)
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
