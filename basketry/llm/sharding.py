@@ -6,14 +6,17 @@ dimensions at once. Documents are ranked along the curve and cut into runs of eq
 counts, which leaves each shard a narrow range in every dimension for file pruning.
 
 The global rank needs no single-task sort. The grid has a fixed number of cells; cells are
-counted, each is cut into sub-cells of bounded size by a hash of ``doc_id`` (so a source
-with a third of all rows is many sub-cells), and sub-cell counts are summed along the curve.
-Both tables are bounded by the grid and the number of sub-cells and are broadcast; ranks
-inside a sub-cell come from one window over identifiers and sizes, not texts.
-
-Defined cases: null lang, source, n_chars or doc_id quantise to cell or hash 0; a null
-text has no bytes; rows that repeat a doc_id get slots of their own; with fewer rows than
-shards the last shards stay empty; other columns are kept by :func:`write_shards`.
+counted, each is cut into sub-cells of bounded size by a hash of ``doc_id``, size and checksum
+of the text (so a source or a null id with a third of all rows is many sub-cells), and sub-cell
+counts are summed along the curve. Both tables are bounded by the grid and the number of
+sub-cells and are broadcast; ranks inside a sub-cell come from one window over identifiers and
+sizes, not texts. Texts are read once; counts and ranks come from a slim table of the rows.
+
+Defined cases: null lang, source or n_chars quantise to 0; a null text has no bytes; rows that
+repeat a doc_id, or have none, get slots of their own; with fewer rows than shards the last
+shards stay empty; an empty table gives an empty result. :func:`write_shards` keeps every row
+and all columns; its own column is called ``shard``, with underscores behind where the table
+has one of that name.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.llm.workspace import new_path, written
+from basketry.llm.workspace import free_name, new_path, written
 
 #: Bits a dimension: the grid has 2 ** (3 * BITS) cells.
 BITS = 4
 #: Sub-cells that a table is cut into besides the grid's own cells, and the rows that one of them has at least.
 SUBCELLS, SUBCELL_ROWS = 4096, 256
+#: Columns of a row's place in the grid.
+AXES = ["_lang", "_source", "_length"]
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -74,36 +79,46 @@ def grid_axes(bits: int = BITS) -> list[Column]:
     return [*by_hash, length.cast("int")]
 
 
-def assign(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, shard and slot of every row; shard row counts are at most one apart."""
-    axes = ["_lang", "_source", "_length"]
-    rows = docs.select("doc_id", "text", *[a.alias(n) for n, a in zip(axes, grid_axes(bits), strict=True)])
-    cells = rows.groupBy(*axes).count().withColumn("hilbert", hilbert_index([F.col(a) for a in axes], bits))
+def _slim(docs: DataFrame, bits: int, *more: Column) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    axes = [a.alias(n) for n, a in zip(AXES, grid_axes(bits), strict=True)]
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *axes, *more)
+    return rows.withColumn("hash", F.xxhash64("doc_id", "size", "text_crc32"))
+
+
+def _placed(rows: DataFrame, shards: int, bits: int) -> DataFrame:
+    """The rows of :func:`_slim` with hilbert, shard and slot."""
+    cells = rows.groupBy(*AXES).count().withColumn("hilbert", hilbert_index([F.col(a) for a in AXES], bits))
     total = F.sum("count").over(Window.partitionBy())
     size = F.greatest(F.lit(SUBCELL_ROWS), F.ceil(total / SUBCELLS))
-    cells = written(cells.select(*axes, "hilbert", F.ceil(F.col("count") / size).cast("int").alias("cuts")), "hilbert-cells")
-    sub = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.col("cuts").cast("long")).cast("int")
-    placed = rows.join(F.broadcast(cells), axes).withColumn("sub", sub)
+    cells = written(cells.select(*AXES, "hilbert", F.ceil(F.col("count") / size).cast("int").alias("cuts")), "hilbert-cells")
+    placed = rows.join(F.broadcast(cells), AXES).withColumn("sub", F.pmod("hash", F.col("cuts").cast("long")).cast("int"))
     counts = placed.groupBy("hilbert", "sub").count()
     along = Window.orderBy("hilbert", "sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("hilbert", "sub", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy()).alias("total"))
     counts = written(counts, "hilbert-counts")
-    text = F.coalesce("text", F.lit(""))
-    slim = placed.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "hilbert", "sub")
     inside = Window.partitionBy("hilbert", "sub").orderBy("doc_id", "text_crc32", "size")
-    slim = slim.withColumn("row", F.row_number().over(inside)).join(F.broadcast(counts), ["hilbert", "sub"])
+    ranked = placed.withColumn("row", F.row_number().over(inside)).join(F.broadcast(counts), ["hilbert", "sub"])
     rank, low = F.col("before") + F.col("row") - 1, F.floor(F.col("total") / shards)
     more = F.col("total") % shards  # the first shards that hold one row more
     early = F.col("rank") < more * (low + 1)
     late = F.col("rank") - more * (low + 1)
     shard = F.when(early, F.floor(F.col("rank") / (low + 1))).otherwise(more + F.floor(F.try_divide(late, low)))
     slot = F.when(early, F.col("rank") % (low + 1)).otherwise(F.try_mod(late, low))
-    return slim.withColumn("rank", rank).select("doc_id", "size", "text_crc32", "hilbert", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return ranked.withColumn("rank", rank).withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
+
+
+def assign(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, shard and slot of every row; shard row counts are at most one apart."""
+    return _placed(written(_slim(docs, bits), "hilbert-rows"), shards, bits).select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, shards: int = 40, path: str | None = None) -> str:
-    """Write the documents (whose ids are unique) by shard, sorted along the curve, with all their columns; the path."""
+def write_shards(docs: DataFrame, shards: int = 40, path: str | None = None, bits: int = BITS) -> str:
+    """Write every row by shard, sorted along the curve, with all its columns; the path. Rows travel whole, beside their place."""
     path = path or new_path(docs.sparkSession, "hilbert-shards")
-    placed = assign(docs, shards).select("doc_id", "hilbert", "shard", "slot")
-    docs.drop("hilbert", "shard", "slot").join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    name = free_name(docs, "shard")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    placed = _placed(_slim(docs, bits, whole), shards, bits).select(F.col("shard").alias(name), "slot", "whole")
+    dealt = placed.repartitionByRange(shards, name, "slot").sortWithinPartitions(name, "slot")
+    dealt.select(name, "whole.*").write.partitionBy(name).parquet(path)
     return path
