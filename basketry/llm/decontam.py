@@ -13,8 +13,9 @@ after counting, and all other joins are left to the optimiser's own size checks.
 
 Defined cases: null or wordless texts have no words and are never contaminated; an item
 shorter than a window is one window; equal windows of several items count for each of them;
-rows that repeat a document (same id and text) give one result row; empty tables give an empty
-result or clean documents.
+rows that repeat a document (same id and text) give one result row; rows of one ``doc_id``, or
+none, with different texts are documents of their own; empty tables give an empty result or
+clean documents.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import ascii_lower, free_name, written
+from basketry.llm.workspace import ascii_lower, free_name, text_keys, written
 
 #: What separates words, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,10 +57,10 @@ def prefixes(cut: DataFrame, docs: DataFrame, most_words: int = MOST_WORDS) -> D
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings) for every document."""
+    """doc_id, key (that of its text), n_words, n_hit, items (sorted strings) for every document."""
     wanted = written(prefixes(windows(benchmark, width), docs, most_words), "decontam-windows")
     rare = written(wanted.select("word").distinct(), "decontam-rare")
-    text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words().alias("w"))
+    text = docs.select("doc_id", F.array(*text_keys()).alias("key"), words().alias("w"))
     text = text.withColumn("n_words", F.size("w"))
     if rare.limit(most_words + 1).count() <= most_words:
         known = [r["word"] for r in rare.toLocalIterator()]
@@ -79,7 +80,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_words: int
     hit = F.when(fits & same, F.struct("start", "n", F.col("item_id").cast("string").alias("item")))
     got = pairs.groupBy("doc_id", "key", "n_words").agg(F.collect_set(hit).alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))))
-    return got.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"))
+    return got.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"))
 
 
 def contaminated(share: int = 20) -> Column:
@@ -88,7 +89,9 @@ def contaminated(share: int = 20) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """The clean documents, with all their columns; ids have to be unique."""
-    name = free_name(docs, "_gone")
-    gone = written(find(docs, benchmark, width).filter(contaminated()).select(F.col("doc_id").alias(name)), "decontam-gone")
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    """The clean documents, with all their columns; a row goes by its id and its text together."""
+    gone = written(find(docs, benchmark, width).filter(contaminated()).select("doc_id", "key"), "decontam-gone").alias("g")
+    key = free_name(docs, "_key")
+    d = docs.withColumn(key, F.array(*text_keys())).alias("d")
+    left = d.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key}") == F.col("g.key")), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

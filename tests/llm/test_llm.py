@@ -154,10 +154,19 @@ def test_hilbert_curve_is_one_walk(spark):
     assert (np.abs(np.diff(xyz, axis=0)).sum(1) == 1).all()
 
 
-def test_written_shards_read_back(docs, spark):
-    once = docs.dropDuplicates(["doc_id"]).filter("doc_id is not null")
-    back = spark.read.parquet(sharding.write_shards(once, 5))
-    assert back.count() == once.count() and back.select("shard").distinct().count() == 5
+def test_written_shards_read_back(docs, spark, empty):
+    """Every row, null and repeated ids included, with every column, those of the operator's own names too."""
+    back = spark.read.parquet(sharding.write_shards(docs, 5))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {r.shard_: r["count"] for r in back.groupBy("shard_").count().collect()} == {k: len(corpus()) // 5 + (k < len(corpus()) % 5) for k in range(5)}
+    assert spark.read.schema(empty.schema).parquet(sharding.write_shards(empty, 5)).count() == 0
+
+
+def test_rows_without_an_id_are_many_sub_cells(spark):
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(4).cast("long").alias("n_chars"))
+    sizes = sharding._slim(docs, 4).groupBy(F.pmod("hash", F.lit(20))).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 500
+    assert sorted(r["count"] for r in sharding.assign(docs, 7).groupBy("shard").count().collect()) == [857] * 6 + [858]
 
 
 # 4 ------------------------------------------------------------------------------------------------
@@ -247,6 +256,16 @@ def test_contamination(docs, spark, empty, most):
     assert none[0] == 0 and none[1] == len(got)
 
 
+def test_contaminated_rows_go_by_id_and_text(spark, docs):
+    """Null and repeated ids: the contaminated row goes, the clean one of the same id stays, with its columns."""
+    clean, bad = "one two three four five six seven", "x a b c d e f"
+    rows = [(None, bad), (None, clean), (7, bad), (7, clean), (7, clean), (8, clean), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("key", "_key", "w", "n_words")})
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    left = decontam.drop_contaminated(df, bench, 5)
+    assert left.columns == df.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [r for r in rows if r[1] != bad]))
+
+
 # 7 and 8 ------------------------------------------------------------------------------------------
 
 
