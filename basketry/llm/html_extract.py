@@ -6,18 +6,22 @@ they stand in (an article, or a menu, footer, sidebar, form, notice, advert or c
 tag, role, class or id). Short blocks that these rules cannot tell are ambiguous; in the
 second pass they inherit the label of the nearest decided block, one in the same surroundings
 first, and a heading looks ahead before it looks back. The whole page is read, once, in the
-order of its tags; broken or unclosed markup ends at the next tag or at the end of the page.
-A head may stay open: what it holds beside scripts, styles and the title is no text or, as in
-browsers, the body's. On a page of a language without known stop words length and links decide.
+order of its tags, in time linear in its length. Markup that is broken or not closed ends at the
+next tag, a script or frame without an end tag at the next block; self-closed ones hold nothing.
+Tag names count whole, so a custom element is no element of its first part. A head may stay
+open: what it holds beside scripts, styles and the title is no text or, as in browsers, the
+body's. On a page of a language without known stop words length and links decide.
 
 Defined cases: a null or empty page has an empty text; a page without a decided block keeps
-its ambiguous ones; repeated rows give equal rows; other columns are kept by the caller.
+its ambiguous ones; repeated rows, null or repeated page_ids give a row each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -42,9 +46,9 @@ BLOCK_TAGS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th
     thead tr ul""".split()
 )
-RAW_TAGS = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video"
-#: The same, but their end tag is not waited for beyond the next one of their kind: without one they end at the next block tag.
-OPEN_TAGS = "title|button"
+RAW_TAGS = frozenset("script style noscript template textarea select svg math iframe object canvas audio video".split())
+#: The same, but their end tag is not waited for beyond the next one of their kind.
+OPEN_TAGS = frozenset(("title", "button"))
 POOR_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
 POOR_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 POOR_NAMES = frozenset(
@@ -53,20 +57,26 @@ POOR_NAMES = frozenset(
     promo promoted recommended related reply replies respond search share sharing sidebar sidebars signup social sponsor
     sponsored subscribe subscription teaser toolbar widget widgets""".split()
 )
+#: Words that say nothing of what a named part of a page holds. A name speaks against its text only if all its words do, or these.
+PLAIN_NAMES = frozenset(
+    """area articles aria bar block body bottom box btn button card cards col column container content desktop entries entry fixed form
+    global group head header holder icon icons inline inner input item items js label layout left link links list mobile module
+    news outer overlay page panel popular post posts primary region right row secondary section site slot slots sticky stories
+    text thread title top unit wrap wrapper zone""".split()
+)
 GOOD_TAGS = frozenset(("article", "main"))
 
 LONG, SHORT = 140, 70  # characters
+DEEP = 512  # open tags that an end tag is looked for among: as deep as browsers nest, and no page costs its square
 MANY_STOP_WORDS, FEW_STOP_WORDS = 0.2, 0.05
 MANY_LINKS = 0.5
 
-_token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<open>{OPEN_TAGS})\b[^>]*>(?:(?:(?!<(?P=open)\b).)*?</(?P=open)\s*>|.*?(?:(?=</?(?:body|{'|'.join(sorted(BLOCK_TAGS))})\b)|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+_tag = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_attrs = re.compile(r"(?:[^<>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|))*")
+_next_block = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 _names = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _parts = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+_rights = re.compile(r"©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4})", re.I)
 _void = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -88,12 +98,76 @@ def _surroundings(tag: str, attrs: str, poor: bool, good: bool) -> tuple[bool, b
         if kind.lower() == "role":
             roles.add(value.lower())
         else:
-            named |= {p.lower() for p in _parts.findall(value)}
+            for name in value.split():
+                words = {p.lower() for p in _parts.findall(name)}
+                if words & POOR_NAMES and words <= POOR_NAMES | PLAIN_NAMES:
+                    named |= words
     bad = tag in POOR_TAGS or bool(roles & POOR_ROLES) or (bool(named & POOR_NAMES) and tag not in ("html", "body", "article", "main"))
     bad |= tag == "header" and not good
     return poor or bad, good or (tag in GOOD_TAGS or "main" in roles) and not (poor or bad)
 
 
+class Scanner:
+    """The tags of a page in order: where each begins and ends, its name, whether it closes, its attributes."""
+
+    def __init__(self, page: str):
+        self.page, self.low = page, page.lower()
+        if len(self.low) != len(page):  # a letter whose lower case is longer
+            self.low = "".join(c if len(c.lower()) != 1 else c.lower() for c in page)
+        self.block = -1
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Place of ``what`` from ``at`` on, or -1; what is missing once is missing further on."""
+        if what in self.missing:
+            return -1
+        found = self.low.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def next_block(self, at: int) -> int:
+        if self.block < at:
+            m = _next_block.search(self.page, at)
+            self.block = m.start() if m else len(self.page)
+        return self.block
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the content of a tag without text of its own ends, its end tag included."""
+        stop = self.find(f"</{name}", at)
+        while stop >= 0 and self.low[stop + 2 + len(name) : stop + 3 + len(name)].strip(" \t\r\n\f/>"):
+            stop = self.find(f"</{name}", stop + 2)
+        again = self.find(f"<{name}", at) if name in OPEN_TAGS else -1
+        if stop < 0 or 0 <= again < stop:
+            return self.next_block(at)
+        close = self.find(">", stop)
+        return close + 1 if close >= 0 else len(self.page)
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            m = _tag.match(page, start)
+            if not m:
+                at = start + 1
+                if page.startswith("<!--", start):
+                    stop = self.find("-->", start + 2)
+                    at = stop + 3 if stop >= 0 else len(page)
+                elif page[at : at + 1] in ("!", "?") and page[at + 1 : at + 2].strip():
+                    stop = self.find(">", start)
+                    at = stop + 1 if stop >= 0 else len(page)
+                else:
+                    continue
+                yield start, at, "", False, ""
+                continue
+            name, close = m[1].lower(), page[start + 1] == "/"
+            end = _attrs.match(page, m.end()).end()
+            attrs, at = page[m.end() : end], end + page.startswith(">", end)
+            if not close and (name in RAW_TAGS or name in OPEN_TAGS) and not attrs.endswith("/"):
+                at = self.end_of(name, at)
+                name = ""
+            yield start, at, name, close, attrs
+
+
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]
@@ -111,28 +185,26 @@ def blocks(page: str) -> list[Block]:
             if links:
                 block.link_chars += len(text.strip())
 
-    for m in _token.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
+    for start, stop, tag, close, attrs in Scanner(page).tags():
+        take(page[at:start])
+        at = stop
         if tag == "br":
             block.parts.append(" ")
         elif tag == "a":
-            links = 0 if m["close"] else 1
-        if m["close"]:
-            if tag in BLOCK_TAGS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                block = end("")
-        elif tag in BLOCK_TAGS:
+            links = int(not close and "href" in attrs.lower())
+        elif tag not in BLOCK_TAGS:
+            continue
+        elif close:
+            for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
+                if stack[i][0] == tag:
+                    del stack[i:]
+                    break
+            block = end("")
+        else:
             if tag in ("p", "li") and stack[-1][0] == tag:  # the end tag was left out
                 stack.pop()
-            if tag not in _void and not (m["attrs"] or "").endswith("/"):
-                stack.append((tag, *_surroundings(tag, m["attrs"] or "", *stack[-1][1:])))
+            if tag not in _void and not attrs.endswith("/"):
+                stack.append((tag, *_surroundings(tag, attrs, *stack[-1][1:])))
             block = end(tag)
     take(page[at:])
     end("")
@@ -146,7 +218,7 @@ def first_pass(b: Block, article: bool, known: bool = True) -> bool | None:
     share = b.link_chars / max(1, len(b.text))
     if b.poor or share > MANY_LINKS or (article and not b.good):
         return False
-    if b.text.startswith(("©", "(c) ", "Copyright ")) and len(b.text) < LONG:
+    if len(b.text) < LONG and _rights.match(b.text) and not (b.good and stops >= MANY_STOP_WORDS):  # a sentence of the article may begin so
         return False
     if b.tag[:1] == "h" and b.tag[1:].isdigit():
         return None
