@@ -1,20 +1,24 @@
 """Chat formatting of reply trees.
 
-Messages are nodes with a parent. Root-to-leaf paths are found by self-joins that double the
-known stretch of every path each round (the ancestor 2^k steps up), so a thread of d messages
-takes log2(d) joins and no text moves in them. A leaf's branch is scored by the sum of its
-messages' scores, branches are ranked within their root, and each chosen path becomes one
-conversation. A table of conversations is a forest of chains: the reply to a turn is the
-next turn.
+Messages are nodes with a parent. Self-joins double, each round, the stretch of the way up that
+every node knows: its ancestor 2^k steps up, and the sum of the scores and the number of
+messages on the way there. So a thread of d messages takes log2(d) joins, a round holds one row
+a node, and no text moves. A node that has reached its root has its branch's score; leaves are
+ranked by it within their root, and only the chosen leaves' paths are enumerated, by the same
+doubling. Each chosen path becomes one conversation. A table of conversations is a forest of
+chains: the reply to a turn is the next turn.
 
 Template: ``<turn>role<body>text</turn>`` and a line feed a turn. Inside role and text a
 backslash is written ``\\b`` and ``<`` is written ``\\l``, so no control string can occur in
 them and both replacements undo in any place. The loss mask lists the code-point spans of
 assistant texts in the formatted string.
 
-Defined cases: a null text or role is empty; turns that tie are ordered by role, then text;
-rows that repeat are turns of their own; a null conv_id is a conversation of its own; a
-parent that is not in the table makes its reply a root; an empty table gives an empty result.
+Defined cases: a null text or role is empty, a null score is 0; turns that tie are ordered by
+role, then text; rows that repeat a turn are turns of their own; a null conv_id is a conversation
+of its own. In trees, of rows that repeat a node the one of the smallest (parent, score, role,
+text) stays, a null node is one node that nothing replies to, a parent that is not in the table
+makes its reply a root, and nodes on a cycle of parents, or below one, have no root and are in no
+path. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,47 +46,73 @@ def chains(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, node, depth (0 at the leaf) and branch score of every root-to-leaf path."""
-    nodes = written(messages.select("tree", "node", "parent", "score"), "chat-nodes")
-    known = nodes.alias("n").join(nodes.select(F.col("tree").alias("t"), F.col("node").alias("p")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    known = known.select("tree", "node", F.col("p").alias("up"), "score")  # a missing parent: a root
-    parents = known.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    leaves = known.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    jump, found, step = written(known.filter("up is not null").select("tree", "node", "up"), "chat-jump"), written(leaves, "chat-paths"), 1
-    while not jump.isEmpty():
-        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
-        same = F.col("tree").eqNullSafe(F.col("t"))
-        # what lies up to `step` above the leaf is known: each of those gives the one `step` further up
-        longer = found.join(j, same & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("further").alias("node"), (F.col("depth") + step).alias("depth"))
-        found = written(found.unionByName(longer), "chat-paths")
-        # only nodes with an ancestor twice as far go on
-        jump = written(jump.join(j, same & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up")), "chat-jump")
+def _same(a: str, b: str, null_safe: bool = False) -> Column:
+    """Rows of one tree whose node ``a`` is ``b``; the other side's tree is called ``t``."""
+    return F.col("tree").eqNullSafe(F.col("t")) & (F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b))
+
+
+def distinct_nodes(messages: DataFrame) -> DataFrame:
+    """The messages, one a node. Texts are grouped only if a node does repeat."""
+    if messages.groupBy("tree", "node").count().filter("count > 1").isEmpty():
+        return messages
+    rest = ["parent", "score", "role", "text"]
+    return messages.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("m")).select("tree", "node", *[f"m.{c}" for c in rest])
+
+
+def climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """tree, node, root, branch_score and turns (its place below the root, from 1) of every node with a root, and the
+    jumps (tree, node, up) of 1, 2, 4, ... steps; the messages have one row a node."""
+    nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
+    ups = nodes.join(known, _same("parent", "p"), "left").select("tree", "node", F.col("p").alias("up"), "score", F.lit(1).cast("long").alias("turns"))
+    at = written(ups.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "chat-climb")
+    most = at.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, step = [], 1
+    while step <= most:
+        open_ = at.filter("up is not null")
+        if open_.isEmpty():
+            break
+        jumps.append(open_.select("tree", "node", "up"))
+        on = at.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("score").alias("more"), F.col("turns").alias("also"), F.col("root").alias("top"))
+        longer = open_.join(on, _same("up", "n")).select("tree", "node", F.col("further").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("turns") + F.col("also")).alias("turns"), F.col("top").alias("root"))
+        at = written(at.filter("up is null").unionByName(longer), "chat-climb")
         step *= 2
-    scores = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
-    return found.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "node", "depth", "score")
+    # a way up that has not ended after as many steps as the largest tree has nodes is a cycle
+    return at.filter("up is null").select("tree", "node", "root", F.col("score").alias("branch_score"), "turns"), jumps
+
+
+def _leaves(messages: DataFrame, best: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    nodes, jumps = climbed(messages)
+    replied = messages.filter("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
+    leaves = nodes.join(replied, _same("node", "p"), "left_anti").withColumnRenamed("node", "leaf")
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("branch_score"), "leaf")))
+    return ranked.filter(F.col("rank") <= best) if best else ranked, jumps
 
 
 def choose(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """tree, root, leaf, rank of the ``best`` branches of each root (None: all): highest score first, then the smallest leaf."""
-    branch = paths(messages).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), F.max_by("node", "depth").alias("root"))
-    return _best(branch, best)
+    """tree, root, leaf, branch_score, turns and rank of the ``best`` branches of each root (None: all): highest score first, then the smallest leaf."""
+    return _leaves(written(distinct_nodes(messages).select("tree", "node", "parent", "score"), "chat-nodes"), best)[0]
 
 
-def _best(branch: DataFrame, best: int | None) -> DataFrame:
-    ranked = branch.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("branch_score"), "leaf")))
-    return ranked.filter(F.col("rank") <= best) if best else ranked
+def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """tree, leaf, node and depth (0 at the leaf) of the ways from the given leaves to their roots."""
+    found = written(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth")), "chat-paths")
+    for k, jump in enumerate(jumps):
+        # what lies below 2^k steps is known: each of those gives the one 2^k further up
+        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
+        longer = found.join(j, _same("node", "n", null_safe=True)).select("tree", "leaf", F.col("further").alias("node"), (F.col("depth") + 2**k).alias("depth"))
+        found = written(found.unionByName(longer), "chat-paths")
+    return found
 
 
 def format_paths(messages: DataFrame, best: int | None = 1, learn: str = "assistant") -> DataFrame:
     """tree, leaf, formatted (string) and loss_spans (array of start, length in code points from 0) of every chosen path."""
-    messages = written(messages, "chat-messages")
-    steps = written(paths(messages), "chat-steps")
-    branch = steps.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"), F.max_by("node", "depth").alias("root"))
-    ranked = _best(branch, best)
-    chosen = steps.select("tree", "leaf", "node", "depth").alias("s").join(ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    messages = distinct_nodes(written(messages.select("tree", "node", "parent", "score", *texts), "chat-messages"))
+    nodes = written(messages.select("tree", "node", "parent", "score"), "chat-nodes")
+    chosen = paths(*_leaves(nodes, best))
     own = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("learn"))
-    turns = chosen.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+    turns = chosen.join(own, _same("node", "n", null_safe=True))
     turns = turns.withColumn("head", F.concat(F.lit("<turn>"), "role", F.lit("<body>"))).withColumn("whole", F.concat("head", "text", F.lit("</turn>\n")))
     part = F.struct((-F.col("depth")).alias("at"), "whole", F.char_length("head").alias("skip"), F.char_length("text").alias("n"), F.char_length("whole").alias("chars"), "learn")
     talk = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(part)).alias("parts"))
