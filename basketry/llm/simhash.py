@@ -1,21 +1,30 @@
 """SimHash near-duplicates, linked exactly through vantage-point trees.
 
 Each document gets a 64-bit fingerprint of its word shingles. Equal fingerprints collapse
-to one row before anything is compared. Two fingerprints that differ in at most ``bits``
-bits differ in at most ``bits // blocks`` bits of one of ``blocks`` bit blocks, so each
-block has its own vantage-point tree over Hamming distance in that block, searched with
-the smaller radius; in 64 dimensions at once the triangle bound would prune nearly nothing.
-A tree's nodes hold a vantage point and the median distance to it, fitted on a bounded
-sample; every fingerprint is then routed. Where a search ball crosses a node's boundary
-the fingerprint goes to both sides, so each linked pair meets in a leaf (a shard). A large
-leaf is cut into tiles, pairs of its chunks, so no task gets an unbounded leaf. Inside a
-tile a second vantage-point recursion prunes further and the rest is compared on all
-64 bits. A tile returns a shallow spanning forest of its links, never all pairs of a group;
-components come from minimum-label joins with pointer jumping over written tables.
+to one row before anything is compared. Of fingerprints cut into ``bits // 2 + 1`` blocks (three for 4 bits), two
+that differ in at most ``bits`` bits differ in at most one bit of some block; so each block has
+its own vantage-point tree over Hamming distance in that block, searched with radius 1. In 64
+dimensions at once the triangle bound would prune nearly nothing.
+
+A tree's nodes hold a vantage point and the median distance to it, fitted on a sample that grows
+with the tree. Each fingerprint has one home shard (a leaf); it also queries the shards that its
+ball reaches across a boundary. The triangle bound says which nodes a ball crosses, and of a ball
+that crosses, which of its points lie on which side, so a subtree is entered only for points
+that can be there: a ball of 22 or 23 points never reaches more shards than that, however deep the
+tree. Of two fingerprints with different homes only the one of the lower home queries the other.
+
+In a shard the same search goes on down to small leaves, whose homes are compared on all 64 bits
+with homes and queries. A hot shard is split by exact values of other blocks: two fingerprints
+that differ in at most ``bits`` bits agree in one of ``bits + 1`` parts of the bits outside the
+shard's block. What still is hot is dealt to chunks of its homes. A comparison returns a shallow
+spanning forest of its links, never all pairs of a group; components come from minimum-label
+joins with pointer jumping over written tables.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; ties
 and repeated rows share a fingerprint; a null ``doc_id`` is never a component's name unless
 all its members are null; an empty table gives an empty result; other columns are ignored.
+:func:`drop_near_duplicates` keeps one row of each component, that of the smallest ``doc_id``
+(nulls last, ties by text), whether ids are null, repeated or not, with all its columns.
 """
 
 from __future__ import annotations
@@ -28,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.workspace import free_name, map_rows, written
+from basketry.llm.workspace import free_name, map_rows, text_keys, written
 
-#: Rows of unique fingerprints that fit the trees' vantage points.
-SAMPLE = 4096
-#: Fingerprints aimed at in a leaf; rows above which a leaf is hot and is cut into tiles.
-LEAF, TILE = 1024, 8192
+#: Fingerprints aimed at in a shard; rows above which a shard is hot.
+SHARD, HOT = 8192, 65536
+#: Levels of a tree at most (hot shards are split by other blocks), sampled fingerprints a shard.
+LEVELS, SAMPLE = 16, 16
+#: Homes of a leaf, inside a shard, that are compared without another split.
+SMALL = 256
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -55,136 +66,192 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, the two keys of its text and its fingerprint as a signed long."""
 
     def prints(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fp": np.fromiter((fingerprint(t, width) for t in b["text"]), np.uint64, len(b)).view(np.int64)})
+        fp = np.fromiter((fingerprint(t, width) for t in b["text"]), np.uint64, len(b)).view(np.int64)
+        return pd.DataFrame({"key_1": b["key_1"].to_numpy(), "key_2": b["key_2"].to_numpy(), "fp": fp})
 
-    return map_rows(docs, "doc_id", ["text"], lambda: prints, "fp long")
+    first, second = text_keys()
+    keyed = docs.select("doc_id", "text", first.alias("key_1"), second.alias("key_2"))
+    return map_rows(keyed, "doc_id", ["text", "key_1", "key_2"], lambda: prints, "key_1 long, key_2 long, fp long")
+
+
+class Ball:
+    """Balls of radius ``reach`` (0 or 1) in a block of bits, as masks of their points: a bit of the block for the point
+    that differs in it, and a bit outside the block for the centre itself."""
+
+    def __init__(self, mask: int, reach: int):
+        self.mask, self.centre = np.uint64(mask), np.uint64(1 if not mask & 1 else 1 << 63)
+        self.points = self.centre | self.mask if reach else self.centre
+
+    def inside(self, x: np.ndarray, vantage: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which points of each ball lie within the radius: all or none by the triangle bound, else those on that side."""
+        apart = (x ^ vantage) & self.mask
+        d = np.bitwise_count(apart).astype(np.int64)
+        out = np.where(d < radius, self.mask | self.centre, np.uint64(0))
+        # a point that differs where centre and vantage point agree is one step further away, else one step nearer
+        out = np.where(d == radius, apart | self.centre, out)
+        return np.where(d == radius + 1, apart, out)
+
+
+def vantage_point(x: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int, np.ndarray]:
+    """Of a few candidates the one whose median distance cuts most evenly, with the radius, and the rows within it."""
+    best = None
+    for v in x[:: max(1, len(x) // 8)][:8] & mask:
+        d = np.bitwise_count((x & mask) ^ v).astype(np.int64)
+        middle = int(np.median(d))
+        for r in (middle - 1, middle):
+            uneven = abs(2 * int((d <= r).sum()) - len(d))
+            if best is None or uneven < best[0]:
+                best = (uneven, v, r, d <= r)
+    return best[1:]
 
 
 class VantageTree:
-    """A complete tree of ``depth`` levels over values of a bit block: arrays of vantage points and radii by heap index."""
+    """A tree of ``depth`` levels over values of a bit block: arrays of vantage points and radii by heap index.
+
+    A node without enough of the sample splits no further: everything goes to its first child.
+    """
 
-    def __init__(self, sample: np.ndarray, mask: int, depth: int):
-        self.mask, self.depth = np.uint64(mask), depth
-        self.vantage = np.zeros(2**depth, np.uint64)
-        self.radius = np.full(2**depth, 64, np.int64)
-        rows = {1: sample & self.mask}
+    def __init__(self, sample: np.ndarray, mask: int, depth: int, reach: int):
+        self.ball, self.depth = Ball(mask, reach), depth
+        self.vantage, self.radius = np.zeros(2**depth, np.uint64), np.full(2**depth, 65, np.int64)
+        rows = {1: sample & np.uint64(mask)}
         for node in range(1, 2**depth):
             x = rows.pop(node)
-            if len(x):
-                # of a few candidates, the one whose median cuts most evenly
-                best = None
-                for v in x[:: max(1, len(x) // 8)][:8]:
-                    d = np.bitwise_count(x ^ v).astype(np.int64)
-                    r = int(np.median(d))
-                    cut = min(((abs(2 * int((d <= q).sum()) - len(d))), q) for q in (r - 1, r))
-                    if best is None or cut < best[0]:
-                        best = (cut, v, cut[1], d)
-                self.vantage[node], self.radius[node] = best[1], best[2]
-                inside = best[3] <= best[2]
-            else:
-                inside = np.zeros(0, bool)
+            inside = np.ones(len(x), bool)
+            if len(x) >= 4:
+                self.vantage[node], self.radius[node], inside = vantage_point(x, np.uint64(mask))
             rows[2 * node], rows[2 * node + 1] = x[inside], x[~inside]
 
-    def route(self, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and leaves of every leaf that a ball of radius ``reach`` around each value touches."""
-        x = fps & self.mask
-        row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, shards, and whether it is the row's home, for every shard from the home on that a row's ball reaches."""
+        row, node, live = np.arange(len(fps)), np.ones(len(fps), np.int64), np.full(len(fps), self.ball.points)
         for _ in range(self.depth):
-            d = np.bitwise_count(x[row] ^ self.vantage[node]).astype(np.int64)
-            r = self.radius[node]
-            left, right = d - reach <= r, d + reach > r
-            row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
-        return row, node - 2**self.depth
+            inside = self.ball.inside(fps[row], self.vantage[node], self.radius[node])
+            near, far = live & inside, live & ~inside
+            a, b = near != 0, far != 0
+            row, node, live = np.concatenate((row[a], row[b])), np.concatenate((2 * node[a], 2 * node[b] + 1)), np.concatenate((near[a], far[b]))
+        own = (live & self.ball.centre) != 0
+        home = np.empty(len(fps), np.int64)
+        home[row[own]] = node[own]
+        up = node >= home[row]
+        return row[up], node[up] - 2**self.depth, own[up]
 
 
-def block_masks(blocks: int) -> list[int]:
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [sum(1 << b for b in range(a, z)) for a, z in zip(edges, edges[1:], strict=False)]
+def block_masks(blocks: int, within: int = 2**64 - 1) -> list[int]:
+    """The bits of ``within`` dealt to blocks of neighbours."""
+    places = [b for b in range(64) if within >> b & 1]
+    edges = [len(places) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << b for b in places[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
 
 
-def linked(fps: np.ndarray, mask: int, reach: int, bits: int, small: int = 192) -> list[tuple[int, int]]:
-    """Links (positions) that connect whatever lies within ``bits`` of one another here.
+def compared(x: np.ndarray, homes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that connect whatever lies within ``bits`` of one of the first ``homes`` values.
 
-    Vantage-point recursion by the block's distance, comparison on all 64 bits below; a group of m comes back as
-    m - 1 links or a few more, no position with more than 16 links of one comparison.
+    A connected group of m comes back as m - 1 links, no position with more than 17 of them.
+    """
+    label, hit_rows = np.arange(len(x)), np.zeros(len(x), bool)
+    for lo in range(0, homes, 256):
+        own = np.arange(lo, min(homes, lo + 256))
+        hit = np.bitwise_count(x[own, None] ^ x[None, :]) <= bits
+        hit[own - lo, own] = False
+        for i in np.flatnonzero(hit.any(1)):
+            others = label[hit[i]]
+            least = min(int(others.min()), int(label[lo + i]))
+            hit_rows[lo + i] = True
+            hit_rows |= hit[i]
+            if others.max() != least or label[lo + i] != least:
+                merged = np.zeros(len(x), bool)
+                merged[others] = merged[label[lo + i]] = True
+                label[merged[label]] = least
+    rows = np.flatnonzero(hit_rows)
+    rows = rows[np.argsort(label[rows], kind="stable")]
+    own = label[rows]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    child = np.flatnonzero(place > 0)
+    return rows[child], rows[child - place[child] + (place[child] - 1) // 16]
+
+
+def linked(fps: np.ndarray, home: np.ndarray, mask: int, reach: int, bits: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Links (values) of a shard: of its homes among themselves and with those that query it.
+
+    Goes on as the trees do: homes are split by a vantage point, queries follow their balls, and of two homes that part
+    the inner one queries the outer.
     """
-    out: list[tuple[int, int]] = []
-    todo = [np.arange(len(fps))]
+    ball, out = Ball(mask, reach), []
+    order = np.argsort(~home, kind="stable")
+    fps, n = fps[order], int(home.sum())
+    todo = [(np.arange(len(fps)), n)]
     while todo:
-        at = todo.pop()
-        x = fps[at]
-        if len(at) > small:
-            v = x[len(x) // 2] & np.uint64(mask)
-            d = np.bitwise_count((x & np.uint64(mask)) ^ v).astype(np.int64)
-            r = int(np.median(d))
-            inside, outside = d - reach <= r, d + reach > r
-            if max(inside.sum(), outside.sum()) < 0.9 * len(at):
-                todo += [at[inside], at[outside]]
+        at, homes = todo.pop()
+        if homes > small:
+            v, r, near = vantage_point(fps[at[:homes]], ball.mask)
+            if 0.05 * homes < near.sum() < 0.95 * homes:
+                inside = ball.inside(fps[at], v, np.int64(r))
+                into, beyond = (ball.points & inside) != 0, (ball.points & ~inside) != 0
+                into[:homes], beyond[:homes] = near, beyond[:homes]
+                outer = np.flatnonzero(~near)
+                guests = np.flatnonzero(beyond & np.concatenate((near, np.ones(len(at) - homes, bool))))
+                todo += [(at[into], int(near.sum())), (at[np.concatenate((outer, guests))], len(outer))]
                 continue
-        near: list[tuple[np.ndarray, np.ndarray]] = []
-        label = np.arange(len(at))
-        for lo in range(0, len(at), 512):
-            hit = np.bitwise_count(x[lo : lo + 512, None] ^ x[None, :]) <= bits
-            hit[np.arange(len(hit)), lo + np.arange(len(hit))] = False
-            rows = np.flatnonzero(hit.any(1))
-            if len(rows):
-                near.append((rows + lo, hit[rows]))
-        while near:
-            before = label.copy()
-            for rows, hit in near:
-                label[rows] = np.minimum(label[rows], np.where(hit, label[None, :], len(at)).min(1))
-            label = label[label]
-            if (label == before).all():
-                break
-        if near:
-            rows = np.concatenate([r for r, _ in near])
-            rows = rows[np.argsort(label[rows], kind="stable")]
-            own = label[rows]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-            parent = np.arange(len(rows)) - place + (place - 1) // 16
-            child = np.flatnonzero(place > 0)
-            out += zip(at[rows[child]].tolist(), at[rows[parent[child]]].tolist(), strict=True)
-    return out
-
-
-def links(unique: DataFrame, bits: int = 4, blocks: int = 3, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+        if homes and len(at) > 1:
+            a, b = compared(fps[at], homes, bits)
+            out.append((fps[at[a]], fps[at[b]]))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def split_hot(routed: DataFrame, masks: list[int], bits: int, hot: int) -> DataFrame:
+    """block, tile, home, fp: shards as they are, hot ones by exact values of parts of the other bits, then by chunks of homes."""
+    whole = F.struct("block", "shard", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("chunk")).alias("tile")
+    sizes = written(routed.groupBy("block", "shard").count().filter(F.col("count") > hot).select("block", "shard"), "simhash-hot")
+    if sizes.isEmpty():
+        return routed.select("block", whole, "home", "fp")
+    on = ["block", "shard"]
+    cold = routed.join(sizes, on, "left_anti").select("block", whole, "home", "fp")
+    parts = F.array(*[F.array(*[F.lit(_signed(p)).cast("long") for p in block_masks(bits + 1, ~m & (2**64 - 1))]) for m in masks])
+    cells = routed.join(sizes, on, "left_semi").select("block", "shard", "home", "fp", F.posexplode(parts[F.col("block")]).alias("part", "bits")).withColumn("value", F.col("fp").bitwiseAND(F.col("bits")))
+    keys = [*on, "part", "value"]
+    cells = written(cells.drop("bits"), "simhash-cells")
+    cuts = cells.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).cast("int").alias("chunks"))
+    dealt = cells.join(cuts, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks").cast("long")) == F.col("chunk")
+    return cold.unionByName(dealt.select("block", F.struct(*keys, "chunk").alias("tile"), (F.col("home") & own).alias("home"), "fp"))
+
+
+def links(unique: DataFrame, bits: int = 4, shard: int = SHARD, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """Distinct links (a, b) of the unique fingerprints ``fp`` that give the components at ``bits`` or fewer differing bits."""
     n = unique.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+    blocks = max(2, bits // 2 + 1)
     reach, masks = bits // blocks, block_masks(blocks)
-    sample = unique.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    trees = [VantageTree(sample, m, depth) for m in masks]
+    depth = min(LEVELS, 64 // blocks, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
+    place = F.xxhash64("fp") / F.lit(2.0**64) + 0.5
+    sample = np.sort(unique.filter(place * n < SAMPLE * 2**depth).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64))  # about a million at most
+    trees = [VantageTree(np.random.default_rng(k).permutation(sample), m, depth, reach) for k, m in enumerate(masks)]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = b["fp"].to_numpy(np.int64).view(np.uint64)
             for k, tree in enumerate(trees):
-                home = np.empty(len(fps), np.int64)
-                row, at = tree.route(fps, 0)
-                home[row] = at
-                row, at = tree.route(fps, reach)
-                up = at >= home[row]  # of two that meet in two leaves, the one of the higher leaf is enough
-                yield pd.DataFrame({"block": np.int32(k), "leaf": at[up], "fp": fps[row[up]].view(np.int64)})
-
-    routed = written(unique.select("fp").mapInPandas(route, "block int, leaf long, fp long"), "simhash-routed")
-    cut = routed.groupBy("block", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks").cast("long")).cast("int")
-    tiles = routed.join(cut, ["block", "leaf"]).withColumn("chunk", chunk)
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("block", F.struct("block", "leaf", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).alias("tile"), "fp")
+                row, at, home = tree.route(fps)
+                yield pd.DataFrame({"block": np.int32(k), "shard": at, "home": home, "fp": fps[row].view(np.int64)})
+
+    routed = written(unique.select("fp").mapInPandas(route, "block int, shard long, home boolean, fp long"), "simhash-routed")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        fps = b["fp"].to_numpy(np.int64)
-        pairs = np.array(linked(fps.view(np.uint64), masks[int(b["block"].iloc[0])], reach, bits), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": fps[pairs].min(1), "b": fps[pairs].max(1)})
+        fps = b["fp"].to_numpy(np.int64).view(np.uint64)
+        a, z = (x.view(np.int64) for x in linked(fps, b["home"].to_numpy(bool), masks[int(b["block"].iloc[0])], reach, bits, small))
+        return pd.DataFrame({"a": np.minimum(a, z), "b": np.maximum(a, z)})
 
-    parts = max(1, int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = written(tiles, "simhash-tiles").repartitionByRange(parts, "tile")
-    return dealt.groupBy("tile").applyInPandas(compare, "a long, b long").distinct()
+    return split_hot(routed, masks, bits, hot).groupBy("tile").applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,21 +270,34 @@ def components(edges: DataFrame) -> DataFrame:
         label = label.select("node", "label")
 
 
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """fp, the fp that names its component, and the component's row that stays: (no_id, doc_id, key_1, key_2)."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_1", "key_2")
+    unique = written(prints.groupBy("fp").agg(F.min(row).alias("first")), "simhash-unique")
+    group = components(written(links(unique, bits), "simhash-links"))
+    members = written(group.join(unique.withColumnRenamed("fp", "node"), "node"), "simhash-members")
+    named = written(members.groupBy("label").agg(F.min("first").alias("best")), "simhash-names")
+    named = written(members.join(named, "label").select(F.col("node").alias("fp"), "best"), "simhash-named")
+    return written(unique.join(named, "fp", "left").select("fp", F.coalesce("best", "first").alias("best")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """One row a document: doc_id, fp (signed long), component_id: the smallest doc_id within reach, itself included."""
     prints = written(with_fingerprints(docs, width), "simhash-prints")
-    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-unique")
-    group = components(written(links(unique, bits), "simhash-links"))
-    members = written(group.join(unique.withColumnRenamed("fp", "node"), "node"), "simhash-members")
-    named = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = written(members.join(written(named, "simhash-names"), "label").select(F.col("node").alias("fp"), "component_id"), "simhash-named")
-    classes = written(unique.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints, bits), "fp").select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """The documents whose id names their component, with all their columns; ids have to be unique."""
-    found = near_duplicates(docs, width, bits)
-    name = free_name(docs, "_gone")
-    gone = written(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)), "simhash-gone")
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    """One row of each component, with all its columns."""
+    prints = written(with_fingerprints(docs, width), "simhash-prints")
+    row = ["doc_id", "key_1", "key_2"]
+    found = prints.join(_classes(prints, bits), "fp").select(*row, (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key_1") == F.col("best.key_1")) & (F.col("key_2") == F.col("best.key_2"))).alias("stays"))
+    found = written(found, "simhash-found")
+    g = found.filter("not stays").select(*row).alias("g")
+    keys = [free_name(docs, k) for k in ("_key_1", "_key_2")]
+    d = docs.withColumns(dict(zip(keys, text_keys(), strict=True))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{keys[0]}") == F.col("g.key_1")) & (F.col(f"d.{keys[1]}") == F.col("g.key_2"))
+    left = d.join(g, same, "left_anti")
+    if not found.filter("stays").groupBy(*row).count().filter("count > 1").isEmpty():  # the row that stays is there more than once
+        left = left.dropDuplicates(["doc_id", *keys])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
