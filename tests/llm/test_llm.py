@@ -67,17 +67,58 @@ def test_exact_copies(docs, keep):
     assert got == copies(corpus(), keep)
 
 
-def test_a_shared_digest_is_no_copy(docs):
+@pytest.mark.parametrize("kinds", [1, 3, 10**9])
+def test_a_shared_digest_and_key_is_no_copy(docs, kinds):
     weak = lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1)
-    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact_dedup.find_copies(docs, "largest", weak).collect())
+    key = lambda t: F.pmod(F.xxhash64(t), F.lit(kinds))
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact_dedup.find_copies(docs, "largest", weak, key).collect())
     assert got == [x[:3] for x in copies(corpus(), "largest")]
 
 
+@pytest.mark.parametrize("batches", [3, 20])
+def test_copies_do_not_depend_on_batches(docs, batches):
+    parts = [docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(batches)) == k) for k in range(batches)]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.digest.hex()) for r in exact_dedup.find_copies(parts, "largest").collect())
+    assert got == copies(corpus(), "largest")
+
+
+def test_levels_and_probes_of_the_index(docs, spark, tmp_path):
+    """Full levels are merged into the next; a batch is told what the index holds, whichever run holds it."""
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}", fanout=2, memtables=1)
+    rows = docs.filter("doc_id is not null")
+    for k in range(5):
+        index.flush(rows.filter(F.col("doc_id") % 7 == k))
+    assert [r.level for r in index.runs] == [2, 0] and index.entries().agg(F.sum("n")).first()[0] == rows.filter("doc_id % 7 < 5").count()
+    held = {(t or "").translate(ASCII): 0 for i, t, *_ in corpus() if i is not None and i % 7 < 5}
+    got = {r.doc_id for r in index.probe(rows).collect()}
+    assert got == {i for i, t, *_ in corpus() if i is not None and (t or "").translate(ASCII) in held}
+    assert len(held) < len(got) < rows.count()
+    index.compact()
+    assert len(index.runs) == 1 and {r.doc_id for r in index.probe(rows).collect()} == got
+
+
+@pytest.mark.parametrize("most", [2**15, 2**18])
+def test_key_filters_pass_every_key(spark, most):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    f = exact_dedup.KeyFilter.of(keys, most)
+    seen = f.marked(spark.range(20_000).select("id", F.xxhash64("id").alias("key")), F.col("key"), "in")
+    assert seen.filter("id < 3000 and not in").count() == 0
+    assert seen.filter("id >= 3000 and in").count() <= (0.12 if most == 2**15 else 0.08) * 17_000
+
+
+def test_no_copies_of_nothing(empty):
+    assert exact_dedup.find_copies(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
+
+
 def test_drop_copies_keeps_columns_and_one_row(docs):
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and {r._digest for r in left.collect()} == {"own"}
     texts = [(r.text or "").translate(ASCII) for r in left.collect()]
     assert len(texts) == len(set(texts)) == len({(t or "").translate(ASCII) for _, t, *_ in corpus()})
+    best = {(t or "").translate(ASCII): -1 for _, t, *_ in corpus()}
+    for i, t, *_ in corpus():
+        best[(t or "").translate(ASCII)] = max(best[(t or "").translate(ASCII)], -1 if i is None else i)
+    assert {(r.text or "").translate(ASCII): -1 if r.doc_id is None else r.doc_id for r in left.collect()} == best
 
 
 # 2 ------------------------------------------------------------------------------------------------
@@ -196,6 +237,47 @@ def test_reply_trees_rank_branches(spark):
     assert len(chat.parse(chat.format_paths(m)).filter("tree = 3").first().turns) == 37
 
 
+def tree_paths(rows):
+    """Brute force of the best path of each root: {(tree, root): (leaf, score, texts)}."""
+    first: dict = {}
+    for t, n, p, s, x in rows:
+        kept = first.get((t, n))
+        new = ((p is not None, p or 0), (s is not None, s or 0.0), x)
+        first[t, n] = min(kept, new) if kept else new
+    got: dict = {}
+    parents = {(t, m[0][1]) for (t, _), m in first.items() if m[0][0]}
+    for t, n in first:
+        if (t, n) in parents:
+            continue
+        way, at, ended = [], n, False
+        while not ended and len(way) <= len(first):
+            way.append(at)
+            known, at = first[t, at][0]
+            ended = not known or (t, at) not in first
+        if ended:
+            score = sum(first[t, k][1][1] for k in way)
+            best = got.get((t, way[-1]))
+            new = (-score, n is not None, n or 0, [first[t, k][2] for k in reversed(way)])
+            got[t, way[-1]] = min(best, new) if best else new
+    return {k: (v[2] if v[1] else None, -v[0], v[3]) for k, v in got.items()}
+
+
+def test_reply_trees_with_cycles_and_repeated_nodes(spark):
+    """Six nodes, each twice; cycles and what hangs below them; null nodes, scores and parents; a deep stem with many leaves."""
+    rows = [(1, i, i - 1 if i else None, 1.0, f"m{i}") for i in range(6)] * 2
+    rows += [(2, 0, 2, 1.0, "a"), (2, 1, 0, 1.0, "b"), (2, 2, 1, 1.0, "c"), (2, 3, 2, 9.0, "below"), (2, 4, None, 1.0, "root"), (2, 5, 5, 1.0, "own")]
+    rows += [(3, 0, None, None, "r"), (3, None, 0, 2.0, "no node"), (3, 1, 0, None, "x"), (None, 7, None, 0.0, "no tree"), (None, 8, 7, 0.0, "reply")]
+    rows += [(4, i, i - 1 if i else None, 1.0, f"s{i}") for i in range(70)] + [(4, 100 + i, 69, float(i), f"leaf {i}") for i in range(40)]
+    rows += [(5, 0, None, 1.0, "b"), (5, 0, None, 1.0, "a"), (5, 1, 0, 2.0, "z"), (5, 1, 0, 1.0, "y")]
+    m = spark.createDataFrame([(t, n, p, "user", x, s) for t, n, p, s, x in rows], "tree long, node long, parent long, role string, text string, score double")
+    want = tree_paths(rows)
+    chosen = {(r.tree, r.root): (r.leaf, r.branch_score, r.turns) for r in chat.choose(m).collect()}
+    assert chosen == {k: (leaf, score, len(texts)) for k, (leaf, score, texts) in want.items()}
+    told = {(r.tree, r.leaf): [x.text for x in r.turns] for r in chat.parse(chat.format_paths(m)).collect()}
+    assert told == {(t, leaf): texts for (t, _), (leaf, _, texts) in want.items()}
+    assert chat.choose(m.limit(0)).count() == 0
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 PROSE = "This is a paragraph of the article that has some words in it and that goes on for a while, as articles do."
@@ -377,13 +459,25 @@ def test_near_duplicates(docs, empty):
     want = sorted(str((i, f, c)) for (i, f), c in zip(fps, classes(fps, 4), strict=True))
     assert sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in simhash.near_duplicates(docs).collect()) == want
     assert simhash.near_duplicates(empty).count() == 0
-    left = simhash.drop_near_duplicates(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    assert left.columns == docs.columns and left.count() == len({c for c in classes([f for f in fps if f[0] is not None], 4)})
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, {c for c in classes(fps, 4)}))
+
 
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    same, other = " ".join(f"w{i}" for i in range(300)), " ".join(f"v{i}" for i in range(300))
+    rows = [(None, same), (None, same + " x"), (5, same), (5, same), (5, other), (6, other + " y"), (None, "alone here it is a text"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("key_1", "_key_1", "fp", "best")})
+    assert len(set(classes([(0, f) for _, f in prints(rows[:4])], 4))) == len(set(classes([(0, f) for _, f in prints(rows[4:6])], 4))) == 1
+    left = simhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in left.collect())
+    assert got == sorted([("5", same), ("5", other), ("None", "alone here it is a text"), ("None", "")])
 
-@pytest.mark.parametrize("leaf,tile", [(8, 16), (1024, 8192), (8, 4)])
-def test_links_are_exact_in_clusters_and_chains(spark, leaf, tile):
-    """Clusters, long chains of single flips and noise, under trees and tiles of any size."""
+
+@pytest.mark.parametrize("bits,shard,hot,small", [(4, 8, 60, 4), (4, 1024, 8192, 256), (4, 128, 40, 16), (2, 64, 80, 4), (5, 64, 80, 4), (1, 64, 60, 4)])
+def test_links_are_exact_in_clusters_and_chains(spark, bits, shard, hot, small):
+    """Clusters, long chains of single flips and noise, under trees and shards of any size, hot ones split by other blocks and chunks."""
     r = random.Random(9)
     fps = {r.getrandbits(64) for _ in range(150)}
     for _ in range(6):
@@ -396,13 +490,27 @@ def test_links_are_exact_in_clusters_and_chains(spark, leaf, tile):
     fps |= {0, 2**64 - 1, 1, 2**63}
     rows = [(i, f) for i, f in enumerate(sorted(fps))]
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for _, f in rows], "fp long")
-    got = {x.node % 2**64: x.label for x in simhash.components(simhash.links(df, 4, leaf=leaf, tile=tile)).collect()}
-    want = classes(rows, 4)
+    got = {x.node % 2**64: x.label for x in simhash.components(simhash.links(df, bits, shard, hot, small)).collect()}
+    want = classes(rows, bits)
     for (i, f), c in zip(rows, want, strict=True):
         for (j, g), d in zip(rows[:i], want[:i], strict=True):
             assert (got.get(f, ("", f)) == got.get(g, ("", g))) == (c == d)
 
 
+def test_shards_stay_small_and_balls_reach_few(capsys):
+    """A million fingerprints in 128 shards a block: none takes over four times its share, and reach grows slowly with depth."""
+    fps = np.random.default_rng(3).integers(0, 2**64, 2**20, dtype=np.uint64)
+    mask, reached = simhash.block_masks(3)[0], {}
+    for depth in (5, 7, 12):
+        tree = simhash.VantageTree(fps[: simhash.SAMPLE * 2**depth], mask, depth, 1)
+        row, shard, home = tree.route(fps)
+        assert home.sum() == len(fps) and len(np.unique(row[home])) == len(fps)
+        if depth == 7:
+            assert np.bincount(shard[home]).max() <= 4 * 2**20 / 2**7
+        reached[depth] = len(row) / len(fps)
+    assert reached[5] <= 3.2 and reached[7] <= 4.5 and reached[12] <= 8  # 23 points: never more
+
+
 # all ----------------------------------------------------------------------------------------------
 
 
