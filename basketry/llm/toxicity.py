@@ -34,7 +34,7 @@ from basketry.llm.workspace import map_rows, small_batches, written
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Buckets of hashed terms, and those of them with weights, at most.
-BUCKETS, ACTIVE, PARTNERS = 2**20, 8192, 2048
+BUCKETS, ACTIVE, PARTNERS = 2**20, 8192, 256
 #: Rows of the sample that a bucket occurs in, at least.
 LEAST = 3
 #: Standard deviations that a bucket's toxic count lies above its expectation, at least.
