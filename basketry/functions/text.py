@@ -143,18 +143,48 @@ def fold_words(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(words, fold), lambda w: F.length(w) > 1)))
 
 
+# How names state the pieces of a package, first the multiplier with a unit, then pieces by word, containers
+# before and after the number, a bare multiplier, rolls; names without Cyrillic letters are addresses in Latin letters.
+_UNIT_AFTER = r"\s*(?:г|гр|кг|мл|л|шт|g|gr|kg|ml|l|sht)(?![а-яёa-z])"
+_NOT_SIZE = r"(?!\d|[.,]\d|\s*[xх×*]\s*\d|\s*(?:см|мм|м|cm|mm|sm|m)(?![\p{L}\d_]))"
+_PACK_NUMBER = r"(?!\d|[.,]\d)(?!\s*(?:г|гр|кг|мг|мл|л|шт|см|мм|м|%|g|gr|kg|ml|l)(?![а-яёa-z]))"
+_TIMES_LATIN = r"(?:\s*kh\s*|h|\s+h\s+|\s*[x*]\s*)"
+_CASE_LATIN = "upakovka|upak|up|korobka|kor|pak|blok|but(?:yl(?:ok|ki|ka))?|ban(?:ok|ki|ka)?|pach(?:ek|ki|ka)"
+_IN_ONE = r"(?U)(?:(?<![\d.,])\d{1,2}|\ball|\bвсе|\bвсё)\s*-?\s*(?:в|in|v)\s*-?\s*1(?![\d.,])"
+_PIECES = (
+    r"(?<![\d.,])(\d{1,3})\s*(?:шт|пак(?:етик(?:ов|а|и)?|ет(?:ов|а|ы)?)?|капсул|саше|стик(?:ов|а|и)?|пирамид(?:ок|ки|ка)?|таблет(?:ок|ки|ка)?)\.?(?![а-яё])",
+    r"(?<![\d.,])(\d{1,3})\s*(?:sht|st(?!\s*b\b)|paketikov|paketika|pak|kapsul|sashe|sase|stikov|piramidok|tabletok)(?![a-z])",
+)
+_PACKS = (
+    [
+        r"(?<![\d.,])(\d{1,3})\s*[xх×*]\s*\d+(?:[.,]\d+)?" + _UNIT_AFTER,
+        r"[xх×*]\s*(\d{1,3})\s*шт",
+        _PIECES[0],
+        r"(?<![\d.,])(\d{1,3})\s*(?:бут(?:ыл(?:ок|ки|ка))?|уп(?:ак(?:овк[аи]|овок)?)?|кор(?:об(?:ок|ки|ка))?|бан(?:ок|ки|ка)|пач(?:ек|ки|ка))\.?(?![а-яё])",
+        r"(?<![а-яё])(?:упаковка|упак|уп|коробка|кор|пак|блок)(?![а-яё])\.?\s*(?:по\s+)?(\d{1,2})" + _PACK_NUMBER,
+        r"(?:г|гр|кг|мл|л)\.?\s*[xх×*]\s*(\d{1,3})" + _PACK_NUMBER,
+        r"(?<![\d.,])(\d{1,2})\s*[xх×*]\s*\d+(?:[.,]\d+)?" + _NOT_SIZE,
+        r"(?<![\d.,])(\d{1,3})\s*(?:рулон(?:ов|а)?|рул)\.?(?![а-яё])",
+    ],
+    [
+        r"(?<![\d.,])(\d{1,3})" + _TIMES_LATIN + r"\d+(?:[.,]\d+)?" + _UNIT_AFTER,
+        r"(?:[x*]|kh|h)\s*(\d{1,3})\s*(?:sht|st(?!\s*b\b))(?![a-z])",
+        _PIECES[1],
+        rf"(?<![\d.,])(\d{{1,3}})(?:\s+|\.)\s*(?:{_CASE_LATIN})\.?(?![a-z])",
+        rf"(?<![a-z\d])(?:{_CASE_LATIN})(?![a-z])\.?\s*(?:po\s+)?(\d{{1,2}})" + _PACK_NUMBER,
+        r"(?:g|gr|kg|ml|l)\.?\s*" + _TIMES_LATIN + r"(\d{1,3})" + _PACK_NUMBER,
+        r"(?<![\d.,])(\d{1,2})" + _TIMES_LATIN + r"\d+(?:[.,]\d+)?" + _NOT_SIZE,
+        r"(?<![\d.,])(\d{1,3})\s*(?:rulonov|rulona|rulon|rul)(?![a-z])",
+    ],
+)
+
+
 def pack_count(name: Column) -> Column:
     """Pieces in a package; one where the name does not say."""
     s = F.lower(F.coalesce(name, F.lit("")))
-    joined = F.regexp_replace(s, r"(?:(?<![\d.,])\d{1,2}|\ball|все|всё)\s*-?\s*(?:в|in|v)\s*-?\s*1(?![\d.,])", " ")
-    rules = (
-        _first(s, r"(?<![\d.,])(\d{1,3})\s*[xх*×]\s*\d+(?:[.,]\d+)?\s*(?:г|гр|кг|мл|л|g|gr|kg|ml|l)(?![а-яa-z])"),
-        _first(s, r"\d\s*(?:г|гр|кг|мл|л|g|gr|kg|ml|l)\.?\s*(?:[xх*×]|kh)\s*(\d{1,3})(?![\d.,а-яa-z])"),
-        _first(joined, r"(?<![\d.,])(\d{1,3})\s*(?:шт|штук|пакетик|пак|капсул|таб|саше|стик|sht|pcs)"),
-        _first(s, r"(?<![а-яa-z\d])(?:упаковка|упак|уп|коробка|кор|блок|upakovka|upak|up|korobka|kor|blok)\.?\s*(?:по\s+|po\s+)?(\d{1,2})(?![\d.,])"),
-        _first(s, r"(?<![\d.,])(\d{1,3})\s*(?:рулон|рул|rulon|rul)"),
-    )
-    return F.greatest(F.lit(1), F.coalesce(*[r.try_cast("int") for r in rules], F.lit(1)))
+    plain = F.regexp_replace(s, _IN_ONE, " ")  # "3 in 1" states no pieces
+    cyrillic, latin = (F.coalesce(*[_first(plain if p in _PIECES else s, p).try_cast("int") for p in rules], F.lit(1)) for rules in _PACKS)
+    return F.greatest(F.lit(1), F.when(s.rlike("[а-яё]"), cyrillic).otherwise(latin))
 
 
 def parse_percent(name: Column) -> Column:

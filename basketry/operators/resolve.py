@@ -1,17 +1,22 @@
 """Which listings of different chains are one item.
 
 Rows are prepared once, brought together by a trusted barcode or by a shared rare word (their first two folded words
-have to overlap), compared under guards, joined into components and repaired. Rows with the same comparison facts are compared once, through a representative.
+have to overlap), compared under guards and joined into components. Components are no items yet, as likeness does not carry
+over: each is cut so that every member is the seed's product by itself and contradicts nothing that the group has gathered;
+then barcode twins are gathered again where nothing of the group contradicts them. Rows with the same comparison facts are
+compared once, through a representative, and only components of three or more representatives leave the JVM.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import text as t
-from basketry.functions.prices import weights_agree
+from basketry.functions.prices import WEIGHT_TOLERANCE, weights_agree
 from basketry.operators.graph import components
 from basketry.session import in_buckets, written
 
@@ -22,7 +27,7 @@ DESCRIPTORS = (
     "классический классическая традиционное традиционный традиционная напиток"
 ).split()
 SILENT_WORDS = "пэт pet тп тба бзмж беззмж безгмо без весов весовой весовая весовое весовые жб стб плб вкусом для".split() + t.SERVICE_WORDS
-FACTS = ["unit", "weight_g", "packs", "pct", "pct_low", "marks", "brand_words", "fwords", "numbers"]
+FACTS = ["unit", "weight_g", "packs", "pct", "pct_low", "marks", "brand_words", "known", "fwords", "numbers", "words", "bkey", "chain"]
 
 
 def prepare(catalog: DataFrame) -> DataFrame:
@@ -32,7 +37,7 @@ def prepare(catalog: DataFrame) -> DataFrame:
     noise = F.array(*[t.fold(F.lit(w)) for w in SILENT_WORDS])
     words = F.filter(t.ordered_words(F.concat_ws(" ", name, "brand")), lambda w: ~F.array_contains(noise, t.fold(w)))
     own_code = F.when(t.gtin_trusted(code), code).when(code.isNotNull(), F.concat_ws("#", "chain", code))
-    return catalog.select(
+    rows = catalog.select(
         "id", "chain", "name", "unit", code.alias("gtin"), own_code.alias("bkey"),
         F.coalesce("weight_g", t.weight_g(F.col("name"))).alias("weight_g"), t.pack_count(F.col("name")).alias("packs"),
         t.parse_percent(F.col("name")).alias("pct"), t.parse_percent_low(F.col("name")).alias("pct_low"),
@@ -40,6 +45,16 @@ def prepare(catalog: DataFrame) -> DataFrame:
         t.fold_words(t.ordered_words(F.col("brand"))).alias("brand_words"), F.array_sort(words).alias("words"),
         F.array_distinct(F.filter(F.transform(words, t.fold), lambda w: F.length(w) > 1)).alias("forder"), t.fold_words(words).alias("fwords"),
     )
+    return with_known_brands(rows)
+
+
+def with_known_brands(rows: DataFrame) -> DataFrame:
+    """``known``: those of a row's words that are a brand of any row of the catalogue."""
+    rows = written(rows, "resolve-facts")
+    vocabulary = rows.select(F.explode("brand_words").alias("word")).distinct()
+    spoken = rows.select(F.explode("fwords").alias("word")).distinct().join(vocabulary, "word", "left_semi")
+    found = rows.select("id", F.explode("fwords").alias("word")).join(spoken, "word", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("known"))
+    return rows.join(found, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -65,32 +80,126 @@ def same_product(a: str = "a", b: str = "b") -> Column:
     """struct ok, method, score. A barcode decides, with the piece-in-a-case exception; then words under the guards."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     extra = F.array(*[t.fold(F.lit(w)) for w in DESCRIPTORS])
-    coded = x("bkey").isNotNull() & y("bkey").isNotNull() & (F.length(x("bkey")) == 14) & (F.length(y("bkey")) == 14)
+    coded = (x("chain") == y("chain")) | ((F.length(x("bkey")) == 14) & (F.length(y("bkey")) == 14))
+    coded = F.coalesce(coded & x("bkey").isNotNull() & y("bkey").isNotNull(), F.lit(False))
     same_code, same_load = x("bkey") == y("bkey"), t.item_payload(x("bkey")) == t.item_payload(y("bkey"))
+    within = lambda p, q: F.size(F.array_except(p, q)) == 0
+    inside = lambda c: within(x(c), y(c)) | within(y(c), x(c))
     more = F.array_union(F.array_except(x("fwords"), y("fwords")), F.array_except(y("fwords"), x("fwords")))
-    inside = (F.size(F.array_except(x("fwords"), y("fwords"))) == 0) | (F.size(F.array_except(y("fwords"), x("fwords"))) == 0)
     some = (F.size(x("fwords")) > 0) & (F.size(y("fwords")) > 0)
     sized = x("weight_g").isNotNull() & y("weight_g").isNotNull()
-    branded = inside & sized & (F.size(F.array_except(more, F.array_union(x("brand_words"), y("brand_words")))) == 0)
-    described = inside & (F.size(F.array_except(more, extra)) == 0)
-    out = lambda ok, method, score: F.struct(F.lit(ok).alias("ok"), F.lit(method).alias("method"), F.lit(score).alias("score"))
+    shared = F.array_intersect(x("fwords"), y("fwords"))  # of two lists, one inside the other: the shorter one
+    branded = F.arrays_overlap(shared, F.concat(x("known"), y("known"), x("brand_words"), y("brand_words")))
+    out = lambda ok, method, score: F.struct(F.lit(ok).alias("ok"), F.lit(method).alias("method"), score.alias("score"))
+    sure = lambda high, low: F.when(sized, high).otherwise(low)
     return (
-        F.when(coded & same_code, out(True, "barcode", 1.0))
-        .when(coded & ~same_load, out(False, "barcode", 0.0))
-        .when(~compatible(a, b) | ~some, out(False, "guard", 0.0))
-        .when(x("words") == y("words"), out(True, "words", 0.98))
-        .when(x("fwords") == y("fwords"), out(True, "folded", 0.95))
-        .when(branded, out(True, "brand", 0.9))
-        .when(described, out(True, "described", 0.85))
-        .otherwise(out(False, "words", 0.0))
+        F.when(coded & same_code, out(True, "barcode", F.lit(1.0)))
+        .when(coded & ~same_load, out(False, "barcode", F.lit(0.0)))
+        .when(~compatible(a, b) | ~some, out(False, "guard", F.lit(0.0)))
+        .when(x("words") == y("words"), out(True, "words", sure(0.95, 0.8)))
+        .when(inside("words") & sized & branded, out(True, "brand", F.lit(0.85)))
+        .when(x("fwords") == y("fwords"), out(True, "folded", sure(0.9, 0.75)))
+        .when(inside("fwords") & sized & branded & within(more, extra), out(True, "described", F.lit(0.8)))
+        .otherwise(out(False, "words", F.lit(0.0)))
     )
 
 
+class Fact:
+    """A prepared row inside a Python worker, for components that have to be cut."""
+
+    def __init__(self, r: dict, extra: frozenset[str]):
+        self.r, self.extra = r, extra
+        self.sets = {c: frozenset(r[c]) for c in ("words", "fwords", "marks", "brand_words", "known", "numbers")}
+        self.number = {c: None if pd.isna(r[c]) else r[c] for c in ("weight_g", "pct", "pct_low", "packs")}
+        self.unit, self.bkey, self.chain = (None if pd.isna(r[c]) else r[c] for c in ("unit", "bkey", "chain"))
+        self.words, self.detail = list(r["words"]), (len(r["words"]), r["letters"])
+
+    def trusted(self) -> bool:
+        return self.bkey is not None and len(self.bkey) == 14
+
+    def agrees(self, o: Fact) -> bool:
+        """As :func:`compatible`."""
+        far = lambda c, least: self.number[c] is not None and o.number[c] is not None and abs(self.number[c] - o.number[c]) >= least
+        loose = [f.unit == "kg" and f.number["weight_g"] is None for f in (self, o)]
+        packed = [f.unit != "kg" and f.number["weight_g"] is not None for f in (self, o)]
+        w, v = self.number["weight_g"], o.number["weight_g"]
+        return not (
+            (self.unit and o.unit and self.unit != o.unit) or (loose[0] and packed[1]) or (loose[1] and packed[0])
+            or (w is not None and v is not None and abs(w - v) > WEIGHT_TOLERANCE * max(w, v)) or self.number["packs"] != o.number["packs"]
+            or far("pct", 0.05) or far("pct_low", 0.05) or self.numbers_clash(o) or self.sets["marks"] != o.sets["marks"]
+            or (self.sets["brand_words"] and o.sets["brand_words"] and not self.sets["brand_words"] & o.sets["brand_words"])
+        )
+
+    def numbers_clash(self, o: Fact) -> bool:
+        mine, other = self.sets["numbers"], o.sets["numbers"]
+        return (self.number["pct"] is None) != (o.number["pct"] is None) and bool(mine) and bool(other) and not mine & other
+
+    def is_product_of(self, o: Fact) -> bool:
+        """As :func:`same_product`."""
+        if self.bkey and o.bkey and (self.chain == o.chain or (self.trusted() and o.trusted())):
+            if self.bkey == o.bkey:
+                return True
+            if self.bkey[1:13] != o.bkey[1:13]:
+                return False
+        words, folded = (self.sets["words"], o.sets["words"]), (self.sets["fwords"], o.sets["fwords"])
+        if not folded[0] or not folded[1] or not self.agrees(o):
+            return False
+        if self.words == o.words or folded[0] == folded[1]:
+            return True
+        sized = self.number["weight_g"] is not None and o.number["weight_g"] is not None
+        brands = self.sets["known"] | o.sets["known"] | self.sets["brand_words"] | o.sets["brand_words"]
+        if not sized or not folded[0] & folded[1] & brands:
+            return False
+        inside = lambda p, q: p <= q or q <= p
+        return inside(*words) or inside(*folded) and folded[0] ^ folded[1] <= self.extra
+
+
+def cut_component(facts: list[Fact]) -> list[list[Fact]]:
+    """Groups in which every member is the seed's product and contradicts no fact that the members before it have stated.
+
+    The seed has the most words, then the longest name, then comes first. Twins by a trusted barcode that were parted are
+    gathered where more of them are, unless a member there contradicts them.
+    """
+    groups, left = [], sorted(facts, key=lambda f: f.detail, reverse=True)
+    while left:
+        seed, rest = left[0], []
+        group = [seed]
+        stated = {c: seed.number[c] for c in ("pct", "pct_low")} | {"packs": seed.number["packs"] if seed.number["packs"] > 1 else None, "marks": seed.sets["marks"]}
+        numbers = {(seed.number["pct"] is None, seed.sets["numbers"]): seed}
+        for f in left[1:]:
+            packs = f.number["packs"] if f.number["packs"] > 1 else None
+            told = {c: f.number[c] for c in ("pct", "pct_low")} | {"packs": packs, "marks": f.sets["marks"]}
+            apart = any(stated[c] is not None and told[c] is not None and abs(stated[c] - told[c]) >= 0.05 for c in ("pct", "pct_low"))
+            apart |= any(bool(stated[c]) and bool(told[c]) and stated[c] != told[c] for c in ("packs", "marks"))
+            if apart or any(f.numbers_clash(k) for k in numbers.values()) or not seed.is_product_of(f):
+                rest.append(f)
+                continue
+            group.append(f)
+            stated = {c: told[c] if stated[c] is None or c == "marks" and not stated[c] else stated[c] for c in stated}
+            numbers.setdefault((f.number["pct"] is None, f.sets["numbers"]), f)
+        groups.append(group)
+        left = rest
+    held: dict[str, Counter] = defaultdict(Counter)
+    for n, group in enumerate(groups):
+        for f in group:
+            if f.trusted():
+                held[f.bkey][n] += f.r["copies"]
+    home = {code: min(at, key=lambda n: (-at[n], n)) for code, at in held.items() if len(at) > 1}
+    now = [list(group) for group in groups]
+    for n, group in enumerate(groups if home else []):
+        for f in group:
+            to = home.get(f.bkey, n)
+            if to != n and all(f.agrees(o) for o in now[to]):
+                now[n].remove(f)
+                now[to].append(f)
+    return [group for group in now if group]
+
+
 def match_edges(rows: DataFrame) -> DataFrame:
     """Links (a, b, method, score) of prepared rows. Barcodes link to their first row, word blocks through representatives."""
     by_code = rows.filter("bkey is not null").groupBy("bkey").agg(F.min("id").alias("a"))
     coded = rows.filter("bkey is not null").join(by_code, "bkey").filter("id <> a").select("a", F.col("id").alias("b"), F.lit("barcode").alias("method"), F.lit(1.0).alias("score"))
-    keyed = rows.withColumn("facts", F.xxhash64(*FACTS, "words", "bkey", "chain"))
+    keyed = rows.withColumn("facts", F.xxhash64(*FACTS))
     first = keyed.groupBy("facts").agg(F.min("id").alias("rep"))
     keyed = written(keyed.join(first, "facts"), "resolve-rows")
     copies = keyed.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same").alias("method"), F.lit(1.0).alias("score"))
@@ -113,51 +222,26 @@ def cluster(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def split_chained(rows: DataFrame, members: DataFrame, barcode_rules: bool = True) -> DataFrame:
-    """id, item: components cut where members contradict one another.
+def split_chained(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """id, item (its smallest id): components cut where members are not the seed's product; see :func:`cut_component`.
 
-    The seed has the most words, then the longest name, then the smallest id; members join while they contradict neither
-    the seed nor what the group has gathered, the rest seeds anew. A barcode shared with a member always joins.
+    Components of one or two kinds of rows are whole as they are. Of the others one representative of each kind travels.
     """
-
-    def clash(group: dict, r: dict) -> bool:
-        for c in ("unit", "pct", "packs"):
-            if pd.notna(r[c]) and any(abs(v - r[c]) >= 0.05 if c == "pct" else v != r[c] for v in group[c]):
-                return True
-        if pd.notna(r["weight_g"]) and any(abs(v - r["weight_g"]) > 0.2 * max(v, r["weight_g"]) for v in group["weight_g"]):
-            return True
-        if any(tuple(r["marks"]) != m for m in group["marks"]):
-            return True
-        return len(r["brand_words"]) > 0 and any(not set(r["brand_words"]) & set(m) for m in group["brand"])
+    extra = [r[0] for r in rows.sparkSession.range(1).select(F.explode(F.array(*[t.fold(F.lit(w)) for w in DESCRIPTORS]))).collect()]  # fixed words
 
     def cut(b: pd.DataFrame) -> list[tuple]:
-        left, out = b.to_dict("records"), []
-        left.sort(key=lambda r: (-len(r["words"]), -len(r["name"] or ""), r["id"]))
-        while left:
-            group = {c: [] for c in ("unit", "pct", "packs", "weight_g", "marks", "brand", "codes")}
-            rest = []
-            for r in left:
-                coded = barcode_rules and pd.notna(r["bkey"]) and r["bkey"] in group["codes"]
-                if group["marks"] and not coded and clash(group, r):
-                    rest.append(r)
-                    continue
-                out.append((r["id"], left[0]["id"]))
-                for c in ("unit", "pct", "packs", "weight_g"):
-                    if pd.notna(r[c]):
-                        group[c].append(r[c])
-                group["marks"].append(tuple(r["marks"]))
-                if len(r["brand_words"]):
-                    group["brand"].append(tuple(r["brand_words"]))
-                if pd.notna(r["bkey"]):
-                    group["codes"].append(r["bkey"])
-            left = rest
-        return out
-
-    placed = rows.join(members, "id")
-    big = placed.groupBy("component").count().filter("count > 1").select("component")
-    some = placed.join(big, "component", "left_semi").select("component", "id", "name", "unit", "weight_g", "packs", "pct", "marks", "brand_words", "words", "bkey")
-    alone = placed.join(big, "component", "left_anti").select("id", F.col("id").alias("item"))
-    return alone.unionByName(in_buckets(written(some, "chained"), "component", cut, "id long, item long"))
+        facts = [Fact(r, frozenset(extra)) for r in b.sort_values("id").to_dict("records")]
+        return [(f.r["id"], min(o.r["id"] for o in group)) for group in cut_component(facts) for f in group]
+
+    placed = written(rows.select("id", "name", *FACTS).join(members, "id").withColumn("facts", F.xxhash64(*FACTS)), "resolve-placed")
+    kinds = placed.groupBy("component", "facts").agg(F.min("id").alias("rep"), F.max(F.length(F.coalesce("name", F.lit("")))).alias("letters"), F.count(F.lit(1)).alias("copies"))
+    kinds = written(kinds, "resolve-kinds")
+    big = kinds.groupBy("component").count().filter("count > 2").select("component")
+    whole = placed.join(big, "component", "left_anti").select("id", F.col("component").alias("item"))
+    some = kinds.join(big, "component", "left_semi").join(placed.select(F.col("id").alias("rep"), *FACTS), "rep").withColumnRenamed("rep", "id")
+    parts = written(in_buckets(written(some, "chained"), "component", cut, "id long, item long"), "resolve-parts")
+    spread = placed.select("id", "component", "facts").join(kinds.select("component", "facts", "rep"), ["component", "facts"])
+    return whole.unionByName(spread.join(parts.withColumnRenamed("id", "rep"), "rep").select("id", "item"))
 
 
 def canonical(rows: DataFrame, items: DataFrame) -> DataFrame:
