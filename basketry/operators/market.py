@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.functions.prices import SANE_FROM, SANE_HIGH, SANE_LOW, upper_median
+from basketry.functions.prices import SANE_FROM, SANE_HIGH, SANE_LOW
 from basketry.functions.text import placeholder_sku
 
 
 def with_sanity(offers: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
     """``sane``: false for a price outside 20-500 % of its group's upper median, where three or more have a price."""
+    # the middle price by its rank: one sort of a group, and no row holds all prices of its group
     g = Window.partitionBy(*keys)
-    out = offers.withColumn("_all", F.collect_list(price).over(g)).withColumn("_m", upper_median(F.col("_all")))
-    fits = F.col(price).between(F.col("_m") * SANE_LOW, F.col("_m") * SANE_HIGH)
-    out = out.withColumn("_fit", fits).withColumn("_any", F.max("_fit").over(g))
-    return out.withColumn("sane", (F.size("_all") < SANE_FROM) | ~F.coalesce("_any", F.lit(False)) | F.coalesce("_fit", F.lit(False))).drop("_all", "_m", "_fit", "_any")
+    ranked = offers.withColumn("_n", F.count(price).over(g)).withColumn("_at", F.row_number().over(g.orderBy(F.col(price).asc_nulls_last())))
+    middle = F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col(price))
+    out = ranked.withColumn("_m", F.max(middle).over(g)).withColumn("_fit", F.col(price).between(F.col("_m") * SANE_LOW, F.col("_m") * SANE_HIGH)).withColumn("_any", F.max("_fit").over(g))
+    return out.withColumn("sane", (F.col("_n") < SANE_FROM) | ~F.coalesce("_any", F.lit(False)) | F.coalesce("_fit", F.lit(False))).drop("_n", "_at", "_m", "_fit", "_any")
 
 
 def cheapest(offers: DataFrame, keys: list[str], shop: str, price: str = "price") -> DataFrame:
@@ -36,18 +37,15 @@ def real_skus(products: DataFrame) -> DataFrame:
     return products.filter(~placeholder_sku(F.col("sku"), F.col("chain")))
 
 
-#: Shops that a product may be set against one by one.
-MOST_SHOPS = 1000
+#: Slices that shops are dealt to where every row meets every shop.
+SLICES = 64
 
 
 def in_each(rows: DataFrame, shops: DataFrame, shop: str) -> DataFrame:
-    """Every row once for each shop. A handful of shops is part of the question; more than ``MOST_SHOPS`` is an error."""
-    codes = [r[0] for r in shops.select(shop).distinct().limit(MOST_SHOPS + 1).collect()]
-    if len(codes) > MOST_SHOPS:
-        raise ValueError(f"more than {MOST_SHOPS} shops")
-    kind = shops.schema[shop].dataType
-    every = F.array(*[F.lit(c).cast(kind) for c in sorted(codes)]) if codes else F.array().cast(f"array<{kind.simpleString()}>")
-    return rows.withColumn(shop, F.explode(every))
+    """Every row once for each shop, which is what such a question asks for. Rows and shops meet by slices of the shops,
+    so any number of shops will do and no slice has all of them."""
+    dealt = shops.select(shop).distinct().withColumn("_slice", F.pmod(F.xxhash64(shop), F.lit(SLICES)).cast("int"))
+    return rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(dealt, "_slice").drop("_slice")
 
 
 def missing_pairs(items: DataFrame, shops: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,8 +89,8 @@ def comparable_items(catalog: DataFrame, least: int = 2, fresh: Column | None =
 def waiting_comparisons(catalog: DataFrame) -> DataFrame:
     """Items that two chains list while only one has a price, with the chain that is waited for."""
     live = catalog.filter(F.col("active") & F.col("item_id").isNotNull())
-    one = live.filter("price is not null").groupBy("item_id").agg(F.countDistinct("chain").alias("n")).filter("n = 1").select("item_id")
-    return live.filter("price is null").join(one, "item_id", "left_semi").select("item_id", "chain").distinct()
+    one = live.filter("price is not null").groupBy("item_id").agg(F.countDistinct("chain").alias("n"), F.min("chain").alias("priced")).filter("n = 1")
+    return live.filter("price is null").join(one, "item_id").filter("chain <> priced").select("item_id", "chain").distinct()
 
 
 def price_for_me(catalog_price: DataFrame, point_price: DataFrame, keys: list[str], point_chains: list[str]) -> DataFrame:

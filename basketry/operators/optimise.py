@@ -9,17 +9,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from basketry.functions.prices import delivery, offer_discount
 from basketry.operators.market import with_sanity
-from basketry.session import in_buckets
+from basketry.session import by_bucket
 
 #: Lines of one basket with a choice of store that every split is tried for, and splits of three or more stores, at most;
 #: beyond that a basket is searched from several starts.
 EXACT_LINES, EXACT_SPLITS = 22, 4_000_000
 #: Splits that are held in memory at once.
 BLOCK = 1 << 16
+#: Splits of a basket up to which baskets of equal size are searched together, and splits of them at once.
+MOST_TOGETHER, TOGETHER = 1024, 1 << 18
 BELOW_MINIMUM = 1e9
 SHOP_FIELDS = ["fee", "free_from", "min_order", "penalty", "percent", "cap", "min_check", "cap_used"]
 
@@ -113,42 +116,99 @@ def _assign(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[flo
     return best, kept
 
 
+def _best_splits(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of each basket and a store for each of its lines; ``pay`` and ``choice`` are baskets x lines x stores in
+    kopecks, inf where unavailable. Every split of every basket is tried; lines that no store has cost nothing."""
+    n, lines, m = pay.shape
+    digits = (np.arange(m**lines) // m ** np.arange(lines)[:, None]) % m
+    some = np.isfinite(choice).any(2)
+    cost, wrong = np.zeros((n, m**lines)), np.zeros((n, m**lines))
+    for j in range(m):
+        at, here = (digits == j).astype(float), np.isfinite(choice[:, :, j])
+        cost += _cost(np.where(here, pay[:, :, j], 0) @ at, shops[j])
+        cost += np.where(here, choice[:, :, j] - np.where(here, pay[:, :, j], 0), 0) @ at
+        wrong += (some & ~here).astype(float) @ at
+    cost[wrong > 0] = np.inf
+    k = cost.argmin(1)
+    return cost[np.arange(n), k], digits[:, k].T
+
+
 def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, keep: int = 3) -> DataFrame:
-    """The best variants of every basket: rank, stores, missing lines, cost (kopecks, with penalties), lines by store.
+    """The best variants of every basket: rank, stores, missing lines, cost (kopecks, with penalties), exact, lines by store.
 
     ``lines``: basket_id, product_id, store, value, adjust, in_stock; ``stores``: store and SHOP_FIELDS. Stores are
-    searched in full up to EXACT_LINES lines with a choice, three or more also up to EXACT_SPLITS splits. Variants that use the same stores count once.
+    searched in full up to EXACT_LINES lines with a choice, three or more also up to EXACT_SPLITS splits; ``exact`` is
+    false for a basket some of whose stores were not. Variants that use the same stores count once. Small baskets of
+    equal size are searched together.
     """
-    schema = "basket_id long, rank int, stores array<string>, missing int, cost long, assigned array<struct<product_id:long,store:string>>"
-
-    def solve(b: pd.DataFrame) -> list[tuple]:
-        lines = b.to_dict("records")
-        info = {r["store"]: r for r in lines}
-        products, shops = sorted({r["product_id"] for r in lines}), sorted(info)
-        pay, choice = np.full((len(products), len(shops)), np.inf), np.full((len(products), len(shops)), np.inf)
-        at_product, at_shop = {p: i for i, p in enumerate(products)}, {s: j for j, s in enumerate(shops)}
-        for r in lines:
-            if pd.notna(r["value"]) and (pd.isna(r["in_stock"]) or r["in_stock"]):
-                cell = at_product[r["product_id"]], at_shop[r["store"]]
-                pay[cell] = round(100 * r["value"])
-                choice[cell] = round(100 * (r["value"] + (r["adjust"] if pd.notna(r["adjust"]) else 0)))
-        found: dict[tuple, tuple] = {}
+    schema = "basket_id long, rank int, stores array<string>, missing int, cost long, exact boolean, assigned array<struct<product_id:long,store:string>>"
+    names = StructType.fromDDL(schema).names
+
+    def alone(pay: np.ndarray, choice: np.ndarray, info: list[dict]) -> tuple[dict, bool]:
+        found, exact = {}, True
         for m in range(1, most_stores + 1):
-            for c in combinations(range(len(shops)), m):
+            for c in combinations(range(len(info)), m):
                 have = np.flatnonzero(np.isfinite(choice[:, c]).any(1))
-                if not len(have):
-                    continue
-                cost, at = _assign(pay[np.ix_(have, c)], choice[np.ix_(have, c)], [info[shops[j]] for j in c])
-                used = tuple(sorted({shops[c[j]] for j in at}))
-                row = (len(products) - len(have), cost, [(int(products[i]), shops[c[j]]) for i, j in zip(have, at, strict=True)])
-                if used not in found or row[:2] < found[used][:2]:
-                    found[used] = row
-        best = sorted(found.items(), key=lambda x: (x[1][0], x[1][1], x[0]))[:keep]
-        return [(lines[0]["basket_id"], k + 1, list(u), r[0], int(round(r[1])), r[2]) for k, (u, r) in enumerate(best)]
+                if len(have):
+                    cost, at = _assign(pay[np.ix_(have, c)], choice[np.ix_(have, c)], [info[j] for j in c])
+                    free = int((np.isfinite(choice[np.ix_(have, c)]).sum(1) > 1).sum())
+                    exact &= free <= EXACT_LINES and (m <= 2 or m**free <= EXACT_SPLITS)
+                    add(found, len(pay) - len(have), cost, [(i, c[j]) for i, j in zip(have.tolist(), at.tolist(), strict=True)])
+        return found, exact
+
+    def add(found: dict, missing: int, cost: float, at: list[tuple[int, int]]) -> None:
+        used = tuple(sorted({j for _, j in at}))
+        if used not in found or (missing, cost) < found[used][:2]:
+            found[used] = (missing, cost, at)
+
+    def together(pay: np.ndarray, choice: np.ndarray, info: list[dict]) -> list[tuple[dict, bool]]:
+        out: list[tuple[dict, bool]] = [({}, True) for _ in pay]
+        for m in range(1, most_stores + 1):
+            for c in combinations(range(len(info)), m):
+                p, q = pay[:, :, c], choice[:, :, c]
+                have = np.isfinite(q).any(2)
+                some = np.flatnonzero(have.any(1))
+                if len(some):
+                    cost, at = _best_splits(p[some], q[some], [info[j] for j in c])
+                    for b, k, a in zip(some.tolist(), cost.tolist(), at.tolist(), strict=True):
+                        own = [(i, c[j]) for i, (j, h) in enumerate(zip(a, have[b].tolist(), strict=True)) if h]
+                        add(out[b][0], have.shape[1] - len(own), k, own)
+        return out
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        shops, at_shop = np.unique(b["store"].to_numpy(str), return_inverse=True)
+        first = b.drop_duplicates("store").set_index("store")[SHOP_FIELDS].to_dict("index")
+        info = [first[s] for s in shops]
+        rows = b[["basket_id", "product_id"]].drop_duplicates().sort_values(["basket_id", "product_id"], ignore_index=True)
+        at_line = b.merge(rows.assign(line=rows.index), on=["basket_id", "product_id"], how="left")["line"].to_numpy()
+        pay, choice = np.full((len(rows), len(shops)), np.inf), np.full((len(rows), len(shops)), np.inf)
+        ok = b["value"].notna().to_numpy() & (b["in_stock"].isna() | b["in_stock"].eq(True)).to_numpy()
+        pay[at_line[ok], at_shop[ok]] = np.round(100 * b["value"].to_numpy(float)[ok])
+        choice[at_line[ok], at_shop[ok]] = np.round(100 * (b["value"].to_numpy(float) + b["adjust"].fillna(0).to_numpy(float))[ok])
+        ids, starts, sizes = np.unique(rows["basket_id"].to_numpy(), return_index=True, return_counts=True)
+        solved: list[tuple[dict, bool] | None] = [None] * len(ids)
+        for size in np.unique(sizes).tolist():
+            own, splits = np.flatnonzero(sizes == size), most_stores**size
+            step = max(1, TOGETHER // splits)
+            for lo in range(0, len(own), step):
+                some = own[lo : lo + step]
+                cells = starts[some][:, None] + np.arange(size)
+                if splits <= MOST_TOGETHER:
+                    found = together(pay[cells], choice[cells], info)
+                else:
+                    found = [alone(pay[x], choice[x], info) for x in cells]
+                for i, f in zip(some.tolist(), found, strict=True):
+                    solved[i] = f
+        product = rows["product_id"].tolist()
+        out = []
+        for i, (found, exact) in enumerate(solved):
+            best = sorted(((r[0], r[1], tuple(shops[j] for j in u), r[2]) for u, r in found.items()), key=lambda r: r[:3])[:keep]
+            out += [(int(ids[i]), k + 1, list(u), missing, int(round(cost)), exact, [(product[starts[i] + x], str(shops[j])) for x, j in at]) for k, (missing, cost, u, at) in enumerate(best)]
+        return pd.DataFrame(out, columns=names)
 
     code = F.col("store").cast("string").alias("store")
     joined = lines.select("basket_id", "product_id", code, "value", "adjust", "in_stock").join(stores.select(code, *SHOP_FIELDS), "store")
-    return in_buckets(joined, "basket_id", solve, schema)
+    return by_bucket(joined, "basket_id", run, schema)
 
 
 def share_discount(lines: DataFrame, discount: str = "discount") -> DataFrame:

@@ -19,23 +19,21 @@ def offer_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("basket_id"), d.alias("discount"))
 
 
-#: The part of the lines that queries read unless they are asked for the whole (``plans.whole``).
-FIFTH = "l_orderkey % 5 = 0"
 LINES_SQL = """
-    ln AS (SELECT l_orderkey AS basket_id, l_partkey AS product_id, l_suppkey % 4 AS store, floor(min(l_extendedprice) + 0.5) / 100 AS value FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL),
-    st AS (SELECT s_suppkey AS store, 90.0 + 10 * s_suppkey AS fee, 600.0 + 100 * s_suppkey AS free_from, 100.0 * s_suppkey AS min_order FROM supplier WHERE s_suppkey < 4)"""
+    ln AS (SELECT l_orderkey AS basket_id, l_partkey AS product_id, l_suppkey % 4 AS store, floor(min(l_extendedprice) + 0.5) / 100 AS value FROM lineitem GROUP BY ALL),
+    st AS (SELECT s_suppkey AS store, 90.0 + 10 * s_suppkey AS fee, 600.0 + 100 * s_suppkey AS free_from, 100.0 * s_suppkey AS min_order FROM (SELECT DISTINCT s_suppkey % 4 AS s_suppkey FROM supplier))"""
 
 
-def basket_lines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(only)
+def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     g = li.groupBy(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 4).alias("store"))
     return g.agg((F.floor(F.min("l_extendedprice") + 0.5) / 100).alias("value")).withColumns({"in_stock": F.lit(True), "adjust": F.lit(0.0)})
 
 
-def shops(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """The suppliers 0 to 3, or the four stores that all suppliers are dealt to."""
+def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four stores that all suppliers are dealt to."""
     s = table(spark, sf_dir, "supplier")
-    s = s.select((F.col("s_suppkey") % 4).alias("store")).distinct() if dealt else s.filter("s_suppkey < 4").select(F.col("s_suppkey").alias("store"))
+    s = s.select((F.col("s_suppkey") % 4).alias("store")).distinct()
     k = F.col("store")
     return s.withColumns({"fee": 90.0 + 10 * k, "free_from": 600.0 + 100 * k, "min_order": 100.0 * k, "penalty": 5.0 * k, "percent": F.when(k == 2, 5.0), "cap": F.lit(100.0), "min_check": F.lit(500.0), "cap_used": F.lit(0.0)})
 
@@ -46,45 +44,45 @@ def shops(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     SELECT basket_id, store, subtotal, CASE WHEN subtotal >= free_from THEN 0 ELSE fee END AS delivery, round(subtotal + CASE WHEN subtotal >= free_from THEN 0 ELSE fee END, 2) AS total,
            n - have AS missing, subtotal < min_order AS below_minimum FROM t JOIN n USING (basket_id) JOIN st USING (store)"""
 )
-def store_totals(spark: SparkSession, sf_dir: str, only: str = FIFTH, dealt: bool = False) -> DataFrame:
-    return optimise.store_totals(basket_lines(spark, sf_dir, only), shops(spark, sf_dir, dealt))
+def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimise.store_totals(basket_lines(spark, sf_dir), shops(spark, sf_dir))
 
 
 @query(
     """WITH o AS (SELECT o_orderkey AS basket_id, o_custkey % 4 AS store, round(o_totalprice, 2) AS total FROM orders),
-    f AS (SELECT s_suppkey AS offer_id, s_suppkey % 4 AS store, 1.0 + s_suppkey % 7 AS percent, 50.0 * (s_suppkey % 6 + 1) AS cap, 1000.0 * (s_suppkey % 3) AS min_check FROM supplier WHERE s_suppkey <= 40),
+    f AS (SELECT s_suppkey AS offer_id, s_suppkey % 4 AS store, 1.0 + s_suppkey % 7 AS percent, 50.0 * (s_suppkey % 6 + 1) AS cap, 1000.0 * (s_suppkey % 3) AS min_check FROM supplier),
     d AS (SELECT o.*, offer_id, percent, CASE WHEN total >= min_check THEN round(least(total * percent / 100, cap), 2) ELSE 0 END AS discount FROM o LEFT JOIN f USING (store))
     SELECT basket_id, store, total, coalesce(discount, 0) AS discount, CASE WHEN discount > 0 THEN offer_id END AS offer_id FROM d
     QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY discount DESC NULLS LAST, percent DESC, offer_id) = 1"""
 )
-def best_offer(spark: SparkSession, sf_dir: str, only: str = "s_suppkey <= 40") -> DataFrame:
+def best_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket_id"), (F.col("o_custkey") % 4).alias("store"), F.round("o_totalprice", 2).alias("total"))
     k = F.col("s_suppkey")
-    offers = table(spark, sf_dir, "supplier").filter(only).select(k.alias("offer_id"), (k % 4).alias("store"), (1.0 + k % 7).alias("percent"), (50.0 * (k % 6 + 1)).alias("cap"), (1000.0 * (k % 3)).alias("min_check"), F.lit(0.0).alias("cap_used"))
+    offers = table(spark, sf_dir, "supplier").select(k.alias("offer_id"), (k % 4).alias("store"), (1.0 + k % 7).alias("percent"), (50.0 * (k % 6 + 1)).alias("cap"), (1000.0 * (k % 3)).alias("min_check"), F.lit(0.0).alias("cap_used"))
     return optimise.best_offer(totals, offers)
 
 
 SPLIT_SQL = f"""WITH {LINES_SQL},
-    sh AS (SELECT st.*, 5.0 * store AS penalty, CASE WHEN store = 2 THEN 5.0 END AS percent FROM st),
-    two AS (SELECT * FROM ln WHERE store IN (1, 2)),
-    p AS (SELECT basket_id, product_id, max(CASE WHEN store = 1 THEN round(value * 100) END) AS a, max(CASE WHEN store = 2 THEN round(value * 100) END) AS b,
-                 row_number() OVER (PARTITION BY basket_id ORDER BY product_id) - 1 AS i, count(*) OVER (PARTITION BY basket_id) AS n FROM two GROUP BY 1, 2),
-    m AS (SELECT basket_id, mask, sum(CASE WHEN (mask >> i) & 1 = 0 THEN a ELSE 0 END) AS s1, sum(CASE WHEN (mask >> i) & 1 = 1 THEN b ELSE 0 END) AS s2,
+    pair AS (SELECT a.store AS x, b.store AS y FROM st a JOIN st b ON a.store < b.store),
+    n AS (SELECT basket_id, count(DISTINCT product_id) AS n FROM ln GROUP BY 1),
+    p AS (SELECT basket_id, x, y, product_id, max(CASE WHEN store = x THEN round(value * 100) END) AS a, max(CASE WHEN store = y THEN round(value * 100) END) AS b,
+                 row_number() OVER (PARTITION BY basket_id, x, y ORDER BY product_id) - 1 AS i, count(*) OVER (PARTITION BY basket_id, x, y) AS k FROM ln JOIN pair ON store IN (x, y) GROUP BY 1, 2, 3, 4),
+    m AS (SELECT basket_id, x, y, k, mask, sum(CASE WHEN (mask >> i) & 1 = 0 THEN a ELSE 0 END) AS s1, sum(CASE WHEN (mask >> i) & 1 = 1 THEN b ELSE 0 END) AS s2,
                  bool_and(CASE WHEN (mask >> i) & 1 = 0 THEN a IS NOT NULL ELSE b IS NOT NULL END) AS ok
-          FROM (SELECT *, unnest(range(0, 1 << n)) AS mask FROM p) GROUP BY basket_id, mask),
-    c AS (SELECT basket_id,
-            CASE WHEN s1 > 0 THEN s1 + CASE WHEN s1 >= 70000 THEN 0 ELSE 10000 END + CASE WHEN s1 < 10000 THEN 1000000000 ELSE 0 END + 500 ELSE 0 END
-          + CASE WHEN s2 > 0 THEN s2 + CASE WHEN s2 >= 80000 THEN 0 ELSE 11000 END + CASE WHEN s2 < 20000 THEN 1000000000 ELSE 0 END
-                 - CASE WHEN s2 >= 50000 THEN round_even(least(s2 * 5 / 100, 10000), 0) ELSE 0 END + 1000 ELSE 0 END AS cost FROM m WHERE ok)
-    SELECT basket_id, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY basket_id"""
+          FROM (SELECT *, unnest(range(0, 1 << k)) AS mask FROM p) GROUP BY ALL),
+    c AS (SELECT basket_id, n - k AS missing,
+            CASE WHEN s1 > 0 THEN s1 + CASE WHEN s1 >= 60000 + 10000 * x THEN 0 ELSE 9000 + 1000 * x END + CASE WHEN s1 < 10000 * x THEN 1000000000 ELSE 0 END + 500 * x
+                 - CASE WHEN x = 2 AND s1 >= 50000 THEN round_even(least(s1 * 5 / 100, 10000), 0) ELSE 0 END ELSE 0 END
+          + CASE WHEN s2 > 0 THEN s2 + CASE WHEN s2 >= 60000 + 10000 * y THEN 0 ELSE 9000 + 1000 * y END + CASE WHEN s2 < 10000 * y THEN 1000000000 ELSE 0 END + 500 * y
+                 - CASE WHEN y = 2 AND s2 >= 50000 THEN round_even(least(s2 * 5 / 100, 10000), 0) ELSE 0 END ELSE 0 END AS cost FROM m JOIN n USING (basket_id) WHERE ok)
+    SELECT basket_id, missing, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY basket_id, missing QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY missing) = 1"""
 
 
 @query(SPLIT_SQL)
-def split_two_stores(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
-    """Least cost of buying all that shops 1 and 2 have, in one of them or both; the SQL tries every mask."""
-    lines, stores = basket_lines(spark, sf_dir, only).filter("store in (1, 2)"), shops(spark, sf_dir).filter("store in (1, 2)")
-    best = optimise.split_baskets(lines, stores, most_stores=2, keep=1)
-    return best.select("basket_id", "cost")
+def split_two_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing lines and least cost of every basket over each of the four stores and each pair of them; the SQL tries every mask."""
+    best = optimise.split_baskets(basket_lines(spark, sf_dir), shops(spark, sf_dir), most_stores=2, keep=1)
+    return best.select("basket_id", "missing", "cost")
 
 
 @query("SELECT l_orderkey AS basket_id, l_partkey AS product_id, CAST(greatest(1, floor(max(l_quantity) / 3 + 0.5)) AS BIGINT) AS qty FROM lineitem GROUP BY ALL")

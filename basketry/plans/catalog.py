@@ -93,14 +93,15 @@ def spelling_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT least(l_partkey % 60, l_suppkey % 60 + 100 * (l_suppkey % 3)) AS a, greatest(l_partkey % 60, l_suppkey % 60 + 100 * (l_suppkey % 3)) AS b FROM lineitem WHERE l_orderkey % 40 = 0),
-    two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM two UNION SELECT r.node, two.b FROM r JOIN two ON two.a = r.reach)
-    SELECT node, min(reach) AS component FROM r GROUP BY node"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem),
+    two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM two
+      UNION SELECT two.b, min(c.component) FROM c JOIN two ON two.a = c.node JOIN recurring.c AS r ON r.node = two.b WHERE c.component < r.component GROUP BY two.b)
+    SELECT node, component FROM c"""
 )
 def match_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
-    x, y = F.col("l_partkey") % 60, F.col("l_suppkey") % 60 + 100 * (F.col("l_suppkey") % 3)
-    return graph.components(li.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+    """Components of parts and suppliers over all line items; a part k is node 2k and a supplier k is node 2k + 1."""
+    li = table(spark, sf_dir, "lineitem")
+    return graph.components(li.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
 
 
 @query(

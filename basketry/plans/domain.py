@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from basketry.functions import prices as p
 from basketry.operators import carts, compare, device, health, history, link, market, optimise, search
-from basketry.plans.baskets import FIFTH, LINES_SQL, basket_lines
+from basketry.plans.baskets import LINES_SQL, basket_lines
 from basketry.registry import query, table
 
 LP_SQL = """q AS (SELECT p_partkey AS k, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 THEN 'kg' WHEN p_partkey % 3 = 1 THEN 'pcs' END AS unit, CASE WHEN p_partkey % 4 > 0 THEN p_size * 50.0 END AS pack,
-        CAST(p_partkey % 7 AS DOUBLE) / 2 + 0.25 AS qty, p_partkey % 2 = 0 AS weighed, CASE WHEN p_partkey % 5 > 0 THEN 400.0 END AS ref, p_partkey % 9 = 0 AS portions, p_partkey % 3 = 0 AS loose FROM part WHERE p_size > 0),
+        CAST(p_partkey % 7 AS DOUBLE) / 2 + 0.25 AS qty, p_partkey % 2 = 0 AS weighed, CASE WHEN p_partkey % 5 > 0 THEN 400.0 END AS ref, p_partkey % 9 = 0 AS portions, p_partkey % 3 = 0 AS loose FROM part),
     f AS (SELECT *, coalesce(pack, 0) > 0 AND coalesce(unit, '') <> 'kg' AS packed FROM q), g AS (SELECT *, NOT packed AND loose AS by_weight FROM f),
     h AS (SELECT *, CASE WHEN by_weight AND portions AND pack > 0 THEN pack END AS portion, greatest(1, ceil(qty - 1e-9)) AS n, greatest(1, ceil(qty * 1000 / pack - 1e-9)) AS packs FROM g),
     v AS (SELECT *, CASE WHEN weighed THEN CASE WHEN packed THEN packs * price WHEN portion IS NOT NULL THEN packs * price * portion / 1000 WHEN by_weight THEN price * qty WHEN unit = 'pcs' THEN NULL ELSE price * qty END
@@ -23,7 +23,7 @@ LP_SQL = """q AS (SELECT p_partkey AS k, p_retailprice AS price, CASE WHEN p_par
 )
 def line_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision table of a line's price over every combination of unit, pack, weighing and portions."""
-    k, part = F.col("p_partkey"), table(spark, sf_dir, "part").filter("p_size > 0")
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
     none = F.lit(None).cast("double")
     pack, ref = F.when(k % 4 > 0, F.col("p_size") * 50.0), F.when(k % 5 > 0, 400.0)
     price = F.col("p_retailprice")
@@ -62,9 +62,9 @@ def weighed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(min(value) FILTER (value BETWEEN 0.2 * m AND 5 * m), min(value)) END) AS baseline
     FROM (SELECT *, list_sort(list(value) OVER w)[len(list(value) OVER w) // 2 + 1] AS m FROM ln WINDOW w AS (PARTITION BY basket_id, product_id)) GROUP BY ALL"""
 )
-def line_baselines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
+def line_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last receipt's price (of every fifth product), else the base store's (1), else the sane minimum."""
-    lines = basket_lines(spark, sf_dir, only).withColumns({"receipt_price": F.when(F.col("product_id") % 5 == 0, F.col("value")), "is_base": F.col("store") == 1})
+    lines = basket_lines(spark, sf_dir).withColumns({"receipt_price": F.when(F.col("product_id") % 5 == 0, F.col("value")), "is_base": F.col("store") == 1})
     return optimise.baseline(lines)
 
 
@@ -72,11 +72,11 @@ def line_baselines(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataF
     f"""WITH {LINES_SQL}, d AS (SELECT *, 10.0 AS discount, row_number() OVER (PARTITION BY basket_id, store ORDER BY product_id) AS pos, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY basket_id, store) AS whole FROM ln)
     SELECT basket_id, store, count(*) AS lines, 10.0 AS shared FROM d GROUP BY ALL"""
 )
-def shared_discounts(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
+def shared_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A discount of ten shared over a store's lines comes to ten."""
     from pyspark.sql.window import Window
 
-    lines = basket_lines(spark, sf_dir, only).withColumns({"discount": F.lit(10.0), "position": F.row_number().over(Window.partitionBy("basket_id", "store").orderBy("product_id"))})
+    lines = basket_lines(spark, sf_dir).withColumns({"discount": F.lit(10.0), "position": F.row_number().over(Window.partitionBy("basket_id", "store").orderBy("product_id"))})
     return optimise.share_discount(lines).groupBy("basket_id", "store").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("share"), 6).alias("shared"))
 
 
@@ -93,13 +93,13 @@ def network_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT l_partkey AS product_id, l_partkey % 50 AS item_id FROM lineitem WHERE l_partkey % 3 = 0), s AS (SELECT p_partkey AS sku, p_partkey % 50 AS item_id, p_brand AS chain, p_size * 1.0 AS g, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS price, p_partkey % 5 > 0 AS stock FROM part)
+    """WITH l AS (SELECT DISTINCT l_partkey AS product_id, l_partkey % 50 AS item_id FROM lineitem), s AS (SELECT p_partkey AS sku, p_partkey % 50 AS item_id, p_brand AS chain, p_size * 1.0 AS g, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS price, p_partkey % 5 > 0 AS stock FROM part)
     SELECT product_id, chain, sku FROM l JOIN s USING (item_id) QUALIFY row_number() OVER (PARTITION BY product_id, chain ORDER BY price IS NULL, NOT stock, abs(25 - g), sku) = 1"""
 )
 def linked_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SKU that a linked product gets in each chain."""
     k = F.col("p_partkey")
-    links = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_partkey").alias("product_id"), (F.col("l_partkey") % 50).alias("item_id")).distinct().withColumns({"method": F.lit("words"), "weight_g": F.lit(25.0)})
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), (F.col("l_partkey") % 50).alias("item_id")).distinct().withColumns({"method": F.lit("words"), "weight_g": F.lit(25.0)})
     skus = table(spark, sf_dir, "part").select(k.alias("sku"), (k % 50).alias("item_id"), F.col("p_brand").alias("chain"), (F.col("p_size") * 1.0).alias("sku_weight_g"), F.when(k % 2 == 0, F.col("p_retailprice")).alias("price"), (k % 5 > 0).alias("in_stock"))
     return link.materialize(links, skus).select("product_id", "chain", "sku")
 
@@ -136,9 +136,9 @@ def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("chain").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-@query("SELECT DISTINCT event_type AS chain FROM events WHERE event_id % 50 = 0 AND ts >= TIMESTAMP '2024-01-29 12:00:00'")
-def fresh_chains(spark: SparkSession, sf_dir: str, only: str = "event_id % 50 = 0") -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(only).select(F.col("event_type").alias("chain"), F.lit("ok").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"))
+@query("SELECT DISTINCT event_type AS chain FROM events WHERE ts >= TIMESTAMP '2024-01-29 12:00:00'")
+def fresh_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("chain"), F.lit("ok").alias("status"), F.col("ts").cast("timestamp").alias("finished_at"))
     return health.fresh_chains(e, F.lit("2024-01-30").cast("timestamp"))
 
 
@@ -159,14 +159,14 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey AS product_id, s AS store, CASE WHEN m IS NULL THEN 'not mapped' WHEN price IS NULL THEN 'no fresh price' WHEN NOT stock THEN 'out of stock' END AS note FROM
-    (SELECT p_partkey, s, CASE WHEN (p_partkey + s) % 3 > 0 THEN 1 END AS m, CASE WHEN (p_partkey + s) % 3 > 0 AND (p_partkey + s) % 4 > 0 THEN 100.0 END AS price, p_partkey % 5 > 0 AS stock FROM part, (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey < 4))"""
+    (SELECT p_partkey, s, CASE WHEN (p_partkey + s) % 3 > 0 THEN 1 END AS m, CASE WHEN (p_partkey + s) % 3 > 0 AND (p_partkey + s) % 4 > 0 THEN 100.0 END AS price, p_partkey % 5 > 0 AS stock FROM part, (SELECT DISTINCT s_suppkey % 4 AS s FROM supplier))"""
 )
-def comparison_table(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every product in four stores: mapped or not, priced or not, in stock or not."""
     k = F.col("product_id")
     products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
     stores, s = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    stores = stores.select((s % 4).alias("store")).distinct() if dealt else stores.filter("s_suppkey < 4").select(s.alias("store"))
+    stores = stores.select((s % 4).alias("store")).distinct()
     every = market.in_each(products, stores, "store").withColumn("n", k + F.col("store"))
     maps = every.filter("n % 3 > 0").select("product_id", "store", k.alias("sku"), F.lit("pcs").alias("unit"), F.lit(500.0).alias("weight_g"))
     prices = every.filter("n % 3 > 0 and n % 4 > 0").select("store", k.alias("sku"), F.lit(100.0).alias("price"), (k % 5 > 0).alias("in_stock"))

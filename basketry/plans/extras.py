@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import conflicts, prices
 from basketry.operators import carts, compare, dictionary, history, market, receipts
-from basketry.plans.baskets import FIFTH, LINES_SQL, basket_lines
+from basketry.plans.baskets import LINES_SQL, basket_lines
 from basketry.plans.market import PLACES_SQL, catalog_rows, places
 from basketry.plans.prices import USUAL_SQL, changes
 from basketry.registry import query, table
@@ -31,9 +31,9 @@ def place_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LINES_SQL}, b AS (SELECT basket_id, product_id, min(value) AS baseline FROM ln GROUP BY ALL), w AS (SELECT basket_id, sum(baseline) AS whole FROM b GROUP BY 1)
     SELECT basket_id, store AS variant, round(greatest(0, any_value(whole) - sum(baseline)), 2) AS baseline FROM ln JOIN b USING (basket_id, product_id) JOIN w USING (basket_id) GROUP BY ALL"""
 )
-def covered_baseline(spark: SparkSession, sf_dir: str, only: str = FIFTH) -> DataFrame:
+def covered_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each basket usually costs without what one of its stores has."""
-    lines = basket_lines(spark, sf_dir, only)
+    lines = basket_lines(spark, sf_dir)
     base = lines.groupBy("basket_id", "product_id").agg(F.min("value").alias("baseline"))
     return compare.covered_baseline(base, lines.select("basket_id", "product_id", F.col("store").alias("variant")))
 
@@ -56,14 +56,14 @@ def store_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT DISTINCT workspace, l_partkey AS product_id FROM (SELECT o_custkey AS workspace, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 2)
-    JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 3 > 0"""
+    JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 3 > 0 AND l_partkey % 7 > 0"""
 )
 def watched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of each shopper's last two baskets, without those that a fresh price covers."""
+    """Products of each shopper's last two baskets, without those that a fresh price covers or that were asked for already."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("workspace"), F.col("o_orderkey").alias("basket_id"), F.col("o_orderdate").alias("created_at"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"))
     w = dictionary.basket_products(o, items, 2).withColumn("chain", F.lit("a"))
-    return dictionary.watch_pass(w, w.filter("product_id % 3 = 0"), w.limit(0)).select("workspace", "product_id")
+    return dictionary.watch_pass(w, w.filter("product_id % 3 = 0"), w.filter("product_id % 7 = 0")).select("workspace", "product_id")
 
 
 @query(
@@ -93,12 +93,12 @@ def seller_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l_orderkey AS basket_id, l_partkey AS sku, CASE WHEN b.price IS NULL OR b.gone THEN 'gone' WHEN abs(b.price - a.price) > 0.004 THEN 'changed' ELSE 'same' END AS change
-    FROM (SELECT l_orderkey, l_partkey, min(l_extendedprice) AS price FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) a
+    FROM (SELECT l_orderkey, l_partkey, min(l_extendedprice) AS price FROM lineitem GROUP BY ALL) a
     LEFT JOIN (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS price, bool_and(l_returnflag = 'R') AS gone FROM lineitem WHERE l_partkey % 4 > 0 GROUP BY ALL) b USING (l_orderkey, l_partkey)"""
 )
-def plan_check(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 3 = 0") -> DataFrame:
+def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumns({"basket_id": F.col("l_orderkey"), "sku": F.col("l_partkey")})
-    old = li.filter(only).groupBy("basket_id", "sku").agg(F.min("l_extendedprice").alias("price"))
+    old = li.groupBy("basket_id", "sku").agg(F.min("l_extendedprice").alias("price"))
     new = li.filter("l_partkey % 4 > 0").groupBy("basket_id", "sku").agg(F.max("l_extendedprice").alias("price"), (~F.bool_and(F.col("l_returnflag") == "R")).alias("in_stock"))
     return carts.verify(old, new).select("basket_id", "sku", "change")
 

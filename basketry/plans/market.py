@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.prices import haversine_km, point_key
+from basketry.functions.prices import point_key
 from basketry.functions.text import placeholder_sku
 from basketry.operators import carts, health, market
 from basketry.registry import query, table
@@ -18,15 +18,14 @@ def mapping_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT item, shop FROM (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_orderkey <= 20), (SELECT s_suppkey AS shop FROM supplier WHERE s_suppkey <= 5)
-    WHERE (item, shop) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem)"""
+    """SELECT item, shop FROM (SELECT DISTINCT l_partkey AS item FROM lineitem), (SELECT s_suppkey AS shop FROM supplier) s
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = item AND l_suppkey = shop)"""
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the shops 1 to 5 do not know of the baskets of the first orders."""
+    """What every shop does not know of all baskets' items."""
     li = table(spark, sf_dir, "lineitem")
-    items = li.filter("l_orderkey <= 20").select(F.col("l_partkey").alias("item"))
-    shops = table(spark, sf_dir, "supplier").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("shop"))
-    return market.missing_pairs(items, shops, li.select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("shop")).distinct())
+    shops = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shop"))
+    return market.missing_pairs(li.select(F.col("l_partkey").alias("item")), shops, li.select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("shop")).distinct())
 
 
 @query("SELECT l_partkey AS item_id, count(DISTINCT l_returnflag) AS chains, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS names FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) >= 2")
@@ -36,10 +35,16 @@ def comparable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("names", F.array_join(F.array_sort(F.split("names", ",")), ","))
 
 
-@query("SELECT l_partkey AS item_id, min(l_linestatus) AS status FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1")
+@query(
+    """WITH c AS (SELECT l_partkey AS item_id, l_returnflag || l_linestatus AS chain, CASE WHEN (l_partkey + l_suppkey) % 4 = 0 THEN l_extendedprice END AS price FROM lineitem WHERE l_shipdate >= DATE '1997-06-01')
+    SELECT DISTINCT item_id, chain FROM c WHERE price IS NULL AND item_id IN (SELECT item_id FROM c WHERE price IS NOT NULL GROUP BY 1 HAVING count(DISTINCT chain) = 1)
+    AND (item_id, chain) NOT IN (SELECT item_id, chain FROM c WHERE price IS NOT NULL)"""
+)
 def waiting_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_partkey").alias("item_id")).agg(F.countDistinct("l_linestatus").alias("n"), F.min("l_linestatus").alias("status")).filter("n = 1").drop("n")
+    """Live listings of items that one chain prices alone, of the chains that are waited for."""
+    li = table(spark, sf_dir, "lineitem").filter("l_shipdate >= DATE '1997-06-01'")
+    price = F.when((F.col("l_partkey") + F.col("l_suppkey")) % 4 == 0, F.col("l_extendedprice"))
+    return market.waiting_comparisons(li.select(F.col("l_partkey").alias("item_id"), F.concat("l_returnflag", "l_linestatus").alias("chain"), price.alias("price"), F.lit(True).alias("active")))
 
 
 @query(
@@ -142,10 +147,7 @@ def ranked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), F.col("s_nationkey").alias("chain"), (F.lit(55.0) + (F.col("s_suppkey") % 100) / 100.0).alias("lat"), (F.lit(37.0) + (F.col("s_suppkey") % 37) / 50.0).alias("lon"))
-    s = s.withColumn("km", F.round(haversine_km(F.lit(55.75), F.lit(37.62), F.col("lat"), F.col("lon")), 6))
-    from basketry.operators.history import latest_by
-
-    return latest_by(s.filter("km <= 60"), ["chain"], [F.col("km"), F.col("point")]).select("chain", "point", F.round("km", 4).alias("km"))
+    return market.nearest(s, F.lit(55.75), F.lit(37.62), ["chain"], within_km=60.0).select("chain", "point", F.round("km", 4).alias("km"))
 
 
 @query("SELECT s_suppkey AS point, printf('%.5f,%.5f', 55.0 + s_suppkey / 7.0, 37.0 + s_suppkey / 11.0) AS key FROM supplier")
@@ -209,16 +211,16 @@ def health_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT basket_id, product_id, store, CASE WHEN k.p IS NULL THEN 'NOT_KNOWN' WHEN pr.price IS NULL THEN 'NO_DATA' WHEN NOT pr.in_stock THEN 'GONE' ELSE 'HAVE' END AS status
-    FROM (SELECT DISTINCT l_orderkey AS basket_id, l_partkey AS product_id FROM lineitem WHERE l_orderkey <= 50)
-    CROSS JOIN (SELECT s_suppkey AS store FROM supplier WHERE s_suppkey <= 5)
+    FROM (SELECT DISTINCT l_orderkey AS basket_id, l_partkey AS product_id FROM lineitem)
+    CROSS JOIN (SELECT DISTINCT s_suppkey % 10 AS store FROM supplier)
     LEFT JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey % 10 AS s FROM lineitem) k ON k.p = product_id AND k.s = store
     LEFT JOIN (SELECT l_partkey AS p, l_suppkey % 10 AS s, min(l_extendedprice) AS price, bool_or(l_returnflag <> 'R') AS in_stock FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2) pr ON pr.p = product_id AND pr.s = store"""
 )
-def item_status(spark: SparkSession, sf_dir: str, only: str = "l_orderkey <= 50", dealt: bool = False) -> DataFrame:
+def item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    items = li.filter(only).select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id")).distinct()
+    items = li.select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id")).distinct()
     s = li.withColumns({"product_id": F.col("l_partkey"), "store": F.col("l_suppkey") % 10})
     prices = s.filter("l_linestatus = 'O'").groupBy("product_id", "store").agg(F.min("l_extendedprice").alias("price"), F.bool_or(F.col("l_returnflag") != "R").alias("in_stock"))
     stores, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    stores = stores.select((k % 10).alias("store")).distinct() if dealt else stores.filter("s_suppkey <= 5").select(k.alias("store"))
+    stores = stores.select((k % 10).alias("store")).distinct()
     return carts.item_status(items, s, prices, stores)

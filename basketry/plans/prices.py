@@ -173,12 +173,12 @@ def new_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey AS product, round(CASE WHEN p_size % 5 = 0 THEN p_retailprice ELSE p_retailprice * 1000.0 / (p_size * 100) END, 2) AS value, 'kg' AS label
-    FROM part WHERE p_size > 0"""
+    FROM part"""
 )
 def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth size is sold by weight; a size counts hundreds of grams."""
     u = p.per_unit_price(F.col("p_retailprice"), F.when(F.col("p_size") % 5 == 0, "kg").otherwise("pcs"), F.col("p_size") * 100.0)
-    return table(spark, sf_dir, "part").filter("p_size > 0").select(F.col("p_partkey").alias("product"), u.alias("u")).select("product", "u.value", "u.label")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product"), u.alias("u")).select("product", "u.value", "u.label")
 
 
 @query(

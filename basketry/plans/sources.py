@@ -12,11 +12,11 @@ from basketry.registry import query, table
 from basketry.sources import files, pages
 
 ROWS_SQL = """r AS (SELECT l_orderkey AS key, l_partkey AS part, l_linenumber AS pos, CAST(max(l_quantity) AS BIGINT) AS qty, CAST(floor(max(l_extendedprice)) AS BIGINT) AS sum_kop
-    FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY ALL)"""
+    FROM lineitem GROUP BY ALL)"""
 
 
-def rows(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 7 = 0") -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(only)
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     g = li.groupBy(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("pos"))
     return g.agg(F.max("l_quantity").cast("long").alias("qty"), F.floor(F.max("l_extendedprice")).alias("sum_kop"))
 
@@ -26,9 +26,9 @@ def _money(kopecks: Column) -> Column:
 
 
 @query(f"WITH {ROWS_SQL} SELECT CAST(key AS VARCHAR) AS key, 'item ' || part || '-' || pos AS name, CAST(qty AS DOUBLE) AS qty, sum_kop / 100.0 AS total FROM r")
-def receipt_bundles(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 7 = 0") -> DataFrame:
+def receipt_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts as JSON bundles with integer kopecks; every third is listed a hundred times dearer than its rows say."""
-    r = rows(spark, sf_dir, only)
+    r = rows(spark, sf_dir)
     off = F.when(F.col("key") % 3 == 0, 100).otherwise(1)
     item = F.struct(F.concat(F.lit("item "), "part", F.lit("-"), "pos").alias("name"), F.col("qty").alias("quantity"), F.when(off == 1, F.col("sum_kop").cast("string")).otherwise(F.format_string("%.4f", F.col("sum_kop") / 10000)).alias("sum"))
     one = r.groupBy("key").agg(F.collect_list(item).alias("items"), F.sum("sum_kop").alias("all"))
@@ -38,20 +38,20 @@ def receipt_bundles(spark: SparkSession, sf_dir: str, only: str = "l_orderkey %
 
 
 @query(f"WITH {ROWS_SQL} SELECT key, 'item ' || part || '-' || pos AS name, CAST(qty AS DOUBLE) AS qty, sum_kop / 100.0 AS total, (SELECT sum(sum_kop) FROM r s WHERE s.key = r.key) / 100.0 AS declared FROM r")
-def receipt_texts(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 7 = 0") -> DataFrame:
+def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts as printed text, one line a position and a total line."""
     line = F.concat(F.lit("item "), "part", F.lit("-"), "pos", F.lit(" "), F.col("qty").cast("string"), F.lit(" x 1,00 = "), _money(F.col("sum_kop")))
-    text = rows(spark, sf_dir, only).groupBy("key").agg(F.array_join(F.collect_list(line), "\n").alias("lines"), F.sum("sum_kop").alias("all"))
+    text = rows(spark, sf_dir).groupBy("key").agg(F.array_join(F.collect_list(line), "\n").alias("lines"), F.sum("sum_kop").alias("all"))
     raw = text.select("key", F.concat(F.lit("SHOP\n"), "lines", F.lit("\nИТОГО: "), _money(F.col("all"))).alias("text"))
     return files.receipt_lines(raw).select("key", "name", "qty", "total", "declared")
 
 
 @query(f"WITH {ROWS_SQL} SELECT key, 'item ' || part || '-' || pos AS name, CAST(CASE WHEN pos % 3 = 0 THEN qty ELSE 1 END AS DOUBLE) AS qty, sum_kop / 100.0 AS price FROM r")
-def pasted_receipts(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 7 = 0") -> DataFrame:
+def pasted_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pasted lines in three shapes: with a quantity, with a separator, and with the price at the end."""
     name = F.concat(F.lit("item "), "part", F.lit("-"), "pos")
     line = F.when(F.col("pos") % 3 == 0, F.concat_ws(";", name, "qty", _money(F.col("sum_kop")))).when(F.col("pos") % 3 == 1, F.concat_ws("\t", name, _money(F.col("sum_kop")))).otherwise(F.concat(name, F.lit(" "), _money(F.col("sum_kop")), F.lit(" ₽")))
-    raw = rows(spark, sf_dir, only).groupBy("key").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    raw = rows(spark, sf_dir).groupBy("key").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     return files.pasted_lines(raw).filter("ok").select("key", "name", "qty", "price")
 
 
@@ -70,23 +70,23 @@ def price_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.price_bundle(raw).select("sku", "skipped")
 
 
-@query("SELECT o_orderkey AS cart, CAST(floor(o_totalprice) AS DOUBLE) AS total, CAST(o_custkey % 300 AS DOUBLE) AS delivery FROM orders WHERE o_totalprice < 10000000")
+@query("SELECT o_orderkey AS cart, CAST(floor(o_totalprice) AS DOUBLE) AS total, CAST(o_custkey % 300 AS DOUBLE) AS delivery FROM orders")
 def cart_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cart pages as lines; an old total and delivery stand far above the last ones."""
     far = F.array_repeat(F.lit("товар"), 14)
-    o = table(spark, sf_dir, "orders").filter("o_totalprice < 10000000")
+    o = table(spark, sf_dir, "orders")
     lines = F.concat(F.array(F.lit("Доставка 1 ₽"), F.lit("Итого 5 ₽")), far, F.array(F.concat(F.lit("Доставка "), (F.col("o_custkey") % 300).cast("string"), F.lit(" ₽")), F.concat(F.lit("К оплате "), F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", " "), F.lit(" ₽"))))
     return pages.cart_total(o.select(F.col("o_orderkey").alias("cart"), F.posexplode(lines).alias("position", "line")), "cart").select("cart", "total", "delivery")
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT p_partkey + 1 AS id, CASE WHEN p_partkey + 1 > 3 THEN (p_partkey + 1) // 3 END AS parent, 'c' || (p_partkey + 1) AS name FROM part WHERE p_partkey < 150),
+    """WITH RECURSIVE e AS (SELECT p_partkey + 1 AS id, CASE WHEN p_partkey + 1 > 3 THEN (p_partkey + 1) // 3 END AS parent, 'c' || (p_partkey + 1) AS name FROM part),
     w AS (SELECT id, name AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.id, w.path || '>' || e.name FROM w JOIN e ON e.parent = w.id)
     SELECT id, path FROM w WHERE id NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL)"""
 )
-def category_paths(spark: SparkSession, sf_dir: str, only: str = "p_partkey < 150") -> DataFrame:
+def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") + 1
-    e = table(spark, sf_dir, "part").filter(only).select(k.alias("id"), F.when(k > 3, F.floor(k / 3)).alias("parent"), F.concat(F.lit("c"), k).alias("name"))
+    e = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k > 3, F.floor(k / 3)).alias("parent"), F.concat(F.lit("c"), k).alias("name"))
     return pages.category_leaves(e).select("id", F.array_join("path", ">").alias("path"))
 
 
@@ -105,14 +105,14 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT CASE WHEN l_partkey % 5 > 0 THEN CAST(l_partkey AS VARCHAR) END AS sku, CASE WHEN l_partkey % 5 = 0 THEN 'no sku' END AS rejected,
-    CASE WHEN l_returnflag = 'R' THEN NULL ELSE true END AS stock, CASE WHEN l_returnflag = 'A' THEN floor(l_extendedprice) END AS named_price, count(*) AS n FROM lineitem WHERE l_orderkey % 9 = 0 GROUP BY ALL"""
+    CASE WHEN l_returnflag = 'R' THEN NULL ELSE true END AS stock, CASE WHEN l_returnflag = 'A' THEN floor(l_extendedprice) END AS named_price, count(*) AS n FROM lineitem GROUP BY ALL"""
 )
-def device_reports(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 9 = 0") -> DataFrame:
+def device_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cart reports of devices, one for each line item: landed lines name a price, unlanded ones say nothing of stock."""
     f = F.col("l_returnflag")
     line = F.struct(F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey").cast("string")).alias("sku"), F.floor("l_extendedprice").cast("double").alias("price"), F.when(f == "A", True).alias("landed"), F.when(f == "N", True).alias("in_stock"))
     doc = F.to_json(F.struct(F.lit("m").alias("chain"), F.lit("b").alias("basket"), F.lit("2024-05-01T00:00:00").alias("at"), F.array(line).alias("lines")))
-    li = table(spark, sf_dir, "lineitem").filter(only)
+    li = table(spark, sf_dir, "lineitem")
     out = device.report_lines(li.select(doc.alias("value")))
     return out.groupBy("sku", "rejected", "stock", "named_price").agg(F.count(F.lit(1)).alias("n"))
 

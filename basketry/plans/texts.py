@@ -33,12 +33,12 @@ def url_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, TRY_CAST(replace(nullif(regexp_extract(s, '(\\d{1,2}(?:[.,]\\d)?)\\s*%', 1), ''), ',', '.') AS DOUBLE) AS percent, p_size * 10.0 AS grams FROM
-    (SELECT p_partkey, p_size, p_name || ' ' || p_size || ',5 % ' || p_size * 10 || ' г' AS s FROM part WHERE p_size < 100)"""
+    (SELECT p_partkey, p_size, p_name || ' ' || p_size || ',5 % ' || p_size * 10 || ' г' AS s FROM part)"""
 )
 def weight_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     name = F.concat("p_name", F.lit(" "), size, F.lit(",5 % "), (F.col("p_size") * 10).cast("string"), F.lit(" г"))
-    return table(spark, sf_dir, "part").filter("p_size < 100").select("p_partkey", t.parse_percent(name).alias("percent"), t.weight_g(name).alias("grams"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.parse_percent(name).alias("percent"), t.weight_g(name).alias("grams"))
 
 
 @query(

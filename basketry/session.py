@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _local_dir: dict[str, str] = {}
 
@@ -22,10 +23,12 @@ def session(app: str = "basketry", **conf: str) -> SparkSession:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back; a temporary folder only where it is unset."""
+    """Write to the folder that ``spark.checkpoint.dir`` names and read back; a temporary folder only in local mode, where it is unset."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _local_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-scratch-")
         _local_dir[app] = base
@@ -34,13 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_buckets(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], list[tuple]], schema: str, rows: int = 20_000) -> DataFrame:
-    """``solve`` for every group of ``key``, many small groups a call: a call of their own would cost more than their work.
-
-    A bucket holds whole groups, by hash, of about ``rows`` rows; ``solve`` gets one group and gives rows of the schema.
-    """
-    names = [c.strip().split(" ")[0] for c in _columns(schema)]
+def by_bucket(df: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 20_000) -> DataFrame:
+    """``run`` for buckets of whole groups of ``key``, by hash, of about ``rows`` rows: many small groups a call."""
     n = max(df.count() // rows, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(run, schema)
+
+
+def in_buckets(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], list[tuple]], schema: str, rows: int = 20_000) -> DataFrame:
+    """``solve`` for every group of ``key``, many a call: it gets one group and gives rows of the schema."""
+    names = StructType.fromDDL(schema).names
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(key, kind="stable", ignore_index=True)
@@ -48,15 +53,4 @@ def in_buckets(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], list[tup
         cuts = [0, *((at[1:] != at[:-1]).nonzero()[0] + 1).tolist(), len(b)]
         return pd.DataFrame([r for lo, hi in zip(cuts, cuts[1:], strict=False) for r in solve(b.iloc[lo:hi])], columns=names)
 
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(run, schema)
-
-
-def _columns(schema: str) -> list[str]:
-    """The columns of a DDL schema, split at commas outside of types."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(schema):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+    return by_bucket(df, key, run, schema, rows)

@@ -125,11 +125,14 @@ def pasted_orders(raw: DataFrame, key: str, column: str = "text") -> DataFrame:
 
 
 def price_bundle(raw: DataFrame, column: str = "value", most: int = 50_000) -> DataFrame:
-    """Rows of a JSON price bundle {items: [{sku, name, price, ...}]}: position, fields, and why a row is skipped (null: it stays)."""
+    """Rows of a JSON price bundle {items: [{sku, name, price, ...}]}: position, fields, and why a row is skipped (null: it stays).
+
+    A bundle of more than ``most`` items is refused whole: all its rows are skipped.
+    """
     schema = "struct<items:array<struct<sku:string,name:string,price:string,unit:string,weight_g:double,in_stock:boolean>>>"
-    rows = raw.select(F.posexplode(F.slice(F.from_json(column, schema)["items"], 1, most)).alias("position", "i")).select("position", "i.*").withColumn("price", parse_money(F.col("price")))
-    bad = F.when(F.coalesce("sku", F.lit("")) == "", "no sku").when(F.coalesce("name", F.lit("")) == "", "no name").when(F.coalesce("price", F.lit(0.0)) <= 0, "no price")
-    rows = rows.withColumn("skipped", bad)
+    rows = raw.select(F.from_json(column, schema)["items"].alias("items")).select(F.size("items").alias("n"), F.posexplode("items").alias("position", "i")).select("n", "position", "i.*").withColumn("price", parse_money(F.col("price")))
+    bad = F.when(F.col("n") > most, "bundle too long").when(F.coalesce("sku", F.lit("")) == "", "no sku").when(F.coalesce("name", F.lit("")) == "", "no name").when(F.coalesce("price", F.lit(0.0)) <= 0, "no price")
+    rows = rows.withColumn("skipped", bad).drop("n")
     nth = F.row_number().over(Window.partitionBy("sku", F.col("skipped").isNull()).orderBy("position"))
     return rows.withColumn("skipped", F.coalesce("skipped", F.when(nth > 1, "repeated")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.prices import parse_money
 from basketry.functions.text import slug_name
+from basketry.session import written
 
 
 def host(url: Column) -> Column:
@@ -86,14 +87,19 @@ def coupon_terms(text: Column) -> Column:
     return F.struct(g(r"(?iu)за\s+(\d+(?:[.,]\d{1,2})?)\s*(?:₽|руб)").alias("price"), g(r"(\d{1,2}(?:[.,]\d)?)\s*%").alias("percent"), g(r"(?iu)(?:скидка|минус|−|-)\s*(\d+(?:[.,]\d{1,2})?)\s*(?:₽|руб)").alias("off"))
 
 
-def category_leaves(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """Leaves of a category tree (id, parent, name) with their path of names, by joins a level at a time."""
+def category_leaves(edges: DataFrame) -> DataFrame:
+    """Leaves of a category tree (id, parent, name) with their path of names, by joins a level at a time, however deep.
+
+    A category on a cycle of parents, or below one, hangs from no root and is no leaf; a way never meets a category twice.
+    """
+    edges = written(edges.select("id", "parent", "name").distinct(), "categories")
     kids = edges.select(F.col("parent").alias("id")).distinct()
-    level = edges.filter("parent is null").select("id", F.array("name").alias("path"))
+    level = edges.filter("parent is null").select("id", F.array("name").alias("path"), F.array("id").alias("seen"))
     out = level
-    for _ in range(depth):
-        level = level.withColumnRenamed("id", "parent").join(edges.select("id", "parent", "name"), "parent").select("id", F.array_append("path", F.col("name")).alias("path"))
+    while True:  # no way back, so levels run out
+        below = level.withColumnRenamed("id", "parent").join(edges, "parent").filter(~F.array_contains("seen", F.col("id")))
+        level = written(below.select("id", F.array_append("path", F.col("name")).alias("path"), F.array_append("seen", F.col("id")).alias("seen")), "category-level")
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    return out.join(kids, "id", "left_anti")
+    return out.select("id", "path").join(kids, "id", "left_anti")

@@ -16,23 +16,18 @@ QUERIES = registry.queries()
     [("store_totals", "basket_id"), ("line_baselines", "basket_id"), ("shared_discounts", "basket_id"), ("covered_baseline", "basket_id"), ("receipt_bundles", "key"), ("receipt_texts", "key"), ("pasted_receipts", "key"), ("plan_check", "basket_id")],
 )
 def test_every_order_is_read(spark, name, key):
-    got = {int(r[0]) for r in QUERIES[f"whole_{name}"](spark, oracle.SF).select(key).distinct().collect()}
+    got = {int(r[0]) for r in QUERIES[name](spark, oracle.SF).select(key).distinct().collect()}
     assert got == {r[0] for r in registry.table(spark, oracle.SF, "lineitem").select("l_orderkey").distinct().collect()}
 
 
 def test_every_line_is_reported(spark):
-    assert QUERIES["whole_device_reports"](spark, oracle.SF).agg(F.sum("n")).first()[0] == registry.table(spark, oracle.SF, "lineitem").count()
-
-
-def test_every_pair_of_shops_1_and_2_is_split(spark):
-    li = registry.table(spark, oracle.SF, "lineitem").filter("l_suppkey % 4 in (1, 2)")
-    assert QUERIES["whole_split_two_stores"](spark, oracle.SF).count() == li.select("l_orderkey").distinct().count()
+    assert QUERIES["device_reports"](spark, oracle.SF).agg(F.sum("n")).first()[0] == registry.table(spark, oracle.SF, "lineitem").count()
 
 
 def test_a_chain_that_is_fresh_by_any_event_counts(spark, tmp_path):
     rows = [(1, "a", "2024-01-29 20:00:00"), (50, "b", "2024-01-29 20:00:00"), (50, "c", "2024-01-01 00:00:00")]
     spark.createDataFrame(rows, "event_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
-    assert {r.chain for r in QUERIES["whole_fresh_chains"](spark, str(tmp_path)).collect()} == {"a", "b"}
+    assert {r.chain for r in QUERIES["fresh_chains"](spark, str(tmp_path)).collect()} == {"a", "b"}
 
 
 def test_components_of_real_keys(spark, tmp_path):
@@ -48,7 +43,7 @@ def test_components_of_real_keys(spark, tmp_path):
     for p, s, _ in edges:
         a, b = find(2 * p), find(2 * s + 1)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in QUERIES["whole_match_components"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["match_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in up}
 
 
@@ -56,19 +51,19 @@ def test_every_item_meets_every_shop(spark, tmp_path):
     known = [(p, s) for p in range(7) for s in range(40) if (p * s) % 3 == 1]
     spark.createDataFrame([(p, s, 100 + p) for p, s in known], "l_partkey long, l_suppkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(s,) for s in range(45)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
-    got = [(r.item, r.shop) for r in QUERIES["whole_coverage"](spark, str(tmp_path)).collect()]
+    got = [(r.item, r.shop) for r in QUERIES["coverage"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted({(p, s) for p, _ in known for s in range(45)} - set(known))
 
 
 def test_status_of_all_lines_in_all_stores(spark):
     li = registry.table(spark, oracle.SF, "lineitem").select("l_orderkey", "l_partkey").distinct().count()
-    assert QUERIES["whole_item_status"](spark, oracle.SF).count() == 10 * li
+    assert QUERIES["item_status"](spark, oracle.SF).count() == 10 * li
 
 
 def test_leaves_of_the_whole_tree(spark):
     n = registry.table(spark, oracle.SF, "part").count()
     ids = set(range(1, n + 1))
-    assert {r.id for r in QUERIES["whole_category_paths"](spark, oracle.SF).collect()} == ids - {k // 3 for k in ids}
+    assert {r.id for r in QUERIES["category_paths"](spark, oracle.SF).collect()} == ids - {k // 3 for k in ids}
 
 
 def test_all_pairs_of_stores(spark, tmp_path):
@@ -94,5 +89,5 @@ def test_all_pairs_of_stores(spark, tmp_path):
                 sub = {s: sum(x[k] for x, k in zip(have, pick, strict=True) if k == s) for s in set(pick)}
                 row = (len(lines) - len(have), round(sum(cost(s, v) for s, v in sub.items())))
                 want[o] = min(want.get(o, row), row)
-    got = {r.basket_id: (r.missing, r.cost) for r in QUERIES["whole_split_all_pairs"](spark, str(tmp_path)).collect()}
+    got = {r.basket_id: (r.missing, r.cost) for r in QUERIES["split_two_stores"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[o] == pytest.approx(want[o], abs=2) for o in want)
