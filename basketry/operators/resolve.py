@@ -50,13 +50,18 @@ def prepare(catalog: DataFrame) -> DataFrame:
 
 def with_known_brands(rows: DataFrame) -> DataFrame:
     """``known``: those of a row's words that are a brand of any row of the catalogue."""
-    rows = written(rows, "resolve-facts")
+    rows = written(rows, "resolve-facts")  # read three times
     vocabulary = rows.select(F.explode("brand_words").alias("word")).distinct()
     spoken = rows.select(F.explode("fwords").alias("word")).distinct().join(vocabulary, "word", "left_semi")
     found = rows.select("id", F.explode("fwords").alias("word")).join(spoken, "word", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("known"))
     return rows.join(found, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt by ``key`` to as many tasks as the session shuffles to, however few bytes there are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _agree(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
@@ -208,7 +213,8 @@ def match_edges(rows: DataFrame) -> DataFrame:
     # word is in the other, and rows meet by that word instead of in blocks of a frequent head.
     word = reps.select("id", F.explode("fwords").alias("word"))
     rare = word.join(word.groupBy("word").count(), "word").groupBy("id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    a, b = reps.join(rare, "id").alias("a"), reps.withColumn("word", F.explode("fwords")).alias("b")
+    # comparing costs far more than its bytes suggest, so the number of tasks is given
+    a, b = spread(reps.join(rare, "id"), "word").alias("a"), spread(reps.withColumn("word", F.explode("fwords")), "word").alias("b")
     apart = (F.col("a.chain") != F.col("b.chain")) | (F.col("a.bkey").isNotNull() & F.col("b.bkey").isNotNull())
     heads = F.arrays_overlap(F.slice("a.forder", 1, 2), F.slice("b.forder", 1, 2))
     pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & apart & heads).withColumn("s", same_product())
@@ -240,8 +246,8 @@ def split_chained(rows: DataFrame, members: DataFrame) -> DataFrame:
     whole = placed.join(big, "component", "left_anti").select("id", F.col("component").alias("item"))
     some = kinds.join(big, "component", "left_semi").join(placed.select(F.col("id").alias("rep"), *FACTS), "rep").withColumnRenamed("rep", "id")
     parts = written(in_buckets(written(some, "chained"), "component", cut, "id long, item long"), "resolve-parts")
-    spread = placed.select("id", "component", "facts").join(kinds.select("component", "facts", "rep"), ["component", "facts"])
-    return whole.unionByName(spread.join(parts.withColumnRenamed("id", "rep"), "rep").select("id", "item"))
+    copies = placed.select("id", "component", "facts").join(kinds.select("component", "facts", "rep"), ["component", "facts"])
+    return whole.unionByName(copies.join(parts.withColumnRenamed("id", "rep"), "rep").select("id", "item"))
 
 
 def canonical(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -301,6 +307,6 @@ def write_back(before: DataFrame, after: DataFrame, key: str, columns: list[str]
 
 def match_all(catalog: DataFrame) -> DataFrame:
     """id, item_id of a whole catalogue, keeping the ids that its rows had."""
-    rows = written(prepare(catalog), "prepared")
+    rows = written(prepare(spread(catalog, "id")), "prepared")
     items = written(split_chained(rows, cluster(rows, match_edges(rows))), "items")
     return items.join(keep_ids(items, catalog.select("id", "item_id")), "item").select("id", "item_id")
