@@ -4,7 +4,8 @@ Documents are range-partitioned by ``doc_id``; each task tokenises its own run,
 ids of consecutive documents into sequences of one length and streams them, batch by batch,
 into a shard: an Arrow IPC file with two fixed-size-list columns, ``tokens`` (the smallest
 unsigned type that holds the vocabulary) and ``mask`` (a byte a place, 0 in the padding of the
-last sequence), beside a small file that tells where each document starts. A fixed length makes
+last sequence; dictionary-encoded, as all sequences but the last share one), beside a small
+file that tells where each document starts. A fixed length makes
 a position's batch, row and offset plain arithmetic, so :class:`Shard` reads any range
 without decoding what lies before it, and ids and mask without copying where the file is mapped.
 
@@ -118,9 +119,9 @@ class ShardWriter:
 
     def __init__(self, path: str, length: int, dtype: pa.DataType, rows: int = 64):
         self.length, self.rows, self.dtype = length, rows, dtype
-        self.schema = pa.schema([("tokens", pa.list_(dtype, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(dtype, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.file = _create(path)
-        self.out = pa.ipc.new_file(self.file, self.schema)
+        self.out = pa.ipc.new_file(self.file, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.held: list[np.ndarray] = []
         self.n_held = self.total = 0
 
@@ -136,8 +137,12 @@ class ShardWriter:
             self.held, self.n_held = [flat], len(flat)
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = pa.array((np.arange(len(flat)) < n).astype(np.uint8))
-        self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], schema=self.schema))
+        full, rest = divmod(n, self.length)
+        masks = np.ones((1 + (rest > 0), self.length), np.uint8)  # of full sequences, and of a last one that is not
+        masks[1:, rest:] = 0
+        which = np.repeat(np.arange(2, dtype=np.int8), (full, rest > 0))
+        mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), self.length))
+        self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), mask], schema=self.schema))
 
     def close(self) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype.to_pandas_dtype())
@@ -162,8 +167,10 @@ class Shard:
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``i``, views of the file."""
-        b, lo = self._load(i // self.rows), (i % self.rows) * self.length
-        return tuple(b.column(c).flatten().slice(lo, self.length).to_numpy() for c in (0, 1))
+        batch, row = self._load(i // self.rows), i % self.rows
+        ids, mask = batch.column(0), batch.column(1)
+        spans = (ids.flatten(), row), (mask.dictionary.flatten(), mask.indices[row].as_py())
+        return tuple(flat.slice(k * self.length, self.length).to_numpy() for flat, k in spans)
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         """``n`` ids from position ``first``."""

@@ -149,6 +149,18 @@ def test_token_files(docs, empty, as_text):
     assert token_binary.read_documents(token_binary.write_shards(empty, TOKENIZER, PATTERN, end_id=2)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 8, 8 * 64, 8 * 64 + 3, 3 * 8 * 64 - 1, 3 * 8 * 64])
+def test_every_sequence_has_its_mask(tmp_path, n):
+    out = token_binary.ShardWriter(f"file://{tmp_path}/s.arrow", 8, token_binary.id_type(300))
+    for part in np.array_split(np.arange(n) % 299, 5):
+        out.add(part)
+    out.close()
+    shard = token_binary.Shard(f"file://{tmp_path}/s.arrow")
+    rows = [shard.sequence(i) for i in range(-(-n // 8))]
+    assert np.concatenate([ids[mask == 1] for ids, mask in rows]).tolist() == (np.arange(n) % 299).tolist()
+    assert all(len(ids) == len(mask) == 8 and mask.base is not None for ids, mask in rows)
+
+
 def test_added_tokens_as_the_library_has_them():
     from tokenizers import Tokenizer
 
