@@ -21,9 +21,31 @@ HEADERS = {
 }
 
 
+# The same for receipts; a header that only has a word in it counts where none is the word.
+RECEIPT_HEADERS = {
+    "name": ("наименование", "название", "товар", "позиция", "продукт", "name", "item"),
+    "qty": ("количество", "кол-во", "колво", "кол", "quantity", "qty", "amount"),
+    "price": ("цена", "цена за единицу", "цена, ₽", "price", "unit_price"),
+    "total": ("сумма", "стоимость", "итог", "total", "sum"),
+    "date": ("дата", "date", "дата покупки"),
+    "store": ("магазин", "store", "точка", "продавец"),
+}
+
+
 def _renamed(df: DataFrame, wanted: list[str]) -> DataFrame:
     low = {c.strip().lower().lstrip("﻿"): c for c in df.columns}
     found = {w: next((low[h] for h in HEADERS[w] if h in low), None) for w in wanted}
+    return _chosen(df, found)
+
+
+def _renamed_by_part(df: DataFrame, wanted: list[str]) -> DataFrame:
+    low = {" ".join(c.lstrip("﻿").split()).lower(): c for c in df.columns}
+    whole = {w: [c for h, c in low.items() if h in RECEIPT_HEADERS[w]] for w in wanted}
+    part = {w: [c for h, c in low.items() if any(word in h for word in RECEIPT_HEADERS[w])] for w in wanted}
+    return _chosen(df, {w: next(iter(whole[w] + part[w]), None) for w in wanted})
+
+
+def _chosen(df: DataFrame, found: dict[str, str | None]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(w) for w, c in found.items()])
 
 
@@ -53,7 +75,7 @@ def reference_prices(spark: SparkSession, path: str) -> DataFrame:
 
 def receipt_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """date, store, name, qty, price, total of a receipt table in CSV; price and total complete one another."""
-    raw = _renamed(spark.read.csv(path, sep=separator(spark, path), header=True, encoding=encoding), ["date", "store", "name", "qty", "price", "total"])
+    raw = _renamed_by_part(spark.read.csv(path, sep=separator(spark, path), header=True, encoding=encoding), ["date", "store", "name", "qty", "price", "total"])
     qty = F.coalesce(parse_money(F.col("qty")), F.lit(1.0))
     price, total = parse_money(F.col("price")), parse_money(F.col("total"))
     out = raw.select(parse_day(F.col("date")).alias("date"), "store", F.trim("name").alias("name"), qty.alias("qty"), price.alias("p"), total.alias("t"))

@@ -78,3 +78,9 @@ def test_upsert_sink_versions(spark, tmp_path):
     stream = spark.readStream.schema(schema + ", price_from_base boolean").parquet(str(tmp_path / "in"))
     observations.upsert_sink(stream, str(tmp_path / "snap"), str(tmp_path / "cp"), F.lit(dt.datetime(2024, 5, 1))).awaitTermination(120)
     assert [(r.sku, r.price, r.active) for r in spark.read.parquet(str(tmp_path / "snap/v=1")).collect()] == [("1", 5.0, True)]
+
+
+def test_receipt_headers_by_part(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Дата чека;Магазин;Наименование товара;Кол-во, шт;Цена за шт;Стоимость\n05.01.2026;Лавка;Сыр;2;10,50;21,00\n", encoding="utf-8")
+    (row,) = files.receipt_table(spark, str(tmp_path / "r.csv")).collect()
+    assert (str(row.date), row.store, row["name"], row.qty, row.price, row.total) == ("2026-01-05", "Лавка", "Сыр", 2.0, 10.5, 21.0)
