@@ -40,6 +40,21 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts cannot exceed: the letters that both have, in any order. Without Python."""
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda x: x != "")
+    count = lambda s, x: F.length(s) - F.length(F.replace(s, x, F.lit("")))
+    shared = F.aggregate(letters, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    return F.coalesce(F.try_divide(shared * 2.0, F.length(a) + F.length(b)), F.lit(0.0))
+
+
+def may_be_similar(a: Column, b: Column, least: float) -> Column:
+    """False only where :func:`similarity` is below ``least``: with all words shared the ratio has to be 2 * least - 1 still."""
+    x, y = normalize_name(a), normalize_name(b)
+    needed = 2 * least - 1.001  # likeness is rounded
+    return (ratio_bound(x, y) >= needed) | (ratio_bound(translit(x), translit(y)) >= needed)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """0 to 1 of two product names, in their own script or transliterated, whichever is higher."""
     x, y = normalize_name(a), normalize_name(b)

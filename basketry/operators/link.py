@@ -62,11 +62,21 @@ def word_index(rows: DataFrame, generic: int) -> DataFrame:
     return w.join(F.broadcast(common), "word", "left_anti")
 
 
-def unique_by_words(wanted: DataFrame, rows: DataFrame, generic: int = 300, share: float = 0.6) -> DataFrame:
-    """wanted_id, id: the one row that shares the most words, at least a share of the wanted ones, without a tie."""
-    a = word_index(wanted, 0).withColumnRenamed("id", "wanted_id")
-    hits = a.join(word_index(rows, generic), "word").groupBy("wanted_id", "id").agg(F.count("word").alias("hits"))
-    size = wanted.select(F.col("id").alias("wanted_id"), F.size("fwords").alias("n"))
-    top = hits.groupBy("wanted_id").agg(F.max("hits").alias("hits"))
-    best = hits.join(top, ["wanted_id", "hits"]).groupBy("wanted_id").agg(F.count("id").alias("ties"), F.min("id").alias("id"), F.max("hits").alias("hits"))
-    return best.join(size, "wanted_id").filter((F.col("ties") == 1) & (F.col("hits") >= share * F.col("n"))).select("wanted_id", "id")
+def unique_by_words(wanted: DataFrame, rows: DataFrame, share: float = 0.6) -> DataFrame:
+    """wanted_id, id: the one row that shares the most words, at least a share of the wanted ones, without a tie.
+
+    Every word counts, frequent ones too. What shares enough words shares one of the rarest that are left when as many as
+    may be missing are taken away, so rows meet by those words only and the hits are counted on the pairs.
+    """
+    a = wanted.select(F.col("id").alias("wanted_id"), F.array_distinct("fwords").alias("asked")).filter(F.size("asked") > 0)
+    r = rows.select("id", F.array_distinct("fwords").alias("theirs"))
+    often = r.select(F.explode("theirs").alias("word")).groupBy("word").count()
+    words = a.select("wanted_id", F.explode("asked").alias("word")).join(often, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    n = F.size("asked")
+    ranked = words.groupBy("wanted_id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("by_rarity")).join(a, "wanted_id")
+    needed = ranked.withColumn("must", F.explode(F.slice("by_rarity", F.lit(1), n - F.ceil(F.lit(share) * n).cast("int") + 1))).select("wanted_id", "asked", F.col("must.word").alias("word"))
+    met = needed.join(r.select("id", "theirs", F.explode("theirs").alias("word")), "word").select("wanted_id", "id", "asked", "theirs").dropDuplicates(["wanted_id", "id"])
+    hits = met.select("wanted_id", "id", n.alias("n"), F.size(F.array_intersect("asked", "theirs")).alias("hits")).filter(F.col("hits") >= F.lit(share) * F.col("n"))
+    top = hits.groupBy("wanted_id").agg(F.max("hits").alias("most"))
+    best = hits.join(top, "wanted_id").filter("hits = most").groupBy("wanted_id").agg(F.count("id").alias("ties"), F.min("id").alias("id"))
+    return best.filter("ties = 1").select("wanted_id", "id")

@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 from basketry.functions import conflicts as c
 from basketry.functions import text as t
 from basketry.functions.prices import weight_ok
-from basketry.functions.similarity import connector_similarity, similarity
+from basketry.functions.similarity import connector_similarity, ratio_bound, similarity
+from basketry.operators.market import SLICES
 
-AUTO, DOUBTFUL, WORTH, CONFIDENT, BRANDED = 0.75, 0.75, 0.5, 0.75, 0.65
+AUTO, DOUBTFUL, WORTH, CONFIDENT, BRANDED, HELD = 0.75, 0.75, 0.5, 0.75, 0.65, 0.95
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -78,9 +79,19 @@ def search_terms(name: Column, pack_g: Column) -> Column:
 
 
 def fallback_search(asked: DataFrame, prices: DataFrame, most: int, least: float = 0.45) -> DataFrame:
-    """Reference rows for asked names (id, name): names that hold the asked one first, then by likeness. Blocks share a word's beginning."""
-    block = lambda n: F.explode(F.array_distinct(F.transform(t.ordered_words(n), lambda w: F.substring(w, 1, 4))))
-    a, p = asked.withColumn("b", block(F.col("name"))), prices.select("sku", F.col("name").alias("other"), "price").withColumn("b", block(F.col("other")))
-    pairs = a.join(p, "b").drop("b").distinct().withColumn("inside", F.contains(F.lower("other"), F.lower("name"))).withColumn("score", connector_similarity(F.col("name"), F.col("other")))
-    w = Window.partitionBy("id").orderBy(F.desc("inside"), F.desc("score"), "sku")
-    return pairs.filter(F.col("inside") | (F.col("score") >= least)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    """The reference rows (sku, name, price) most like each asked name (id, name): a name that holds the asked one scores 0.95 at least.
+
+    The asked names are a small set of queries; they go to every slice of the rows, so no pair is missed. Pairs whose
+    letters, in any order, cannot reach ``least`` never meet Python. Ties go by sku; a null or empty name finds nothing.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    a = asked.select("id", "name").filter(low("name") != "").distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    p = prices.select("sku", F.col("name").alias("other"), "price").distinct().withColumn("_slice", F.pmod(F.xxhash64("sku", "other"), F.lit(SLICES)).cast("int"))
+    plain = lambda c: F.replace(low(c), F.lit("ё"), F.lit("е"))
+    pairs = a.join(p, "_slice").drop("_slice").withColumn("inside", F.contains(plain("other"), plain("name")))
+    contained = F.contains(low("name"), low("other")) & (low("other") != "")
+    pairs = pairs.filter(F.col("inside") | contained | (ratio_bound(low("name"), low("other")) >= least))
+    alike = connector_similarity(F.col("name"), F.col("other"))
+    scored_pairs = pairs.withColumn("alike", alike).withColumn("score", F.when(F.col("inside"), F.greatest("alike", F.lit(HELD))).otherwise(F.col("alike"))).drop("alike")
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "sku", "other")
+    return scored_pairs.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

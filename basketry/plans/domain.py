@@ -181,3 +181,19 @@ def split_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders").filter("o_custkey % 7 <= o_custkey % 5"), F.col("o_custkey")
     advice = optimise.split_advised(F.col("o_totalprice") * 0.9 + 100, c % 7, F.col("o_totalprice"), c % 5, 250.0000001)
     return o.select(F.col("o_orderkey").alias("basket_id"), advice.alias("split"))
+
+
+@query(
+    """WITH r AS (SELECT min(p_partkey) AS id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part GROUP BY name), t AS (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS w FROM r),
+    a AS (SELECT p_partkey AS wanted_id, list_distinct(string_split(p_name || ' ' || p_brand || ' ' || CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE 'any' END || ' size' || p_size, ' ')) AS ws FROM part),
+    h AS (SELECT wanted_id, id, count(*) AS hits, any_value(n) AS n FROM (SELECT wanted_id, len(ws) AS n, unnest(ws) AS w FROM a) JOIN t USING (w) GROUP BY wanted_id, id)
+    SELECT wanted_id, min(id) AS id FROM (SELECT * FROM h QUALIFY hits = max(hits) OVER (PARTITION BY wanted_id)) GROUP BY wanted_id HAVING count(*) = 1 AND max(hits) >= 0.6 * max(n)"""
+)
+def linked_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products whose words, a size that no name has among them, point to one line of goods; a third of them do not name the kind."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    lines = p.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id")).select("id", F.split("name", " ").alias("fwords"))
+    kind = F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise("any")
+    wanted = p.select(F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", "p_brand", kind, F.concat(F.lit("size"), F.col("p_size").cast("string"))), " ").alias("fwords"))
+    return link.unique_by_words(wanted, lines)

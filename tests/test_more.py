@@ -133,7 +133,7 @@ def test_unique_words_and_nearest(spark):
     schema = "id long, fwords array<string>"
     rows = spark.createDataFrame([(1, ["kefir", "domik", "moloko"]), (2, ["kefir", "prostokvasino"]), (3, ["cai"])], schema)
     wanted = spark.createDataFrame([(10, ["kefir", "domik"]), (11, ["kefir"]), (12, ["sahar"])], schema)
-    assert {r.wanted_id: r.id for r in link.unique_by_words(wanted, rows, generic=0).collect()} == {10: 1}
+    assert {r.wanted_id: r.id for r in link.unique_by_words(wanted, rows).collect()} == {10: 1}
     pts = spark.createDataFrame([("m", "far", 55.9, 37.6, "EC"), ("m", "near", 55.751, 37.62, "SM"), ("m", "hyper", 55.76, 37.62, "HM")], "chain string, point string, lat double, lon double, format string")
     at = (F.lit(55.75), F.lit(37.62))
     assert [r.point for r in market.nearest(pts, *at, ["chain"], within_km=5).collect()] == ["near"]
