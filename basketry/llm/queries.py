@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, chat, conversation_repair, decontam, exact_dedup, html_extract, langid, manifest, sharding, simhash, token_binary, toxicity
+from basketry.llm import bpe, chat, conversation_repair, decontam, exact_dedup, html_extract, langid, manifest, neural_lm, sharding, simhash, token_binary, toxicity
 from basketry.llm.workspace import table, written
 
 SHARDS = 40
@@ -89,6 +89,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.of_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = neural_lm.score(docs, *neural_lm.fit(docs, ~neural_lm.held_out()))
+    return scored.select("doc_id", neural_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
     return conversation_repair.digests(conversation_repair.repair(rows))
@@ -99,7 +105,7 @@ def _field_sql(value: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_dedup, op2_token_binary, op3_hilbert_sharding, op4_reply_trees, op5_html_blocks, op6_prefix_decontamination, op7_toxicity_fm, op8_kneser_ney_language, op9_byte_bpe, op10_simhash_vp_trees, op11_merkle_manifest, op13_conversation_repair)
+    every = (op1_exact_dedup, op2_token_binary, op3_hilbert_sharding, op4_reply_trees, op5_html_blocks, op6_prefix_decontamination, op7_toxicity_fm, op8_kneser_ney_language, op9_byte_bpe, op10_simhash_vp_trees, op11_merkle_manifest, op12_log_bilinear_lm, op13_conversation_repair)
     return {f.__name__: f for f in every}
 
 
