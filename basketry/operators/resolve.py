@@ -1,7 +1,7 @@
 """Which listings of different chains are one item.
 
-Rows are prepared once, brought together by a trusted barcode or by a shared rare word (their first two folded words
-have to overlap), compared under guards and joined into components. Components are no items yet, as likeness does not carry
+Rows are prepared once, brought together by a trusted barcode, by equal folded words, or by a rare word of the one whose
+words the other holds (their first two folded words have to overlap), compared under guards and joined into components. Components are no items yet, as likeness does not carry
 over: each is cut so that every member is the seed's product by itself and contradicts nothing that the group has gathered;
 then barcode twins are gathered again where nothing of the group contradicts them. Rows with the same comparison facts are
 compared once, through a representative, and only components of three or more representatives leave the JVM.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from basketry.functions import text as t
 from basketry.functions.prices import WEIGHT_TOLERANCE, weights_agree
 from basketry.operators.graph import components
+from basketry.operators.tiles import tiled_join, weight_class
 from basketry.session import in_buckets, written
 
 # Words that name the usual kind of a product or are obligatory on a label; see ``same_product``.
@@ -32,12 +33,17 @@ FACTS = ["unit", "weight_g", "packs", "pct", "pct_low", "marks", "brand_words",
 
 def prepare(catalog: DataFrame) -> DataFrame:
     """id, chain and the comparison facts of catalogue rows (id, chain, name, brand, weight_g, unit, barcode)."""
+    return with_known_brands(facts_of(catalog))
+
+
+def facts_of(catalog: DataFrame) -> DataFrame:
+    """What each row says by itself: all facts but the brands that other rows make known."""
     name = t.glue(F.col("name"))
     code = t.gtin(F.col("barcode"))
     noise = F.array(*[t.fold(F.lit(w)) for w in SILENT_WORDS])
     words = F.filter(t.ordered_words(F.concat_ws(" ", name, "brand")), lambda w: ~F.array_contains(noise, t.fold(w)))
     own_code = F.when(t.gtin_trusted(code), code).when(code.isNotNull(), F.concat_ws("#", "chain", code))
-    rows = catalog.select(
+    return catalog.select(
         "id", "chain", "name", "unit", code.alias("gtin"), own_code.alias("bkey"),
         F.coalesce("weight_g", t.weight_g(F.col("name"))).alias("weight_g"), t.pack_count(F.col("name")).alias("packs"),
         t.parse_percent(F.col("name")).alias("pct"), t.parse_percent_low(F.col("name")).alias("pct_low"),
@@ -45,13 +51,16 @@ def prepare(catalog: DataFrame) -> DataFrame:
         t.fold_words(t.ordered_words(F.col("brand"))).alias("brand_words"), F.array_sort(words).alias("words"),
         F.array_distinct(F.filter(F.transform(words, t.fold), lambda w: F.length(w) > 1)).alias("forder"), t.fold_words(words).alias("fwords"),
     )
-    return with_known_brands(rows)
 
 
 def with_known_brands(rows: DataFrame) -> DataFrame:
     """``known``: those of a row's words that are a brand of any row of the catalogue."""
     rows = written(rows, "resolve-facts")  # read three times
-    vocabulary = rows.select(F.explode("brand_words").alias("word")).distinct()
+    return knowing(rows, rows.select(F.explode("brand_words").alias("word")).distinct())
+
+
+def knowing(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The rows with ``known``: those of their words that ``vocabulary`` (word) has."""
     spoken = rows.select(F.explode("fwords").alias("word")).distinct().join(vocabulary, "word", "left_semi")
     found = rows.select("id", F.explode("fwords").alias("word")).join(spoken, "word", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("known"))
     return rows.join(found, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
@@ -200,26 +209,61 @@ def cut_component(facts: list[Fact]) -> list[list[Fact]]:
     return [group for group in now if group]
 
 
-def match_edges(rows: DataFrame) -> DataFrame:
-    """Links (a, b, method, score) of prepared rows. Barcodes link to their first row, word blocks through representatives."""
-    by_code = rows.filter("bkey is not null").groupBy("bkey").agg(F.min("id").alias("a"))
-    coded = rows.filter("bkey is not null").join(by_code, "bkey").filter("id <> a").select("a", F.col("id").alias("b"), F.lit("barcode").alias("method"), F.lit(1.0).alias("score"))
+def with_reps(rows: DataFrame) -> DataFrame:
+    """The rows with ``facts``, a hash of what is compared, and ``rep``, the first row that states the same."""
     keyed = rows.withColumn("facts", F.xxhash64(*FACTS))
-    first = keyed.groupBy("facts").agg(F.min("id").alias("rep"))
-    keyed = written(keyed.join(first, "facts"), "resolve-rows")
-    copies = keyed.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same").alias("method"), F.lit(1.0).alias("score"))
-    reps = keyed.filter("id = rep").drop("facts", "rep")
-    # Whatever method links two rows by words, the folded words of one hold all those of the other: so the one's rarest
-    # word is in the other, and rows meet by that word instead of in blocks of a frequent head.
+    return keyed.join(keyed.groupBy("facts").agg(F.min("id").alias("rep")), "facts")
+
+
+def coded_links(rows: DataFrame) -> DataFrame:
+    """Links of rows with one barcode to the first of them."""
+    coded = rows.filter("bkey is not null").select("id", "bkey")
+    return coded.join(coded.groupBy("bkey").agg(F.min("id").alias("a")), "bkey").filter("id <> a").select("a", F.col("id").alias("b"), F.lit("barcode").alias("method"), F.lit(1.0).alias("score"))
+
+
+def copy_links(rows: DataFrame) -> DataFrame:
+    """Links of rows (id, rep) to their representative."""
+    return rows.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("same").alias("method"), F.lit(1.0).alias("score"))
+
+
+def rare_words(reps: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """id, word: of each representative's words the one that the fewest of ``every`` (by default themselves) have."""
     word = reps.select("id", F.explode("fwords").alias("word"))
-    rare = word.join(word.groupBy("word").count(), "word").groupBy("id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    # comparing costs far more than its bytes suggest, so the number of tasks is given
-    a, b = spread(reps.join(rare, "id"), "word").alias("a"), spread(reps.withColumn("word", F.explode("fwords")), "word").alias("b")
+    spoken = word if every is None else every.select(F.explode("fwords").alias("word")).join(word.select("word").distinct(), "word", "left_semi")
+    return word.join(spoken.groupBy("word").count(), "word").groupBy("id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
+
+
+def word_links(new: DataFrame, every: DataFrame, index: DataFrame) -> DataFrame:
+    """Links by words between representatives ``new`` and ``every`` (``new`` among them). index: id, word of ``every``.
+
+    Whatever method links two rows by words, they agree in packs and marks, and either their folded words are equal or the one's hold all
+    of the other's and both state weights that agree. So rows meet by all their words, or by one word of the smaller
+    row (any would do; a rare one meets few) beside the class of the weight. Keys that stay hot are dealt to tiles.
+    """
     apart = (F.col("a.chain") != F.col("b.chain")) | (F.col("a.bkey").isNotNull() & F.col("b.bkey").isNotNull())
     heads = F.arrays_overlap(F.slice("a.forder", 1, 2), F.slice("b.forder", 1, 2))
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id")) & apart & heads).withColumn("s", same_product())
-    worded = pairs.filter("s.ok").select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), "s.method", "s.score").distinct()
-    return coded.unionByName(copies).unionByName(worded)
+    as_one = lambda rows: rows.filter(F.size("fwords") > 0).withColumn("same", F.xxhash64("fwords", "packs", "marks"))
+    found = _linked(tiled_join(as_one(new), as_one(every), ["same"]).filter(F.col("a.fwords") == F.col("b.fwords")), apart & heads)
+    sized = lambda rows: rows.filter("weight_g is not null").withColumn("load", weight_class("weight_g")).withColumn("guard", F.xxhash64("packs", "marks"))
+    near = F.explode(F.array(*[F.col("load") + k for k in (-1, 0, 1)]))
+    held = lambda rows: sized(rows).withColumn("word", F.explode("fwords")).withColumn("load", near)
+    smaller = F.size("a.fwords") < F.size("b.fwords")
+    for inner, outer in [(new, every)] if new is every else [(new, every), (every, new)]:
+        pairs = tiled_join(sized(inner).join(index, "id"), held(outer), ["word", "load", "guard"])
+        found = found.unionByName(_linked(pairs.filter(smaller), apart & heads))
+    return found.distinct()
+
+
+def _linked(pairs: DataFrame, fit: Column) -> DataFrame:
+    judged = pairs.filter((F.col("a.id") != F.col("b.id")) & fit).withColumn("s", same_product()).filter("s.ok")
+    return judged.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), "s.method", "s.score")
+
+
+def match_edges(rows: DataFrame) -> DataFrame:
+    """Links (a, b, method, score) of prepared rows. Barcodes link to their first row, words through representatives."""
+    keyed = written(with_reps(rows), "resolve-rows")
+    reps = spread(keyed.filter("id = rep").drop("facts", "rep"), "id")
+    return coded_links(rows).unionByName(copy_links(keyed)).unionByName(word_links(reps, reps, rare_words(reps)))
 
 
 def cluster(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -258,11 +302,12 @@ def canonical(rows: DataFrame, items: DataFrame) -> DataFrame:
     return r.groupBy("item").agg(F.max_by("name", rank).alias("name"), first("unit"), first("weight_g"), first("gtin"), F.count("id").alias("rows"), F.countDistinct("chain").alias("chains"))
 
 
-def keep_ids(items: DataFrame, before: DataFrame) -> DataFrame:
+def keep_ids(items: DataFrame, before: DataFrame, top: int | None = None) -> DataFrame:
     """item, item_id: every item keeps an old id by votes of its rows, each id once.
 
     Items and old ids that share votes, directly or through others, form a group; inside it the most votes go first, then
-    the purest, then the larger item, then the smaller id. Items without votes get new ids after the highest.
+    the purest, then the larger item, then the smaller id. Items without votes get new ids after the highest
+    (``top``, by default that of ``before``).
     """
     votes = items.join(before.filter("item_id is not null").select("id", "item_id"), "id").groupBy("item", "item_id").agg(F.count("id").alias("votes"))
     size = items.groupBy("item").agg(F.count("id").alias("rows"))
@@ -282,7 +327,7 @@ def keep_ids(items: DataFrame, before: DataFrame) -> DataFrame:
 
     kept = votes.join(group.select((F.col("node") / 2).cast("long").alias("item"), "component", "node").filter("node % 2 = 0").drop("node"), "item")
     kept = written(in_buckets(written(kept, "vote-groups"), "component", greedy, "item long, item_id long"), "kept-ids")
-    top = before.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
+    top = before.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0] if top is None else top
     # new ids only have to be unique and stable for a run: the item's own row id is both
     fresh = size.join(kept, "item", "left_anti").select("item", (F.col("item") + top + 1).alias("item_id"))
     return kept.unionByName(fresh)
