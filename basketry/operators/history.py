@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.functions.prices import PRICE_STEP, upper_median
+from basketry.functions.prices import PRICE_STEP
+from basketry.operators.sliding import sliding_median
 
 KNOWN_KEPT = ("brand", "unit", "url", "image", "barcode", "price", "in_stock")
 OVERWRITTEN = ("name", "weight_g", "category")
@@ -84,11 +85,11 @@ def new_observations(have: DataFrame, seen: DataFrame, most: float = 1e6) -> Dat
 def usual_price(changes: DataFrame, keys: list[str], at: str, price: str = "price", days: int = 30, least: int = 3, old_days: int = 7) -> DataFrame:
     """Beside every change: the upper median of the window's prices, and whether it can be trusted.
 
-    Trusted: three changes in the window, or the oldest of it is a week old.
+    Trusted: three changes in the window, or the oldest of it is a week old. Changes without a time are left out.
     """
-    seconds = F.col(at).cast("timestamp").cast("long")
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-days * 86400, 0)
-    out = changes.withColumn("usual", upper_median(F.collect_list(price).over(w))).withColumn("n_changes", F.count(price).over(w)).withColumn("oldest", F.min(at).over(w))
+    kind = changes.schema[at].dataType
+    out = sliding_median(changes, keys, at, price, days * 86400).withColumnRenamed("n", "n_changes")
+    out = out.withColumn("oldest", F.timestamp_micros("oldest_us").cast(kind)).drop("oldest_us")
     return out.withColumn("trusted", (F.col("n_changes") >= least) | (F.col(at) >= F.col("oldest") + F.expr(f"INTERVAL {old_days} DAYS")))
 
 

@@ -32,18 +32,6 @@ def drop_implausible(lines: DataFrame) -> DataFrame:
     return with_sanity(lines, ["basket_id", "product_id"], "value").filter("sane").drop("sane")
 
 
-def best_offer(totals: DataFrame, offers: DataFrame) -> DataFrame:
-    """Totals (key columns, store, total) with the offer that gives the most: then the higher percent, then the lower id."""
-    keys = [F.col(c) for c in totals.columns]
-    own = offers.select("store", "offer_id", "percent", "cap", "min_check", "cap_used")
-    gives = offer_discount(F.col("total"), F.col("percent"), F.col("cap"), F.col("min_check"), F.col("cap_used"))
-    # the most first, by numbers alone, then the few offers that give as much
-    most = totals.join(own, "store", "left").groupBy(*keys).agg(F.max(gives).alias("_most"))
-    ties = most.join(own, "store", "left").withColumn("_best", F.when(gives == F.col("_most"), F.struct("percent", (-F.col("offer_id")).alias("neg_id"))))
-    best = ties.filter("_best is not null or _most is null").groupBy(*keys, "_most").agg(F.max("_best").alias("_best"))
-    return best.select(*totals.columns, F.coalesce("_most", F.lit(0.0)).alias("discount"), F.when(F.col("_most") > 0, -F.col("_best.neg_id")).alias("offer_id"))
-
-
 def store_totals(lines: DataFrame, stores: DataFrame) -> DataFrame:
     """Each basket in each store alone: subtotal, delivery, what is missing, whether the least order is met."""
     n = lines.groupBy("basket_id").agg(F.countDistinct("product_id").alias("n"))

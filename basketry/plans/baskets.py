@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.prices import offer_discount, whole_pieces
 from basketry.operators import optimise
+from basketry.operators.offers import best_offer as best_offers
 from basketry.registry import query, table
 
 
@@ -59,7 +60,7 @@ def best_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket_id"), (F.col("o_custkey") % 4).alias("store"), F.round("o_totalprice", 2).alias("total"))
     k = F.col("s_suppkey")
     offers = table(spark, sf_dir, "supplier").select(k.alias("offer_id"), (k % 4).alias("store"), (1.0 + k % 7).alias("percent"), (50.0 * (k % 6 + 1)).alias("cap"), (1000.0 * (k % 3)).alias("min_check"), F.lit(0.0).alias("cap_used"))
-    return optimise.best_offer(totals, offers)
+    return best_offers(totals, offers)
 
 
 SPLIT_SQL = f"""WITH {LINES_SQL},
