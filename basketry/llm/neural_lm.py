@@ -181,7 +181,7 @@ class LogBilinear:
     """Vectors of context units by distance, vectors and biases of predicted units."""
 
     def __init__(self, noise: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
+        self.key, rng = uuid.uuid4().hex, np.random.default_rng(seed)
         self.context = rng.normal(0, 0.05, (CONTEXT, UNITS + 1, SIZE)).astype(np.float32)
         self.out = rng.normal(0, 0.05, (UNITS, SIZE)).astype(np.float32)
         self.bias = np.log(np.maximum(noise, 1e-12)).astype(np.float32)
@@ -195,14 +195,25 @@ class LogBilinear:
         top = logits.max(1)
         return top + np.log(np.exp(logits - top[:, None]).sum(1))
 
+    _normalisers: dict[str, np.ndarray] = {}
+
+    def normalisers(self) -> np.ndarray:
+        """log_z of every context, not a number where it was not asked for yet; kept in a Python worker from batch to batch."""
+        if self.key not in self._normalisers:
+            self._normalisers.clear()
+            self._normalisers[self.key] = np.full((UNITS + 1) ** CONTEXT, np.nan)
+        return self._normalisers[self.key]
+
     def log_p(self, before: np.ndarray, units: np.ndarray, rows: int = 4096) -> np.ndarray:
         """Normalised log10 probabilities of units; each distinct context is normalised once."""
-        key = before @ (UNITS + 1) ** np.arange(CONTEXT)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        distinct = before[first]
-        z = np.concatenate([self.log_z(distinct[i : i + rows]) for i in range(0, len(distinct), rows)] or [np.zeros(0)])
-        logits = np.einsum("ij,ij->i", self.hidden(distinct)[which], self.out[units]) + self.bias[units]
-        return (logits - z[which]) / math.log(10)
+        place, known = (UNITS + 1) ** np.arange(CONTEXT), self.normalisers()
+        key = before @ place
+        new = np.unique(key[np.isnan(known[key])])
+        for i in range(0, len(new), rows):
+            some = new[i : i + rows]
+            known[some] = self.log_z(some[:, None] // place % (UNITS + 1))
+        logits = np.einsum("ij,ij->i", self.hidden(before), self.out[units]) + self.bias[units]
+        return (logits - known[key]) / math.log(10)
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.out, self.bias]
@@ -211,7 +222,7 @@ class LogBilinear:
         return np.concatenate([p.ravel() for p in self.parts()])
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
+        self.key, at = uuid.uuid4().hex, 0
         for p in self.parts():
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
