@@ -64,20 +64,19 @@ def test_stream_of_changes(spark, tmp_path):
     for n, rows in enumerate([[(10.0, 0), (10.0, 1), (12.0, 2)], [(12.0, 3), (9.0, 1), (15.0, 4)]]):
         spark.createDataFrame([("m", "1", p, start + dt.timedelta(days=d)) for p, d in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = observations.change_stream(stream).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = observations.change_stream(stream, "12 hours").writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted((r.seen_at, r.price, r.previous) for r in spark.table("changes").collect())
+    got = sorted((r.seen_at, r.price, r.previous) for r in observations.change_table(spark.table("changes")).collect())
     assert [(p, b) for _, p, b in got] == [(10.0, None), (12.0, 10.0), (15.0, 12.0)]
+    assert [(r.price, r.seen_at) for r in spark.table("changes").filter("op = 'late'").collect()] == [(9.0, start + dt.timedelta(days=1))]
 
 
-def test_upsert_sink_versions(spark, tmp_path):
+def test_upsert_sink_starts_empty(spark, tmp_path):
     schema = "chain string, sku string, name string, weight_g double, category string, brand string, unit string, url string, image string, barcode string, price double, in_stock boolean"
-    state = ", first_seen timestamp, last_seen timestamp, price_seen timestamp, active boolean, item_id long, prev_item_id long"
-    spark.createDataFrame([], schema + state).write.parquet(str(tmp_path / "snap/v=0"))
     spark.createDataFrame([("m", "1", "Чай", None, None, None, None, None, None, None, 5.0, True, False)], schema + ", price_from_base boolean").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema + ", price_from_base boolean").parquet(str(tmp_path / "in"))
     observations.upsert_sink(stream, str(tmp_path / "snap"), str(tmp_path / "cp"), F.lit(dt.datetime(2024, 5, 1))).awaitTermination(120)
-    assert [(r.sku, r.price, r.active) for r in spark.read.parquet(str(tmp_path / "snap/v=1")).collect()] == [("1", 5.0, True)]
+    assert [(r.sku, r.price, r.active) for r in observations.read_catalog(spark, str(tmp_path / "snap")).collect()] == [("1", 5.0, True)]
 
 
 def test_receipt_headers_by_part(spark, tmp_path):
