@@ -8,9 +8,14 @@ second pass they inherit the label of the nearest decided block, one in the same
 first, and a heading looks ahead before it looks back. The whole page is read, once, in the
 order of its tags, in time linear in its length. Markup that is broken or not closed ends at the
 next tag, a script or frame without an end tag at the next block; self-closed ones hold nothing.
+As in browsers a comment that is not closed holds the rest of the page.
 Tag names count whole, so a custom element is no element of its first part. A head may stay
 open: what it holds beside scripts, styles and the title is no text or, as in browsers, the
 body's. On a page of a language without known stop words length and links decide.
+What a page is wrapped in says little: a form that holds most of the running text is no form, and
+where nothing is left of a page, the outermost named parts that hold most of it count by their text.
+An end tag is looked for among the ``DEEP`` innermost open tags; beyond them it closes nothing, so
+what follows keeps the surroundings of the deepest open tag.
 
 Defined cases: a null or empty page has an empty text; a page without a decided block keeps
 its ambiguous ones; repeated rows, null or repeated page_ids give a row each; an empty table
@@ -46,7 +51,7 @@ BLOCK_TAGS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th
     thead tr ul""".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea select svg math iframe object canvas audio video".split())
+RAW_TAGS = frozenset("script style noscript template textarea select svg annotation annotation-xml iframe object canvas audio video".split())
 #: The same, but their end tag is not waited for beyond the next one of their kind.
 OPEN_TAGS = frozenset(("title", "button"))
 POOR_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
@@ -65,6 +70,8 @@ PLAIN_NAMES = frozenset(
     text thread title top unit wrap wrapper zone""".split()
 )
 GOOD_TAGS = frozenset(("article", "main"))
+#: Names of what readers write, however much of a page that is.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 
 LONG, SHORT = 140, 70  # characters
 DEEP = 512  # open tags that an end tag is looked for among: as deep as browsers nest, and no page costs its square
@@ -80,18 +87,36 @@ _rights = re.compile(r"©|\(c\)\s|copyright\s*(?:©|\(c\)|\d{4})", re.I)
 _void = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+class Node:
+    """An open block-level tag: what it stands in, and how much running text it holds."""
+
+    __slots__ = ("tag", "bad", "main", "up", "chars", "poor", "good")
+
+    def __init__(self, tag: str, bad: str, main: bool, up: Node | None):
+        self.tag, self.bad, self.main, self.up, self.chars = tag, bad, main, up, 0
+        self.poor = self.good = False
+
+
 @dataclass
 class Block:
     tag: str
-    poor: bool
-    good: bool
+    node: Node
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
     label: bool | None = None
 
+    @property
+    def poor(self) -> bool:
+        return self.node.poor
+
+    @property
+    def good(self) -> bool:
+        return self.node.good
+
 
-def _surroundings(tag: str, attrs: str, poor: bool, good: bool) -> tuple[bool, bool]:
+def _surroundings(tag: str, attrs: str) -> tuple[str, bool]:
+    """What speaks against a tag's text (``sure``, ``form`` or ``name``, else nothing), and whether it is marked as main text."""
     named, roles = set(), set()
     for kind, value in _names.findall(attrs):
         value = value.strip("\"'")
@@ -99,12 +124,24 @@ def _surroundings(tag: str, attrs: str, poor: bool, good: bool) -> tuple[bool, b
             roles.add(value.lower())
         else:
             for name in value.split():
-                words = {p.lower() for p in _parts.findall(name)}
+                words = {"comment" if p.lower().startswith("comment") else p.lower() for p in _parts.findall(name)}
                 if words & POOR_NAMES and words <= POOR_NAMES | PLAIN_NAMES:
                     named |= words
-    bad = tag in POOR_TAGS or bool(roles & POOR_ROLES) or (bool(named & POOR_NAMES) and tag not in ("html", "body", "article", "main"))
-    bad |= tag == "header" and not good
-    return poor or bad, good or (tag in GOOD_TAGS or "main" in roles) and not (poor or bad)
+    main = tag in GOOD_TAGS or "main" in roles
+    if tag in POOR_TAGS - {"form"} or roles & POOR_ROLES - {"form"}:
+        return "sure", main
+    by_name = bool(named & POOR_NAMES) and tag not in ("html", "body", "article", "main")
+    if by_name and named & READERS:
+        return "sure", main
+    return "form" if tag == "form" or "form" in roles else "name" if by_name else "", main
+
+
+def settle(nodes: list[Node]) -> None:
+    """``poor`` and ``good`` of nodes that come after what they stand in."""
+    for n in nodes:
+        poor, good = (n.up.poor, n.up.good) if n.up else (False, False)
+        n.poor = poor or bool(n.bad) or (n.tag == "header" and not good)
+        n.good = good or n.main and not n.poor
 
 
 class Scanner:
@@ -168,16 +205,18 @@ class Scanner:
             yield start, at, name, close, attrs
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> tuple[list[Block], list[Node]]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    block, links, at = Block("", False, False), 0, 0
+    root = Node("", "", False, None)
+    nodes, stack = [root], [root]
+    block, links, at = Block("", root), 0, 0
 
     def end(tag: str) -> Block:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
         if block.text:
             found.append(block)
-        return Block(tag, stack[-1][1], stack[-1][2])
+            block.node.chars += max(0, len(block.text) - block.link_chars)
+        return Block(tag, stack[-1])
 
     def take(text: str) -> None:
         if text:
@@ -196,19 +235,22 @@ def blocks(page: str) -> list[Block]:
             continue
         elif close:
             for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
             block = end("")
         else:
-            if tag in ("p", "li") and stack[-1][0] == tag:  # the end tag was left out
+            if tag in ("p", "li") and stack[-1].tag == tag:  # the end tag was left out
                 stack.pop()
             if tag not in _void and not attrs.endswith("/"):
-                stack.append((tag, *_surroundings(tag, attrs, *stack[-1][1:])))
+                stack.append(Node(tag, *_surroundings(tag, attrs), stack[-1]))
+                nodes.append(stack[-1])
             block = end(tag)
     take(page[at:])
     end("")
-    return found
+    for n in reversed(nodes[1:]):
+        n.up.chars += n.chars
+    return found, nodes
 
 
 def first_pass(b: Block, article: bool, known: bool = True) -> bool | None:
@@ -216,7 +258,8 @@ def first_pass(b: Block, article: bool, known: bool = True) -> bool | None:
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
     share = b.link_chars / max(1, len(b.text))
-    if b.poor or share > MANY_LINKS or (article and not b.good):
+    sentence = b.good and b.tag == "p" and len(b.text) >= SHORT and stops >= MANY_STOP_WORDS and b.text[-1] in ".!?"  # as a link, still the article's
+    if b.poor or share > MANY_LINKS and not sentence or (article and not b.good):
         return False
     if len(b.text) < LONG and _rights.match(b.text) and not (b.good and stops >= MANY_STOP_WORDS):  # a sentence of the article may begin so
         return False
@@ -266,14 +309,30 @@ def second_pass(found: list[Block]) -> None:
         b.label = (heading or sorted(near))[0][2] if near else b.good
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def judge(found: list[Block]) -> None:
+    """Both passes over a page's blocks."""
     kept = sum(len(b.text) for b in found if b.good and not b.poor)
     article = kept > 0 and 4 * kept >= sum(len(b.text) for b in found if not b.poor)
     known = knows(found)
     for b in found:
         b.label = first_pass(b, article, known)
     second_pass(found)
+
+
+def main_text(page: str | None) -> str:
+    found, nodes = blocks(page or "")
+    wide = [n for n in nodes if n.bad and 2 * n.chars > nodes[0].chars]
+    for n in wide:
+        if n.bad == "form":
+            n.bad = ""
+    settle(nodes)
+    judge(found)
+    if not any(b.label for b in found) and any(n.bad == "name" for n in wide):
+        for n in wide:
+            if n.bad == "name" and not (n.up and n.up.poor):
+                n.bad = ""
+        settle(nodes)
+        judge(found)
     return "\n".join(b.text for b in found if b.label)
 
 

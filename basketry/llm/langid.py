@@ -7,7 +7,8 @@ with a column of log probabilities and one of back-off weights for each language
 interpolation gives an n-gram that any language has seen is stored, the rest backs off to the
 next order. A text goes to the language of the lowest cross-entropy a character. A text whose
 cross-entropy is above what 99.5 % of that language's held-out texts reach is marked
-``rejected``: one sampled row in ``CALIBRATION`` teaches no n-grams and sets that limit.
+``rejected``: where a language has ``SPARED`` sampled rows, one in ``CALIBRATION`` teaches no n-grams and sets
+that limit; all rows of a language with fewer teach, and its limit is that of all such rows together.
 
 Defined cases: a text that is null or without letters is ``und`` with score 0; rows without
 language or text are not learnt from; ties go to the first language by name; without any
@@ -24,6 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basketry.llm.workspace import map_rows, small_batches, written
 
@@ -32,6 +34,8 @@ ORDER = 4
 SAMPLE, SAMPLE_ALL = 600, 60_000
 #: One sampled row in so many sets the limits of rejection.
 CALIBRATION = 5
+#: Sampled rows that a language needs for limits of its own.
+SPARED = 20
 #: Languages whose row counts are broadcast.
 MOST_LANGUAGES = 10_000
 DISCOUNT = 0.75
@@ -164,21 +168,29 @@ def count_grams(sample: DataFrame) -> DataFrame:
 
 
 def sampled(known: DataFrame, counts: DataFrame, sample: int) -> DataFrame:
-    """Of the rows (doc_id, text, lang) about ``sample`` a language, by their place among all 64-bit hashes; equal rows once."""
-    place = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
-    return known.join(counts, "lang").filter(place * F.col("count") < sample).select("doc_id", "text", "lang").distinct()
+    """Of the rows (doc_id, text, lang) about ``sample`` a language, and one at least, by their place among all 64-bit hashes; equal rows once."""
+    hashed = F.xxhash64("doc_id", "text")
+    chosen = ((hashed / F.lit(2.0**64) + 0.5) * F.col("count") < sample) | (hashed == F.col("least"))
+    return known.join(counts, "lang").filter(chosen).select("doc_id", "text", "lang").distinct()
+
+
+def with_tests(rows: DataFrame) -> DataFrame:
+    """The sampled rows with ``test``: whether a row sets limits instead of teaching."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id", "text"), "doc_id", "text")
+    n = F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    test = (n >= SPARED) & (F.row_number().over(order) % CALIBRATION == 0)
+    return rows.withColumn("test", test)
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> KneserNey:
     """The model of documents (doc_id, text, lang) where ``learn`` holds."""
     known = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = written(known.groupBy("lang").count(), "langid-counts")
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(F.xxhash64("doc_id", "text")).alias("least")), "langid-counts")
     n = counts.count()
     if n <= MOST_LANGUAGES:
         counts = F.broadcast(counts)  # texts stay where they are; a language may hold most of them
-    rows = written(sampled(known, counts, max(1, min(sample, SAMPLE_ALL // max(1, n)))), "langid-sample")
-    tests = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(CALIBRATION)) == 0
-    grams = count_grams(rows.filter(~tests)).toPandas()  # of the bounded sample
+    rows = written(with_tests(sampled(known, counts, max(1, min(sample, SAMPLE_ALL // max(1, n))))), "langid-sample")
+    grams = count_grams(rows.filter("not test")).toPandas()  # of the bounded sample
     for c in ("gram", "head", "tail"):
         grams[c] = grams[c].to_numpy(np.int64).view(np.uint64)
     grams = grams.sort_values(["lang", "n", "gram"], ignore_index=True)
@@ -186,8 +198,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> KneserNey:
     if not len(grams):
         model.languages, model.limits = [], np.zeros(0)
         return model
-    reach = identify(rows.filter(tests), model).filter("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile("entropy", 0.995).alias("limit"))
-    for r in reach.collect():  # a row a language
+    told = written(identify(rows.filter("test"), model).filter("lang_pred <> 'und'"), "langid-told")
+    reach = told.groupBy("lang_pred").agg(F.percentile("entropy", 0.995).alias("limit")).collect()  # a row a language
+    together = told.agg(F.percentile("entropy", 0.995)).first()[0]
+    model.limits[:] = np.inf if together is None else together
+    for r in reach:
         model.limits[model.languages.index(r["lang_pred"])] = r["limit"]
     return model
 

@@ -68,7 +68,7 @@ def test_entropy_is_that_of_a_plain_kneser_ney(spark):
 def test_the_sample_keeps_its_size_at_any_row_count(spark, count):
     """Of 40 million rows that are part of a language of billions a few are taken, in proportion; all of a small one."""
     docs = spark.range(min(count, 40_000_000)).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("aa").alias("lang"))
-    counts = spark.createDataFrame([("aa", count)], "lang string, count long")
+    counts = spark.createDataFrame([("aa", count, 0)], "lang string, count long, least long")
     got = langid.sampled(docs, counts, 600).count()
     assert got == 600 if count == 600 else 1 <= got <= 30
 
@@ -76,7 +76,7 @@ def test_the_sample_keeps_its_size_at_any_row_count(spark, count):
 def test_copies_and_null_ids_do_not_swell_the_sample(spark):
     rows = [(None, "the same", "aa")] * 3000 + [(None, f"text {i}", "aa") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("own")).withColumn("count", F.lit("own"))
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(F.xxhash64("doc_id", "text")).alias("least"))
     got = langid.sampled(docs.select("doc_id", "text", "lang"), counts, 600).count()
     assert 150 <= got <= 601
     assert {r.lang_pred for r in langid.identify(docs.limit(5), langid.fit(docs, F.lit(True))).collect()} == {"aa"}
@@ -91,3 +91,21 @@ def test_rejection_is_calibrated_on_unseen_texts(spark):
     odd = [(i, "".join(r.choice("zxqjvgpdf ") for _ in range(200))) for i in range(50)] + [(99, "ra tu " * 50_000)]
     out = {x.doc_id: x for x in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
     assert all(out[i].rejected for i in range(50)) and out[99].lang_pred == "aa"
+
+
+def test_languages_of_one_document_are_learnt(spark):
+    r = random.Random(7)
+    few = [(10_000 + k, " ".join("".join(r.choice(alphabet) for _ in range(5)) for _ in range(40)), f"l{k:02d}") for k, alphabet in enumerate("".join(chr(0x4E00 + 50 * k + j) for j in range(6)) for k in range(30))]
+    rows = few + texts(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert set(model.languages) == {lang for *_, lang in rows} and np.isfinite(model.limits).all()
+    assert {x.doc_id: x.lang_pred for x in langid.identify(docs.filter("doc_id >= 10000"), model).collect()} == {i: lang for i, _, lang in few}
+
+
+@pytest.mark.parametrize("most", [60_000, 40])
+def test_no_language_is_left_out_however_many_there_are(spark, monkeypatch, most):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", most)
+    rows = [(100 * k + j, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} number {j}", f"l{k}") for k in range(60) for j in range(1 + k % 5)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 60
