@@ -16,7 +16,8 @@ tree. Of two fingerprints with different homes only the one of the lower home qu
 In a shard the same search goes on down to small leaves, whose homes are compared on all 64 bits
 with homes and queries. A hot shard is split by exact values of other blocks: two fingerprints
 that differ in at most ``bits`` bits agree in one of ``bits + 1`` parts of the bits outside the
-shard's block. What still is hot is dealt to chunks of its homes. A comparison returns a shallow
+shard's block. What still is hot is cut into chunks of homes and chunks of rows that meet in a grid, so no
+task holds more than two chunks. Homes make a shard hot, guests only where they are far more than balls explain. A comparison returns a shallow
 spanning forest of its links, never all pairs of a group; components come from minimum-label
 joins with pointer jumping over written tables.
 
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 
 from basketry.llm.workspace import free_name, map_rows, text_keys, written
 
-#: Fingerprints aimed at in a shard; rows above which a shard is hot.
-SHARD, HOT = 8192, 65536
+#: Fingerprints aimed at in a shard; homes above which a shard is hot; rows for each of these above which it is as well.
+SHARD, HOT, GUESTS = 8192, 65536, 16
 #: Levels of a tree at most (hot shards are split by other blocks), sampled fingerprints a shard.
 LEVELS, SAMPLE = 16, 16
 #: Homes of a leaf, inside a shard, that are compared without another split.
@@ -210,9 +211,11 @@ def _signed(mask: int) -> int:
 
 
 def split_hot(routed: DataFrame, masks: list[int], bits: int, hot: int) -> DataFrame:
-    """block, tile, home, fp: shards as they are, hot ones by exact values of parts of the other bits, then by chunks of homes."""
-    whole = F.struct("block", "shard", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("chunk")).alias("tile")
-    sizes = written(routed.groupBy("block", "shard").count().filter(F.col("count") > hot).select("block", "shard"), "simhash-hot")
+    """block, tile, home, fp: shards as they are, hot ones by exact values of parts of the other bits, then by a grid of chunks."""
+    whole = F.struct("block", "shard", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("row"), F.lit(0).alias("column")).alias("tile")
+    homes, rows = F.sum(F.col("home").cast("int")), F.count(F.lit(1))
+    sizes = routed.groupBy("block", "shard").agg(homes.alias("homes"), rows.alias("rows")).filter((F.col("homes") > hot) | (F.col("rows") > GUESTS * hot))
+    sizes = written(sizes.select("block", "shard"), "simhash-hot")
     if sizes.isEmpty():
         return routed.select("block", whole, "home", "fp")
     on = ["block", "shard"]
@@ -221,10 +224,16 @@ def split_hot(routed: DataFrame, masks: list[int], bits: int, hot: int) -> DataF
     cells = routed.join(sizes, on, "left_semi").select("block", "shard", "home", "fp", F.posexplode(parts[F.col("block")]).alias("part", "bits")).withColumn("value", F.col("fp").bitwiseAND(F.col("bits")))
     keys = [*on, "part", "value"]
     cells = written(cells.drop("bits"), "simhash-cells")
-    cuts = cells.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).cast("int").alias("chunks"))
-    dealt = cells.join(cuts, keys).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks").cast("long")) == F.col("chunk")
-    return cold.unionByName(dealt.select("block", F.struct(*keys, "chunk").alias("tile"), (F.col("home") & own).alias("home"), "fp"))
+    chunks = lambda n: F.greatest(F.ceil(n / F.lit(hot)), F.lit(1)).cast("int")
+    cuts = cells.groupBy(*keys).agg(chunks(homes).alias("m"), chunks(rows).alias("n")).filter("m * n >= 1")
+    dealt = cells.join(cuts, keys).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "m").cast("int")).withColumn("at", F.pmod(F.xxhash64("fp", F.lit(8)), "n").cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda row, column, home: F.struct(row.alias("row"), column.alias("column"), F.lit(home).alias("home"))
+    # a home meets all rows, chunk by chunk; a row is a guest of every chunk of homes, but of its own where it is one of them
+    as_home = F.when(F.col("home"), F.transform(every("n"), lambda j: tile(F.col("own"), j, True))).otherwise(F.array().cast("array<struct<row: int, column: int, home: boolean>>"))
+    as_guest = F.transform(F.filter(every("m"), lambda i: ~F.col("home") | (i != F.col("own"))), lambda i: tile(i, F.col("at"), False))
+    dealt = dealt.select(*keys, "fp", F.explode(F.concat(as_home, as_guest)).alias("t"))
+    return cold.unionByName(dealt.select("block", F.struct(*keys, "t.row", "t.column").alias("tile"), "t.home", "fp"))
 
 
 def links(unique: DataFrame, bits: int = 4, shard: int = SHARD, hot: int = HOT, small: int = SMALL) -> DataFrame:
