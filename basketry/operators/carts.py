@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.similarity import may_be_similar, similarity
-from basketry.operators.market import SLICES, in_each
+from basketry.operators.market import in_each
+from basketry.operators.tiles import tiled_join
 
 NAMED_ALIKE = 0.8
 
@@ -63,11 +64,12 @@ def best_coupons(prices: DataFrame, coupons: DataFrame) -> DataFrame:
 
 def best_named_coupons(prices: DataFrame, coupons: DataFrame) -> DataFrame:
     """Prices (store, sku, name, price) after the lowest coupon (store, coupon_id, product, coupon_price, percent, off) whose
-    product is named alike, for coupons that list no SKU. Every coupon of a shop meets every price of it, in slices of the prices.
+    product is named alike, for coupons that list no SKU. Every coupon of a shop meets every name of it, in tiles by their counts.
     """
-    c = coupons.filter("trim(coalesce(product, '')) <> ''").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    named = prices.select("store", "name").filter("trim(coalesce(name, '')) <> ''").distinct().withColumn("_slice", F.pmod(F.xxhash64("name"), F.lit(SLICES)).cast("int"))
-    met = named.join(c, ["store", "_slice"]).filter(may_be_similar(F.col("product"), F.col("name"), NAMED_ALIKE))
+    c = coupons.filter("trim(coalesce(product, '')) <> ''").withColumn("_row", F.xxhash64("coupon_id"))
+    named = prices.select("store", "name").filter("trim(coalesce(name, '')) <> ''").distinct().withColumn("_row", F.xxhash64("name"))
+    met = tiled_join(named, c, ["store"], row="_row").select("a.store", "a.name", *[f"b.{x}" for x in ("product", "coupon_id", "coupon_price", "percent", "off")])
+    met = met.filter(may_be_similar(F.col("product"), F.col("name"), NAMED_ALIKE))
     fits = met.filter(similarity(F.col("product"), F.col("name")) >= NAMED_ALIKE).select("store", "name", "coupon_id", "coupon_price", "percent", "off")
     j = prices.join(fits, ["store", "name"], "left").withColumn("after", coupon_price(F.col("price"), F.col("coupon_price"), F.col("percent"), F.col("off")))
     return j.groupBy("store", "sku", "name", "price").agg(F.min("after").alias("my_price"), F.min_by("coupon_id", F.struct("after", "coupon_id")).alias("coupon_id"))

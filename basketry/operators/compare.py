@@ -71,9 +71,9 @@ def board(variants: DataFrame, singles: DataFrame, most: int = 3) -> DataFrame:
 
 def partly_dominated(places: DataFrame, group: list[str]) -> DataFrame:
     """The milder rule: a place goes only if another has more of the basket and costs no more."""
-    a, b = places.alias("a"), places.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group]
-    return a.join(b, [*on, (F.col("b.missing") < F.col("a.missing")) & (F.col("b.total") <= F.col("a.total"))], "left_anti")
+    from basketry.operators.market import dominated
+
+    return dominated(places, group, partly=True)
 
 
 def available(price: Column, in_stock: Column) -> Column:

@@ -37,15 +37,29 @@ def real_skus(products: DataFrame) -> DataFrame:
     return products.filter(~placeholder_sku(F.col("sku"), F.col("chain")))
 
 
-#: Slices that shops are dealt to where every row meets every shop.
-SLICES = 64
+#: Shops that are listed beside each row, at most; more of them meet rows in tiles.
+MOST_LISTED = 10_000
 
 
 def in_each(rows: DataFrame, shops: DataFrame, shop: str) -> DataFrame:
-    """Every row once for each shop, which is what such a question asks for. Rows and shops meet by slices of the shops,
-    so any number of shops will do and no slice has all of them."""
-    dealt = shops.select(shop).distinct().withColumn("_slice", F.pmod(F.xxhash64(shop), F.lit(SLICES)).cast("int"))
-    return rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(dealt, "_slice").drop("_slice")
+    """Every row once for each shop, which is what such a question asks for. A list of shops of a checked size is put beside
+    each row and opened, so no row moves; a longer one meets the rows in tiles."""
+    dealt = shops.select(shop).distinct()
+    some = dealt.limit(MOST_LISTED + 1).collect()
+    if len(some) <= MOST_LISTED:
+        kind = dealt.schema[shop].dataType
+        listed = F.array(*[F.lit(r[0]).cast(kind) for r in some]) if some else F.array().cast(f"array<{kind.simpleString()}>")
+        return rows.withColumn(shop, F.explode(listed))
+    return every_pair(rows, dealt)
+
+
+def every_pair(rows: DataFrame, others: DataFrame, side: int = 1024) -> DataFrame:
+    """All pairs of two tables, dealt by their counts to a grid of tiles of about ``side`` rows of each; for questions whose answer is all pairs."""
+    m, n = (max(1, -(-df.count() // side)) for df in (rows, others))
+    own = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    a = rows.withColumn("_a", own(rows, m)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    b = others.withColumn("_b", own(others, n)).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return a.join(b, ["_a", "_b"]).drop("_a", "_b")
 
 
 def missing_pairs(items: DataFrame, shops: DataFrame, known: DataFrame) -> DataFrame:
@@ -111,12 +125,22 @@ def thin_rows(catalog: DataFrame) -> DataFrame:
     return rows.withColumn("kin", F.col("kin_all") - 1).withColumn("priced_kin", F.col("priced_all") - F.col("own_priced")).drop("kin_all", "priced_all", "own_priced")
 
 
-def dominated(places: DataFrame, group: list[str]) -> DataFrame:
-    """Places that no other of their group beats on both what is missing and the total. Groups are the places of a basket."""
-    a, b = places.alias("a"), places.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group]
-    worse = (F.col("b.missing") <= F.col("a.missing")) & (F.col("b.total") <= F.col("a.total")) & ((F.col("b.missing") < F.col("a.missing")) | (F.col("b.total") < F.col("a.total")))
-    return a.join(b, [*same, worse], "left_anti")
+def dominated(places: DataFrame, group: list[str], partly: bool = False) -> DataFrame:
+    """Places that no other of their group beats on both what is missing (a count) and the total; ``partly``: that lacks less and costs no more.
+
+    One sort by group and what is missing: a place is beaten by the least total of those that lack less, or of those that lack
+    as much. A place whose group, count or total is unknown neither beats nor is beaten.
+    """
+    known = F.lit(True)
+    for c in [*group, "missing", "total"]:
+        known = known & F.col(c).isNotNull()
+    w = Window.partitionBy(*group).orderBy("missing")
+    total = F.when(known, F.col("total"))
+    least = places.withColumn("_less", F.min(total).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("_same", F.min(total).over(w.rangeBetween(0, 0)))
+    beaten = F.col("_less") <= F.col("total")
+    if not partly:
+        beaten = F.coalesce(beaten, F.lit(False)) | (F.col("_same") < F.col("total"))
+    return least.filter(~(known & F.coalesce(beaten, F.lit(False)))).drop("_less", "_same")
 
 
 def ranked_places(places: DataFrame, group: list[str], most: int = 3) -> DataFrame:
@@ -135,6 +159,55 @@ def nearest(points: DataFrame, lat: Column, lon: Column, group: list[str], forma
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+#: Edge of the cubes of the first round of :func:`nearest_of_many`, in kilometres; each round doubles it.
+CUBE_KM = 2.0
+
+
+def nearest_of_many(places: DataFrame, points: DataFrame, group: str, most: int = 1, within_km: float | None = None) -> DataFrame:
+    """For each place (place, lat, lon) the nearest points (``group``, point, lat, lon) of every group: place, ``group``, point, km, rank.
+
+    Places and points are put into cubes of a grid through the globe, so neither the poles nor the date line are edges. A place meets
+    the points of its cube and of the 26 around it; its answer is proven once ``most`` points lie within a cube's edge. What is
+    not proven goes on with cubes of twice the edge, until they span ``within_km`` or the globe. Cubes that hold many points
+    are dealt to tiles. Distances count in millimetres, ties go by point; unknown coordinates find nothing.
+    """
+    from basketry.functions.prices import EARTH_KM, haversine_km
+    from basketry.operators.tiles import tiled_join
+    from basketry.session import written
+
+    def placed(df: DataFrame) -> DataFrame:
+        a, o = F.radians("lat"), F.radians("lon")
+        known = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        return known.withColumns({"_x": F.cos(a) * F.cos(o) * EARTH_KM, "_y": F.cos(a) * F.sin(o) * EARTH_KM, "_z": F.sin(a) * EARTH_KM})
+
+    left = in_each(placed(places.select("place", "lat", "lon")), points, group)
+    left = written(left.withColumn("_row", F.xxhash64("place")), "nearest-places")
+    right = written(placed(points.select(group, "point", "lat", "lon")).withColumn("_row", F.xxhash64("point")), "nearest-points")
+    edge, done = CUBE_KM, None
+    while True:
+        cube = {c: F.floor(F.col(c) / edge) for c in ("_x", "_y", "_z")}
+        around = left
+        for c, at in cube.items():
+            around = around.withColumn(f"{c}c", F.explode(F.array(at - 1, at, at + 1)))
+        there = right.withColumns({f"{c}c": at for c, at in cube.items()})
+        met = tiled_join(around, there, [group, "_xc", "_yc", "_zc"], row="_row")
+        found = met.select("a.place", F.col(f"a.{group}").alias(group), "b.point", F.round(haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 6).alias("km"))
+        if within_km is not None:
+            found = found.filter(F.col("km") <= within_km)
+        w = Window.partitionBy("place", group).orderBy("km", "point")
+        found = written(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most), "nearest-found")
+        last = edge >= min(within_km or 2.1 * EARTH_KM, 2.1 * EARTH_KM)
+        proven = found.filter((F.col("rank") == most) & (F.col("km") <= edge * (1 - 1e-9))).select("place", group)
+        now = found if last else found.join(proven, ["place", group], "left_semi")
+        done = now if done is None else done.unionByName(now)
+        if last:
+            return done
+        left = written(left.join(proven, ["place", group], "left_anti"), "nearest-places")
+        if left.isEmpty():
+            return done
+        edge *= 2
+
+
 def addresses_to_points(rows: DataFrame, most: int) -> DataFrame:
     """Points of each chain in the order of the addresses that named them first, so many at most."""
     first = rows.groupBy("chain", "point").agg(F.min("position").alias("position"))

@@ -10,7 +10,7 @@ from basketry.functions import conflicts as c
 from basketry.functions import text as t
 from basketry.functions.prices import weight_ok
 from basketry.functions.similarity import connector_similarity, ratio_bound, similarity
-from basketry.operators.market import SLICES
+from basketry.operators.market import every_pair
 
 AUTO, DOUBTFUL, WORTH, CONFIDENT, BRANDED, HELD = 0.75, 0.75, 0.5, 0.75, 0.65, 0.95
 
@@ -81,14 +81,14 @@ def search_terms(name: Column, pack_g: Column) -> Column:
 def fallback_search(asked: DataFrame, prices: DataFrame, most: int, least: float = 0.45) -> DataFrame:
     """The reference rows (sku, name, price) most like each asked name (id, name): a name that holds the asked one scores 0.95 at least.
 
-    The asked names are a small set of queries; they go to every slice of the rows, so no pair is missed. Pairs whose
+    The asked names are a set of queries that meets all rows, in tiles by the counts of both, so no pair is missed. Pairs whose
     letters, in any order, cannot reach ``least`` never meet Python. Ties go by sku; a null or empty name finds nothing.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    a = asked.select("id", "name").filter(low("name") != "").distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    p = prices.select("sku", F.col("name").alias("other"), "price").distinct().withColumn("_slice", F.pmod(F.xxhash64("sku", "other"), F.lit(SLICES)).cast("int"))
+    a = asked.select("id", "name").filter(low("name") != "").distinct()
+    p = prices.select("sku", F.col("name").alias("other"), "price").distinct()
     plain = lambda c: F.replace(low(c), F.lit("ё"), F.lit("е"))
-    pairs = a.join(p, "_slice").drop("_slice").withColumn("inside", F.contains(plain("other"), plain("name")))
+    pairs = every_pair(a, p).withColumn("inside", F.contains(plain("other"), plain("name")))
     contained = F.contains(low("name"), low("other")) & (low("other") != "")
     pairs = pairs.filter(F.col("inside") | contained | (ratio_bound(low("name"), low("other")) >= least))
     alike = connector_similarity(F.col("name"), F.col("other"))

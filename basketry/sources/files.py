@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,17 +44,23 @@ def _renamed(df: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def _renamed_by_part(df: DataFrame, wanted: list[str]) -> DataFrame:
-    low = {" ".join(c.lstrip("﻿").split()).lower(): c for c in df.columns}
-    whole = {w: [c for h, c in low.items() if h in RECEIPT_HEADERS[w]] for w in wanted}
-    part = {w: [c for h, c in low.items() if any(word in h for word in RECEIPT_HEADERS[w])] for w in wanted}
-    return _chosen(df, {w: next(iter(whole[w] + part[w]), None) for w in wanted})
+    at = pick_columns(df.columns, wanted)
+    return _chosen(df, {w: None if i is None else df.columns[i] for w, i in at.items()})
+
+
+def pick_columns(header: list[str], wanted: list[str]) -> dict[str, int | None]:
+    """The place of each wanted column of a receipt: where a header is a known word, else where one has such a word in it."""
+    low = [" ".join(c.lstrip("﻿").split()).lower() for c in header]
+    whole = {w: [i for i, h in enumerate(low) if h in RECEIPT_HEADERS[w]] for w in wanted}
+    part = {w: [i for i, h in enumerate(low) if any(word in h for word in RECEIPT_HEADERS[w])] for w in wanted}
+    return {w: next(iter(whole[w] + part[w]), None) for w in wanted}
 
 
 def _chosen(df: DataFrame, found: dict[str, str | None]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(w) for w, c in found.items()])
 
 
-def separator(spark: SparkSession, path: str) -> str:
+def separator(spark: SparkSession, path: str | list[str]) -> str:
     """Of semicolon, tab and comma the one that the first line has most of."""
     line = spark.read.text(path).limit(1).first()
     return max(";\t,", key=lambda s: (line[0].count(s) if line else 0)) if line else ","
@@ -73,13 +84,64 @@ def reference_prices(spark: SparkSession, path: str) -> DataFrame:
     return df.select("store_code", "sku", "name", "unit", *[parse_money(F.col(c)).alias(c) for c in ("price", "weight_g", "price_per_kg")], yes.alias("in_stock"))
 
 
-def receipt_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """date, store, name, qty, price, total of a receipt table in CSV; price and total complete one another."""
-    raw = _renamed_by_part(spark.read.csv(path, sep=separator(spark, path), header=True, encoding=encoding), ["date", "store", "name", "qty", "price", "total"])
+RECEIPT = ["date", "store", "name", "qty", "price", "total"]
+#: Fixed value: the encoding of tables that are no UTF-8.
+OTHER_ENCODING = "cp1251"
+
+
+def named_rows(files: DataFrame, read: Callable[[bytes], Iterator[list]], broken: tuple[type[Exception], ...] = ()) -> DataFrame:
+    """path and the columns of a receipt, as text, of files (path, content) whose rows ``read`` gives; the first row names the columns.
+
+    A file that breaks off with one of ``broken``, or that has no column for the name, has no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                out: list[tuple] = []
+                at = None
+                try:
+                    for cells in read(content):
+                        if at is None:
+                            at = pick_columns([c or "" for c in cells], RECEIPT)
+                        elif at["name"] is not None:
+                            out.append((name, *[cells[i] if (i := at[c]) is not None and i < len(cells) else None for c in RECEIPT]))
+                except broken:
+                    out = []
+                yield pd.DataFrame(out, columns=["path", *RECEIPT])
+
+    return files.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{c} string" for c in RECEIPT))
+
+
+def _other_rows(content: bytes) -> Iterator[list]:
+    text = content.decode(OTHER_ENCODING, "replace")
+    first = text.partition("\n")[0]
+    return csv.reader(io.StringIO(text, newline=""), delimiter=max(";\t,", key=first.count))
+
+
+def receipt_table(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """date, store, name, qty, price, total of receipt tables in CSV; price and total complete one another.
+
+    Without an ``encoding`` each file is read in the one that it is in: those that are no valid UTF-8 in the other.
+    """
+    if encoding:
+        return receipt_rows(_renamed_by_part(spark.read.csv(path, sep=separator(spark, path), header=True, encoding=encoding), RECEIPT))
+    files = spark.read.format("binaryFile").load(path)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    plain = [r["path"] for r in files.filter(valid).select("path").collect()]  # a row a file
+    others = receipt_rows(named_rows(files.filter(~valid), _other_rows))
+    if not plain:
+        return others
+    known = receipt_rows(_renamed_by_part(spark.read.csv(plain, sep=separator(spark, plain), header=True), RECEIPT))
+    return known.unionByName(others)
+
+
+def receipt_rows(raw: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Typed rows of a receipt from its text columns; rows without a name or a price go."""
     qty = F.coalesce(parse_money(F.col("qty")), F.lit(1.0))
-    price, total = parse_money(F.col("price")), parse_money(F.col("total"))
-    out = raw.select(parse_day(F.col("date")).alias("date"), "store", F.trim("name").alias("name"), qty.alias("qty"), price.alias("p"), total.alias("t"))
-    return out.select("date", "store", "name", "qty", F.coalesce("p", F.round(F.try_divide("t", "qty"), 2)).alias("price"), F.coalesce("t", F.round(F.col("p") * F.col("qty"), 2)).alias("total")).filter("name <> '' and total is not null")
+    price, total, own = parse_money(F.col("price")), parse_money(F.col("total")), more or []
+    out = raw.select(*own, parse_day(F.col("date")).alias("date"), "store", F.trim("name").alias("name"), qty.alias("qty"), price.alias("p"), total.alias("t"))
+    return out.select(*own, "date", "store", "name", "qty", F.coalesce("p", F.round(F.try_divide("t", "qty"), 2)).alias("price"), F.coalesce("t", F.round(F.col("p") * F.col("qty"), 2)).alias("total")).filter("name <> '' and total is not null")
 
 
 def parse_day(c: Column) -> Column:
