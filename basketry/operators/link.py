@@ -8,34 +8,88 @@ from pyspark.sql import functions as F
 from basketry.functions import text as t
 from basketry.functions.prices import weights_agree
 
+#: Letters that a receipt's word needs to have to begin some word.
+SAID = 3
+
 
 def abbreviation_cover(short: Column, full: Column) -> Column:
-    """2: every receipt word begins a word of the name and none is left over; 1: some words of the name are left; 0: no cover."""
-    covered = F.forall(short, lambda s: F.exists(full, lambda f: f.startswith(s) & (F.length(s) >= F.least(F.lit(3), F.length(f)))))
+    """2: every receipt word begins a word of the name and none is left over; 1: some words of the name are left; 0: no cover.
+
+    Scraps of two letters cover words as longer ones do, but one that begins no word makes the cover weak instead of none.
+    """
+    begins = lambda s: F.exists(full, lambda f: f.startswith(s))
+    said = F.filter(short, lambda s: F.length(s) >= SAID)
+    covered = F.forall(said, begins) & ((F.size(said) > 0) | (F.size(short) > 0) & F.forall(short, begins))
     rest = F.filter(full, lambda f: ~F.exists(short, lambda s: f.startswith(s)))
-    return F.when(~covered | (F.size(short) == 0), 0).when(F.size(rest) == 0, 2).otherwise(1)
+    return F.when(~covered, 0).when((F.size(rest) == 0) & F.forall(short, begins), 2).otherwise(1)
+
+
+def words_beginning(heads: DataFrame, words: DataFrame) -> DataFrame:
+    """head, word: the words (word) that each head (head) begins.
+
+    Both are vocabularies, each word once: a word meets a head by the beginning that has the head's length, for the lengths that
+    heads have, so nothing is compared that does not match.
+    """
+    heads = heads.select("head").distinct().filter(F.length("head") > 0)
+    lengths = [r[0] for r in heads.select(F.length("head").alias("n")).distinct().orderBy("n").collect()]  # a number a length
+    if not lengths:
+        return heads.select("head", F.col("head").alias("word"))
+    starts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("word"))
+    cut = words.select("word").distinct().select("word", F.explode(F.transform(starts, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("head"))
+    return heads.join(cut, "head")
+
+
+def abbreviated(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked_id, row_id, cover: rows (row_id, words) whose words the words of ``asked`` (asked_id, words) abbreviate, weakly (1) or in full (2).
+
+    Every long word has to begin a word of the row, or every word where none is long; so rows meet by the one that begins words of the
+    fewest rows.
+    """
+    a = asked.select("asked_id", F.array_distinct("words").alias("short"))
+    long_ones = F.filter("short", lambda s: F.length(s) >= SAID)
+    a = a.withColumn("head", F.explode(F.when(F.size(long_ones) > 0, long_ones).otherwise(F.col("short"))))
+    r = rows.select("row_id", F.array_distinct("words").alias("full"))
+    posted = r.select("row_id", F.explode("full").alias("word"))
+    pairs = words_beginning(a, posted)
+    reach = pairs.join(posted.groupBy("word").count(), "word").groupBy("head").agg(F.sum("count").alias("reach"))
+    rarest = a.join(reach, "head", "left").groupBy("asked_id").agg(F.min_by("head", F.struct(F.coalesce("reach", F.lit(0)), "head")).alias("head"), F.first("short").alias("short"))
+    met = rarest.join(pairs, "head").join(posted, "word").select("asked_id", "row_id", "short").dropDuplicates(["asked_id", "row_id"])
+    return met.join(r, "row_id").withColumn("cover", abbreviation_cover(F.col("short"), F.col("full"))).filter("cover > 0").select("asked_id", "row_id", "cover")
+
+
+def by_variant(p: DataFrame, variants: DataFrame) -> DataFrame:
+    """product_id, item_id, person: items of which somebody has written the name just so before. variants: name, item_id, confirmed (by a person)."""
+    said = variants.select(_spelling(F.col("name")).alias("said"), "item_id", F.coalesce("confirmed", F.lit(False)).alias("person")).filter("said <> ''")
+    known = said.groupBy("said", "item_id").agg(F.max("person").alias("person"))
+    return p.withColumn("said", _spelling(F.col("name"))).join(known, "said").select("product_id", "item_id", "person")
+
+
+def _spelling(name: Column) -> Column:
+    """A name as the dictionary of variants knows it: its words, in order."""
+    return F.array_join(t.ordered_words(F.coalesce(name, F.lit(""))), " ")
 
 
-def find_master(products: DataFrame, items: DataFrame, skus: DataFrame, bridge: DataFrame) -> DataFrame:
-    """product_id, item_id, method: barcode, bridge, words, abbreviation; doubtful (no item) where two fit; none.
+def find_master(products: DataFrame, items: DataFrame, skus: DataFrame, bridge: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """product_id, item_id, method: barcode, bridge, words, abbreviation, variant; doubtful (no item) where two fit; none.
 
     products: product_id, name, barcode, weight_g; items: item_id, name, weight_g; skus: sku, item_id, gtin;
-    bridge: product_id, sku that a person confirmed.
+    bridge: product_id, sku that a person confirmed; variants: name, item_id, confirmed: how items were written before. A variant that a
+    person confirmed stands for the words; one that only receipts have counts where nothing else does.
     """
     code = t.gtin(F.col("barcode"))
     p = products.withColumn("code", F.when(t.gtin_trusted(code), code)).withColumn("w", t.fold_words(t.ordered_words(t.glue(F.col("name"))))).withColumn("size", F.coalesce("weight_g", t.weight_g(F.col("name")))).withColumn("pct", t.parse_percent(F.col("name")))
     i = items.select("item_id", t.fold_words(t.ordered_words(t.glue(F.col("name")))).alias("iw"), F.coalesce("weight_g", t.weight_g(F.col("name"))).alias("isize"), t.parse_percent(F.col("name")).alias("ipct"))
     by_code = p.filter("code is not null").join(skus.filter("gtin is not null").select(F.col("gtin").alias("code"), "item_id").distinct(), "code").select("product_id", "item_id", F.lit(1).alias("stage"), F.lit("barcode").alias("method"))
     by_bridge = bridge.join(skus.select("sku", "item_id"), "sku").select("product_id", "item_id", F.lit(2).alias("stage"), F.lit("bridge").alias("method")).distinct()
-    # blocks: the first three letters of any word meet; what is compared shares such a beginning
-    pb = p.select("product_id", "w", "size", "pct", F.explode(F.array_distinct(F.transform("w", lambda w: F.substring(w, 1, 3)))).alias("b"))
-    ib = i.select("*", F.explode(F.array_distinct(F.transform("iw", lambda w: F.substring(w, 1, 3)))).alias("b"))
-    rare = ib.groupBy("b").count()
-    first = pb.join(rare, "b").groupBy("product_id").agg(F.min_by("b", F.struct("count", "b")).alias("b"))  # its rarest beginning is enough
-    pairs = pb.join(first, ["product_id", "b"]).join(ib, "b").filter(weights_agree(F.col("size"), F.col("isize"), 0.03) & t.percents_agree(F.col("pct"), F.col("ipct")))
-    cover = abbreviation_cover(F.col("w"), F.col("iw"))
-    worded = pairs.withColumn("stage", F.when(F.col("w") == F.col("iw"), 3).when(cover == 2, 4).when(cover == 1, 5)).filter("stage is not null")
+    near = abbreviated(p.select(F.col("product_id").alias("asked_id"), F.col("w").alias("words")), i.select(F.col("item_id").alias("row_id"), F.col("iw").alias("words")))
+    near = near.select(F.col("asked_id").alias("product_id"), F.col("row_id").alias("item_id"), "cover")
+    fits = weights_agree(F.col("size"), F.col("isize"), 0.03) & t.percents_agree(F.col("pct"), F.col("ipct"))
+    met = near.join(p.select("product_id", "w", "size", "pct"), "product_id").join(i, "item_id").filter(fits)
+    worded = met.withColumn("stage", F.when(F.col("w") == F.col("iw"), 3).when(F.col("cover") == 2, 4).otherwise(5))
     worded = worded.select("product_id", "item_id", "stage", F.when(F.col("stage") == 3, "words").otherwise("abbreviation").alias("method")).distinct()
+    if variants is not None:
+        said = by_variant(p, variants).join(p.select("product_id", "size", "pct"), "product_id").join(i, "item_id").filter(fits)
+        worded = worded.unionByName(said.select("product_id", "item_id", F.when(F.col("person"), 3).otherwise(6).alias("stage"), F.lit("variant").alias("method")))
     every = by_code.unionByName(by_bridge).unionByName(worded)
     best = every.groupBy("product_id").agg(F.min("stage").alias("stage"))
     top = every.join(best, ["product_id", "stage"]).groupBy("product_id").agg(F.countDistinct("item_id").alias("n"), F.min("item_id").alias("item_id"), F.min("method").alias("method"))

@@ -159,7 +159,7 @@ def nearest(points: DataFrame, lat: Column, lon: Column, group: list[str], forma
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-#: Edge of the cubes of the first round of :func:`nearest_of_many`, in kilometres; each round doubles it.
+#: Edge of the cubes of the first round of :func:`nearest_of_many`, in kilometres; each round takes four times that.
 CUBE_KM = 2.0
 
 
@@ -168,7 +168,7 @@ def nearest_of_many(places: DataFrame, points: DataFrame, group: str, most: int
 
     Places and points are put into cubes of a grid through the globe, so neither the poles nor the date line are edges. A place meets
     the points of its cube and of the 26 around it; its answer is proven once ``most`` points lie within a cube's edge. What is
-    not proven goes on with cubes of twice the edge, until they span ``within_km`` or the globe. Cubes that hold many points
+    not proven goes on with cubes of four times the edge, until they span ``within_km`` or the globe. Cubes that hold many points
     are dealt to tiles. Distances count in millimetres, ties go by point; unknown coordinates find nothing.
     """
     from basketry.functions.prices import EARTH_KM, haversine_km
@@ -205,7 +205,7 @@ def nearest_of_many(places: DataFrame, points: DataFrame, group: str, most: int
         left = written(left.join(proven, ["place", group], "left_anti"), "nearest-places")
         if left.isEmpty():
             return done
-        edge *= 2
+        edge *= 4
 
 
 def addresses_to_points(rows: DataFrame, most: int) -> DataFrame:

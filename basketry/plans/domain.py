@@ -46,15 +46,19 @@ def coupon_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT l_partkey AS product, max((l_quantity * (l_linenumber % 3) / 2 <> floor(l_quantity * (l_linenumber % 3) / 2))::INT) = 1 AS frac FROM lineitem GROUP BY 1)
-    SELECT p_partkey AS product, CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 = 1 THEN false WHEN frac THEN true WHEN frac IS NOT NULL THEN false ELSE true END AS weighed FROM part LEFT JOIN h ON product = p_partkey"""
+    """WITH h AS (SELECT l_partkey AS product, max((l_quantity * (l_linenumber % 3) / 2 <> floor(l_quantity * (l_linenumber % 3) / 2))::INT) = 1 AS frac FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1),
+    c AS (SELECT l_partkey AS product, 2 * count_if((l_partkey + l_suppkey) % 2 = 0) > count(*) AS votes FROM lineitem WHERE l_partkey % 3 > 0 GROUP BY 1)
+    SELECT p_partkey AS product, CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 = 1 THEN false WHEN frac THEN true WHEN frac IS NOT NULL THEN false WHEN votes IS NOT NULL THEN votes ELSE true END AS weighed
+    FROM part LEFT JOIN h ON h.product = p_partkey LEFT JOIN c ON c.product = p_partkey"""
 )
 def weighed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     products = table(spark, sf_dir, "part").select(k.alias("product_id"), F.when(k % 5 == 0, "Груша весовая").when(k % 5 == 1, "Груша 500 г").otherwise("Груша").alias("name"))
-    hist = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), (F.col("l_quantity") * (F.col("l_linenumber") % 3) / 2).alias("qty"))
-    none = spark.createDataFrame([], "product_id long, unit string")
-    return carts.weighed_products(products, hist, none).select(F.col("product_id").alias("product"), "weighed")
+    li = table(spark, sf_dir, "lineitem")
+    # products that nobody bought go by how chains sell them, and some no chain sells
+    hist = li.filter("l_partkey % 4 = 0").select(F.col("l_partkey").alias("product_id"), (F.col("l_quantity") * (F.col("l_linenumber") % 3) / 2).alias("qty"))
+    sold = li.filter("l_partkey % 3 > 0").select(F.col("l_partkey").alias("product_id"), F.when((F.col("l_partkey") + F.col("l_suppkey")) % 2 == 0, "kg").otherwise("pcs").alias("unit"))
+    return carts.weighed_products(products, hist, sold).select(F.col("product_id").alias("product"), "weighed")
 
 
 @query(
@@ -70,14 +74,15 @@ def line_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LINES_SQL}, d AS (SELECT *, 10.0 AS discount, row_number() OVER (PARTITION BY basket_id, store ORDER BY product_id) AS pos, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY basket_id, store) AS whole FROM ln)
-    SELECT basket_id, store, count(*) AS lines, 10.0 AS shared FROM d GROUP BY ALL"""
+    , s AS (SELECT *, round_even(1000 * CAST(round(value * 100) AS BIGINT) / whole, 0) AS share FROM d)
+    SELECT basket_id, store, product_id, CAST(share + CASE WHEN pos = max(pos) OVER g THEN 1000 - sum(share) OVER g ELSE 0 END AS BIGINT) AS kopecks FROM s WINDOW g AS (PARTITION BY basket_id, store)"""
 )
 def shared_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A discount of ten shared over a store's lines comes to ten."""
+    """Every line's part of a discount of ten that its store gives; the last line has what rounding leaves."""
     from pyspark.sql.window import Window
 
     lines = basket_lines(spark, sf_dir).withColumns({"discount": F.lit(10.0), "position": F.row_number().over(Window.partitionBy("basket_id", "store").orderBy("product_id"))})
-    return optimise.share_discount(lines).groupBy("basket_id", "store").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("share"), 6).alias("shared"))
+    return optimise.share_discount(lines).select("basket_id", "store", "product_id", F.round(F.col("share") * 100).cast("long").alias("kopecks"))
 
 
 @query(
@@ -174,11 +179,11 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS basket_id, o_totalprice * 0.9 + 100 < o_totalprice - 250 OR o_custkey % 7 < o_custkey % 5 AS split FROM orders WHERE o_custkey % 7 <= o_custkey % 5"""
+    """SELECT o_orderkey AS basket_id, o_custkey % 7 < o_custkey % 5 OR (o_custkey % 7 = o_custkey % 5 AND o_totalprice - (o_totalprice * 0.9 + 100) >= 250.0000001) AS split FROM orders"""
 )
 def split_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split is advised if one shop lacks more or if it saves enough."""
-    o, c = table(spark, sf_dir, "orders").filter("o_custkey % 7 <= o_custkey % 5"), F.col("o_custkey")
+    """A split is advised if one shop lacks more, or as much and the split saves enough; never if the split itself lacks more."""
+    o, c = table(spark, sf_dir, "orders"), F.col("o_custkey")
     advice = optimise.split_advised(F.col("o_totalprice") * 0.9 + 100, c % 7, F.col("o_totalprice"), c % 5, 250.0000001)
     return o.select(F.col("o_orderkey").alias("basket_id"), advice.alias("split"))
 

@@ -36,14 +36,14 @@ def comparable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT l_partkey AS item_id, l_returnflag || l_linestatus AS chain, CASE WHEN (l_partkey + l_suppkey) % 4 = 0 THEN l_extendedprice END AS price FROM lineitem WHERE l_shipdate >= DATE '1997-06-01')
+    """WITH c AS (SELECT l_partkey AS item_id, l_returnflag || l_linestatus AS chain, CASE WHEN (l_orderkey + l_suppkey) % 16 = 0 THEN l_extendedprice END AS price FROM lineitem)
     SELECT DISTINCT item_id, chain FROM c WHERE price IS NULL AND item_id IN (SELECT item_id FROM c WHERE price IS NOT NULL GROUP BY 1 HAVING count(DISTINCT chain) = 1)
     AND (item_id, chain) NOT IN (SELECT item_id, chain FROM c WHERE price IS NOT NULL)"""
 )
 def waiting_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live listings of items that one chain prices alone, of the chains that are waited for."""
-    li = table(spark, sf_dir, "lineitem").filter("l_shipdate >= DATE '1997-06-01'")
-    price = F.when((F.col("l_partkey") + F.col("l_suppkey")) % 4 == 0, F.col("l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem")
+    price = F.when((F.col("l_orderkey") + F.col("l_suppkey")) % 16 == 0, F.col("l_extendedprice"))
     return market.waiting_comparisons(li.select(F.col("l_partkey").alias("item_id"), F.concat("l_returnflag", "l_linestatus").alias("chain"), price.alias("price"), F.lit(True).alias("active")))
 
 
@@ -224,3 +224,17 @@ def item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     stores = stores.select((k % 10).alias("store")).distinct()
     return carts.item_status(items, s, prices, stores)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS place, (c_custkey * 37 % 1800) / 10.0 - 90 AS lat, (c_custkey * 101 % 3600) / 10.0 - 180 AS lon FROM customer),
+    s AS (SELECT s_suppkey AS point, s_nationkey % 3 AS chain, (s_suppkey * 53 % 1800) / 10.0 - 90 AS lat, (s_suppkey * 89 % 3600) / 10.0 - 180 AS lon FROM supplier),
+    d AS (SELECT place, chain, point, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(c.lon)) / 2), 2)))), 6) AS km FROM c, s)
+    SELECT place, chain, point, row_number() OVER w AS rank FROM d WINDOW w AS (PARTITION BY place, chain ORDER BY km, point) QUALIFY rank <= 2"""
+)
+def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest points of each of three chains for every customer; the SQL measures all pairs."""
+    at = lambda k, m, n: ((F.col(k) * m % n) / 10.0 - n / 20.0).cast("double")
+    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), at("c_custkey", 37, 1800).alias("lat"), at("c_custkey", 101, 3600).alias("lon"))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_nationkey") % 3).alias("chain"), at("s_suppkey", 53, 1800).alias("lat"), at("s_suppkey", 89, 3600).alias("lon"))
+    return market.nearest_of_many(places, points, "chain", 2).select("place", "chain", "point", "rank")

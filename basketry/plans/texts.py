@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import prices as p
 from basketry.functions import text as t
+from basketry.operators import carts, link
 from basketry.registry import query, table
 from basketry.sources import pages
 
@@ -71,11 +72,13 @@ def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part), top AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 20) SELECT * FROM top"""
+    """WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+'))) AS word FROM part),
+    top AS (SELECT word FROM w GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 20) SELECT id, word FROM w WHERE word NOT IN (SELECT word FROM top)"""
 )
 def generic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(20)
+    """An index over the words of all names, without the twenty that say least."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0)))
+    return link.word_index(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), words.alias("fwords")), 20).select("id", "word")
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS money FROM orders")
@@ -86,13 +89,11 @@ def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, string_agg(substr(md5(CAST(l_partkey AS VARCHAR)), 1, 4), '' ORDER BY l_partkey) AS mark FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1"""
+    """SELECT basket_id, substr(sha1(string_agg(pair, ',' ORDER BY pair)), 1, 12) AS stamp FROM (SELECT l_orderkey AS basket_id, l_partkey || ':' || printf('%.3f', CAST(l_quantity AS DOUBLE)) AS pair FROM lineitem) GROUP BY 1"""
 )
 def basket_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-free mark of a basket's products: equal baskets, equal marks."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    own = F.array_sort(F.collect_list(F.struct("l_partkey", F.substring(F.md5(F.col("l_partkey").cast("string").cast("binary")), 1, 4).alias("m"))))
-    return li.groupBy("l_orderkey").agg(F.array_join(F.transform(own, lambda x: x["m"]), "").alias("mark"))
+    return carts.stamp(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("qty")))
 
 
 @query("SELECT conv_id, count(*) AS lines, sum(length(text)) AS chars, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
