@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -224,3 +226,87 @@ def price_bundle(raw: DataFrame, column: str = "value", most: int = 50_000) -> D
 def fingerprint(date: Column, store: Column, total: Column, names: Column) -> Column:
     """First 16 hex digits of SHA-1 over a receipt's date, store, total and its rows in order."""
     return F.substring(F.sha1(F.concat_ws("|", date.cast("string"), F.coalesce(store, F.lit("")), F.format_string("%.2f", total.cast("double")), F.array_join(names, "|"))), 1, 16)
+
+
+# Where operators of fiscal data put a receipt's shop and day, and an item's code.
+SHOP_FIELDS = ("brand", "retailPlace", "user", "store", "retailPlaceAddress")
+DAY_FIELDS = ("dateTime", "date", "createdDate", "receiveDate", "buyDate")
+CODE_FIELDS = ("ean13", "barcode", "productCode", "rawProductCode", "gtin", "ean")
+_code = re.compile(r"(?<!\d)(\d{12,14}|\d{8})(?!\d)")
+RECEIPT_NODE = "struct<shops:array<string>,day:string,whole:double,items:array<struct<position:int,name:string,qty:double,price:double,total:double,barcode:string>>>"
+
+
+def _with_items(node: object) -> dict | None:
+    """The first object, in the order of the document, that holds a list of items. Without recursion, at any depth."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, dict):
+            if isinstance(n.get("items"), list) and n["items"]:
+                return n
+            todo += reversed(list(n.values()))
+        elif isinstance(n, list):
+            todo += reversed(n)
+    return None
+
+
+def _number(v: object) -> float | None:
+    m = re.search(r"-?\d+(?:\.\d+)?", re.sub(r"[\s ]", "", str(v)).replace(",", ".")) if v is not None and not isinstance(v, (bool, dict, list)) else None
+    return float(m[0]) if m else None
+
+
+def _rubles(v: object) -> float | None:
+    """A whole number is kopecks, anything else is rubles."""
+    n = _number(v)
+    return None if n is None else round(n / 100 if isinstance(v, int) else n, 2)
+
+
+def _item_code(item: dict) -> str | None:
+    for at in (item, *(x for k in ("productCodeNew", "ProductCodeNew") if isinstance(item.get(k), dict) for x in item[k].values() if isinstance(x, dict))):
+        for k in CODE_FIELDS:
+            v = at.get(k) or at.get(k.capitalize())
+            if isinstance(v, (str, int)) and (m := _code.search(str(v))):
+                return m[1]
+    return None
+
+
+def _receipt_node(text: str | None) -> dict | None:
+    try:
+        node = _with_items(json.loads(text or "null"))
+    except ValueError:
+        return None
+    if node is None:
+        return None
+    either = lambda i, k: i.get(k) if i.get(k) is not None else i.get(k.capitalize())
+    items = []
+    for position, i in enumerate(node["items"]):
+        if not isinstance(i, dict):
+            continue
+        qty, price, total = _number(either(i, "quantity")) or 1.0, _rubles(either(i, "price")), _rubles(either(i, "sum"))
+        price = round(total / qty, 2) if price is None and total is not None else price
+        total = round(price * qty, 2) if total is None and price is not None else total
+        if price is not None:
+            items.append({"position": position, "name": str(either(i, "name") or "").strip(), "qty": qty, "price": price, "total": total, "barcode": _item_code(i)})
+    whole = _rubles(node.get("totalSum", node.get("total")))
+    shops = [s for k in SHOP_FIELDS if (s := str(node.get(k) or "").strip())]
+    return {"shops": shops, "day": next((str(node[k]) for k in DAY_FIELDS if node.get(k)), None), "whole": whole, "items": items}
+
+
+def receipt_documents(raw: DataFrame, column: str = "value", signs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The row's other columns, date, store, whole, position, name, qty, price, total, barcode of receipts as JSON documents of any shape.
+
+    A receipt is the first object with items, however deep it is nested. Its store is the first field that names a known chain (by
+    ``signs``, see ``receipts.seller``), else the first that names anything; an item without a name is named by it. What is no JSON or has no priced item has no rows; ``whole`` is the
+    sum of the items where the receipt does not state it.
+    """
+    from basketry.operators.receipts import seller
+
+    read = F.pandas_udf(lambda texts: pd.DataFrame([_receipt_node(x) or {"shops": [], "day": None, "whole": None, "items": []} for x in texts], columns=["shops", "day", "whole", "items"]), RECEIPT_NODE)
+    others = [c for c in raw.columns if c != column]
+    r = raw.withColumn("_r", read(F.col(column)))
+    shops = F.col("_r.shops")
+    store = F.coalesce(F.get(F.filter(shops, lambda s: seller(s, signs or []).isNotNull()), F.lit(0)), F.get(shops, F.lit(0)))
+    day = F.coalesce(parse_day(F.col("_r.day")), F.try_to_timestamp(F.regexp_extract("_r.day", r"\d{4}-\d{2}-\d{2}", 0), F.lit("yyyy-MM-dd")).cast("date"), F.try_to_timestamp(F.regexp_extract("_r.day", r"\d{2}\.\d{2}\.\d{4}", 0), F.lit("dd.MM.yyyy")).cast("date"))
+    summed = F.round(F.aggregate("_r.items", F.lit(0.0), lambda s, i: s + i["total"]), 2)
+    rows = r.select(*others, day.alias("date"), store.alias("store"), F.coalesce("_r.whole", summed).alias("whole"), F.explode("_r.items").alias("i"))
+    return rows.select(*others, "date", "store", "whole", "i.position", F.coalesce(F.nullif("i.name", F.lit("")), "store", F.lit("Позиция без названия")).alias("name"), "i.qty", "i.price", "i.total", "i.barcode")
