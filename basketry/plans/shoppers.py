@@ -118,22 +118,23 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.name_variants(li.select(F.col("l_partkey").alias("item_id"), F.col("l_returnflag").alias("chain"), F.col("l_linestatus").alias("variant"), F.col("l_shipdate").cast("date").alias("seen")))
 
 
-SYNC_SQL = """b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS all_n, max(o_orderkey) OVER (PARTITION BY o_custkey) AS top FROM orders),
+SYNC_SQL = """b AS (SELECT o_custkey, o_orderkey + 1 AS o_orderkey, max(o_orderkey + 1) OVER (PARTITION BY o_custkey) AS top FROM orders),
     a AS (SELECT *, CASE WHEN o_orderkey % 3 = 1 THEN greatest(top_kept, top) + row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 1 ORDER BY o_orderkey) ELSE o_orderkey END AS basket_id
           FROM (SELECT *, coalesce(max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey), 0) AS top_kept FROM b) WHERE o_orderkey % 3 < 2)"""
 
 
 def synced(spark: SparkSession, sf_dir: str) -> workspace.State:
     """Each shopper's orders are baskets of a workspace; a document of each keeps every third of them under its id, sends the next third
-    under made-up ids with products of the catalogue (negative part numbers) and leaves out the rest."""
+    under made-up ids with products of the catalogue (negative numbers) and
+    leaves out the rest. Keys count from 1 here, as an id of zero stands for none."""
     o, li, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     lines = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("qty"))
-    own = o.select(F.col("o_custkey").cast("string").alias("workspace"), F.col("o_orderkey").cast("long").alias("basket_id"))
+    own = o.select(F.col("o_custkey").cast("string").alias("workspace"), (F.col("o_orderkey").cast("long") + 1).alias("basket_id"))
     state = workspace.empty_state(spark)
     state["baskets"] = own.select("workspace", "basket_id", F.lit("old").alias("name"), F.lit("1998-01-01").alias("created_at"), F.lit("manual").alias("source"))
     third = F.col("basket_id") % 3
     sent = own.filter(third < 2).withColumn("id", F.when(third == 1, -F.col("basket_id")).otherwise(F.col("basket_id")))
-    rows = lines.select(F.col("l_orderkey").cast("long").alias("basket_id"), (-F.col("l_partkey")).cast("long").alias("product_id"), "qty")
+    rows = lines.select((F.col("l_orderkey").cast("long") + 1).alias("basket_id"), (-1 - F.col("l_partkey").cast("long")).alias("product_id"), "qty")
     per = sent.join(rows, "basket_id", "left").groupBy("workspace", "basket_id", "id").agg(F.array_sort(F.collect_list(F.when(F.col("product_id").isNotNull(), F.struct("product_id", "qty")))).alias("rows"))
     one = F.array_sort(F.collect_list(F.struct("basket_id", "id", "rows")))
     docs = per.groupBy("workspace").agg(one.alias("b"))
@@ -141,15 +142,15 @@ def synced(spark: SparkSession, sf_dir: str) -> workspace.State:
     body = F.struct(F.transform(ids, lambda i: F.struct(i.alias("id"))).alias("products"), F.transform("b", lambda x: F.struct(x["id"].alias("id"), F.lit("new").alias("name"))).alias("baskets"),
                     F.map_from_entries(F.transform("b", lambda x: F.struct(x["id"].cast("string").alias("k"), x["rows"].alias("v")))).alias("basketItems"))
     docs = docs.select("workspace", F.lit(1).alias("version"), F.to_json(body).alias("document"))
-    catalog = c.select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", F.lit("part"), "p_partkey").alias("name"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("double").alias("weight_g"), F.lit("pcs").alias("unit"), F.lit(None).cast("string").alias("category"))
+    catalog = c.select((F.col("p_partkey").cast("long") + 1).alias("item_id"), F.concat_ws(" ", F.lit("part"), "p_partkey").alias("name"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("double").alias("weight_g"), F.lit("pcs").alias("unit"), F.lit(None).cast("string").alias("category"))
     return workspace.apply_documents(state, docs, catalog, spark.range(0).toDF("store_id"), spark.createDataFrame([], "chain string"), "1998-12-31")
 
 
 @query(
     f"""WITH {SYNC_SQL}, l AS (SELECT l_orderkey, l_partkey, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL)
-    SELECT CAST(o_custkey AS VARCHAR) AS workspace, basket_id, 'part ' || l_partkey AS product, CAST(qty AS DOUBLE) AS qty FROM a JOIN l ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+    SELECT CAST(o_custkey AS VARCHAR) AS workspace, basket_id, 'part ' || l_partkey AS product, CAST(qty AS DOUBLE) AS qty FROM a JOIN l ON l_orderkey + 1 = o_orderkey JOIN part ON p_partkey = l_partkey
     UNION ALL SELECT CAST(o_custkey AS VARCHAR), basket_id, NULL, NULL FROM a
-    UNION ALL SELECT CAST(o_custkey AS VARCHAR), o_orderkey, NULL, NULL FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM a)"""
+    UNION ALL SELECT CAST(o_custkey AS VARCHAR), o_orderkey + 1, NULL, NULL FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM a)"""
 )
 def synced_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines by the names of their products, and a row without product for each basket."""
