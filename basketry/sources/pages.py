@@ -44,6 +44,36 @@ def product_in_ld(pages: DataFrame, html: str = "html") -> DataFrame:
                       F.get_json_object(offer, "$.availability").endswith("InStock").alias("in_stock")).drop("ld")
 
 
+def _first_tag(html: Column, attribute: str, values: str, tags: str = "[a-z][a-z0-9]*") -> Column:
+    """The first opening tag with one of the values of an attribute, as written; empty if there is none."""
+    return F.regexp_extract(html, rf"""(?is)<(?:{tags})(?=\s)[^>]*?\s{attribute}\s*=\s*(?:"(?:{values})"|'(?:{values})'|(?:{values})(?=[\s/>]))[^>]*>""", 0)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's quoted or bare value, trimmed; empty if it is missing."""
+    return F.trim(F.concat(*(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{form}", 1) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)"))))
+
+
+def product_in_microdata(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The product of a page's attributes: name, price, in_stock; all null without a price above zero.
+
+    The first tag of ``itemprop`` price counts, else the product's or the page's price in ``meta``; a value is its ``content`` or
+    ``value``. A product is in stock unless its availability says that it is out of stock or no longer made. A name in no
+    attribute is the text up to the next tag. Null and empty pages have no product.
+    """
+    page = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    sources = [_first_tag(page, "itemprop", "price"), *(_first_tag(page, "property", p, "meta") for p in ("product:price:amount", "og:price:amount"))]
+    prices = [parse_money(_attribute(tag, a)) for tag in sources for a in ("content", "value")]
+    price = F.coalesce(*(F.when(p > 0, p) for p in prices))
+    stock = _first_tag(page, "(?:itemprop|property)", "availability|og:availability")
+    gone = F.concat_ws(" ", *(F.lower(_attribute(stock, a)) for a in ("href", "content", "value"))).rlike("outofstock|discontinued")
+    tag = _first_tag(page, "(?:itemprop|property)", "name|og:title")
+    after = F.when(tag != "", F.regexp_extract(F.substr(page, F.instr(page, tag) + F.length(tag)), r"^[^<]*", 0))
+    name = F.coalesce(*(F.when(n != "", n) for n in (_attribute(tag, "content"), _attribute(tag, "value"), F.trim(F.regexp_replace(after, r"\s+", " ")))))
+    known = price.isNotNull()
+    return pages.select("*", F.when(known, name).alias("name"), price.alias("price"), F.when(known, ~gone).alias("in_stock"))
+
+
 def html_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
