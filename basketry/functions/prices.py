@@ -118,6 +118,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Rounded in double arithmetic, as other engines do; ``round`` goes by the shortest decimals of a number."""
+    return F.floor(value * 10.0**digits + 0.5) / 10.0**digits
+
+
 def point_key(lat: Column, lon: Column) -> Column:
     return F.format_string("%.5f,%.5f", lat.cast("double"), lon.cast("double"))
 

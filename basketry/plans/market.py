@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.prices import point_key
+from basketry.functions.prices import half_up, point_key
 from basketry.functions.text import placeholder_sku
 from basketry.operators import carts, health, market
 from basketry.registry import query, table
@@ -147,7 +147,7 @@ def ranked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), F.col("s_nationkey").alias("chain"), (F.lit(55.0) + (F.col("s_suppkey") % 100) / 100.0).alias("lat"), (F.lit(37.0) + (F.col("s_suppkey") % 37) / 50.0).alias("lon"))
-    return market.nearest(s, F.lit(55.75), F.lit(37.62), ["chain"], within_km=60.0).select("chain", "point", F.round("km", 4).alias("km"))
+    return market.nearest(s, F.lit(55.75), F.lit(37.62), ["chain"], within_km=60.0).select("chain", "point", half_up(F.col("km"), 4).alias("km"))
 
 
 @query("SELECT s_suppkey AS point, printf('%.5f,%.5f', 55.0 + s_suppkey / 7.0, 37.0 + s_suppkey / 11.0) AS key FROM supplier")
