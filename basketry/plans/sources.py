@@ -55,18 +55,23 @@ def pasted_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.pasted_lines(raw).filter("ok").select("key", "name", "qty", "price")
 
 
+#: Keys of parts that go into one bundle of a brand; with the rows that are sent twice a bundle stays far below its limit.
+BUNDLED_KEYS = 10_000
+
+
 @query(
     """SELECT CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_partkey % 11 = 0 THEN 'no price' WHEN p_partkey % 7 = 0 THEN 'no name' END AS skipped FROM part
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'repeated' FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 7 > 0 AND p_partkey % 11 > 0
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 11 = 0 THEN 'no price' ELSE 'no name' END FROM part WHERE p_partkey % 13 = 0 AND (p_partkey % 7 = 0 OR p_partkey % 11 = 0)"""
 )
 def price_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price bundles of a brand each, some rows without a name or a price and some twice."""
+    """Price bundles of a brand and a range of keys each, some rows without a name or a price and some twice. A bundle is one shop's
+    document and refused when it is too long, so a brand's rows are sent in as many as it takes, copies of a row in the same one."""
     k = F.col("p_partkey")
     item = F.struct(k.cast("string").alias("sku"), F.when((k % 7 != 0) | (k % 11 == 0), F.col("p_name")).alias("name"), F.when(k % 11 == 0, "0").otherwise("9,99").alias("price"))
     part = table(spark, sf_dir, "part")
     twice = part.withColumn("n", F.explode(F.when(k % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    raw = twice.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("value"))
+    raw = twice.groupBy("p_brand", F.floor(k / BUNDLED_KEYS)).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("value"))
     return files.price_bundle(raw).select("sku", "skipped")
 
 
