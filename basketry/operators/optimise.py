@@ -204,12 +204,16 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
 
 
 def share_discount(lines: DataFrame, discount: str = "discount") -> DataFrame:
-    """A store's discount over its lines by price, in kopecks; the rounding residue goes to the last line (``position``)."""
+    """A store's discount over its lines by price, in whole kopecks; the rounding residue goes to the last line (``position``).
+
+    Prices and shares are counted in kopecks, so the order of a sum changes nothing; half a kopeck goes to the even one.
+    """
     g = Window.partitionBy("basket_id", "store")
-    share = F.round(F.col(discount) * F.try_divide(F.col("value"), F.sum("value").over(g)), 2)
-    out = lines.withColumn("share", F.coalesce(share, F.lit(0.0)))
+    kopecks, all_off = F.round(F.col("value") * 100).cast("long"), F.round(F.col(discount) * 100)
+    out = lines.withColumn("_share", F.coalesce(F.bround(F.try_divide(all_off * kopecks, F.sum(kopecks).over(g))).cast("long"), F.lit(0)))
     last = F.col("position") == F.max("position").over(g)
-    return out.withColumn("share", F.round(F.col("share") + F.when(last, F.col(discount) - F.sum("share").over(g)).otherwise(0.0), 2))
+    rest = F.when(last, all_off.cast("long") - F.sum("_share").over(g)).otherwise(0)
+    return out.withColumn("share", (F.col("_share") + rest) / 100).drop("_share")
 
 
 def baseline(lines: DataFrame) -> DataFrame:

@@ -16,3 +16,19 @@ def test_nearest_counts_in_millimetres(spark):
     rows = [("a", 9, 55.0, 37.0), ("a", 3, 55.0, 37.0 + 1e-12), ("b", 5, 55.0, 37.1), ("b", 4, 55.0, 37.1 + 2e-12)]
     got = market.nearest(spark.createDataFrame(rows, "chain string, point long, lat double, lon double"), F.lit(55.0), F.lit(36.0), ["chain"])
     assert {r.chain: r.point for r in got.collect()} == {"a": 3, "b": 4}
+
+
+def test_a_brand_with_more_rows_than_a_bundle_holds(spark, tmp_path):
+    spark.range(60_000).select(F.col("id").alias("p_partkey"), F.lit("bolt").alias("p_name"), F.lit("Brand#1").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.skipped: r["count"] for r in QUERIES["price_bundles"](spark, str(tmp_path)).groupBy("skipped").count().collect()}
+    ids = range(60_000)
+    fine = [k for k in ids if k % 7 and k % 11]
+    assert got == {None: len(fine), "repeated": sum(k % 13 == 0 for k in fine), "no price": sum((1 + (k % 13 == 0)) for k in ids if k % 11 == 0), "no name": sum((1 + (k % 13 == 0)) for k in ids if k % 7 == 0 and k % 11)}
+
+
+def test_half_a_kopeck_of_a_discount_goes_to_the_even_one(spark):
+    from basketry.operators import optimise
+
+    lines = spark.createDataFrame([(1, 1, p, v, 10.0, p) for p, v in enumerate([0.25, 0.75, 19.0])], "basket_id long, store long, product_id long, value double, discount double, position long")
+    got = {r.product_id: round(r.share * 100) for r in optimise.share_discount(lines).collect()}
+    assert got == {0: 12, 1: 38, 2: 950}
