@@ -32,3 +32,16 @@ def test_half_a_kopeck_of_a_discount_goes_to_the_even_one(spark):
     lines = spark.createDataFrame([(1, 1, p, v, 10.0, p) for p, v in enumerate([0.25, 0.75, 19.0])], "basket_id long, store long, product_id long, value double, discount double, position long")
     got = {r.product_id: round(r.share * 100) for r in optimise.share_discount(lines).collect()}
     assert got == {0: 12, 1: 38, 2: 950}
+
+
+def test_missing_pairs_are_not_shuffled(spark):
+    """More shops than one list holds, an unknown item and an unknown shop; nothing is exchanged once pairs are opened."""
+    shops, items = [*range(2500), None], [0, 1, 2, None]
+    known = [(i, s) for i in (0, 1) for s in range(2500) if (s + i) % 5] + [(2, None), (None, 7)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = market.missing_pairs(df([(i,) for i in items], "item long"), df([(s,) for s in shops], "shop long"), df(known, "item long, shop long"))
+    got = [tuple(r) for r in out.collect()]
+    want = {(i, s) for i in items for s in shops} - {k for k in known if None not in k}
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
