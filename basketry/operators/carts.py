@@ -13,13 +13,17 @@ NAMED_ALIKE = 0.8
 
 
 def item_status(items: DataFrame, mappings: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
-    """basket_id, product_id, store, status: NOT_KNOWN (no mapping), NO_DATA (no fresh price), GONE (out of stock), HAVE."""
-    wanted = in_each(items.select("basket_id", "product_id"), stores, "store")
+    """basket_id, product_id, store, status: NOT_KNOWN (no mapping), NO_DATA (no fresh price), GONE (out of stock), HAVE.
+
+    A status is one of a product in a store, so it is found once for each and put beside the items; only items move, not their pairs.
+    """
+    wanted = in_each(items.select("product_id").distinct(), stores, "store")
     m = mappings.select("product_id", "store", F.lit(True).alias("known")).distinct()
     p = prices.select("product_id", "store", "price", "in_stock")
     out = wanted.join(m, ["product_id", "store"], "left").join(p, ["product_id", "store"], "left")
     status = F.when(F.col("known").isNull(), "NOT_KNOWN").when(F.col("price").isNull(), "NO_DATA").when(~F.coalesce("in_stock", F.lit(True)), "GONE").otherwise("HAVE")
-    return out.select("basket_id", "product_id", "store", status.alias("status"))
+    known = out.select(F.col("product_id").alias("_product"), "store", status.alias("status"))
+    return items.select("basket_id", "product_id").join(known, F.col("product_id").eqNullSafe(F.col("_product"))).select("basket_id", "product_id", "store", "status")
 
 
 def substitutes(status: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -83,3 +83,8 @@ def test_copies_of_a_place_ask_once(spark, monkeypatch):
     got = {(r.place, r.rank): r.point for r in market.nearest_of_many(places, points, "chain", 2).collect()}
     assert got == {(p, n + 1): p % 2 + 3 * n for p in range(3000) for n in range(2)}
     assert max(a for a, _ in met) <= 27 * 2 and max(b for _, b in met) <= 6
+
+
+def test_a_status_is_found_once_a_product(spark):
+    plan = QUERIES["item_status"](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in line and "basket_id" in line for line in plan.splitlines())
