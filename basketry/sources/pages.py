@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basketry.functions.prices import parse_money
 from basketry.functions.text import slug_name
@@ -91,11 +92,19 @@ def card_text(text: Column) -> Column:
 def cart_total(lines: DataFrame, group: str, position: str = "position", line: str = "line") -> DataFrame:
     """The last total of a cart page, with delivery and discount lines from 12 lines above it to 6 below."""
     money = r"(\d[\d   ]*(?:[.,]\d{1,2})?)\s*(?:₽|руб)"
-    rows = lines.select(group, F.col(position).alias("position"), parse_money(F.nullif(F.regexp_extract(line, money, 1), F.lit(""))).alias("value"), F.lower(line).alias("low")).filter("value is not null")
-    last = rows.filter(F.col("low").rlike("итого|к оплате|total")).groupBy(group).agg(F.max("position").alias("at"), F.max_by("value", "position").alias("total"))
-    near = rows.join(last, group).filter(F.col("position").between(F.col("at") - 12, F.col("at") + 6))
-    label = lambda p: F.max_by("value", F.when(F.col("low").rlike(p), F.col("position")))
-    return near.groupBy(group, "total").agg(label("доставк|delivery").alias("delivery"), label("скидк|discount").alias("discount")).filter(F.col("total").between(0, 10_000_000))
+    total, sent, off = "итого|к оплате|total", "доставк|delivery", "скидк|discount"
+    # most lines of a page name no sum: they go by plain searches, before any pattern and before rows move
+    low = F.lower(line)
+    told = lines.filter(F.col(line).contains("₽") | F.col(line).contains("руб")).filter(low.rlike(f"{total}|{sent}|{off}"))
+    kind = lambda p: low.rlike(p)
+    rows = told.select(group, F.col(position).alias("position"), parse_money(F.nullif(F.regexp_extract(line, money, 1), F.lit(""))).alias("value"), kind(total).alias("ends"), kind(sent).alias("sent"), kind(off).alias("off")).filter("value is not null")
+    page = Window.partitionBy(group)
+    rows = rows.filter(F.col(group).isNotNull()).withColumn("at", F.max(F.when(F.col("ends"), F.col("position"))).over(page))
+    near = rows.filter(F.col("position").between(F.col("at") - 12, F.col("at") + 6))
+    label = lambda c: F.max_by("value", F.when(F.col(c), F.col("position")))
+    last = F.max_by("value", F.when(F.col("ends") & (F.col("position") == F.col("at")), F.col("position"))).alias("total")
+    out = near.groupBy(group).agg(last, label("sent").alias("delivery"), label("off").alias("discount"))
+    return out.select(group, "total", "delivery", "discount").filter(F.col("total").between(0, 10_000_000))
 
 
 def sitemap_locations(xml: DataFrame, column: str = "value", pick: str = "") -> DataFrame:

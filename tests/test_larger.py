@@ -88,3 +88,8 @@ def test_copies_of_a_place_ask_once(spark, monkeypatch):
 def test_a_status_is_found_once_a_product(spark):
     plan = QUERIES["item_status"](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Generate" in line and "basket_id" in line for line in plan.splitlines())
+
+
+def test_lines_of_a_cart_without_a_sum_do_not_move(spark):
+    plan = QUERIES["cart_totals"](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Contains" in plan
