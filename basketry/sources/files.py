@@ -168,15 +168,18 @@ def receipt_bundle(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def receipt_lines(raw: DataFrame, column: str = "text") -> DataFrame:
-    """Plain receipt text, one "name qty x price = total" a line: the row's other columns, position, name, qty, price, total, declared."""
+    """Plain receipt text, one "name qty x price = total" a line: the row's other columns, position, name, qty, price, total, declared.
+
+    The declared total is that of the row's own text, found in it before its lines are parted, so no line is shuffled for it.
+    """
     line = r"^\s*(.+?)\s+(\d+(?:[.,]\d+)?)\s*[xх*×]\s*(\d+(?:[.,]\d{1,2})?)\s*=\s*(\d+(?:[.,]\d{1,2})?)\s*$"
     total = r"(?iu)^\s*(?:итого?|всего|total)\s*[:=]?\s*(\d+(?:[.,]\d{1,2})?)\s*$"
     others = [c for c in raw.columns if c != column]
-    lines = raw.select(*others, F.posexplode(F.split(column, r"\r?\n")).alias("position", "line"))
-    g = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-    parsed = lines.select(*others, "position", g(line, 1).alias("name"), *[parse_money(g(line, i)).alias(c) for i, c in ((2, "qty"), (3, "price"), (4, "total"))], parse_money(g(total, 1)).alias("said"))
-    w = Window.partitionBy(*others)
-    return parsed.withColumn("declared", F.max("said").over(w)).filter("name is not null").drop("said")
+    said = F.transform(F.filter("_lines", lambda x: x.rlike(total)), lambda x: parse_money(F.nullif(F.regexp_extract(x, total, 1), F.lit(""))))
+    texts = raw.select(*others, F.split(column, r"\r?\n").alias("_lines")).withColumn("declared", F.array_max(said))
+    lines = texts.select(*others, "declared", F.posexplode("_lines").alias("position", "line")).filter(F.col("line").rlike(line))
+    g = lambda i: F.nullif(F.regexp_extract("line", line, i), F.lit(""))
+    return lines.select(*others, "position", g(1).alias("name"), *[parse_money(g(i)).alias(c) for i, c in ((2, "qty"), (3, "price"), (4, "total"))], "declared").filter("name is not null")
 
 
 def pasted_lines(raw: DataFrame, column: str = "text") -> DataFrame:

@@ -93,3 +93,12 @@ def test_a_status_is_found_once_a_product(spark):
 def test_lines_of_a_cart_without_a_sum_do_not_move(spark):
     plan = QUERIES["cart_totals"](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Contains" in plan
+
+
+def test_a_receipt_declares_its_own_total_without_a_shuffle(spark):
+    from basketry.sources import files
+
+    raw = spark.createDataFrame([(1, "SHOP\nbread 2 x 1,00 = 2,00\nИТОГО: 2,00"), (None, "milk 1 x 3,00 = 3,00\nВсего 3,00"), (None, "tea 1 x 4,00 = 4,00")], "key long, text string")
+    out = files.receipt_lines(raw)
+    assert [(r.key, r.position, r.name, r.qty, r.total, r.declared) for r in out.orderBy("name").collect()] == [(1, 1, "bread", 2.0, 2.0, 2.0), (None, 0, "milk", 1.0, 3.0, 3.0), (None, 0, "tea", 1.0, 4.0, None)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
