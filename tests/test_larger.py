@@ -102,3 +102,7 @@ def test_a_receipt_declares_its_own_total_without_a_shuffle(spark):
     out = files.receipt_lines(raw)
     assert [(r.key, r.position, r.name, r.qty, r.total, r.declared) for r in out.orderBy("name").collect()] == [(1, 1, "bread", 2.0, 2.0, 2.0), (None, 0, "milk", 1.0, 3.0, 3.0), (None, 0, "tea", 1.0, 4.0, None)]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_product_move_once(spark):
+    assert QUERIES["sane_minimum"](spark, oracle.SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
