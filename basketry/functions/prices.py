@@ -14,10 +14,11 @@ EARTH_KM = 6371.0
 
 def parse_money(text: Column) -> Column:
     """A number with decimal comma, spaces of any kind between thousands and currency signs; null if it is none."""
-    s = F.regexp_replace(text.cast("string"), "[\\s  ]", "")
+    plain = text.cast("string")  # most texts are digits and two decimals: one pattern instead of four
+    s = F.regexp_replace(plain, "[\\s  ]", "")
     s = F.regexp_replace(s, r"(?iu)(?:руб\.?|р\.|₽|rub)$", "")
     s = F.when(s.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(F.replace(s, F.lit(","), F.lit(".")))
-    return F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double"))
+    return F.when(plain.rlike(r"^-?\d+(?:\.\d+|,\d{1,2})?$"), F.replace(plain, F.lit(","), F.lit(".")).try_cast("double")).when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double"))
 
 
 def receipt_money(value: Column) -> Column:

@@ -183,17 +183,21 @@ def receipt_lines(raw: DataFrame, column: str = "text") -> DataFrame:
 
 
 def pasted_lines(raw: DataFrame, column: str = "text") -> DataFrame:
-    """Pasted "name; qty; price", "name; price" or "name price" lines: position, name, qty, price, and ok for what was understood."""
+    """Pasted "name; qty; price", "name; price" or "name price" lines: position, name, qty, price, and ok for what was understood.
+
+    A line is parted once and its numbers are read once, in a generator: a filter on ``ok`` would else repeat all of it.
+    """
     others = [c for c in raw.columns if c != column]
     lines = raw.select(*others, F.posexplode(F.split(column, r"\r?\n")).alias("position", "line")).filter(F.trim("line") != "")
-    parts = F.transform(F.split("line", r"[;\t]"), lambda x: F.trim(x))  # noqa: PLW0108  (bare, trim would get the index too)
     tail = r"^(.*?)\s+(\d+(?:[.,]\d{1,2})?)\s*(?:руб\.?|р\.?|₽)?$"
-    three, two = F.size(parts) >= 3, F.size(parts) == 2
-    at = lambda i: F.try_element_at(parts, F.lit(i))
-    name = F.when(three | two, at(1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(F.trim("line"), tail, 1), F.lit("")), F.trim("line")))
-    qty = F.when(three, parse_money(at(2))).otherwise(1.0)
-    price = F.when(three, parse_money(at(3))).when(two, parse_money(at(2))).otherwise(parse_money(F.nullif(F.regexp_extract(F.trim("line"), tail, 2), F.lit(""))))
-    out = lines.select(*others, "position", name.alias("name"), qty.alias("qty"), price.alias("price"))
+    lines = lines.withColumns({"_line": F.trim("line"), "_parts": F.split(F.replace("line", F.lit("\t"), F.lit(";")), ";")})
+    three, two = F.size("_parts") >= 3, F.size("_parts") == 2
+    at = lambda i: F.trim(F.get("_parts", F.lit(i - 1)))
+    end = lambda i: F.regexp_extract("_line", tail, i)
+    texts = F.struct(F.when(three | two, at(1)).otherwise(F.coalesce(F.nullif(end(1), F.lit("")), "_line")).alias("name"), F.when(three, at(2)).alias("qty"), F.when(three, at(3)).when(two, at(2)).otherwise(end(2)).alias("price"), three.alias("_three"))
+    read = lines.select(*others, "position", F.inline(F.array(texts)))
+    numbers = F.struct(F.when(F.col("_three"), parse_money(F.col("qty"))).otherwise(1.0).alias("qty"), parse_money(F.col("price")).alias("price"))
+    out = read.select(*others, "position", "name", F.inline(F.array(numbers)))
     return out.withColumn("ok", (F.col("name") != "") & F.col("price").isNotNull() & F.col("qty").isNotNull())
 
 
