@@ -10,12 +10,16 @@ from basketry.functions.prices import line_price, per_unit_price
 from basketry.functions.similarity import similarity
 from basketry.operators.market import in_each, with_sanity
 from basketry.operators.search import relevant
+from basketry.session import dealt
 
 
 def compare_products(products: DataFrame, stores: DataFrame, mappings: DataFrame, prices: DataFrame) -> DataFrame:
     """Every product in every store: price, unit price and note (not mapped, no fresh price, out of stock, odd price)."""
-    every = in_each(products.select("product_id"), stores, "store")
-    out = every.join(mappings.select("product_id", "store", "sku", "unit", "weight_g"), ["product_id", "store"], "left").join(prices.select("store", "sku", "price", "in_stock"), ["store", "sku"], "left")
+    rows = products.count() * stores.select("store").distinct().count()
+    # mappings and prices are tables as large as the answer, whatever their files: merged in tasks by their rows, never sent to every task
+    priced = dealt(mappings.select("product_id", "store", "sku", "unit", "weight_g"), rows, "store", "sku").join(prices.select("store", "sku", "price", "in_stock").hint("merge"), ["store", "sku"], "left")
+    every = dealt(in_each(products.select("product_id"), stores, "store"), rows, "product_id", "store")
+    out = dealt(every.join(priced.hint("merge"), ["product_id", "store"], "left"), rows, "product_id")
     unit = per_unit_price(F.col("price"), F.col("unit"), F.col("weight_g"))
     out = with_sanity(out.withColumn("u", unit).withColumn("per_unit", F.col("u.value")).withColumn("label", F.col("u.label")).drop("u"), ["product_id"], "per_unit")
     note = F.when(F.col("sku").isNull(), "not mapped").when(F.col("price").isNull(), "no fresh price").when(~F.coalesce("in_stock", F.lit(True)), "out of stock").when(~F.col("sane"), "odd price")

@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 
 _local_dir: dict[str, str] = {}
 
+#: Rows that one task sorts or groups, about; what a task holds then does not grow with the input.
+ROWS_A_TASK = 250_000
+PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def session(app: str = "basketry", **conf: str) -> SparkSession:
     """A session with what results depend on: UTC, ANSI and adaptive execution. The master comes from the environment."""
@@ -22,8 +26,21 @@ def session(app: str = "basketry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back; a temporary folder only in local mode, where it is unset."""
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """As many tasks as ``rows`` need, and as many as the session shuffles to at least."""
+    return max(int(spark.conf.get(PARTITIONS)), -(-rows // ROWS_A_TASK))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Dealt by ``keys`` to as many tasks as ``rows`` need; joins and groups by them, and groups by more, then move nothing."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)
+
+
+def written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """Write to the folder that ``spark.checkpoint.dir`` names and read back; a temporary folder only in local mode, where it is unset.
+
+    Shuffles on the way go to as many tasks as ``rows`` need.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -33,13 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
         base = _local_dir.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-scratch-")
         _local_dir[app] = base
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(tasks_for(spark, rows)))  # read when the write is planned
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(PARTITIONS, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def by_bucket(df: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 20_000) -> DataFrame:
     """``run`` for buckets of whole groups of ``key``, by hash, of about ``rows`` rows: many small groups a call."""
-    n = max(df.count() // rows, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(df.count() // rows, 2 * int(df.sparkSession.conf.get(PARTITIONS)))
     return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(run, schema)
 
 
