@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import written
+from basketry.session import ROWS_A_TASK, dealt, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (a, b): smallest labels and pointer jumping."""
-    two = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    once = written(edges.select("a", "b"), "links")
+    rows = 2 * once.count()
+    ways = once.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way"))
+    two = written(dealt(ways.select("way.*"), rows, "a", "b").distinct(), "edges")
     label = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
-    label = written(label, "component")
+    label = written(label, "component", rows)
+    # labels of many nodes are small files but large tables: such are sorted and merged, not sent to every task through the driver
+    beside = (lambda df: df.hint("merge")) if label.count() > ROWS_A_TASK else (lambda df: df)
     while True:
-        near = two.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
-        step = written(label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "component")
+        near = two.join(beside(label.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
+        step = written(label.join(beside(near), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "component", rows)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        label = written(step.join(jump, "component").select("node", "was", F.col("up").alias("component")), "component")
+        label = written(step.join(beside(jump), "component").select("node", "was", F.col("up").alias("component")), "component", rows)
         if label.filter("component <> was").isEmpty():
             return label.select("node", "component")
         label = label.select("node", "component")
