@@ -36,7 +36,8 @@ def store_totals(lines: DataFrame, stores: DataFrame) -> DataFrame:
     """Each basket in each store alone: subtotal, delivery, what is missing, whether the least order is met."""
     n = lines.groupBy("basket_id").agg(F.countDistinct("product_id").alias("n"))
     here = lines.filter(F.col("value").isNotNull() & F.coalesce("in_stock", F.lit(True))).groupBy("basket_id", "store").agg(F.round(F.sum("value"), 2).alias("subtotal"), F.countDistinct("product_id").alias("have"))
-    out = here.join(n, "basket_id").join(stores, "store")
+    # as many rows as baskets: merged where they lie, never sent to every task
+    out = here.join(n.hint("merge"), "basket_id").join(stores, "store")
     fee = delivery(F.col("subtotal"), F.col("fee"), F.col("free_from"))
     return out.select("basket_id", "store", "subtotal", fee.alias("delivery"), F.round(F.col("subtotal") + fee, 2).alias("total"), (F.col("n") - F.col("have")).alias("missing"), (F.col("subtotal") < F.coalesce("min_order", F.lit(0.0))).alias("below_minimum"))
 

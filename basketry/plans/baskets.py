@@ -9,6 +9,7 @@ from basketry.functions.prices import offer_discount, whole_pieces
 from basketry.operators import optimise
 from basketry.operators.offers import best_offer as best_offers
 from basketry.registry import query, table
+from basketry.session import dealt
 
 
 @query(
@@ -26,8 +27,10 @@ LINES_SQL = """
 
 
 def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line a product and store; a basket's lines lie together, so what follows by baskets moves nothing."""
     li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 4).alias("store"))
+    rows = li.select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_id"), (F.col("l_suppkey") % 4).alias("store"), "l_extendedprice")
+    g = dealt(rows, li.count(), "basket_id").groupBy("basket_id", "product_id", "store")
     return g.agg((F.floor(F.min("l_extendedprice") + 0.5) / 100).alias("value")).withColumns({"in_stock": F.lit(True), "adjust": F.lit(0.0)})
 
 
