@@ -19,10 +19,13 @@ without a workspace or version are left out. Work is joins and windows by worksp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from basketry.session import written
+from basketry.session import tasks_for, written
 
 #: Tables of the state; the first column of each is the workspace.
 STATE = {
@@ -38,13 +41,18 @@ STATE = {
 # Names that are shown where a client gives none, sources of a basket, settings a document may hold.
 BASKET, BANK, CARD = "Корзина", "Банк", "Карта"
 SOURCES = ("manual", "average", "history")
+#: Letters of a document for each of its entries, about.
+ENTRY = 32
 SETTINGS = ("lastBasketId", "repeated", "address", "point", "storePerks", "applyBonuses")
 
 State = dict[str, DataFrame]
+Deal = Callable[[DataFrame], DataFrame]
 
 
 def empty_state(spark: SparkSession) -> State:
-    return {name: spark.createDataFrame([], schema) for name, schema in STATE.items()}
+    """Tables that the optimizer knows to be empty, so that joins with them go."""
+    none = lambda schema: [F.lit(None).cast(c.dataType).alias(c.name) for c in StructType.fromDDL(schema)]
+    return {name: spark.range(1).filter("false").select(*none(schema)) for name, schema in STATE.items()}
 
 
 def _object(text: Column) -> Column:
@@ -58,9 +66,23 @@ def _list(text: Column) -> Column:
 
 
 def _entries(docs: DataFrame, lists: Column) -> DataFrame:
-    """One row for each object in a list of raw texts: what ``docs`` has, its place ``at`` and its values ``e``."""
-    rows = docs.select("workspace", "basket_id", F.posexplode(lists).alias("at", "e")) if "basket_id" in docs.columns else docs.select("workspace", F.posexplode(lists).alias("at", "e"))
-    return rows.withColumn("e", _object(F.col("e"))).filter(F.col("e").isNotNull())
+    """One row for each object in a list of raw texts: what ``docs`` has, its place ``at`` and its values ``e``.
+
+    An entry is read in a generator, so once: filters on what it holds would else read it again.
+    """
+    own = [c for c in ("workspace", "basket_id") if c in docs.columns]
+    rows = docs.select(*own, F.posexplode(lists).alias("at", "text"))
+    return rows.select(*own, "at", F.explode(F.array(_object(F.col("text")))).alias("e")).filter(F.col("e").isNotNull())
+
+
+def _taken_apart(docs: DataFrame) -> DataFrame:
+    """workspace, version and the lists, lists by key and settings of each document, read once for all tables; null where they are none."""
+    body = docs.select("workspace", "version", F.explode(F.array(_object(F.col("document")))).alias("body"))
+    part = F.col("body")
+    listed = [_list(part[c]).alias(c) for c in ("products", "baskets", "cards", "offers")]
+    keyed = [F.map_entries(_object(part[c])).alias(c) for c in ("basketItems", "connections")]
+    settings = F.filter(F.map_entries(part), lambda x: x["key"].isin(*SETTINGS)).alias("settings")
+    return body.select("workspace", "version", *listed, *keyed, settings)
 
 
 def _long(c: Column) -> Column:
@@ -92,76 +114,81 @@ def _numbered(rows: DataFrame, top: DataFrame, key: str) -> DataFrame:
     return rows.join(top, "workspace", "left").withColumn(key, F.greatest(F.coalesce("top", F.lit(0)), F.lit(0)) + place).drop("top")
 
 
-def _products(state: State, docs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _products(state: State, docs: DataFrame, catalog: DataFrame, deal: Deal, size: int) -> tuple[DataFrame, DataFrame]:
     """The products after the documents, and (workspace, was, product_id) for ids that the client made up."""
     known, e = state["products"], F.col("e")
-    rows = _entries(docs, _list(F.col("body.products"))).withColumn("id", _long(e["id"])).filter("id IS NOT NULL")
+    rows = _entries(docs, F.col("products")).withColumn("id", _long(e["id"])).filter("id IS NOT NULL")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("workspace", "id").orderBy("at"))).filter("n = 1").drop("n")
-    rows = rows.join(known.select("workspace", F.col("product_id").alias("id")).distinct(), ["workspace", "id"], "left_anti")
+    rows = rows.join(deal(known.select("workspace", F.col("product_id").alias("id"))).hint("merge"), ["workspace", "id"], "left_anti")
     base = catalog.select((-F.col("item_id")).alias("id"), F.struct("name", "brand", "weight_g", "unit", "category").alias("c"))
-    rows = rows.join(base.filter("id < 0").dropDuplicates(["id"]), "id", "left")
+    rows = rows.join(base.filter("id < 0").dropDuplicates(["id"]).hint("merge"), "id", "left")
     unit = F.when((F.col("c.unit") == "kg") | (e["unit"] == "kg"), "kg").otherwise("pcs")
     rows = rows.select("workspace", "at", "id", F.coalesce(_text(F.col("c.name")), _text(e["name"])).alias("name"), F.coalesce(_text(F.col("c.brand")), e["brand"]).alias("brand"),
                        F.coalesce("c.weight_g", e["weight_g"].try_cast("double")).alias("weight_g"), unit.alias("unit"), F.coalesce(_text(F.col("c.category")), e["category"]).alias("category"),
                        ((F.col("id") < 0) | _flag(e["active"], True)).alias("active"), _key(F.coalesce(_text(F.col("c.name")), _text(e["name"]))).alias("key")).filter("name IS NOT NULL")
-    named = known.groupBy("workspace", _key(F.col("name")).alias("key")).agg(F.min("product_id").alias("found"))
-    rows = rows.join(named, ["workspace", "key"], "left").withColumn("found", F.when(F.col("id") < 0, F.col("found")))
-    fresh = rows.filter("found IS NULL")
-    first = F.min("at").over(Window.partitionBy("workspace", "key"))
-    fresh = fresh.withColumn("lead", F.when(F.col("id") < 0, first).otherwise(F.col("at")))
-    made = _numbered(fresh.filter("at = lead"), _top(known, "product_id"), "product_id")
-    resolved = fresh.select("workspace", "id", F.col("lead").alias("at")).join(made.select("workspace", "at", "product_id"), ["workspace", "at"])
-    ids = rows.filter("found IS NOT NULL").select("workspace", F.col("id").alias("was"), F.col("found").alias("product_id"))
-    ids = ids.unionByName(resolved.select("workspace", F.col("id").alias("was"), "product_id"))
-    return known.unionByName(made.select(*known.columns)), ids
-
-
-def _baskets(state: State, docs: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    named = deal(known).groupBy("workspace", _key(F.col("name")).alias("key")).agg(F.min("product_id").alias("found"))
+    rows = deal(rows).join(named.hint("merge"), ["workspace", "key"], "left").withColumn("found", F.when(F.col("id") < 0, F.col("found")))
+    # of new names the first row leads, and leaders are numbered in the document's order; the others have their leader's number
+    fresh = F.col("found").isNull()
+    rows = rows.join(_top(deal(known), "product_id").hint("merge"), "workspace", "left")
+    first = F.min(F.when(fresh, F.col("at"))).over(Window.partitionBy("workspace", "key"))
+    rows = rows.withColumn("lead", F.when(fresh, F.when(F.col("id") < 0, first).otherwise(F.col("at"))))
+    place = F.sum(F.when(F.col("at") == F.col("lead"), 1).otherwise(0)).over(Window.partitionBy("workspace").orderBy("lead"))
+    rows = rows.withColumn("product_id", F.when(fresh, F.greatest(F.coalesce("top", F.lit(0)), F.lit(0)) + place).otherwise(F.col("found")))
+    rows = written(rows, "sync-named", size)
+    return known.unionByName(rows.filter("at = lead").select(*known.columns)), rows.select("workspace", F.col("id").alias("was"), "product_id")
+
+
+def _baskets(state: State, docs: DataFrame, today: str, deal: Deal) -> tuple[DataFrame, DataFrame]:
     """The baskets after the documents, and (workspace, was, basket_id) for every entry of a list."""
     known, e = state["baskets"], F.col("e")
-    lists = docs.filter(_list(F.col("body.baskets")).isNotNull())
-    rows = _entries(lists, _list(F.col("body.baskets"))).withColumn("was", F.coalesce(_long(e["id"]), F.lit(0)))
+    lists = docs.filter(F.col("baskets").isNotNull())
+    rows = _entries(lists, F.col("baskets")).withColumn("was", F.coalesce(_long(e["id"]), F.lit(0)))
     rows = rows.select("workspace", "at", "was", _text(e["name"], BASKET).alias("name"), F.substring(_text(e["created_at"], today), 1, 19).alias("created_at"),
                        F.when(e["source"].isin(*SOURCES), e["source"]).otherwise(SOURCES[0]).alias("source"))
     last = F.row_number().over(Window.partitionBy("workspace", "was").orderBy(F.desc("at")))
-    rows = rows.withColumn("last", last == 1)
-    kept = rows.filter("was > 0 AND last").withColumn("basket_id", F.col("was"))
-    top = _top(known.select("workspace", "basket_id").union(kept.select("workspace", "basket_id")), "basket_id")
-    made = _numbered(rows.filter("was <= 0"), top, "basket_id")
-    after = kept.unionByName(made)
-    old = known.select("workspace", "basket_id", F.col("created_at").alias("made_at"))
-    whole = after.join(old, ["workspace", "basket_id"], "left").withColumn("created_at", F.coalesce("made_at", "created_at")).select(*known.columns)
-    rest = known.join(lists.select("workspace"), "workspace", "left_anti")
+    rows = rows.withColumn("last", last == 1).join(_top(deal(known), "basket_id").hint("merge"), "workspace", "left")
+    kept = F.max(F.when(F.col("was") > 0, F.col("was"))).over(Window.partitionBy("workspace"))
+    place = F.sum(F.when(F.col("was") <= 0, 1).otherwise(0)).over(Window.partitionBy("workspace").orderBy("at"))
+    made = F.greatest("top", kept, F.lit(0)) + place
+    after = rows.withColumn("basket_id", F.when(F.col("was") > 0, F.col("was")).otherwise(made)).filter("was <= 0 OR last").drop("top")
+    after = written(after, "sync-listed")
+    old = deal(known.select("workspace", "basket_id", F.col("created_at").alias("made_at")))
+    whole = deal(after).join(old.hint("merge"), ["workspace", "basket_id"], "left").withColumn("created_at", F.coalesce("made_at", "created_at")).select(*known.columns)
+    rest = deal(known).join(lists.select("workspace").hint("merge"), "workspace", "left_anti")
     return rest.unionByName(whole), after.filter("last").select("workspace", "was", "basket_id")
 
 
-def _items(state: State, docs: DataFrame, products: DataFrame, product_ids: DataFrame, baskets: DataFrame, basket_ids: DataFrame) -> DataFrame:
+def _items(state: State, docs: DataFrame, products: DataFrame, product_ids: DataFrame, baskets: DataFrame, basket_ids: DataFrame, deal: Deal) -> DataFrame:
     known, e = state["items"], F.col("e")
-    lists = docs.filter(_list(F.col("body.baskets")).isNotNull() & _object(F.col("body.basketItems")).isNotNull())
-    named = lists.select("workspace", F.explode(_object(F.col("body.basketItems"))).alias("was", "rows")).withColumn("was", F.col("was").try_cast("long"))
-    named = named.join(basket_ids, ["workspace", "was"]).select("workspace", "basket_id", "rows").dropDuplicates(["workspace", "basket_id"])
+    product_ids, basket_ids = deal(product_ids), deal(basket_ids)
+    lists = docs.filter(F.col("baskets").isNotNull() & F.col("basketItems").isNotNull())
+    named = lists.select("workspace", F.inline("basketItems").alias("was", "rows")).withColumn("was", F.col("was").try_cast("long"))
+    named = named.join(basket_ids.hint("merge"), ["workspace", "was"]).select("workspace", "basket_id", "rows").dropDuplicates(["workspace", "basket_id"])
     rows = _entries(named, _list(F.col("rows"))).withColumns({"was": F.coalesce(_long(e["product_id"]), F.lit(0)), "qty": e["qty"].try_cast("double"), "fallback": _long(e["fallback_product_id"])})
-    rows = rows.filter((F.col("qty") > 0) & ~F.isnan("qty")).join(product_ids, ["workspace", "was"], "left").withColumn("product_id", F.coalesce("product_id", "was"))
-    valid = products.select("workspace", "product_id").distinct()
-    rows = rows.join(valid, ["workspace", "product_id"], "left_semi")
+    rows = rows.filter((F.col("qty") > 0) & ~F.isnan("qty")).join(product_ids.hint("merge"), ["workspace", "was"], "left")
+    # an id that a document made up stands for a product of the workspace; any other has to be one itself
+    valid = deal(products.select("workspace", "product_id")).distinct()
+    rows = rows.join(valid.select("workspace", F.col("product_id").alias("was"), F.col("product_id").alias("own")).hint("merge"), ["workspace", "was"], "left")
+    rows = rows.withColumn("product_id", F.coalesce("product_id", "own")).filter("product_id IS NOT NULL")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("workspace", "basket_id", "product_id").orderBy(F.desc("at")))).filter("n = 1")
-    rows = rows.join(valid.select("workspace", F.col("product_id").alias("fallback"), F.col("product_id").alias("fallback_product_id")), ["workspace", "fallback"], "left")
-    rest = known.join(baskets.select("workspace", "basket_id"), ["workspace", "basket_id"], "left_semi").join(named.select("workspace", "basket_id"), ["workspace", "basket_id"], "left_anti")
+    rows = rows.join(valid.select("workspace", F.col("product_id").alias("fallback"), F.col("product_id").alias("fallback_product_id")).hint("merge"), ["workspace", "fallback"], "left")
+    rest = deal(known).join(deal(baskets.select("workspace", "basket_id")).hint("merge"), ["workspace", "basket_id"], "left_semi").join(named.select("workspace", "basket_id").hint("merge"), ["workspace", "basket_id"], "left_anti")
     return rest.select(*known.columns).unionByName(rows.select(*known.columns))
 
 
 def _cards(state: State, docs: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cards and offers: replaced as a whole where a document holds both lists."""
     e, cards, offers = F.col("e"), state["cards"], state["offers"]
-    lists = docs.filter(_list(F.col("body.cards")).isNotNull() & _list(F.col("body.offers")).isNotNull())
-    rows = _entries(lists, _list(F.col("body.cards"))).withColumn("was", F.coalesce(_long(e["id"]), F.lit(0)))
+    lists = docs.filter(F.col("cards").isNotNull() & F.col("offers").isNotNull())
+    rows = _entries(lists, F.col("cards")).withColumn("was", F.coalesce(_long(e["id"]), F.lit(0)))
     rows = rows.withColumn("last", F.row_number().over(Window.partitionBy("workspace", "was").orderBy(F.desc("at"))) == 1)
     kept = rows.filter("was > 0 AND last").withColumn("card_id", F.col("was"))
     made = _numbered(rows.filter("was <= 0"), _top(cards.select("workspace", "card_id").union(kept.select("workspace", "card_id")), "card_id"), "card_id")
     after = kept.unionByName(made)
     ids = after.filter("last").select("workspace", "was", "card_id")
     new_cards = after.select("workspace", "card_id", _text(e["bank"], BANK).alias("bank"), _text(e["name"], CARD).alias("name"))
-    rows = _entries(lists, _list(F.col("body.offers"))).withColumns({"was": F.coalesce(_long(e["card_id"]), F.lit(0)), "store_id": _long(e["store_id"])})
+    rows = _entries(lists, F.col("offers")).withColumns({"was": F.coalesce(_long(e["card_id"]), F.lit(0)), "store_id": _long(e["store_id"])})
     rows = rows.join(ids, ["workspace", "was"]).join(stores.select("store_id").distinct(), "store_id", "left_semi")
     number = {c: F.coalesce(e[c].try_cast("double"), F.lit(0.0)) for c in ("percent", "cap_rub", "min_check_rub", "cap_used")}
     rows = _numbered(rows, _top(offers, "offer_id"), "offer_id").withColumns({**number, "valid_from": e["valid_from"], "valid_to": e["valid_to"], "requires_activation": _flag(e["requires_activation"], False), "activated": _flag(e["activated"], True)})
@@ -172,7 +199,7 @@ def _cards(state: State, docs: DataFrame, stores: DataFrame) -> tuple[DataFrame,
 def _connections(state: State, docs: DataFrame, chains: DataFrame) -> DataFrame:
     """Stores that a person is connected to: those a document names are connected or forgotten, the device stays as it was."""
     known = state["connections"]
-    rows = docs.select("workspace", F.explode(_object(F.col("body.connections"))).alias("chain", "e")).withColumn("e", _object(F.col("e"))).filter("e IS NOT NULL")
+    rows = docs.select("workspace", F.inline("connections").alias("chain", "e")).withColumn("e", _object(F.col("e"))).filter("e IS NOT NULL")
     rows = rows.join(chains.select("chain").distinct(), "chain", "left_semi")
     wanted = rows.select("workspace", "chain", _flag(F.col("e")["connected"], False).alias("want"), (F.coalesce(F.col("e")["mode"], F.lit("")) == "session").alias("as_device"))
     both = known.join(wanted, ["workspace", "chain"], "full")
@@ -182,7 +209,7 @@ def _connections(state: State, docs: DataFrame, chains: DataFrame) -> DataFrame:
 def _settings(state: State, docs: DataFrame, basket_ids: DataFrame) -> DataFrame:
     """Settings that a document names; null takes one away, and what is not of its form is passed over."""
     known = state["settings"]
-    rows = docs.select("workspace", F.explode("body").alias("name", "raw")).filter(F.col("name").isin(*SETTINGS))
+    rows = docs.select("workspace", F.inline("settings").alias("name", "raw"))
     raw, name = F.col("raw"), F.col("name")
     rows = rows.withColumn("was", F.when(name == "lastBasketId", _long(raw))).join(basket_ids, ["workspace", "was"], "left")
     pair = _list(raw)
@@ -209,19 +236,22 @@ def apply_documents(state: State, documents: DataFrame, catalog: DataFrame, stor
     docs = docs.filter("workspace IS NOT NULL AND version IS NOT NULL").join(state["applied"].groupBy("workspace").agg(F.max("version").alias("done")), "workspace", "left")
     docs = docs.filter("done IS NULL OR version > done").groupBy("workspace", "version").agg(F.min("document").alias("document"))
     docs = written(docs.withColumn("round", F.row_number().over(Window.partitionBy("workspace").orderBy("version"))), "sync-documents")
-    rounds = docs.agg(F.max("round")).first()[0] or 0
-    for n in range(1, rounds + 1):
-        now = docs.filter(F.col("round") == n).withColumn("body", _object(F.col("document")))
-        products, product_ids = _products(state, now, catalog)
-        baskets, basket_ids = _baskets(state, now, today)
+    rounds, letters = (x or 0 for x in docs.agg(F.max("round"), F.sum(F.length("document"))).first())
+    # a workspace's rows lie together in every table, in as many tasks as the documents need: joins and windows by it move nothing
+    size = letters // ENTRY
+    n = tasks_for(docs.sparkSession, size)
+    deal = lambda df: df.repartition(n, "workspace")
+    for nth in range(1, rounds + 1):
+        now = deal(written(_taken_apart(docs.filter(F.col("round") == nth)), "sync-bodies"))
+        products, product_ids = _products(state, now, catalog, deal, size)
+        baskets, basket_ids = _baskets(state, now, today, deal)
         # read by several tables each: written once, so their plans stay small
-        products, product_ids = written(products, "sync-products"), written(product_ids, "sync-product-ids")
-        baskets, basket_ids = written(baskets, "sync-baskets"), written(basket_ids, "sync-basket-ids")
-        items = _items(state, now, products, product_ids, baskets, basket_ids)
+        products, baskets = written(products, "sync-products", size), written(baskets, "sync-baskets", size)
+        items = _items(state, now, products, product_ids, baskets, basket_ids, deal)
         cards, offers = _cards(state, now, stores)
         applied = state["applied"].unionByName(now.select("workspace", "version")).groupBy("workspace").agg(F.max("version").alias("version"))
         after = {"items": items, "cards": cards, "offers": offers, "connections": _connections(state, now, chains), "settings": _settings(state, now, basket_ids), "applied": applied}
-        state = {"products": products, "baskets": baskets, **{name: written(df, f"sync-{name}") for name, df in after.items()}}
+        state = {"products": products, "baskets": baskets, **{name: written(df, f"sync-{name}", size) for name, df in after.items()}}
     return state
 
 

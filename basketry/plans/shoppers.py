@@ -155,5 +155,5 @@ def synced(spark: SparkSession, sf_dir: str) -> workspace.State:
 def synced_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines by the names of their products, and a row without product for each basket."""
     s = synced(spark, sf_dir)
-    lines = s["items"].join(s["products"].select("workspace", "product_id", F.col("name").alias("product")), ["workspace", "product_id"])
+    lines = s["items"].join(s["products"].select("workspace", "product_id", F.col("name").alias("product")).hint("merge"), ["workspace", "product_id"])
     return lines.select("workspace", "basket_id", "product", "qty").unionByName(s["baskets"].select("workspace", "basket_id"), allowMissingColumns=True)
