@@ -14,14 +14,14 @@ from pyspark.sql.window import Window
 
 from basketry.functions.prices import delivery, offer_discount
 from basketry.operators.market import with_sanity
-from basketry.session import by_bucket
+from basketry.session import by_bucket, written
 
 #: Lines of one basket with a choice of store that every split is tried for, and splits of three or more stores, at most;
 #: beyond that a basket is searched from several starts.
 EXACT_LINES, EXACT_SPLITS = 22, 4_000_000
 #: Splits that are held in memory at once.
 BLOCK = 1 << 16
-#: Splits of a basket up to which baskets of equal size are searched together, and splits of them at once.
+#: Splits of a basket's lines with a choice up to which baskets of equal size are searched together, and splits of them at once.
 MOST_TOGETHER, TOGETHER = 1024, 1 << 18
 BELOW_MINIMUM = 1e9
 SHOP_FIELDS = ["fee", "free_from", "min_order", "penalty", "percent", "cap", "min_check", "cap_used"]
@@ -111,19 +111,28 @@ def _assign(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[flo
 
 def _best_splits(pay: np.ndarray, choice: np.ndarray, shops: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Least cost of each basket and a store for each of its lines; ``pay`` and ``choice`` are baskets x lines x stores in
-    kopecks, inf where unavailable. Every split of every basket is tried; lines that no store has cost nothing."""
-    n, lines, m = pay.shape
-    digits = (np.arange(m**lines) // m ** np.arange(lines)[:, None]) % m
-    some = np.isfinite(choice).any(2)
-    cost, wrong = np.zeros((n, m**lines)), np.zeros((n, m**lines))
-    for j in range(m):
-        at, here = (digits == j).astype(float), np.isfinite(choice[:, :, j])
-        cost += _cost(np.where(here, pay[:, :, j], 0) @ at, shops[j])
-        cost += np.where(here, choice[:, :, j] - np.where(here, pay[:, :, j], 0), 0) @ at
-        wrong += (some & ~here).astype(float) @ at
-    cost[wrong > 0] = np.inf
-    k = cost.argmin(1)
-    return cost[np.arange(n), k], digits[:, k].T
+    kopecks, inf where unavailable. Every split of every basket's lines with a choice is tried; lines that no store has cost nothing."""
+    m, ok = pay.shape[2], np.isfinite(choice)
+    at, options = ok.argmax(2), ok.sum(2)
+    paid, more = np.where(ok, pay, 0), np.where(ok, choice, 0) - np.where(ok, pay, 0)
+    # lines of one store go there; only those with a choice make splits, and few lines have one
+    alone, free = options[:, :, None] == 1, options > 1
+    base, extra = np.where(alone, paid, 0).sum(1), np.where(alone, more, 0).sum((1, 2))
+    best, counts = np.zeros(len(pay)), free.sum(1)
+    for k in np.unique(counts).tolist():
+        own = np.flatnonzero(counts == k)
+        lines = np.nonzero(free[own])[1].reshape(len(own), k)
+        digits = (np.arange(m**k) // m ** np.arange(k)[:, None]) % m
+        cost, wrong = np.repeat(extra[own][:, None], m**k, 1), np.zeros((len(own), m**k))
+        for j in range(m):
+            here = (digits == j).astype(float)
+            cost += _cost(base[own, j][:, None] + paid[own[:, None], lines, j] @ here, shops[j]) + more[own[:, None], lines, j] @ here
+            wrong += (~ok[own[:, None], lines, j]).astype(float) @ here
+        cost[wrong > 0] = np.inf
+        code = cost.argmin(1)
+        best[own] = cost[np.arange(len(own)), code]
+        at[own[:, None], lines] = digits[:, code].T
+    return best, at
 
 
 def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, keep: int = 3) -> DataFrame:
@@ -131,8 +140,8 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
 
     ``lines``: basket_id, product_id, store, value, adjust, in_stock; ``stores``: store and SHOP_FIELDS. Stores are
     searched in full up to EXACT_LINES lines with a choice, three or more also up to EXACT_SPLITS splits; ``exact`` is
-    false for a basket some of whose stores were not. Variants that use the same stores count once. Small baskets of
-    equal size are searched together.
+    false for a basket some of whose stores were not. Variants that use the same stores count once. Baskets of equal size
+    with equally few lines that have a choice are searched together.
     """
     schema = "basket_id long, rank int, stores array<string>, missing int, cost long, exact boolean, assigned array<struct<product_id:long,store:string>>"
     names = StructType.fromDDL(schema).names
@@ -155,7 +164,7 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
             found[used] = (missing, cost, at)
 
     def together(pay: np.ndarray, choice: np.ndarray, info: list[dict]) -> list[tuple[dict, bool]]:
-        out: list[tuple[dict, bool]] = [({}, True) for _ in pay]
+        parts, sets = [], {}
         for m in range(1, most_stores + 1):
             for c in combinations(range(len(info)), m):
                 p, q = pay[:, :, c], choice[:, :, c]
@@ -163,9 +172,26 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
                 some = np.flatnonzero(have.any(1))
                 if len(some):
                     cost, at = _best_splits(p[some], q[some], [info[j] for j in c])
-                    for b, k, a in zip(some.tolist(), cost.tolist(), at.tolist(), strict=True):
-                        own = [(i, c[j]) for i, (j, h) in enumerate(zip(a, have[b].tolist(), strict=True)) if h]
-                        add(out[b][0], have.shape[1] - len(own), k, own)
+                    bits = sum(((at == d) & have[some]).any(1).astype(int) << d for d in range(m))
+                    used = np.array([sets.setdefault(tuple(c[d] for d in range(m) if x >> d & 1), len(sets)) for x in range(1 << m)])[bits]
+                    parts.append((some, (~have[some]).sum(1), cost, used, np.full(len(some), len(parts)), np.arange(len(some)), at, have[some], c))
+        out: list[tuple[dict, bool]] = [({}, True) for _ in pay]
+        if not parts:
+            return out
+        basket, missing, cost, used, part, row = (np.concatenate([x[i] for x in parts]) for i in range(6))
+        sets_in_order = sorted(sets)
+        place = np.empty(len(sets), int)
+        place[[sets[u] for u in sets_in_order]] = np.arange(len(sets))
+        # of variants of the same stores the best, the first of equal ones; of those the best of each basket
+        o = np.lexsort((np.arange(len(cost)), cost, missing, used, basket))
+        o = o[np.r_[True, (basket[o][1:] != basket[o][:-1]) | (used[o][1:] != used[o][:-1])]]
+        o = o[np.lexsort((place[used[o]], cost[o], missing[o], basket[o]))]
+        first = np.flatnonzero(np.r_[True, basket[o][1:] != basket[o][:-1]])
+        o = o[np.arange(len(o)) - np.repeat(first, np.diff(np.r_[first, len(o)])) < keep]
+        for i in o.tolist():
+            *_, at, here, c = parts[part[i]]
+            own = [(x, c[j]) for x, (j, h) in enumerate(zip(at[row[i]].tolist(), here[row[i]].tolist(), strict=True)) if h]
+            out[basket[i]][0][sets_in_order[place[used[i]]]] = (int(missing[i]), float(cost[i]), own)
         return out
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
@@ -180,8 +206,9 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
         choice[at_line[ok], at_shop[ok]] = np.round(100 * (b["value"].to_numpy(float) + b["adjust"].fillna(0).to_numpy(float))[ok])
         ids, starts, sizes = np.unique(rows["basket_id"].to_numpy(), return_index=True, return_counts=True)
         solved: list[tuple[dict, bool] | None] = [None] * len(ids)
-        for size in np.unique(sizes).tolist():
-            own, splits = np.flatnonzero(sizes == size), most_stores**size
+        with_choice = np.add.reduceat((np.isfinite(choice).sum(1) > 1).astype(int), starts)
+        for size, n in np.unique(np.c_[sizes, with_choice], axis=0).tolist():
+            own, splits = np.flatnonzero((sizes == size) & (with_choice == n)), most_stores**n
             step = max(1, TOGETHER // splits)
             for lo in range(0, len(own), step):
                 some = own[lo : lo + step]
@@ -201,7 +228,7 @@ def split_baskets(lines: DataFrame, stores: DataFrame, most_stores: int = 2, kee
 
     code = F.col("store").cast("string").alias("store")
     joined = lines.select("basket_id", "product_id", code, "value", "adjust", "in_stock").join(stores.select(code, *SHOP_FIELDS), "store")
-    return by_bucket(joined, "basket_id", run, schema)
+    return by_bucket(written(joined, "split-lines"), "basket_id", run, schema)  # counted and read
 
 
 def share_discount(lines: DataFrame, discount: str = "discount") -> DataFrame:
