@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import ROWS_A_TASK, dealt, written
+from basketry.session import beside, dealt, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     label = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
     label = written(label, "component", rows)
     # labels of many nodes are small files but large tables: such are sorted and merged, not sent to every task through the driver
-    beside = (lambda df: df.hint("merge")) if label.count() > ROWS_A_TASK else (lambda df: df)
+    nodes = label.count()
     while True:
-        near = two.join(beside(label.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
-        step = written(label.join(beside(near), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "component", rows)
+        near = two.join(beside(label.withColumnRenamed("node", "b"), nodes), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "node")
+        step = written(label.join(beside(near, nodes), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "component", rows)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        label = written(step.join(beside(jump), "component").select("node", "was", F.col("up").alias("component")), "component", rows)
+        label = written(step.join(beside(jump, nodes), "component").select("node", "was", F.col("up").alias("component")), "component", rows)
         if label.filter("component <> was").isEmpty():
             return label.select("node", "component")
         label = label.select("node", "component")

@@ -19,7 +19,7 @@ from basketry.functions import text as t
 from basketry.functions.prices import WEIGHT_TOLERANCE, weights_agree
 from basketry.operators.graph import components
 from basketry.operators.tiles import tiled_join, weight_class
-from basketry.session import in_buckets, written
+from basketry.session import beside, in_buckets, written
 
 # Words that name the usual kind of a product or are obligatory on a label; see ``same_product``.
 DESCRIPTORS = (
@@ -56,14 +56,14 @@ def facts_of(catalog: DataFrame) -> DataFrame:
 def with_known_brands(rows: DataFrame) -> DataFrame:
     """``known``: those of a row's words that are a brand of any row of the catalogue."""
     rows = written(rows, "resolve-facts")  # read three times
-    return knowing(rows, rows.select(F.explode("brand_words").alias("word")).distinct())
+    return knowing(rows, rows.select(F.explode("brand_words").alias("word")).distinct(), rows.count())
 
 
-def knowing(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def knowing(rows: DataFrame, vocabulary: DataFrame, n: int = 0) -> DataFrame:
     """The rows with ``known``: those of their words that ``vocabulary`` (word) has."""
     spoken = rows.select(F.explode("fwords").alias("word")).distinct().join(vocabulary, "word", "left_semi")
     found = rows.select("id", F.explode("fwords").alias("word")).join(spoken, "word", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("known"))
-    return rows.join(found, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return rows.join(beside(found, n), "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -209,16 +209,16 @@ def cut_component(facts: list[Fact]) -> list[list[Fact]]:
     return [group for group in now if group]
 
 
-def with_reps(rows: DataFrame) -> DataFrame:
+def with_reps(rows: DataFrame, n: int = 0) -> DataFrame:
     """The rows with ``facts``, a hash of what is compared, and ``rep``, the first row that states the same."""
     keyed = rows.withColumn("facts", F.xxhash64(*FACTS))
-    return keyed.join(keyed.groupBy("facts").agg(F.min("id").alias("rep")), "facts")
+    return keyed.join(beside(keyed.groupBy("facts").agg(F.min("id").alias("rep")), n), "facts")
 
 
-def coded_links(rows: DataFrame) -> DataFrame:
+def coded_links(rows: DataFrame, n: int = 0) -> DataFrame:
     """Links of rows with one barcode to the first of them."""
     coded = rows.filter("bkey is not null").select("id", "bkey")
-    return coded.join(coded.groupBy("bkey").agg(F.min("id").alias("a")), "bkey").filter("id <> a").select("a", F.col("id").alias("b"), F.lit("barcode").alias("method"), F.lit(1.0).alias("score"))
+    return coded.join(beside(coded.groupBy("bkey").agg(F.min("id").alias("a")), n), "bkey").filter("id <> a").select("a", F.col("id").alias("b"), F.lit("barcode").alias("method"), F.lit(1.0).alias("score"))
 
 
 def copy_links(rows: DataFrame) -> DataFrame:
@@ -233,8 +233,8 @@ def rare_words(reps: DataFrame, every: DataFrame | None = None) -> DataFrame:
     return word.join(spoken.groupBy("word").count(), "word").groupBy("id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
 
 
-def word_links(new: DataFrame, every: DataFrame, index: DataFrame) -> DataFrame:
-    """Links by words between representatives ``new`` and ``every`` (``new`` among them). index: id, word of ``every``.
+def word_links(new: DataFrame, every: DataFrame, index: DataFrame, n: int = 0) -> DataFrame:
+    """Links by words between representatives ``new``, about ``n``, and ``every`` (``new`` among them). index: id, word of ``every``.
 
     Whatever method links two rows by words, they agree in packs and marks, and either their folded words are equal or the one's hold all
     of the other's and both state weights that agree. So rows meet by all their words, or by one word of the smaller
@@ -243,13 +243,13 @@ def word_links(new: DataFrame, every: DataFrame, index: DataFrame) -> DataFrame:
     apart = (F.col("a.chain") != F.col("b.chain")) | (F.col("a.bkey").isNotNull() & F.col("b.bkey").isNotNull())
     heads = F.arrays_overlap(F.slice("a.forder", 1, 2), F.slice("b.forder", 1, 2))
     as_one = lambda rows: rows.filter(F.size("fwords") > 0).withColumn("same", F.xxhash64("fwords", "packs", "marks"))
-    found = _linked(tiled_join(as_one(new), as_one(every), ["same"]).filter(F.col("a.fwords") == F.col("b.fwords")), apart & heads)
+    found = _linked(tiled_join(as_one(new), as_one(every), ["same"], rows=n).filter(F.col("a.fwords") == F.col("b.fwords")), apart & heads)
     sized = lambda rows: rows.filter("weight_g is not null").withColumn("load", weight_class("weight_g")).withColumn("guard", F.xxhash64("packs", "marks"))
     near = F.explode(F.array(*[F.col("load") + k for k in (-1, 0, 1)]))
     held = lambda rows: sized(rows).withColumn("word", F.explode("fwords")).withColumn("load", near)
     smaller = F.size("a.fwords") < F.size("b.fwords")
     for inner, outer in [(new, every)] if new is every else [(new, every), (every, new)]:
-        pairs = tiled_join(sized(inner).join(index, "id"), held(outer), ["word", "load", "guard"])
+        pairs = tiled_join(sized(inner).join(beside(index, n), "id"), held(outer), ["word", "load", "guard"], rows=n)
         found = found.unionByName(_linked(pairs.filter(smaller), apart & heads))
     return found.distinct()
 
@@ -261,15 +261,16 @@ def _linked(pairs: DataFrame, fit: Column) -> DataFrame:
 
 def match_edges(rows: DataFrame) -> DataFrame:
     """Links (a, b, method, score) of prepared rows. Barcodes link to their first row, words through representatives."""
-    keyed = written(with_reps(rows), "resolve-rows")
+    n = rows.count()
+    keyed = written(with_reps(rows, n), "resolve-rows", n)
     reps = spread(keyed.filter("id = rep").drop("facts", "rep"), "id")
-    return coded_links(rows).unionByName(copy_links(keyed)).unionByName(word_links(reps, reps, rare_words(reps)))
+    return coded_links(rows, n).unionByName(copy_links(keyed)).unionByName(word_links(reps, reps, rare_words(reps), keyed.filter("id = rep").count()))
 
 
 def cluster(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component of every prepared row; rows without a link stand alone."""
     found = components(edges.select("a", "b"))
-    return rows.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return rows.select("id").join(beside(found.withColumnRenamed("node", "id"), found.count()), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def split_chained(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -283,15 +284,17 @@ def split_chained(rows: DataFrame, members: DataFrame) -> DataFrame:
         facts = [Fact(r, frozenset(extra)) for r in b.sort_values("id").to_dict("records")]
         return [(f.r["id"], min(o.r["id"] for o in group)) for group in cut_component(facts) for f in group]
 
-    placed = written(rows.select("id", "name", *FACTS).join(members, "id").withColumn("facts", F.xxhash64(*FACTS)), "resolve-placed")
+    n = rows.count()
+    placed = written(rows.select("id", "name", *FACTS).join(beside(members, n), "id").withColumn("facts", F.xxhash64(*FACTS)), "resolve-placed", n)
     kinds = placed.groupBy("component", "facts").agg(F.min("id").alias("rep"), F.max(F.length(F.coalesce("name", F.lit("")))).alias("letters"), F.count(F.lit(1)).alias("copies"))
-    kinds = written(kinds, "resolve-kinds")
+    kinds = written(kinds, "resolve-kinds", n)
+    n_kinds = kinds.count()
     big = kinds.groupBy("component").count().filter("count > 2").select("component")
-    whole = placed.join(big, "component", "left_anti").select("id", F.col("component").alias("item"))
-    some = kinds.join(big, "component", "left_semi").join(placed.select(F.col("id").alias("rep"), *FACTS), "rep").withColumnRenamed("rep", "id")
+    whole = placed.join(beside(big, n_kinds), "component", "left_anti").select("id", F.col("component").alias("item"))
+    some = kinds.join(beside(big, n_kinds), "component", "left_semi").join(beside(placed.select(F.col("id").alias("rep"), *FACTS), n), "rep").withColumnRenamed("rep", "id")
     parts = written(in_buckets(written(some, "chained"), "component", cut, "id long, item long"), "resolve-parts")
-    copies = placed.select("id", "component", "facts").join(kinds.select("component", "facts", "rep"), ["component", "facts"])
-    return whole.unionByName(copies.join(parts.withColumnRenamed("id", "rep"), "rep").select("id", "item"))
+    copies = placed.select("id", "component", "facts").join(beside(kinds.select("component", "facts", "rep"), n_kinds), ["component", "facts"])
+    return whole.unionByName(copies.join(beside(parts.withColumnRenamed("id", "rep"), n_kinds), "rep").select("id", "item"))
 
 
 def canonical(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -309,9 +312,10 @@ def keep_ids(items: DataFrame, before: DataFrame, top: int | None = None) -> Dat
     the purest, then the larger item, then the smaller id. Items without votes get new ids after the highest
     (``top``, by default that of ``before``).
     """
-    votes = items.join(before.filter("item_id is not null").select("id", "item_id"), "id").groupBy("item", "item_id").agg(F.count("id").alias("votes"))
+    n = items.count()
+    votes = items.join(beside(before.filter("item_id is not null").select("id", "item_id"), n), "id").groupBy("item", "item_id").agg(F.count("id").alias("votes"))
     size = items.groupBy("item").agg(F.count("id").alias("rows"))
-    votes = written(votes.join(size, "item"), "votes")
+    votes = written(votes.join(beside(size, n), "item"), "votes", n)
     edges = votes.select((F.col("item") * 2).alias("a"), (F.col("item_id") * 2 + 1).alias("b"))
     group = components(edges)
 
@@ -325,11 +329,11 @@ def keep_ids(items: DataFrame, before: DataFrame, top: int | None = None) -> Dat
                 out.append((item, item_id))
         return out
 
-    kept = votes.join(group.select((F.col("node") / 2).cast("long").alias("item"), "component", "node").filter("node % 2 = 0").drop("node"), "item")
+    kept = votes.join(beside(group.select((F.col("node") / 2).cast("long").alias("item"), "component", "node").filter("node % 2 = 0").drop("node"), n), "item")
     kept = written(in_buckets(written(kept, "vote-groups"), "component", greedy, "item long, item_id long"), "kept-ids")
     top = before.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0] if top is None else top
     # new ids only have to be unique and stable for a run: the item's own row id is both
-    fresh = size.join(kept, "item", "left_anti").select("item", (F.col("item") + top + 1).alias("item_id"))
+    fresh = size.join(beside(kept, n), "item", "left_anti").select("item", (F.col("item") + top + 1).alias("item_id"))
     return kept.unionByName(fresh)
 
 
@@ -352,6 +356,7 @@ def write_back(before: DataFrame, after: DataFrame, key: str, columns: list[str]
 
 def match_all(catalog: DataFrame) -> DataFrame:
     """id, item_id of a whole catalogue, keeping the ids that its rows had."""
-    rows = written(prepare(spread(catalog, "id")), "prepared")
-    items = written(split_chained(rows, cluster(rows, match_edges(rows))), "items")
-    return items.join(keep_ids(items, catalog.select("id", "item_id")), "item").select("id", "item_id")
+    n = catalog.count()
+    rows = written(prepare(spread(catalog, "id")), "prepared", n)
+    items = written(split_chained(rows, cluster(rows, match_edges(rows))), "items", n)
+    return items.join(beside(keep_ids(items, catalog.select("id", "item_id")), n), "item").select("id", "item_id")

@@ -36,6 +36,11 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(tasks_for(df.sparkSession, rows), *keys)
 
 
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """For a join with a table of ``rows`` rows: many are merged where they lie, however small their files are; few may be sent to every task."""
+    return df.hint("merge") if rows > ROWS_A_TASK else df
+
+
 def written(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Write to the folder that ``spark.checkpoint.dir`` names and read back; a temporary folder only in local mode, where it is unset.
 
